@@ -38,8 +38,8 @@ def _quality_sql() -> str:
     sides = [s for r in RULES for s in (None if r.low is None else f"{r.metric} >= {r.low}", None if r.high is None else f"{r.metric} <= {r.high}") if s]
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS win
       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS k FROM g) WHERE k > 1),
@@ -47,9 +47,9 @@ c AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM r, (SELECT unn
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-             len(list_filter(list_distinct(ws), x -> list_contains([{stop}], x))) AS n_stop_words, len(ls) AS n_lines,
-             len(list_filter(ls, x -> regexp_matches(x, '^[\x20\x09]*[-*•‣]'))) AS n_bullets,
-             len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*$'))) AS n_ellipses
+             len(list_filter(list_distinct(ws), lambda x: list_contains([{stop}], x))) AS n_stop_words, len(ls) AS n_lines,
+             len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•‣]'))) AS n_bullets,
+             len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*$'))) AS n_ellipses
       FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 q AS (SELECT *, CASE WHEN n_words = 0 THEN 0.0 ELSE CAST(word_chars AS DOUBLE) / n_words END AS mean_word_chars,
              CASE WHEN n_words = 0 THEN 0.0 ELSE CAST(n_symbols AS DOUBLE) / n_words END AS symbols_per_word,
