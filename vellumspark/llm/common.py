@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text_bytes: int) -> Iterator[pa.Re
     size = 0
     for batch in batches:
         start = 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(lengths):
             size += int(n)
             if size >= text_bytes:
