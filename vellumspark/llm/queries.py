@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm.common import table
 from vellumspark.llm.mixing import mix_sources
+from vellumspark.llm.ngramjoin import ngram_components
 from vellumspark.llm.pii import personal_data
 from vellumspark.llm.quality import RULES, STOP_WORDS, quality_rules
 from vellumspark.llm.tokencount import token_counts
@@ -41,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -52,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op2_personal_data": op2_personal_data,
         "op3_token_counts": op3_token_counts,
         "op4_quality_rules": op4_quality_rules,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op8_mix_sources": op8_mix_sources,
     }
 
