@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm.common import partitions_for, stored
 from vellumspark.llm.components import connected_components
-from vellumspark.llm.shingles import U, digests, mixed, shingled, sketches
+from vellumspark.llm.shingles import LEAST_BITS, U, bits_apart, digests, folded, mixed, shingled, sketches
 
 #: Most shingles that are put last in the order (they are broadcast, eight bytes each).
 FREQUENT = 1 << 18
@@ -71,22 +71,21 @@ def binary(values: np.ndarray) -> bytes:
 
 
 def profiles(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """One row per document (id, n, d1, d2, s0 to s3) and one per find of a frequent shingle (d1, found)."""
-    schema = "id long, n long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, found long"
+    """One row per document (id, n, d1, d2, sketch) and one per find of a frequent shingle (d1, found)."""
+    schema = "id long, n long, d1 long, d2 long, sketch binary, found long"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def frequent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         values, counts = values[counts >= IN_BLOCK], counts[counts >= IN_BLOCK]
         none = pa.nulls(len(values), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(values.view(np.int64)), *[none] * 5, pa.array(counts.astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(values.view(np.int64)), none, pa.nulls(len(values), pa.binary()), pa.array(counts.astype(np.int64))], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
         for block, h, sizes in shingled(batches, width):
             d1, d2 = digests(h, sizes)
-            s = sketches(h, sizes)
-            columns = [block.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (sizes, d1, d2)), *(pa.array(np.ascontiguousarray(s[:, k])) for k in range(4))]
+            columns = [block.column(0).cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (sizes, d1, d2)), sketches(h, sizes)]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sizes), pa.int64())], names)
             new = np.array([not (x in seen or seen.add(x)) for x in d1.tolist()], bool)
             held.append(h[np.repeat(new, sizes)])
@@ -214,21 +213,22 @@ def met(packed: DataFrame, least: Threshold, direct: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(meet, "a long, b long, token long")
 
 
-def bits_apart(a: str, b: str):
-    return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
-
-
 def candidates(pairs: DataFrame, classes: DataFrame, least: Threshold) -> DataFrame:
     """Pairs of classes (a, b, na, nb) that the size and sketch bounds leave; a is the smaller id."""
-    x, y = classes.alias("x"), classes.alias("y")
-    both = pairs.join(x, F.col("x.d1") == F.col("a")).join(y, F.col("y.d1") == F.col("b"))
-    n, m = F.col("x.n"), F.col("y.n")
-    fit = least.differ_fit(bits_apart("x", "y"), n + m) & (least.den * F.least(n, m) >= least.num * F.greatest(n, m))
-    first = F.col("x.cid") < F.col("y.cid")
-    both = both.where(fit & (F.col("x.cid") != F.col("y.cid")))
-    return both.select(
-        F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"), F.when(first, n).otherwise(m).alias("na"), F.when(first, m).otherwise(n).alias("nb")
-    ).distinct()
+    x, y = (classes.select(*(F.col(c).alias(f"{c}_{k}") for c in ("d1", "cid", "n", "sketch"))) for k in "xy")
+    both = pairs.join(x, F.col("d1_x") == F.col("a")).join(y, F.col("d1_y") == F.col("b"))
+    both = both.where((least.den * F.least("n_x", "n_y") >= least.num * F.greatest("n_x", "n_y")) & (F.col("cid_x") != F.col("cid_y")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            differ = np.array([bits_apart(s, t) for s, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "na", "nb"]).filter(pa.array(least.differ_fit(differ, n)))
+
+    first = F.col("cid_x") < F.col("cid_y")
+    ends = [F.least("cid_x", "cid_y"), F.greatest("cid_x", "cid_y"), F.when(first, F.col("n_x")).otherwise(F.col("n_y")), F.when(first, F.col("n_y")).otherwise(F.col("n_x"))]
+    named = (c.alias(k) for c, k in zip(ends, ("a", "b", "na", "nb")))
+    return both.select(*named, "sketch_x", "sketch_y").mapInArrow(near, "a long, b long, na long, nb long").distinct()
 
 
 def linked(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text: str, width: int, least: Threshold) -> DataFrame:
@@ -271,9 +271,9 @@ def linked(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, tex
 
 
 def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Threshold, block: int) -> DataFrame:
-    """Pairs (a, b, na, nb) from different components that share a frequent prefix shingle, by blocks."""
+    """Pairs of digests (a, b) from different components that share a frequent prefix shingle, by blocks."""
     rows = large.join(classes, large["a"] == classes["d1"]).join(labels, classes["cid"] == labels["member"], "left")
-    rows = rows.select("token", "cid", "n", "s0", "s1", "s2", "s3", F.coalesce("component", "cid").alias("component"))
+    rows = rows.select("token", "d1", "cid", "n", "sketch", F.coalesce("component", "cid").alias("component"))
     rows = stored(rows)
     split = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     n_blocks = (F.col("m") / block).cast("int") + 1
@@ -282,8 +282,8 @@ def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Thres
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("k", "other")
 
     def compare(group: pa.Table) -> pa.Table:
-        c = {name: group[name].to_numpy() for name in ("cid", "n", "component", "own", "i", "j")}
-        s = np.stack([group[f"s{k}"].to_numpy() for k in range(4)], axis=1)
+        c = {name: group[name].to_numpy() for name in ("d1", "n", "component", "own", "i", "j")}
+        s = np.stack([folded(x, LEAST_BITS // 8) for x in group["sketch"].to_pylist()])
         same = c["i"][0] == c["j"][0]
         left = np.flatnonzero(c["own"] == c["i"][0])
         right = left if same else np.flatnonzero(c["own"] == c["j"][0])
@@ -294,16 +294,15 @@ def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Thres
         for us, them in ((left[c["component"][left] != main], right), (left[c["component"][left] == main], right[c["component"][right] != main])):
             for start in range(0, len(us), 256):
                 a = us[start : start + 256, None]
-                differ = sum(np.bitwise_count(s[a, k] ^ s[them, k][None, :]).astype(np.int64) for k in range(4))
+                differ = sum(np.bitwise_count(s[a, k] ^ s[them, k][None, :]).astype(np.int64) for k in range(s.shape[1]))
                 fit = (c["component"][a] != c["component"][them]) & least.sizes_fit(c["n"][a], c["n"][them]) & least.differ_fit(differ, c["n"][a] + c["n"][them])
                 p, q = np.nonzero(fit)
                 x, y = a[p, 0], them[q]
-                x, y = np.where(c["cid"][x] < c["cid"][y], x, y), np.where(c["cid"][x] < c["cid"][y], y, x)
-                out.append(np.stack([c["cid"][x], c["cid"][y], c["n"][x], c["n"][y]], axis=1))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 4), np.int64)
-        return pa.table({name: pa.array(np.ascontiguousarray(found[:, k])) for k, name in enumerate(("a", "b", "na", "nb"))})
+                out.append(np.stack([np.minimum(c["d1"][x], c["d1"][y]), np.maximum(c["d1"][x], c["d1"][y])], axis=1))
+        found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pa.table({name: pa.array(np.ascontiguousarray(found[:, k])) for k, name in enumerate("ab")})
 
-    return rows.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long, na long, nb long").distinct()
+    return rows.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def ngram_components(
@@ -320,14 +319,14 @@ def ngram_components(
     late = [r.d1 for r in found.orderBy(F.desc("n"), "d1").limit(FREQUENT).collect()]
     frequent = spark.sparkContext.broadcast(np.array(late, np.int64).view(np.uint64))
     own = docs.where("n > 0 and id is not null")
-    classes = stored(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("cid"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4))))
+    classes = stored(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("cid"), F.first("sketch").alias("sketch")))
     packed = postings(df, text, width, least, frequent, 4 * partitions_for(df))
     shared = stored(met(packed, least, direct))
     links = stored(linked(stored(candidates(shared.where("b is not null").select("a", "b").distinct(), classes, least)), df, classes, id_col, text, width, least))
     labels = stored(connected_components(links))
     large = shared.where("b is null").select("a", "token")
     if not large.isEmpty():
-        more = stored(across(large, classes, labels, least, block))
+        more = stored(candidates(across(large, classes, labels, least, block), classes, least))
         if not more.isEmpty():
             labels = stored(connected_components(links.unionByName(linked(more, df, classes, id_col, text, width, least))))
     grouped = classes.join(labels, classes["cid"] == labels["member"], "left").select("d1", "d2", "n", F.coalesce("component", "cid").alias("component"))

@@ -120,11 +120,31 @@ def digests(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(summed(mixed(h, 101), sizes) + sizes.astype(np.uint64)), mixed(summed(mixed(h, 202), sizes))
 
 
-def sketches(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """256 parity bits of each set as four 64-bit words: every element turns one bit over.
+#: Least bits of a sketch.
+LEAST_BITS = 256
 
-    Where two sketches differ in d bits, the sets differ in d elements at least.
+
+def sketches(h: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parity bits of each set, as many as the next power of two from its size: every element turns one over.
+
+    Where two sketches differ in d bits, the sets differ in d elements at least. A longer sketch
+    folds onto a shorter one by exclusive or of its halves.
     """
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    bits = np.bincount(owner * 256 + (h >> U(11) & U(255)).astype(np.int64), minlength=256 * len(sizes))
-    return np.packbits((bits & 1).astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+    width = np.maximum(LEAST_BITS, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    first = np.cumsum(width) - width
+    at = np.repeat(first, sizes) + (h >> U(8) & np.repeat(width - 1, sizes).astype(np.uint64)).astype(np.int64)
+    bits = np.bincount(at, minlength=int(width.sum())) & 1
+    offsets = np.append(first, width.sum()) // 8
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.packbits(bits.astype(np.uint8), bitorder="little"))])
+
+
+def folded(sketch: bytes, n_bytes: int) -> np.ndarray:
+    """A sketch folded to ``n_bytes``, as 64-bit words."""
+    words = np.frombuffer(sketch, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, n_bytes // 8), axis=0)
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, at the length of the shorter one."""
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, n) ^ folded(y, n)).sum())
