@@ -14,6 +14,7 @@ from vellumspark.llm.pii import personal_data
 from vellumspark.llm.quality import RULES, STOP_WORDS, quality_rules
 from vellumspark.llm.tokencount import token_counts
 from vellumspark.llm.topk import exact_top_k
+from vellumspark.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -58,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_quality_rules": op4_quality_rules,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op7_toxicity": op7_toxicity,
         "op8_mix_sources": op8_mix_sources,
     }
 
