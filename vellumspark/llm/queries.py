@@ -12,6 +12,7 @@ from vellumspark.llm.mixing import mix_sources
 from vellumspark.llm.ngramjoin import ngram_components
 from vellumspark.llm.pii import personal_data
 from vellumspark.llm.quality import RULES, STOP_WORDS, quality_rules
+from vellumspark.llm.spm import encode
 from vellumspark.llm.tokencount import token_counts
 from vellumspark.llm.topk import exact_top_k
 from vellumspark.llm.toxicity import toxicity
@@ -47,6 +48,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_quality_rules": op4_quality_rules,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_toxicity": op7_toxicity,
         "op8_mix_sources": op8_mix_sources,
     }
