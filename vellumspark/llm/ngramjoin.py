@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm.common import partitions_for, stored
 from vellumspark.llm.components import connected_components
-from vellumspark.llm.shingles import LEAST_BITS, U, bits_apart, digests, folded, mixed, shingled, sketches
+from vellumspark.llm.shingles import U, bits_apart, digests, folded, mixed, shingled, sketches
 
 #: Most shingles that are put last in the order (they are broadcast, eight bytes each).
 FREQUENT = 1 << 18
@@ -41,7 +41,7 @@ IN_BLOCK, IN_ALL = 3, 30
 COUNTED = 4 << 20
 #: Documents that share a prefix shingle and are paired directly; beyond, by hubs and blocks.
 DIRECT = 64
-HUBS = 4
+HUBS = 2
 BLOCK = 2048
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 4
@@ -283,22 +283,33 @@ def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Thres
 
     def compare(group: pa.Table) -> pa.Table:
         c = {name: group[name].to_numpy() for name in ("d1", "n", "component", "own", "i", "j")}
-        s = np.stack([folded(x, LEAST_BITS // 8) for x in group["sketch"].to_pylist()])
-        same = c["i"][0] == c["j"][0]
-        left = np.flatnonzero(c["own"] == c["i"][0])
-        right = left if same else np.flatnonzero(c["own"] == c["j"][0])
+        sketch = group["sketch"].to_pylist()
+        length = np.array([len(x) for x in sketch])
+        left = c["own"] == c["i"][0]
+        right = c["own"] == c["j"][0]
         values, counts = np.unique(c["component"], return_counts=True)
-        main = values[counts.argmax()]
+        main = c["component"] == values[counts.argmax()]
         out = []
-        # Pairs inside the main component need no comparison, so each one left has an end outside it.
-        for us, them in ((left[c["component"][left] != main], right), (left[c["component"][left] == main], right[c["component"][right] != main])):
-            for start in range(0, len(us), 256):
-                a = us[start : start + 256, None]
-                differ = sum(np.bitwise_count(s[a, k] ^ s[them, k][None, :]).astype(np.int64) for k in range(s.shape[1]))
-                fit = (c["component"][a] != c["component"][them]) & least.sizes_fit(c["n"][a], c["n"][them]) & least.differ_fit(differ, c["n"][a] + c["n"][them])
-                p, q = np.nonzero(fit)
-                x, y = a[p, 0], them[q]
-                out.append(np.stack([np.minimum(c["d1"][x], c["d1"][y]), np.maximum(c["d1"][x], c["d1"][y])], axis=1))
+        # Sizes that fit have sketches of the same length or of twice it, and those are compared at the shorter one.
+        for short in np.unique(length):
+            own = np.flatnonzero((length == short) | (length == 2 * short))
+            bits = np.stack([folded(sketch[k], int(short)) for k in own])
+            exact = length[own] == short
+            # Pairs inside the main component need no comparison, so each one left has an end outside it.
+            for us, them in ((left & ~main, right), (left & main, right & ~main)):
+                us, them = np.flatnonzero(us[own]), np.flatnonzero(them[own])
+                for start in range(0, len(us), 128):
+                    a = us[start : start + 128, None]
+                    x, y = own[a], own[them]
+                    fit = (exact[a] | exact[them]) & (c["component"][x] != c["component"][y]) & least.sizes_fit(c["n"][x], c["n"][y])
+                    p, q = np.nonzero(fit)
+                    for k in range(0, len(p), 1 << 16):
+                        x, y = us[start + p[k : k + (1 << 16)]], them[q[k : k + (1 << 16)]]
+                        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                        x, y = own[x], own[y]
+                        near = least.differ_fit(differ, c["n"][x] + c["n"][y])
+                        d, e = c["d1"][x[near]], c["d1"][y[near]]
+                        out.append(np.stack([np.minimum(d, e), np.maximum(d, e)], axis=1))
         found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
         return pa.table({name: pa.array(np.ascontiguousarray(found[:, k])) for k, name in enumerate("ab")})
 
@@ -328,7 +339,7 @@ def ngram_components(
     if not large.isEmpty():
         more = stored(candidates(across(large, classes, labels, least, block), classes, least))
         if not more.isEmpty():
-            labels = stored(connected_components(links.unionByName(linked(more, df, classes, id_col, text, width, least))))
+            labels = stored(connected_components(labels.select(F.col("member").alias("a"), F.col("component").alias("b")).unionByName(linked(more, df, classes, id_col, text, width, least))))
     grouped = classes.join(labels, classes["cid"] == labels["member"], "left").select("d1", "d2", "n", F.coalesce("component", "cid").alias("component"))
     rows = docs.select("id", "n", "d1", "d2").join(grouped, ["d1", "d2", "n"], "left")
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
