@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import table
+from vellumspark.llm.html import html_text
 from vellumspark.llm.mixing import mix_sources
 from vellumspark.llm.ngramjoin import ngram_components
 from vellumspark.llm.pii import personal_data
 from vellumspark.llm.quality import RULES, STOP_WORDS, quality_rules
 from vellumspark.llm.spm import encode
+from vellumspark.llm.tokenbinary import training_order
 from vellumspark.llm.tokencount import token_counts
 from vellumspark.llm.topk import exact_top_k
 from vellumspark.llm.toxicity import toxicity
@@ -61,6 +63,14 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_top_k": op1_exact_top_k,
@@ -71,6 +81,8 @@ def queries() -> dict[str, Query]:
         "op6_sentencepiece": op6_sentencepiece,
         "op7_toxicity": op7_toxicity,
         "op8_mix_sources": op8_mix_sources,
+        "op9_training_order": op9_training_order,
+        "op10_html_text": op10_html_text,
     }
 
 
