@@ -1,13 +1,64 @@
-"""The corpus pipeline: documents in, encoded documents out, one written table between stages."""
+"""The corpus pipeline: documents in, encoded documents out, one written table between stages.
+
+Every stage takes (spark, docs, sf_dir) and judges all that its predecessor kept; all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellumspark.llm.common import stored, table
+from vellumspark.llm.mixing import mix_sources
+from vellumspark.llm.ngramjoin import ngram_components
+from vellumspark.llm.pii import redact
+from vellumspark.llm.quality import quality_rules
+from vellumspark.llm.queries import tokenizer
+from vellumspark.llm.spm import encode
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest id stays, once.
+
+    Documents without an id are linked with nothing and stay.
+    """
+    firsts = ngram_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to its kind in brackets."""
+    return redact(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand in the result as often as the mix takes them."""
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies")).where("mixed_copies > 0")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    return taken.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), "mixed_copies"))).select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document of the mix."""
+    return encode(docs, tokenizer("piece_bpe_32k.model"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
 
+#: Similarity joins, transducers and merges have no SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
