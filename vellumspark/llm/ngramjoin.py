@@ -9,7 +9,7 @@ each fragment on its own and summed per pair.
 
 Very frequent shingles would pair everything with everything. Their documents are first linked
 to a few hubs; once those links are verified and contracted, only pairs from different
-components are compared, in blocks of a fixed size. A pair inside a component changes no
+components are compared, in blocks of a fixed size, the nearest ones first. A pair inside a component changes no
 component, so nothing is lost and no cap is needed.
 
 Fingerprints have 64 bits; two different shingles are taken for equal with probability 2**-64.
@@ -248,30 +248,39 @@ def linked(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, tex
             rows = []
             for t in np.flatnonzero(own).tolist():
                 own_set = h[first[t] : first[t] + sizes[t]]
-                rows += [(cids[t], f, binary(x)) for f, x in enumerate(np.split(own_set, np.searchsorted(own_set, np.array(edges, np.uint64))))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["cid", "fragment", "part"])
+                rows.append((cids[t], [binary(x) for x in np.split(own_set, np.searchsorted(own_set, np.array(edges, np.uint64)))]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.binary())))], ["cid", "fragments"])
 
-    pieces = docs.select("cid", text, "d1", "d2").mapInArrow(cut, "cid long, fragment int, part binary").dropDuplicates(["cid", "fragment"])
+    pieces = docs.select("cid", text, "d1", "d2").mapInArrow(cut, "cid long, fragments array<binary>").dropDuplicates(["cid"])
     pieces = stored(pieces)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = []
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                s, t = (s, t) if len(s) <= len(t) else (t, s)
-                counts.append(int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(counts, pa.int64())], ["a", "b", "na", "nb", "n"])
-
-    sides = pairs.join(pieces.select(F.col("cid").alias("a"), "fragment", F.col("part").alias("x")), "a")
-    sides = sides.join(pieces.select(F.col("cid").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
-    partial = sides.select("a", "b", "na", "nb", "x", "y").mapInArrow(overlap, "a long, b long, na long, nb long, n long")
-    sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
-    return sums.where(least.den * F.col("n") >= least.num * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
-
-
-def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Threshold, block: int) -> DataFrame:
-    """Pairs of digests (a, b) from different components that share a frequent prefix shingle, by blocks."""
+            partial = [[shared(s, t) for s, t in zip(x, y)] for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(partial, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "partial"])
+
+    sides = pairs.join(pieces.select(F.col("cid").alias("a"), F.col("fragments").alias("x")), "a")
+    sides = sides.join(pieces.select(F.col("cid").alias("b"), F.col("fragments").alias("y")), "b")
+    counted = sides.select("a", "b", "na", "nb", "x", "y").mapInArrow(overlap, "a long, b long, na long, nb long, partial array<long>")
+    n = F.aggregate("partial", F.lit(0).cast("long"), lambda total, k: total + k)
+    return counted.where(least.den * n >= least.num * (F.col("na") + F.col("nb") - n)).select("a", "b")
+
+
+def shared(x: bytes, y: bytes) -> int:
+    """Elements that two ascending fragments have in common."""
+    s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if not len(s) or not len(t):
+        return 0
+    s, t = (s, t) if len(s) <= len(t) else (t, s)
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+
+
+def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Threshold, block: int, nearest: bool) -> DataFrame:
+    """Pairs of digests (a, b) from different components that share a frequent prefix shingle, by blocks.
+
+    ``nearest``: of the pairs of a class outside its block's main component, only the one of least
+    sketch distance; a first pass over these contracts most of what a pass over all would pair.
+    """
     rows = large.join(classes, large["a"] == classes["d1"]).join(labels, classes["cid"] == labels["member"], "left")
     rows = rows.select("token", "d1", "cid", "n", "sketch", F.coalesce("component", "cid").alias("component"))
     rows = stored(rows)
@@ -308,9 +317,15 @@ def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Thres
                         differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
                         x, y = own[x], own[y]
                         near = least.differ_fit(differ, c["n"][x] + c["n"][y])
-                        d, e = c["d1"][x[near]], c["d1"][y[near]]
-                        out.append(np.stack([np.minimum(d, e), np.maximum(d, e)], axis=1))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+                        out.append(np.stack([x[near], y[near], differ[near]]))
+        x, y, differ = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
+        if nearest:
+            outer = np.where(main[x], y, x)
+            by = np.lexsort((c["d1"][x + y - outer], differ, outer))
+            first = by[np.flatnonzero(np.diff(outer[by], prepend=-1))]
+            x, y = x[first], y[first]
+        d, e = c["d1"][x], c["d1"][y]
+        found = np.unique(np.stack([np.minimum(d, e), np.maximum(d, e)], axis=1), axis=0)
         return pa.table({name: pa.array(np.ascontiguousarray(found[:, k])) for k, name in enumerate("ab")})
 
     return rows.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
@@ -336,10 +351,12 @@ def ngram_components(
     links = stored(linked(stored(candidates(shared.where("b is not null").select("a", "b").distinct(), classes, least)), df, classes, id_col, text, width, least))
     labels = stored(connected_components(links))
     large = shared.where("b is null").select("a", "token")
-    if not large.isEmpty():
-        more = stored(candidates(across(large, classes, labels, least, block), classes, least))
-        if not more.isEmpty():
-            labels = stored(connected_components(labels.select(F.col("member").alias("a"), F.col("component").alias("b")).unionByName(linked(more, df, classes, id_col, text, width, least))))
+    for nearest in () if large.isEmpty() else (True, False):
+        more = stored(candidates(across(large, classes, labels, least, block, nearest), classes, least))
+        if more.isEmpty():
+            break
+        links = labels.select(F.col("member").alias("a"), F.col("component").alias("b")).unionByName(linked(more, df, classes, id_col, text, width, least))
+        labels = stored(connected_components(links))
     grouped = classes.join(labels, classes["cid"] == labels["member"], "left").select("d1", "d2", "n", F.coalesce("component", "cid").alias("component"))
     rows = docs.select("id", "n", "d1", "d2").join(grouped, ["d1", "d2", "n"], "left")
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
