@@ -284,6 +284,7 @@ def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Thres
     rows = large.join(classes, large["a"] == classes["d1"]).join(labels, classes["cid"] == labels["member"], "left")
     rows = rows.select("token", "d1", "cid", "n", "sketch", F.coalesce("component", "cid").alias("component"))
     rows = stored(rows)
+    rows = rows.join(rows.groupBy("cid").agg(F.collect_set("token").alias("tokens")), "cid")
     split = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     n_blocks = (F.col("m") / block).cast("int") + 1
     rows = rows.join(split.select("token", n_blocks.alias("k")), "token").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
@@ -319,7 +320,12 @@ def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Thres
                         near = least.differ_fit(differ, c["n"][x] + c["n"][y])
                         out.append(np.stack([x[near], y[near], differ[near]]))
         x, y, differ = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
-        if nearest:
+        if not nearest:
+            # A pair that shares several frequent shingles is returned for the least of them alone.
+            earlier = [frozenset(t for t in tokens if t < here) for tokens, here in zip(group["tokens"].to_pylist(), group["token"].to_pylist())]
+            once = np.array([earlier[a].isdisjoint(earlier[b]) for a, b in zip(x.tolist(), y.tolist())], bool)
+            x, y = x[once], y[once]
+        else:
             outer = np.where(main[x], y, x)
             by = np.lexsort((c["d1"][x + y - outer], differ, outer))
             first = by[np.flatnonzero(np.diff(outer[by], prepend=-1))]
