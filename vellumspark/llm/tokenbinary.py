@@ -7,9 +7,11 @@ the range, gives each a global slot. Slots are dealt by range: shard k holds slo
 (k + 1) * S - 1 in order, as records of one stride, so the record of slot s starts at byte
 (s mod S) * stride of shard s div S. A reader goes on from any slot by seeking.
 
-Shards are written by Spark's text writer from raw bytes, so they go through its commit protocol
-to whatever store the path names; the record's last byte is the line end. Sequences stand in the
-shared folder between tokenising and ordering, so lost executors repeat their part alone.
+A first pass counts the sequences of every task, without keeping ids; the second makes them, with
+their slots, so ids move once, from the tokenising task to their shard. Both passes must deal the
+rows to tasks alike, as scans of the same files do; a task that finds another count than the
+first time fails. Shards are written by Spark's text writer from raw bytes, so they go through
+its commit protocol to whatever store the path names; the record's last byte is the line end.
 
 Defined results: a null or empty text is one sequence with the end mark alone; repeated rows give
 repeated sequences; an empty table writes no shard and gives an empty table.
@@ -19,15 +21,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from vellumspark.llm.common import blocks, scratch_dir, stored
+from vellumspark.llm.common import blocks, scratch_dir
 from vellumspark.llm.tokencount import pre_tokens, processor
 
 #: A record: document id, number of the sequence in it, ids that count, the ids, a line end.
@@ -39,19 +41,38 @@ def record(length: int) -> np.dtype:
     return np.dtype([*HEADER.descr, ("ids", "<u2", (length,)), ("line_end", "u1")])
 
 
+def encodable(text: str | None) -> list[str]:
+    """What to hand the library for each pre-token of a text: all but the white space it puts in front itself."""
+    if not text:
+        return []
+    if "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
+        return [p[1:] for p in pre_tokens(text)]
+    return text.split(" ")
+
+
+def token_totals(model: str, texts: list[str | None]) -> np.ndarray:
+    """Token ids per text; each distinct pre-token of the block is encoded once."""
+    each = [encodable(t) for t in texts]
+    distinct = list(set().union(*each))
+    sizes = dict(zip(distinct, map(len, processor(model).encode(distinct, num_threads=1)))) if distinct else {}
+    return np.array([sum(map(sizes.__getitem__, ps)) for ps in each], np.int64)
+
+
 def token_ids(model: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in turn, ids per text); each distinct pre-token of the block is encoded once."""
-    each = [pre_tokens(t or "") for t in texts]
-    index = {p: i for i, p in enumerate(dict.fromkeys(p for ps in each for p in ps))}
-    which = np.fromiter((index[p] for ps in each for p in ps), np.int64, sum(map(len, each)))
-    coded = processor(model).encode([p[1:] for p in index], num_threads=1) if index else []
-    sizes = np.array([len(c) for c in coded], np.int64)
-    ids = np.fromiter((i for c in coded for i in c), np.int64, int(sizes.sum())).astype(np.uint16)
-    n = sizes[which] if len(which) else np.empty(0, np.int64)
+    each = [encodable(t) for t in texts]
+    distinct = list(set().union(*each))
+    index = dict(zip(distinct, range(len(distinct))))
+    which = np.fromiter(chain.from_iterable(map(index.__getitem__, ps) for ps in each), np.int64, sum(map(len, each)))
+    coded = processor(model).encode(distinct, num_threads=1) if distinct else []
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    ids = np.fromiter(chain.from_iterable(coded), np.uint16, int(sizes.sum()))
+    n = sizes[which]
     first = np.cumsum(sizes) - sizes
-    flat = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(which) else np.empty(0, np.int64)
-    text = np.repeat(np.arange(len(texts)), [len(ps) for ps in each])
-    return ids[flat], np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
+    flat = np.repeat((first[which] - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+    words = np.array([len(ps) for ps in each])
+    ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(words)]
+    return ids[flat], np.diff(ends, prepend=0)
 
 
 def records(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray, end_mark: int, length: int) -> np.ndarray:
@@ -91,33 +112,39 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def write_training_order(df: DataFrame, model: str, path: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, shard: int = SHARD, key: int = 1) -> int:
     """Write the shards under ``path``; returns the number of sequences. A null id is written as -1."""
 
+    rows = df.select(F.col(id_col).cast("long"), F.col(text))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(int((-(-(token_totals(model, b.column(1).to_pylist()) + 1) // length)).sum()) for b in blocks(batches, 8 << 20))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
+
+    # One number per task.
+    counts = {r.part: r.n for r in rows.mapInArrow(count, "part int, n long").collect()}
+    total = sum(counts.values())
+    parts = sorted(counts)
+    places = df.sparkSession.sparkContext.broadcast({p: (first, counts[p]) for p, first in zip(parts, np.cumsum([0] + [counts[p] for p in parts]).tolist())})
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, end_mark = TaskContext.get().partitionId(), 0, processor(model).eos_id()
-        for batch in blocks(batches, 4 << 20):
+        first, expected = places.value[TaskContext.get().partitionId()]
+        n, end_mark = 0, processor(model).eos_id()
+        for batch in blocks(batches, 8 << 20):
             doc_ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            rows = records(doc_ids, *token_ids(model, batch.column(1).to_pylist()), end_mark, length)
-            for i in range(0, len(rows), 4096):
-                raw = rows[i : i + 4096]
-                offsets = np.arange(len(raw) + 1, dtype=np.int32) * raw.itemsize - np.arange(len(raw) + 1, dtype=np.int32)
+            made = records(doc_ids, *token_ids(model, batch.column(1).to_pylist()), end_mark, length)
+            slots = feistel(np.arange(first + n, first + n + len(made)), total, key)
+            n += len(made)
+            for i in range(0, len(made), 4096):
+                raw, slot = made[i : i + 4096], slots[i : i + 4096]
                 # The line end is the writer's, so a row carries all bytes but the last.
                 body = np.frombuffer(raw.tobytes(), np.uint8).reshape(len(raw), -1)[:, :-1]
+                offsets = np.arange(len(raw) + 1, dtype=np.int32) * body.shape[1]
                 column = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), part, np.int32)), pa.array(np.arange(n, n + len(raw))), column], ["part", "at", "body"])
-                n += len(raw)
-
-    rows = stored(df.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(cut, "part int, at long, body binary"))
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-
-    @F.pandas_udf("long")
-    def slot(index):
-        return type(index)(feistel(index.to_numpy(), total, key))
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard).astype(np.int32)), column], ["slot", "shard", "body"])
+        if n != expected:
+            raise RuntimeError(f"a task made {n} sequences after counting {expected}: its rows were dealt anew")
 
-    placed = rows.join(counts.select("part", before.alias("first")), "part").withColumn("slot", slot(F.col("first") + F.col("at")))
-    placed = placed.select("slot", F.floor(F.col("slot") / shard).cast("int").alias("shard"), F.col("body").cast("string").alias("value"))
+    placed = rows.mapInArrow(cut, "slot long, shard int, body binary").select("slot", "shard", F.col("body").cast("string").alias("value"))
     n_shards = max(1, -(-total // shard))
-    ordered = placed.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "slot")
+    ordered = placed.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot")
     ordered.select("value", "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
     return total
 
