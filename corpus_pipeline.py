@@ -13,14 +13,14 @@ from vellumspark.llm.common import stored, table
 from vellumspark.llm.mixing import mix_sources
 from vellumspark.llm.ngramjoin import ngram_components
 from vellumspark.llm.pii import redact
-from vellumspark.llm.quality import quality_rules
+from vellumspark.llm.quality import keep_good
 from vellumspark.llm.queries import tokenizer
 from vellumspark.llm.spm import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,3 +150,13 @@ def quality_rules(df: DataFrame, text: str = "text", rules: Iterable[Rule] = RUL
     df = with_metrics(df, text)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+
+
+def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that the rules keep, with the columns of ``df`` alone.
+
+    The row number ties the filter to the projection that computes the verdict; without it the
+    optimizer would copy every metric's expression into the filter, once for each use.
+    """
+    judged = quality_rules(df, text).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where((F.col("_row") >= 0) & F.col("kept")).select(*df.columns)
