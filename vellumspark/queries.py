@@ -5,13 +5,398 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from vellumspark.functions import letters as L
+from vellumspark.functions import svgpath, web
+from vellumspark.operators import components, debugviz, font, limiter, match, raster, recognise, strokes, trace
+from vellumspark.oracle import SQL
+from vellumspark.plans import photo
+from vellumspark.session import scratch_dir
+from vellumspark.sources import images, tables
+from vellumspark.sources.tables import table
+from vellumspark.streaming.limiter import limited_stream, run_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Ink of the small rasters: levels below this.
+CUT = 110
+#: The limiter's queries: a window of a day and two requests, so that some are denied.
+DAY, TWO = 86_400_000_000, 2
+
+
+def small_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.small_rasters(spark, sf_dir).select("image_id", "x", "y", F.when(F.col("g") < CUT, 255).otherwise(0).alias("ink"))
+
+
+def gray_luma(spark, sf_dir):
+    return raster.grayscale(tables.colour_rasters(spark, sf_dir))
+
+
+def raster_invert(spark, sf_dir):
+    return raster.inverted(tables.small_rasters(spark, sf_dir))
+
+
+def raster_blur5x5(spark, sf_dir):
+    return raster.blur(tables.small_rasters(spark, sf_dir))
+
+
+def adaptive_threshold(spark, sf_dir):
+    return raster.adaptive_threshold(tables.sheets(spark, sf_dir))
+
+
+def histogram256(spark, sf_dir):
+    return raster.histogram(tables.small_rasters(spark, sf_dir))
+
+
+def otsu_threshold(spark, sf_dir):
+    return raster.otsu(tables.small_rasters(spark, sf_dir))
+
+
+def dilate_3x3(spark, sf_dir):
+    return raster.dilate(small_ink(spark, sf_dir))
+
+
+def erode_3x3(spark, sf_dir):
+    return raster.erode(small_ink(spark, sf_dir))
+
+
+def close_3x3(spark, sf_dir):
+    return raster.close(small_ink(spark, sf_dir))
+
+
+def close_2x2_identity(spark, sf_dir):
+    return raster.close(small_ink(spark, sf_dir), width=2, height=2)
+
+
+def component_stats(spark, sf_dir):
+    return components.component_stats(components.label_map(small_ink(spark, sf_dir)))
+
+
+def component_label_map(spark, sf_dir):
+    return components.valid_label_map(components.label_map(small_ink(spark, sf_dir)), 3)
+
+
+def remove_small_components(spark, sf_dir):
+    return components.remove_small(small_ink(spark, sf_dir), 3)
+
+
+def component_neighbours(spark, sf_dir):
+    return components.neighbours(small_ink(spark, sf_dir))
+
+
+def ink_bounds(spark, sf_dir):
+    return raster.ink_bounds(small_ink(spark, sf_dir))
+
+
+def single_glyph_center(spark, sf_dir):
+    return raster.centred_glyph(small_ink(spark, sf_dir))
+
+
+def photo_preprocess(spark, sf_dir):
+    """The sheets of drawing a photo would give, with components from 5 pixels kept: their ink is sparse."""
+    return photo.photo_ink(tables.sheets(spark, sf_dir), least_area=5)
+
+
+def glyph_preprocess(spark, sf_dir):
+    return photo.glyph_ink(tables.small_rasters(spark, sf_dir))
+
+
+def recognized_first_letters(spark, sf_dir):
+    return recognise.letters(tables.recognition_json(spark, sf_dir))
+
+
+def unique_chars(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(web.unique_letters(F.col("text")), "").alias("chars"))
+
+
+def pangram_coverage(spark, sf_dir):
+    return L.pangrams(spark).select("pangram_id", F.array_join(web.unique_letters(F.col("text")), "").alias("chars"), F.size(web.unique_letters(F.col("text"))).alias("n"))
+
+
+def letter_categories(spark, sf_dir):
+    guide = F.when(F.col("category") == "ascender", L.GUIDES["ascender"]).when(F.col("category") == "descender", L.GUIDES["descender"]).otherwise(L.GUIDES["xHeight"])
+    return L.letters(spark).select("place", "letter", "category", guide.alias("guide"))
+
+
+def bbox_rescale(spark, sf_dir):
+    boxes = tables.component_boxes(spark, sf_dir)
+    page = F.when(F.col("image_id") % 10 == 0, 0).otherwise(300)
+    return recognise.rescale(boxes, F.lit(128.0), F.lit(64.0), page, F.lit(200))
+
+
+def bbox_overlap_join(spark, sf_dir):
+    found = match.overlaps(tables.component_boxes(spark, sf_dir), tables.character_boxes(spark, sf_dir))
+    return found.where("inside >= 0.3").select("image_id", "char", "label", "overlap")
+
+
+def bbox_match_fallback(spark, sf_dir):
+    return match.matched(tables.component_boxes(spark, sf_dir), tables.character_boxes(spark, sf_dir))
+
+
+def quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four boxes a to d per small raster."""
+    boxes = F.array(*[F.struct(F.lit(c).alias("char"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(4).alias("w"), F.lit(4).alias("h")) for c, x, y in (("a", 0, 0), ("b", 4, 0), ("c", 0, 4), ("d", 4, 4))])
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.explode(boxes).alias("q")).select("image_id", "q.*")
+
+
+def crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = components.label_map(small_ink(spark, sf_dir))
+    kept = match.matched(components.component_stats(labels), quadrants(spark, sf_dir))
+    sizes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    return match.crops(labels, kept, sizes, pad=1)
+
+
+def char_crop(spark, sf_dir):
+    return crop_pixels(spark, sf_dir)
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, place): letters saved per user, one per event, the later ones first among equals."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 43).cast("int").alias("place"), "event_id", "value")
+
+
+def saved_glyphs(spark, sf_dir):
+    """The last save of each letter wins."""
+    return drawn(spark, sf_dir).groupBy("session_id", "place").agg(F.max_by("value", "event_id").alias("value"))
+
+
+def undrawn_letters(spark, sf_dir):
+    sessions = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id")).distinct()
+    every = sessions.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(42)))).join(F.broadcast(L.letters(spark)), "place")
+    return every.join(drawn(spark, sf_dir), ["session_id", "place"], "left_anti").select("session_id", "letter")
+
+
+def draw_progress(spark, sf_dir):
+    done = drawn(spark, sf_dir).groupBy("session_id").agg(F.count_distinct("place").alias("n"))
+    return done.select("session_id", "n", (F.col("n") / 43.0).alias("share"))
+
+
+def order_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An SVG document around each order's path; some have sizes, some a view box, some no second path."""
+    k = F.col("path_id")
+    size = F.when(k % 3 == 0, F.format_string('width="%d.5px" height="%d"', k % 50 + 1, k % 40 + 1)).when(k % 3 == 1, F.format_string('viewBox="0 0 %d %d"', k % 50 + 1, k % 40 + 1)).otherwise("")
+    more = F.when(k % 2 == 0, '<path fill="x" d=" M1 1 Z "/><path d="  "/>').otherwise("<path/>")
+    scale = F.when(k % 5 == 0, "scale(-0.1)").otherwise("scale(-0.1,0.1)")
+    return tables.order_paths(spark, sf_dir).select("path_id", "d", F.concat(F.lit("<svg "), size, F.lit('><g transform="translate(0,9) '), scale, F.lit('"><path d="'), F.col("d"), F.lit('"/>'), more, F.lit("</g></svg>")).alias("svg"))
+
+
+def svg_extract_paths(spark, sf_dir):
+    return order_svg(spark, sf_dir).select("path_id", F.posexplode(svgpath.svg_paths(F.col("svg"))).alias("i", "d"))
+
+
+def svg_viewbox(spark, sf_dir):
+    size = svgpath.svg_size(F.col("svg"))
+    return order_svg(spark, sf_dir).select("path_id", size["width"].alias("width"), size["height"].alias("height"))
+
+
+def svg_scale(spark, sf_dir):
+    return order_svg(spark, sf_dir).select("path_id", svgpath.svg_scale(F.col("svg")).alias("scale"), svgpath.traced_height(F.col("svg")).alias("traced_height"))
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.order_paths(spark, sf_dir).select("path_id", svgpath.parse_path(F.col("d")).alias("commands"))
+
+
+def svg_parse_path(spark, sf_dir):
+    return parsed(spark, sf_dir).select("path_id", F.posexplode("commands").alias("i", "c")).select("path_id", "i", "c.*")
+
+
+def path_bbox(spark, sf_dir):
+    return parsed(spark, sf_dir).select("path_id", svgpath.path_box(F.col("commands")).alias("b")).select("path_id", "b.*")
+
+
+def lettered(spark: SparkSession, sf_dir: str, chars: str = L.LETTERS) -> DataFrame:
+    """Order paths as glyphs: 43 consecutive ones make a font."""
+    k = F.col("path_id")
+    symbols = F.array(*map(F.lit, chars))
+    return parsed(spark, sf_dir).select(F.floor(k / len(chars)).alias("font_id"), F.get(symbols, (k % len(chars)).cast("int")).alias("char"), "path_id", "commands")
+
+
+def _points(df: DataFrame) -> DataFrame:
+    return df.select("path_id", "char", "advance", "bearing", F.posexplode("commands").alias("i", "c")).select("path_id", "char", "advance", "bearing", "i", "c.type", "c.x", "c.y")
+
+
+def font_coords_letter(spark, sf_dir):
+    return _points(font.font_coordinates(lettered(spark, sf_dir, "abcdefghijklmnopqrstuvwxyz")))
+
+
+def font_coords_punctuation(spark, sf_dir):
+    return _points(font.font_coordinates(lettered(spark, sf_dir, "".join(L.PUNCTUATION))))
+
+
+def font_coords_uniform(spark, sf_dir):
+    return _points(font.font_coordinates(lettered(spark, sf_dir), F.lit(7560.0)))
+
+
+def glyph_table(spark, sf_dir):
+    return font.glyph_table(lettered(spark, sf_dir)).select("font_id", "name", "code", "advance", F.size("commands").alias("n"))
+
+
+def font_bytes(spark, sf_dir):
+    made = font.fonts(font.glyph_table(lettered(spark, sf_dir)))
+    return made.select("font_id", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
+
+
+def _plain(decisions: DataFrame) -> DataFrame:
+    """Times without a zone, as the events have them."""
+    return decisions.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "reset")})
+
+
+def rate_limit_batch(spark, sf_dir):
+    return _plain(limiter.limited(tables.requests(spark, sf_dir), DAY, TWO))
+
+
+def rate_limit_stream(spark, sf_dir):
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    requests = events.select(F.col("user_id").alias("client"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    at = scratch_dir(spark)
+    return _plain(run_once(limited_stream(requests, DAY, TWO), f"{at}/decisions", f"{at}/state"))
+
+
+def request_validation(spark, sf_dir):
+    """Every branch of the chain, chosen by the request's id; the limiter decides first, as it does for callers."""
+    decided = limiter.limited(tables.requests(spark, sf_dir), DAY, TWO)
+    k = F.col("id")
+    kind = F.when(k % 5 == 0, "text/plain").when(k % 5 == 1, F.lit(None)).otherwise("application/json; charset=utf-8")
+    body = (
+        F.when(k % 7 == 0, "{broken")
+        .when(k % 7 == 1, "{}")
+        .when(k % 7 == 2, '{"image":"data:image/png;base64,AAAA"}')
+        .when(k % 7 == 3, '{"image":"a b"}')
+        .otherwise('{"image":"aGVsbG8="}')
+    )
+    upstream = F.when(k % 11 == 0, 403).when(k % 11 == 1, 429).when(k % 11 == 2, 500).otherwise(200)
+    answer = web.validate_request(k % 13 == 0, ~F.col("allowed"), k % 17 != 0, kind, body, upstream)
+    ip = web.client_ip(F.when(k % 3 == 0, F.format_string(" 10.0.0.%d , 1.1.1.1", k % 200)).when(k % 3 == 1, ""), F.when(k % 2 == 0, F.format_string("172.16.0.%d", k % 200)))
+    wait = F.when(answer["status"] == 429, limiter.retry_after(F.col("reset"), F.col("ts")))
+    return decided.select("id", answer["status"].alias("status"), answer["error"].alias("error"), ip.alias("ip"), wait.alias("retry_after"))
+
+
+def origin_policy(spark, sf_dir):
+    k, origin = F.col("page_id"), web.origin_of(F.col("url"))
+    own = F.when(k % 2 == 0, F.col("url")).otherwise("https://api.example.com/vision")
+    caller = F.when(k % 7 == 0, "http://localhost:3000").when(k % 7 == 1, "https://app.example.com").otherwise(origin)
+    allowed = web.allowed_origin(caller, own, "https://app.example.com", development=True)
+    return table(spark, sf_dir, "pages").select("page_id", caller.alias("origin"), allowed.alias("allowed"), F.when(allowed.isNotNull(), 204).otherwise(403).alias("status"))
+
+
+def base64_roundtrip(spark, sf_dir):
+    coded = web.base64_text(F.encode("text", "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(coded).alias("n"), F.md5(coded).alias("md5"), (F.decode(F.unbase64(coded), "UTF-8") == F.col("text")).alias("same"))
+
+
+def data_url_parse(spark, sf_dir):
+    mime = F.when(F.col("item_id") % 3 == 0, "image/jpeg").when(F.col("item_id") % 3 == 1, "font/sfnt")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", web.data_url_parts(web.data_url(mime, F.encode("text", "UTF-8"))).alias("u"))
+    return rows.select("item_id", "u.mime", F.decode(F.unbase64("u.payload"), "UTF-8").alias("text"))
+
+
+def font_format_sniff(spark, sf_dir):
+    k = F.col("doc_id")
+    data = F.encode(F.when(k % 3 == 0, F.concat(F.lit("wOF2"), "text")).when(k % 3 == 1, F.lit("wOF")).otherwise(F.col("text")), "UTF-8")
+    kind = web.font_format(data)
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("format"), web.font_mime(kind).alias("mime"), web.font_css(F.lit("Hand"), F.format_string("u%d", k), kind).alias("css"))
+
+
+def name_sanitise(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 10 == 0, "   ").otherwise(F.concat(F.lit("  "), "p_name", F.lit("  #"), "p_brand", F.lit("! ")))
+    return table(spark, sf_dir, "part").select("p_partkey", web.file_name(name).alias("name"))
+
+
+def date_slug(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", web.date_slug(F.col("o_orderdate")).alias("slug"))
+
+
+def confidence_buckets(spark, sf_dir):
+    c = (F.col("doc_id") % 101) / 100.0
+    return table(spark, sf_dir, "labels").select("doc_id", web.confidence_bucket(c).alias("bucket"), F.floor(c * 100 + 0.5).alias("percent"))
+
+
+def label_palette(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", web.palette(F.col("vec_id").cast("double")).alias("c")).select("vec_id", "c.*")
+
+
+def pointer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    return e.select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), "event_type", k.alias("x"), F.floor("value").cast("double").alias("y"), F.when(F.col("event_id") % 4 != 0, k / 100).alias("pressure"))
+
+
+def stroke_sessions(spark, sf_dir):
+    rows = strokes.stroked(pointer_events(spark, sf_dir), F.col("event_type") == "signup", F.col("event_type") == "error")
+    return rows.groupBy("user", "stroke_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.floor(F.sum("pressure") * 100 + 0.5).alias("pressure"))
+
+
+def stroke_svg_path(spark, sf_dir):
+    rows = strokes.stroked(pointer_events(spark, sf_dir), F.col("event_type") == "signup", F.col("event_type") == "error")
+    points = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
+    return rows.groupBy("user", "stroke_id").agg(points.alias("points")).select("user", "stroke_id", svgpath.stroke_path(F.col("points")).alias("d"))
+
+
+def session_json_roundtrip(spark, sf_dir):
+    """Sessions written as JSON, some of them broken or without a font, and read back."""
+    k = F.col("event_id")
+    saved = F.to_json(F.struct(F.when(k % 5 != 0, F.format_string("Rk9OVA%d", k)).alias("fontBase64"), F.when(k % 7 != 0, F.array(F.lit("a"), F.col("event_type"))).alias("charsFound"), F.lit("draw").alias("mode")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(k % 11 == 0, F.concat(F.lit("{"), saved)).otherwise(saved).alias("json"))
+    read = images.read_sessions(rows)
+    return read.select("event_id", "intact", F.when(F.col("intact"), F.col("saved.fontBase64")).alias("font"), F.when(F.col("intact"), F.array_join("saved.charsFound", ",")).alias("chars"))
+
+
+def random_pick_seeded(spark, sf_dir, seed: int = 7):
+    """One undrawn letter per session, by a seeded hash."""
+    draw = W.partitionBy("session_id").orderBy(F.xxhash64("session_id", "letter", F.lit(seed)), "letter")
+    return undrawn_letters(spark, sf_dir).withColumn("turn", F.row_number().over(draw)).where("turn = 1").select("session_id", "letter")
+
+
+def trace_edges(spark, sf_dir):
+    return trace.boundary_edges(small_ink(spark, sf_dir))
+
+
+def trace_outlines(spark, sf_dir):
+    """Traced paths and the area they enclose, which is the ink's."""
+    traced = trace.traced(small_ink(spark, sf_dir)).select("image_id", F.explode("paths").alias("d")).withColumn("c", svgpath.parse_path(F.col("d")))
+    points = F.filter("c", lambda p: p["type"] != "Z")
+    turn = F.zip_with(points, F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1)), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    area = F.aggregate(turn, F.lit(0.0), lambda s, v: s + v) / 2
+    return traced.groupBy("image_id").agg(F.sum(area).cast("long").alias("area"))
+
+
+def drawn_glyph_fonts(spark, sf_dir):
+    """Rasters to fonts: Otsu ink, outlines, glyphs of 43 rasters a font, uniform scale, file."""
+    traced = trace.traced(photo.glyph_ink(tables.small_rasters(spark, sf_dir)))
+    k = F.col("image_id")
+    glyphs = traced.select(F.floor(k / 43).alias("font_id"), F.get(F.array(*map(F.lit, L.LETTERS)), (k % 43).cast("int")).alias("char"), "paths")
+    made = font.fonts(font.glyph_table(font.glyph_commands(glyphs).drop("paths"), F.lit(8.0)))
+    return made.select("font_id", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
+
+
+def debug_pictures(spark, sf_dir):
+    """The four pictures of each small raster: ink, boxes, labels, crops."""
+    ink = small_ink(spark, sf_dir)
+    labels = components.label_map(ink)
+    shown = {"ink": debugviz.raster_png(ink), "boxes": debugviz.boxes_png(ink, quadrants(spark, sf_dir)), "labels": debugviz.labels_png(labels), "crops": debugviz.crops_png(crop_pixels(spark, sf_dir))}
+    out = None
+    for stage, picture in shown.items():
+        rows = picture.select(F.lit(stage).alias("stage"), "image_id", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    every = (
+        gray_luma, raster_invert, raster_blur5x5, adaptive_threshold, histogram256, otsu_threshold, dilate_3x3, erode_3x3, close_3x3, close_2x2_identity,
+        component_stats, component_label_map, remove_small_components, component_neighbours, ink_bounds, single_glyph_center, photo_preprocess, glyph_preprocess,
+        recognized_first_letters, unique_chars, pangram_coverage, letter_categories, bbox_rescale, bbox_overlap_join, bbox_match_fallback, char_crop,
+        saved_glyphs, undrawn_letters, draw_progress, svg_extract_paths, svg_viewbox, svg_scale, svg_parse_path, path_bbox,
+        font_coords_letter, font_coords_punctuation, font_coords_uniform, glyph_table, font_bytes, rate_limit_batch, rate_limit_stream, request_validation, origin_policy,
+        base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_svg_path,
+        session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, drawn_glyph_fonts, debug_pictures,
+    )
+    return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in SQL.items() if name in queries()}

@@ -1,0 +1,41 @@
+"""The rate limiter as a stateful stream: requests are decided in order of arrival."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from vellumspark.operators.limiter import DECISIONS, MOST, WINDOW, decide
+
+
+def limited_stream(requests: DataFrame, window: int = WINDOW, most: int = MOST, lateness: str = "1 day") -> DataFrame:
+    """Decisions on a stream of requests (client, id, ts); the requests of a micro-batch count by time and then id.
+
+    A client's state is its window's end and count; it goes once the watermark, ``lateness`` behind the
+    latest request, has passed the end, which changes no decision: the next request opens a window anyway.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        reset, count = state.get if state.exists else (None, 0)
+        ts = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        counts, resets, reset, count = decide(ts, window, most, reset, count)
+        state.update((reset, count))
+        state.setTimeoutTimestamp(max(reset // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows[["client", "id", "ts"]].assign(allowed=counts <= most, remaining=np.maximum(0, most - counts).astype(np.int32), reset=resets.astype("datetime64[us]"))
+
+    return requests.withWatermark("ts", lateness).groupBy("client").applyInPandasWithState(step, DECISIONS, "reset long, count long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_once(decisions: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Drain what the source holds into Parquet at ``out`` and read it back."""
+    query = decisions.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return decisions.sparkSession.read.schema(decisions.schema).parquet(out)
