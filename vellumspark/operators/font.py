@@ -82,14 +82,16 @@ def _number(v: int) -> bytes:
 
 
 def charstring(advance: int, commands: list[dict]) -> bytes:
-    """A Type 2 charstring; quadratic curves become the equal cubic ones."""
-    out, x, y = [_number(advance)], 0, 0
+    """A Type 2 charstring; quadratic curves become the equal cubic ones. Numbers stay within the format's
+    16 bits: coordinates beyond 16,000 units and advances beyond 32,000 are drawn at that bound."""
+    out, x, y = [_number(min(advance, 32_000))], 0, 0
+    near = lambda v: max(-16_000, min(16_000, round(v)))
 
     def by(*points: tuple[float, float]) -> None:
         nonlocal x, y
         for px, py in points:
-            out.append(_number(round(px) - x) + _number(round(py) - y))
-            x, y = round(px), round(py)
+            out.append(_number(near(px) - x) + _number(near(py) - y))
+            x, y = near(px), near(py)
 
     for c in commands:
         if c["type"] == "Z" or c["x"] is None or c["y"] is None:
@@ -160,6 +162,7 @@ def encode_font(family: str, glyphs: list[dict]) -> bytes:
     x1, y1, x2, y2 = (int(f(p[k] for p in points)) for f, k in ((min, 0), (min, 1), (max, 0), (max, 1)))
     clip = lambda v: max(-32768, min(32767, v))
     box = struct.pack(">4h", *map(clip, (x1, y1, x2, y2)))
+    glyphs = [{**g, "advance": min(g["advance"], 32_000)} for g in glyphs]
     widest = max(g["advance"] for g in glyphs)
     codes = sorted({g["code"]: i for i, g in reversed(list(enumerate(glyphs))) if g["code"]}.items())
     os2 = struct.pack(">HhHHH10hh", 3, widest // 2, 400, 5, 0, *[0] * 11) + bytes(10) + struct.pack(">4I", 1, 0, 0, 0) + b"    "
