@@ -20,7 +20,9 @@ repeated sequences; an empty table writes no shard and gives an empty table.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -50,35 +52,44 @@ def encodable(text: str | None) -> list[str]:
     return text.split(" ")
 
 
-def token_totals(model: str, texts: list[str | None]) -> np.ndarray:
-    """Token ids per text; each distinct pre-token of the block is encoded once."""
-    each = [encodable(t) for t in texts]
-    distinct = list(set().union(*each))
-    sizes = dict(zip(distinct, map(len, processor(model).encode(distinct, num_threads=1)))) if distinct else {}
-    return np.array([sum(map(sizes.__getitem__, ps)) for ps in each], np.int64)
-
-
-def token_ids(model: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in turn, ids per text); each distinct pre-token of the block is encoded once."""
-    each = [encodable(t) for t in texts]
-    distinct = list(set().union(*each))
-    index = dict(zip(distinct, range(len(distinct))))
-    which = np.fromiter(chain.from_iterable(map(index.__getitem__, ps) for ps in each), np.int64, sum(map(len, each)))
-    coded = processor(model).encode(distinct, num_threads=1) if distinct else []
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    ids = np.fromiter(chain.from_iterable(coded), np.uint16, int(sizes.sum()))
-    n = sizes[which]
-    first = np.cumsum(sizes) - sizes
-    flat = np.repeat((first[which] - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
-    words = np.array([len(ps) for ps in each])
-    ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(words)]
-    return ids[flat], np.diff(ends, prepend=0)
-
-
-def records(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray, end_mark: int, length: int) -> np.ndarray:
+#: Pre-tokens whose ids a Python worker holds, at most.
+HELD = 800_000
+
+
+class Coder:
+    """Ids of texts, two bytes each; the ids of pre-tokens met before are at hand, up to ``HELD`` of them."""
+
+    def __init__(self, model: str):
+        self.model, self.known = model, {}
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        each = [encodable(t) for t in texts]
+        new = set(chain.from_iterable(each)).difference(self.known)
+        if len(self.known) + len(new) > HELD:
+            self.known = {}
+            new = set(chain.from_iterable(each))
+        if new:
+            new = list(new)
+            self.known.update(zip(new, (array("H", ids).tobytes() for ids in processor(self.model).encode(new, num_threads=1))))
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in each]
+
+
+@lru_cache(maxsize=2)
+def coder(model: str) -> Coder:
+    """The worker's coder; tasks that run there one after the other share it."""
+    return Coder(model)
+
+
+def sequences(coded: list[bytes], length: int) -> np.ndarray:
+    """Sequences of each text: its ids and an end mark, ``length`` at a time."""
+    return np.array([-(-(len(c) // 2 + 1) // length) for c in coded], np.int64)
+
+
+def records(doc_ids: np.ndarray, coded: list[bytes], end_mark: int, length: int) -> np.ndarray:
     """The records of a block of documents."""
-    total = counts + 1
-    n = -(-total // length)
+    ids = np.frombuffer(b"".join(coded), np.uint16)
+    counts = np.array([len(c) // 2 for c in coded], np.int64)
+    total, n = counts + 1, sequences(coded, length)
     doc = np.repeat(np.arange(len(counts)), n)
     seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     out = np.zeros(len(doc), record(length))
@@ -115,7 +126,7 @@ def write_training_order(df: DataFrame, model: str, path: str, id_col: str = "do
     rows = df.select(F.col(id_col).cast("long"), F.col(text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int((-(-(token_totals(model, b.column(1).to_pylist()) + 1) // length)).sum()) for b in blocks(batches, 8 << 20))
+        n = sum(int(sequences(coder(model)(b.column(1).to_pylist()), length).sum()) for b in blocks(batches, 4 << 20))
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
     # One number per task.
@@ -127,9 +138,9 @@ def write_training_order(df: DataFrame, model: str, path: str, id_col: str = "do
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, expected = places.value[TaskContext.get().partitionId()]
         n, end_mark = 0, processor(model).eos_id()
-        for batch in blocks(batches, 8 << 20):
+        for batch in blocks(batches, 4 << 20):
             doc_ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            made = records(doc_ids, *token_ids(model, batch.column(1).to_pylist()), end_mark, length)
+            made = records(doc_ids, coder(model)(batch.column(1).to_pylist()), end_mark, length)
             slots = feistel(np.arange(first + n, first + n + len(made)), total, key)
             n += len(made)
             for i in range(0, len(made), 4096):
