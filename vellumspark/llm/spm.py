@@ -20,6 +20,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import blocks
-from vellumspark.llm.tokencount import pre_tokens, processor
+from vellumspark.llm.tokencount import encodable, processor
 
 NEVER = np.iinfo(np.int64).max
 SPACE = "▁"
@@ -127,19 +128,24 @@ class Pairs:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``text`` in the order of their suffixes' first ``depth`` characters, by doubling."""
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    k = 1
-    while k < depth:
-        key = rank * (int(rank.max(initial=0)) + 2)
-        key[:-k] += rank[k:] + 1
+    """Places of ``text`` in the order of their suffixes' first ``depth`` characters: the first few
+    characters packed into one key, then doubling."""
+    alphabet, code = np.unique(text, return_inverse=True)
+    k = 4 if len(alphabet) < 1 << 16 else 2
+    key, width = np.zeros(len(text), np.uint64), np.uint64(64 // k)
+    for j in range(k):
+        key <<= width
+        key[: len(text) - j] |= (code[j:] + 1).astype(np.uint64)
+    while True:
         order = np.argsort(key)
+        if k >= depth:
+            return order
         sorted_key = key[order]
+        rank = np.empty(len(text), np.int64)
         rank[order] = np.cumsum(np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]]))
+        key = rank * (int(rank.max(initial=0)) + 2)
+        key[:-k] += rank[k:] + 1
         k *= 2
-    return order
 
 
 def occurrences(text: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,16 +249,19 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, ids per text)."""
-        each = [pre_tokens(t or "") for t in texts]
-        index = {p: i for i, p in enumerate(dict.fromkeys(p for ps in each for p in ps))}
-        if not index:
+        each = [encodable(t) for t in texts]
+        distinct = dict.fromkeys(chain.from_iterable(each))
+        if not distinct:
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        which = np.fromiter((index[p] for ps in each for p in ps), np.int64, sum(map(len, each)))
-        ids, sizes = self.distinct(list(index))
+        index = dict(zip(distinct, range(len(distinct))))
+        words = np.array([len(ps) for ps in each])
+        which = np.fromiter(chain.from_iterable(map(index.__getitem__, ps) for ps in each), np.int64, int(words.sum()))
+        del each
+        ids, sizes = self.distinct([" " + p for p in distinct])
         first = np.cumsum(sizes) - sizes
         n = sizes[which]
         flat = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        text = np.repeat(np.arange(len(texts)), [len(ps) for ps in each])
+        text = np.repeat(np.arange(len(texts)), words)
         return ids[flat], np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
 
 

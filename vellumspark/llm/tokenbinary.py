@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import blocks, scratch_dir
-from vellumspark.llm.tokencount import pre_tokens, processor
+from vellumspark.llm.tokencount import encodable, processor
 
 #: A record: document id, number of the sequence in it, ids that count, the ids, a line end.
 HEADER = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n_tokens", "<i4")])
@@ -43,15 +43,6 @@ def record(length: int) -> np.dtype:
     return np.dtype([*HEADER.descr, ("ids", "<u2", (length,)), ("line_end", "u1")])
 
 
-def encodable(text: str | None) -> list[str]:
-    """What to hand the library for each pre-token of a text: all but the white space it puts in front itself."""
-    if not text:
-        return []
-    if "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
-        return [p[1:] for p in pre_tokens(text)]
-    return text.split(" ")
-
-
 #: Pre-tokens whose ids a Python worker holds, at most.
 HELD = 800_000
 

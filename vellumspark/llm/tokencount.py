@@ -41,6 +41,15 @@ def pre_tokens(text: str) -> list[str]:
     return PRE_TOKEN.findall(" " + text) if text else []
 
 
+def encodable(text: str | None) -> list[str]:
+    """What to hand the library for each pre-token of a text: all but the white space it puts in front itself."""
+    if not text:
+        return []
+    if "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
+        return [p[1:] for p in pre_tokens(text)]
+    return text.split(" ")
+
+
 @lru_cache(maxsize=4)
 def processor(model: str):
     import sentencepiece
