@@ -12,7 +12,7 @@ from vellumspark.functions import letters as L
 from vellumspark.functions import svgpath, web
 from vellumspark.operators import components, debugviz, font, limiter, match, raster, recognise, strokes, trace
 from vellumspark.oracle import SQL
-from vellumspark.plans import photo
+from vellumspark.plans import pangram, photo
 from vellumspark.session import scratch_dir
 from vellumspark.sources import images, tables
 from vellumspark.sources.tables import table
@@ -373,6 +373,25 @@ def drawn_glyph_fonts(spark, sf_dir):
     return made.select("font_id", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
 
 
+def pangram_fonts(spark, sf_dir):
+    """The sheets as photos, benchmark texts as what was recognised in them."""
+    made = pangram.pangram_fonts(tables.sheets(spark, sf_dir), tables.recognition_json(spark, sf_dir), least_area=2)
+    return made.select("font_id", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
+
+
+def reference_height(spark, sf_dir):
+    rows = drawn(spark, sf_dir).join(F.broadcast(L.letters(spark)), "place")
+    height = F.when(F.col("event_id") % 3 != 0, F.floor("value").cast("double")).otherwise(0.0)
+    return pangram.reference_heights(rows.select(F.col("session_id").alias("font_id"), F.col("letter").alias("char"), F.col("event_id").alias("entry"), height.alias("height")))
+
+
+def note_colour(spark, sf_dir):
+    """A colour's value by its name, the first one for names that are not among them."""
+    notes = spark.createDataFrame([("view", "#fff9c4"), ("click", "#ffe0b2"), ("error", "#ffcdd2")], "event_type string, found string")
+    rows = table(spark, sf_dir, "events").join(F.broadcast(notes), "event_type", "left")
+    return rows.select("event_id", F.coalesce("found", F.lit("#fff9c4")).alias("colour"))
+
+
 def debug_pictures(spark, sf_dir):
     """The four pictures of each small raster: ink, boxes, labels, crops."""
     ink = small_ink(spark, sf_dir)
@@ -393,7 +412,7 @@ def queries() -> dict[str, Query]:
         saved_glyphs, undrawn_letters, draw_progress, svg_extract_paths, svg_viewbox, svg_scale, svg_parse_path, path_bbox,
         font_coords_letter, font_coords_punctuation, font_coords_uniform, glyph_table, font_bytes, rate_limit_batch, rate_limit_stream, request_validation, origin_policy,
         base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_svg_path,
-        session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, drawn_glyph_fonts, debug_pictures,
+        session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, drawn_glyph_fonts, pangram_fonts, reference_height, note_colour, debug_pictures,
     )
     return {q.__name__: q for q in every}
 
