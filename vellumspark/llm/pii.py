@@ -123,7 +123,7 @@ SPELLED = {
 }
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _DOT = "(?:dot|point|punkt|punto)"
-_GAP = r"[\s,-]{1,2}"
+_GAP = r"[\s,()-]{1,3}"
 _ITEM = rf"(?:{_WORD}|[0-9]{{1,4}})(?![^\W_])"
 #: At least three items in a row, two spelled ones among the first three kept by the test in _digits.
 RUN = re.compile(rf"(?<![^\W_])(?:plus{_GAP}(?={_WORD}))?{_ITEM}(?:{_GAP}(?:{_DOT}{_GAP})?{_ITEM}){{2,}}", re.I)
@@ -131,12 +131,20 @@ RUN = re.compile(rf"(?<![^\W_])(?:plus{_GAP}(?={_WORD}))?{_ITEM}(?:{_GAP}(?:{_DO
 TWO_SPELLED = re.compile(rf"[^\w]{_WORD}{_GAP}(?:{_DOT}{_GAP})?{_WORD}(?![^\W_])|_{_WORD}{_GAP}{_WORD}")
 PIECES = re.compile(rf"{_WORD}|{_DOT}|plus|[0-9]", re.I)
 
-WRAPPED = re.compile(r"\s{0,3}(?:\[\s?(?:at|@|dot|\.)\s?\]|\(\s?(?:at|@|dot|\.)\s?\)|\{\s?(?:at|@|dot|\.)\s?\}|<\s?(?:at|@|dot|\.)\s?>)\s{0,3}", re.I)
+# Words for @ and for the full stop in the four languages served.
+_AT_WORDS, _DOT_WORDS = "at|arroba|arobase|ät", "dot|punkt|punto|point"
+_SIGN = rf"\s?(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)\s?"
+WRAPPED = re.compile(rf"\s{{0,3}}(?:\[{_SIGN}\]|\({_SIGN}\)|\{{{_SIGN}\}}|<{_SIGN}>)\s{{0,3}}", re.I)
+IS_AT = re.compile(rf"{_AT_WORDS}|@", re.I)
 #: Top-level domains without which bare "at" and "dot" words are ordinary prose.
 TOP = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|de|fr|es|eu|us|ca|ch|at|it|nl|ru|example|test"
-BARE = re.compile(rf"(?:\s*@\s*|\s+at\s+|_at_)(?=[A-Za-z0-9-]{{1,63}}(?:(?:\.|\s+dot\s+|_dot_)[A-Za-z0-9-]{{1,63}}){{0,8}}(?:\.|\s+dot\s+|_dot_)(?:{TOP})(?![A-Za-z0-9-]))", re.I)
-BARE_DOT = re.compile(r"\s+dot\s+|_dot_", re.I)
-BARE_DOMAIN = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\s+dot\s+|_dot_)[A-Za-z0-9-]{{1,63}}){{1,9}}", re.I)
+_BARE_DOT = rf"(?:\s{{1,3}}(?:{_DOT_WORDS}|\.)\s{{1,3}}|[_-](?:{_DOT_WORDS})[_-])"
+_LABEL = "[A-Za-z0-9-]{1,63}"
+BARE = re.compile(rf"(?:\s{{0,3}}@\s{{0,3}}|\s{{1,3}}(?:{_AT_WORDS})\s{{1,3}}|[_-](?:{_AT_WORDS})[_-])(?={_LABEL}(?:(?:\.|{_BARE_DOT}){_LABEL}){{0,8}}?(?:\.|{_BARE_DOT})(?:{TOP})(?![A-Za-z0-9-]))", re.I)
+BARE_DOT = re.compile(_BARE_DOT, re.I)
+BEFORE_DOT = re.compile(rf"{_BARE_DOT}$", re.I)
+BARE_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|{_BARE_DOT}){_LABEL}){{1,9}}", re.I)
+LAST_DOT = re.compile(rf"(?:\.|{_BARE_DOT})(?:{TOP})(?![A-Za-z0-9-])", re.I)
 NUMBER_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
 MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl|](?:[\x20-]?[0-9OoIl|]){11,18}(?![A-Za-z0-9])")
 MIXED_HINT = re.compile(r"[0-9][OoIl|]+[\x20-]?[0-9]")
@@ -187,7 +195,7 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _wrapped(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if "at" in m.group().lower() or "@" in m.group() else ".") for m in WRAPPED.finditer(text)]
+    return [(m.start(), m.end(), "@" if IS_AT.search(m.group()) else ".") for m in WRAPPED.finditer(text)]
 
 
 def _bare(text: str) -> list[tuple[int, int, str]]:
@@ -202,14 +210,14 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
                 j -= 1
             if j == i:
                 break
-            dot = re.search(r"(?:\s+dot\s+|_dot_)$", text[max(0, j - 12) : j], re.I)
+            dot = BEFORE_DOT.search(text[max(0, j - 12) : j])
             if not dot or len(before) > 8:
                 break
             i = max(0, j - 12) + dot.start()
             before.append((i, j, "."))
         if m.start() and text[m.start() - 1] in LOCAL:
             domain = BARE_DOMAIN.match(text, m.end())
-            last = max((d.start() for d in re.finditer(rf"(?:\.|\s+dot\s+|_dot_)(?={TOP})(?:{TOP})(?![A-Za-z0-9-])", domain.group(), re.I)), default=-1) if domain else -1
+            last = max((d.start() for d in LAST_DOT.finditer(domain.group())), default=-1) if domain else -1
             dots = [(domain.start() + d.start(), domain.start() + d.end(), ".") for d in BARE_DOT.finditer(domain.group()) if d.start() <= last] if domain else []
             for e in (*before, (m.start(), m.end(), "@"), *dots):
                 if text[e[0] : e[1]] != e[2]:
@@ -235,8 +243,12 @@ def _mixed(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+_CUES = ("dot", " . ", "at ", "at_", "at-", " @", "@ ", "arroba", "arobase", "ät ")
+
+
 def _at_and_dot(text: str) -> bool:
-    return "dot" in text or "Dot" in text or "DOT" in text or " at " in text or " AT " in text or "_at_" in text or " @" in text or "@ " in text
+    low = text.lower()
+    return any(cue in low for cue in _CUES)
 
 
 #: The chain, each with a cheap test that is true of every text it can change.
