@@ -7,6 +7,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vellumspark.functions.letters import ASCENDER, DESCENDER, EM, GUIDES, TARGET_HEIGHT, punctuation
 from vellumspark.functions.svgpath import parse_path, path_box
@@ -24,7 +25,10 @@ def font_coordinates(glyphs: DataFrame, reference: Column | None = None) -> Data
     height on the canvas. Glyphs without commands or without width or height are dropped.
     """
     marks = punctuation(glyphs.sparkSession)
-    df = glyphs.join(F.broadcast(marks), "char", "left").withColumn("box", path_box(F.col("commands")))
+    df = glyphs.join(F.broadcast(marks), "char", "left")
+    # The generator keeps the filter below from copying the parsing of paths into itself.
+    once = F.inline(F.array(F.struct(F.col("commands"), path_box(F.col("commands")).alias("box"))))
+    df = df.select(*(c for c in df.columns if c != "commands"), once)
     b = F.col("box")
     width, height = b["max_x"] - b["min_x"], b["max_y"] - b["min_y"]
     df = df.where((F.size("commands") > 0) & (F.coalesce(width, F.lit(1.0)) != 0) & (F.coalesce(height, F.lit(1.0)) != 0))
@@ -54,16 +58,21 @@ def glyph_table(glyphs: DataFrame, reference: Column | None = None) -> DataFrame
     """(font_id, place, name, code, advance, commands): .notdef, space, then every character in order with
     its capital right after it where there is one."""
     made = font_coordinates(glyphs, reference)
-    code = lambda c: F.ascii(c)
     low, up = F.lower("char"), F.upper("char")
-    small = made.select("font_id", F.struct(F.col("char").alias("char"), F.lit(0).alias("capital")).alias("order"), low.alias("name"), code(low).alias("code"), "advance", "commands")
-    capital = made.where(low != up).select("font_id", F.struct(F.col("char").alias("char"), F.lit(1).alias("capital")).alias("order"), up.alias("name"), code(up).alias("code"), "advance", "commands")
-    fixed = made.select("font_id").distinct()
-    shape = made.schema["commands"].dataType
-    box = F.lit(NOTDEF_PATH)
-    notdef = fixed.select("font_id", F.struct(F.lit("").alias("char"), F.lit(0).alias("capital")).alias("order"), F.lit(".notdef").alias("name"), F.lit(0).alias("code"), F.lit(600).cast("long").alias("advance"), parse_path(box).alias("commands"))
-    space = fixed.select("font_id", F.struct(F.lit("").alias("char"), F.lit(1).alias("capital")).alias("order"), F.lit("space").alias("name"), F.lit(32).alias("code"), F.lit(EM // 4).cast("long").alias("advance"), F.array().cast(shape).alias("commands"))
-    return notdef.unionByName(space).unionByName(small).unionByName(capital)
+    first = F.row_number().over(W.partitionBy("font_id").orderBy("char")) == 1
+
+    def row(char: Column, capital: int, name: Column, code: Column, advance: Column, commands: Column) -> Column:
+        order = F.struct(char.alias("char"), F.lit(capital).alias("capital"))
+        return F.struct(order.alias("order"), name.alias("name"), code.alias("code"), advance.cast("long").alias("advance"), commands.alias("commands"))
+
+    none = F.array().cast(made.schema["commands"].dataType)
+    rows = F.array(
+        row(F.col("char"), 0, low, F.ascii(low), F.col("advance"), F.col("commands")),
+        F.when(low != up, row(F.col("char"), 1, up, F.ascii(up), F.col("advance"), F.col("commands"))),
+        F.when(F.col("first"), row(F.lit(""), 0, F.lit(".notdef"), F.lit(0), F.lit(600), parse_path(F.lit(NOTDEF_PATH)))),
+        F.when(F.col("first"), row(F.lit(""), 1, F.lit("space"), F.lit(32), F.lit(EM // 4), none)),
+    )
+    return made.withColumn("first", first).select("font_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("font_id", "r.*")
 
 
 #: The box with a cut-out that stands for missing glyphs.
