@@ -455,6 +455,21 @@ def test_pipeline_by_stage(spark):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_stages_on_odd_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    clash = {name: F.lit(3) for name in ("n_words", "kept", "size", "copies", "id", "n", "component_id", "spans", "taken", "bucket", "rank")}
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, None, None, None, None), (2, prose(50, 70), None, None, None), (2, prose(50, 70), None, None, None)], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, None).count() == 0, name
+        for docs in (odd.withColumns(clash), nulls, nulls.withColumns(clash)):
+            rows = stage(spark, docs, None)
+            found = rows.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert rows.columns == docs.columns
+                assert "n_words" not in docs.columns or {r.n_words for r in found} <= {3}, name
+
+
 @pytest.mark.parametrize("name", ["op2_personal_data", "op3_token_counts", "op5_ngram_jaccard_join", "op7_toxicity", "op8_mix_sources", "op10_html_text"])
 def test_queries_return_whole_tables(spark, sf_dir, name):
     rows = queries.queries()[name](spark, sf_dir)

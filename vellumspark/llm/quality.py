@@ -158,5 +158,6 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     The row number ties the filter to the projection that computes the verdict; without it the
     optimizer would copy every metric's expression into the filter, once for each use.
     """
-    judged = quality_rules(df, text).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where((F.col("_row") >= 0) & F.col("kept")).select(*df.columns)
+    packed = df.select(F.col(text).alias("text"), F.struct(*df.columns).alias("_all"))
+    judged = quality_rules(packed).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where((F.col("_row") >= 0) & F.col("kept")).select("_all.*")
