@@ -192,27 +192,31 @@ class Encoder:
         # Code points count from 1; 0 parts the pre-tokens.
         text = np.zeros(len(edge) - 1, np.int32)
         text[~edge[:-1]] = np.frombuffer("".join(tokens).replace(" ", SPACE).encode("utf-32-le"), np.int32) + 1
-        order = suffix_array(text, self.model.longest)
+        order = suffix_array(text, self.model.longest).astype(np.int32)
         here = np.isin(self.rows[:, 0], np.unique(text))
         rows, lengths, ids = self.rows[here], self.lengths[here], self.ids[here]
         low, high = occurrences(text, order, rows, lengths)
         count = high - low
-        place = order[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        piece, length = np.repeat(ids, count), np.repeat(lengths, count)
+        at = np.repeat((low - np.cumsum(count) + count).astype(np.int32), count)
+        at += np.arange(len(at), dtype=np.int32)
+        place = order[at]
+        del order, at
+        piece, length = np.repeat(ids.astype(np.int32), count), np.repeat(lengths.astype(np.int8), count)
         known = np.zeros(len(text), bool)
         known[place[length == 1]] = True
-        unknown = np.flatnonzero(~known & ~edge[:-1])
+        unknown = np.flatnonzero(~known & ~edge[:-1]).astype(np.int32)
         nobody = len(self.model.pieces)
         place = np.concatenate([place, unknown])
-        piece = np.concatenate([piece, np.full(len(unknown), nobody)]).astype(np.int32)
-        end = place + np.concatenate([length, np.ones(len(unknown), np.int64)])
-        start_of = np.repeat(first, sizes + 1)
-        depth = (end - start_of[place])
-        by = np.argsort(depth.astype(np.int16) if sizes.max(initial=0) < 32000 else depth, kind="stable")
+        piece = np.concatenate([piece, np.full(len(unknown), nobody, np.int32)])
+        end = place + np.concatenate([length, np.ones(len(unknown), np.int8)])
+        depth = end - np.repeat(first.astype(np.int32), sizes + 1)[place]
+        depth = depth.astype(np.int16) if sizes.max(initial=0) < 32000 else depth
+        by = np.argsort(depth, kind="stable").astype(np.int32)
         place, piece, end, depth = place[by], piece[by], end[by], depth[by]
+        del by, length
         last = np.full(len(text) + 1, nobody, np.int32)
-        before = np.full(len(text) + 1, -1, np.int64)
-        bounds = np.searchsorted(depth, np.arange(1, int(sizes.max(initial=0)) + 2))
+        before = np.full(len(text) + 1, -1, np.int32)
+        bounds = np.searchsorted(depth, np.arange(1, int(sizes.max(initial=0)) + 2), side="left")
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             p, q = last[place[a:b]], piece[a:b]
             ok = (p == nobody) | (q == nobody)
@@ -289,7 +293,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(tables.value), Decoder(tables.value)
-        for batch in blocks(batches, 8 << 20):
+        for batch in blocks(batches, 6 << 20):
             texts = batch.column(1).to_pylist()
             ids, counts = encoder(texts)
             same = [(t or "").replace(SPACE, " ") == d for t, d in zip(texts, decoder(ids, counts))]
