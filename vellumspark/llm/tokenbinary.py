@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,26 +44,61 @@ def record(length: int) -> np.dtype:
     return np.dtype([*HEADER.descr, ("ids", "<u2", (length,)), ("line_end", "u1")])
 
 
-#: Pre-tokens whose ids a Python worker holds, at most.
-HELD = 800_000
+#: Pre-tokens whose ids a Python worker holds before it starts afresh.
+HELD = 600_000
 
 
 class Coder:
-    """Ids of texts, two bytes each; the ids of pre-tokens met before are at hand, up to ``HELD`` of them."""
+    """Ids of texts; the ids of pre-tokens met before are at hand, ``HELD`` of them and a block's.
+
+    Texts are split and their distinct pre-tokens found by Arrow; Python sees the distinct ones.
+    """
 
     def __init__(self, model: str):
         self.model, self.known = model, {}
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        each = [encodable(t) for t in texts]
-        new = set(chain.from_iterable(each)).difference(self.known)
-        if len(self.known) + len(new) > HELD:
+    def coded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token, two bytes an id."""
+        if len(self.known) > HELD:
             self.known = {}
-            new = set(chain.from_iterable(each))
+        new = [p for p in pieces if p not in self.known]
         if new:
-            new = list(new)
             self.known.update(zip(new, (array("H", ids).tobytes() for ids in processor(self.model).encode(new, num_threads=1))))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in each]
+        return [self.known[p] for p in pieces]
+
+    def _words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], dict[int, bytes]]:
+        """(word places, offsets of texts among the words, ids of each distinct word, ids of texts with white space to spare)."""
+        column = column.cast(pa.large_string()).fill_null("")
+        spare = [pc.match_substring(column, "  "), pc.match_substring(column, "▁"), pc.starts_with(column, " "), pc.ends_with(column, " ")]
+        odd = np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in spare])
+        words = pc.split_pattern(column, " ")
+        coded = words.flatten().dictionary_encode()
+        apart = {int(k): b"".join(self.coded(encodable(column[int(k)].as_py()))) for k in np.flatnonzero(odd)}
+        offsets = words.offsets.to_numpy()
+        return coded.indices.to_numpy(), offsets - offsets[0], self.coded(coded.dictionary.to_pylist()), apart
+
+    def totals(self, column: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        which, offsets, ids, apart = self._words(column)
+        sizes = np.array([len(i) // 2 for i in ids], np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])[offsets]
+        out = np.diff(ends)
+        for k, own in apart.items():
+            out[k] = len(own) // 2
+        return out
+
+    def __call__(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text, two bytes an id."""
+        which, offsets, ids, apart = self._words(column)
+        sizes = np.array([len(i) // 2 for i in ids], np.int32)
+        flat = np.frombuffer(b"".join(ids), np.uint16)
+        n = sizes[which]
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.repeat(((np.cumsum(sizes) - sizes)[which] - (ends - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        every = flat[at].tobytes()
+        bounds = (2 * np.concatenate([[0], ends])[offsets]).tolist()
+        return [apart[k] if k in apart else every[a:b] for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
 
 
 @lru_cache(maxsize=2)
@@ -71,16 +107,16 @@ def coder(model: str) -> Coder:
     return Coder(model)
 
 
-def sequences(coded: list[bytes], length: int) -> np.ndarray:
-    """Sequences of each text: its ids and an end mark, ``length`` at a time."""
-    return np.array([-(-(len(c) // 2 + 1) // length) for c in coded], np.int64)
+def sequences(counts: np.ndarray, length: int) -> np.ndarray:
+    """Sequences of texts with so many ids: the ids and an end mark, ``length`` at a time."""
+    return -(-(counts + 1) // length)
 
 
 def records(doc_ids: np.ndarray, coded: list[bytes], end_mark: int, length: int) -> np.ndarray:
     """The records of a block of documents."""
     ids = np.frombuffer(b"".join(coded), np.uint16)
     counts = np.array([len(c) // 2 for c in coded], np.int64)
-    total, n = counts + 1, sequences(coded, length)
+    total, n = counts + 1, sequences(counts, length)
     doc = np.repeat(np.arange(len(counts)), n)
     seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     out = np.zeros(len(doc), record(length))
@@ -117,7 +153,7 @@ def write_training_order(df: DataFrame, model: str, path: str, id_col: str = "do
     rows = df.select(F.col(id_col).cast("long"), F.col(text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(sequences(coder(model)(b.column(1).to_pylist()), length).sum()) for b in blocks(batches, 4 << 20))
+        n = sum(int(sequences(coder(model).totals(b.column(1)), length).sum()) for b in blocks(batches, 8 << 20))
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
     # One number per task.
@@ -129,9 +165,9 @@ def write_training_order(df: DataFrame, model: str, path: str, id_col: str = "do
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, expected = places.value[TaskContext.get().partitionId()]
         n, end_mark = 0, processor(model).eos_id()
-        for batch in blocks(batches, 4 << 20):
+        for batch in blocks(batches, 8 << 20):
             doc_ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            made = records(doc_ids, coder(model)(batch.column(1).to_pylist()), end_mark, length)
+            made = records(doc_ids, coder(model)(batch.column(1)), end_mark, length)
             slots = feistel(np.arange(first + n, first + n + len(made)), total, key)
             n += len(made)
             for i in range(0, len(made), 4096):
