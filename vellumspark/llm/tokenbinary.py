@@ -45,7 +45,7 @@ def record(length: int) -> np.dtype:
 
 
 #: Pre-tokens whose ids a Python worker holds before it starts afresh.
-HELD = 600_000
+HELD = 250_000
 
 
 class Coder:
@@ -153,7 +153,7 @@ def write_training_order(df: DataFrame, model: str, path: str, id_col: str = "do
     rows = df.select(F.col(id_col).cast("long"), F.col(text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(sequences(coder(model).totals(b.column(1)), length).sum()) for b in blocks(batches, 8 << 20))
+        n = sum(int(sequences(coder(model).totals(b.column(1)), length).sum()) for b in blocks(batches, 6 << 20))
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
     # One number per task.
@@ -165,7 +165,7 @@ def write_training_order(df: DataFrame, model: str, path: str, id_col: str = "do
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, expected = places.value[TaskContext.get().partitionId()]
         n, end_mark = 0, processor(model).eos_id()
-        for batch in blocks(batches, 8 << 20):
+        for batch in blocks(batches, 6 << 20):
             doc_ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             made = records(doc_ids, coder(model)(batch.column(1)), end_mark, length)
             slots = feistel(np.arange(first + n, first + n + len(made)), total, key)
