@@ -127,8 +127,8 @@ _GAP = r"[\s,()-]{1,3}"
 _ITEM = rf"(?:{_WORD}|[0-9]{{1,4}})(?![^\W_])"
 #: At least three items in a row, two spelled ones among the first three kept by the test in _digits.
 RUN = re.compile(rf"(?<![^\W_])(?:plus{_GAP}(?={_WORD}))?{_ITEM}(?:{_GAP}(?:{_DOT}{_GAP})?{_ITEM}){{2,}}", re.I)
-#: Two spelled digits in a row, in a lower-case text with a space in front.
-TWO_SPELLED = re.compile(rf"[^\w]{_WORD}{_GAP}(?:{_DOT}{_GAP})?{_WORD}(?![^\W_])|_{_WORD}{_GAP}{_WORD}")
+#: A spelled digit beside another item, in a lower-case text with a space in front: every run with a spelled digit has one.
+BESIDE_SPELLED = re.compile(rf"[\W_](?:{_WORD}{_GAP}(?:{_DOT}{_GAP})?{_ITEM}|[0-9]{{1,4}}{_GAP}(?:{_DOT}{_GAP})?{_WORD}(?![^\W_]))")
 PIECES = re.compile(rf"{_WORD}|{_DOT}|plus|[0-9]", re.I)
 
 # Words for @ and for the full stop in the four languages served.
@@ -141,13 +141,14 @@ TOP = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|de|fr|es|eu|us|ca|ch|at|it|
 _BARE_DOT = rf"(?:\s{{1,3}}(?:{_DOT_WORDS}|\.)\s{{1,3}}|[_-](?:{_DOT_WORDS})[_-])"
 _LABEL = "[A-Za-z0-9-]{1,63}"
 BARE = re.compile(rf"(?:\s{{0,3}}@\s{{0,3}}|\s{{1,3}}(?:{_AT_WORDS})\s{{1,3}}|[_-](?:{_AT_WORDS})[_-])(?={_LABEL}(?:(?:\.|{_BARE_DOT}){_LABEL}){{0,8}}?(?:\.|{_BARE_DOT})(?:{TOP})(?![A-Za-z0-9-]))", re.I)
+#: In a lower-case text without @: what every "at" of BARE and every dot of NUMBER_DOT has.
+AT_OR_DOT = re.compile(rf"[\s_-](?:{_AT_WORDS}|dot)[\s_-]")
 BARE_DOT = re.compile(_BARE_DOT, re.I)
 BEFORE_DOT = re.compile(rf"{_BARE_DOT}$", re.I)
 BARE_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|{_BARE_DOT}){_LABEL}){{1,9}}", re.I)
 LAST_DOT = re.compile(rf"(?:\.|{_BARE_DOT})(?:{TOP})(?![A-Za-z0-9-])", re.I)
 NUMBER_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
 MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl|](?:[\x20-]?[0-9OoIl|]){11,18}(?![A-Za-z0-9])")
-MIXED_HINT = re.compile(r"[0-9][OoIl|]+[\x20-]?[0-9]")
 MIXED_DIGITS = str.maketrans("OoIl|", "00111")
 
 
@@ -178,8 +179,6 @@ def _folding(text: str) -> list[tuple[int, int, str]]:
 
 def _digits(text: str) -> list[tuple[int, int, str]]:
     edits: list[tuple[int, int, str]] = []
-    if not TWO_SPELLED.search(" " + text.lower()):
-        return edits
     for m in RUN.finditer(text):
         parts = list(PIECES.finditer(text, m.start(), m.end()))
         if sum(p.group().lower() in SPELLED for p in parts) < 2:
@@ -233,8 +232,6 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
 
 def _mixed(text: str) -> list[tuple[int, int, str]]:
     """Letters that stand for digits inside a number that passes the check sum."""
-    if not MIXED_HINT.search(text):
-        return []
     edits = []
     for m in MIXED.finditer(text):
         digits = re.sub("[ -]", "", m.group())
@@ -243,20 +240,21 @@ def _mixed(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-_CUES = ("dot", " . ", "at ", "at_", "at-", " @", "@ ", "arroba", "arobase", "ät ")
+def _near_spelled(text: str) -> bool:
+    # A dotted capital I is an i to the patterns, and two characters in lower case.
+    return BESIDE_SPELLED.search(" " + text.lower().replace("i\u0307", "i")) is not None
 
 
-def _at_and_dot(text: str) -> bool:
-    low = text.lower()
-    return any(cue in low for cue in _CUES)
+def _at_or_dot(text: str) -> bool:
+    return "@" in text or AT_OR_DOT.search(text.lower()) is not None
 
 
 #: The chain, each with a cheap test that is true of every text it can change.
 TRANSDUCERS: tuple[tuple[Callable[[str], bool], Callable[[str], list[tuple[int, int, str]]]], ...] = (
     (lambda t: not t.isascii() and not FOLDS.keys().isdisjoint(set(t)), _folding),
-    (lambda t: True, _digits),
+    (_near_spelled, _digits),
     (lambda t: any(c in t for c in "[({<"), _wrapped),
-    (_at_and_dot, _bare),
+    (_at_or_dot, _bare),
     (lambda t: True, _mixed),
 )
 
