@@ -225,6 +225,36 @@ def test_encode_random_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library(texts)
 
 
+@pytest.fixture(scope="module")
+def spaced_texts():
+    r = random.Random(15)
+    alphabet = "abcdehinorstu  \n\t▁.é漢-_0189\U0001f600"
+    known = ["hello ", "hello▁", "\n ", " ", "  ", "", None, "▁", "a  ", "a ▁", " a ", "hello hello "]
+    return known + ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) + r.choice(["", " ", "▁", "  "]) for _ in range(1500)]
+
+
+def test_token_counts_of_a_last_space(spark, spaced_texts):
+    long = "hello " * 2048
+    texts = [*spaced_texts, long[:-1], long]
+    want = [len(ids) for ids in library(texts)]
+    df = documents(spark, texts)
+    assert {r.doc_id: r.n_tokens for r in token_counts(df, MODEL).collect()} == dict(enumerate(want))
+    over = {r.doc_id: r.over_limit for r in token_counts(df, MODEL, limit=want[-2]).collect()}
+    assert want[-1] == want[-2] + 1 and not over[len(texts) - 2] and over[len(texts) - 1]
+
+
+def test_training_order_of_a_last_space(spark, spaced_texts, tmp_path):
+    import pyarrow as pa
+
+    want = library(spaced_texts)
+    coder, column = tokenbinary.Coder(MODEL), pa.array(spaced_texts, pa.string())
+    assert [np.frombuffer(b, np.uint16).tolist() for b in coder(column)] == want
+    assert coder.totals(column).tolist() == [len(ids) for ids in want]
+    rows = tokenbinary.training_order(documents(spark, spaced_texts[:12]), MODEL, path=f"file://{tmp_path}/shards", length=32).collect()
+    ids = [np.array([*ids, 2] + [0] * (31 - len(ids)), np.uint16) for ids in want[:12]]
+    assert {r.doc_id: (r.n_tokens, r.crc) for r in rows} == {i: (len(want[i]) + 1, zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     slots = tokenbinary.feistel(np.arange(n), n, 3)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import blocks, scratch_dir
-from vellumspark.llm.tokencount import encodable, processor
+from vellumspark.llm.tokencount import encodable, lone_space, processor
 
 #: A record: document id, number of the sequence in it, ids that count, the ids, a line end.
 HEADER = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n_tokens", "<i4")])
@@ -66,6 +66,12 @@ class Coder:
             self.known.update(zip(new, (array("H", ids).tobytes() for ids in processor(self.model).encode(new, num_threads=1))))
         return [self.known[p] for p in pieces]
 
+    def _apart(self, text: str) -> bytes:
+        """The ids of a text with white space to spare."""
+        pieces = encodable(text)
+        lone = array("H", lone_space(self.model)).tobytes()
+        return b"".join(ids if p else lone for p, ids in zip(pieces, self.coded(pieces)))
+
     def _words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], dict[int, bytes]]:
         """(word places, offsets of texts among the words, ids of each distinct word, ids of texts with white space to spare)."""
         column = column.cast(pa.large_string()).fill_null("")
@@ -73,7 +79,7 @@ class Coder:
         odd = np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in spare])
         words = pc.split_pattern(column, " ")
         coded = words.flatten().dictionary_encode()
-        apart = {int(k): b"".join(self.coded(encodable(column[int(k)].as_py()))) for k in np.flatnonzero(odd)}
+        apart = {int(k): self._apart(column[int(k)].as_py()) for k in np.flatnonzero(odd)}
         offsets = words.offsets.to_numpy()
         return coded.indices.to_numpy(), offsets - offsets[0], self.coded(coded.dictionary.to_pylist()), apart
 

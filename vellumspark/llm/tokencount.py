@@ -42,7 +42,10 @@ def pre_tokens(text: str) -> list[str]:
 
 
 def encodable(text: str | None) -> list[str]:
-    """What to hand the library for each pre-token of a text: all but the white space it puts in front itself."""
+    """What to hand the library for each pre-token of a text: all but the white space it puts in front itself.
+
+    An empty string stands for a lone white space at the end, for which the library would return nothing (``lone_space``).
+    """
     if not text:
         return []
     if "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
@@ -57,9 +60,15 @@ def processor(model: str):
     return sentencepiece.SentencePieceProcessor(model_file=model)
 
 
+def lone_space(model: str) -> list[int]:
+    """The ids of a pre-token that is one white space: nothing is left of it to hand to the library."""
+    return [processor(model).piece_to_id("▁")]
+
+
 def piece_counts(model: str, tokens: list[str]) -> list[int]:
     """Pieces of each pre-token; its first character is the prefix that the library adds itself."""
-    return [len(ids) for ids in processor(model).encode([t[1:] for t in tokens], num_threads=1)]
+    lone = len(lone_space(model))
+    return [len(ids) if len(t) > 1 else lone for t, ids in zip(tokens, processor(model).encode([t[1:] for t in tokens], num_threads=1))]
 
 
 def head_counts(df: DataFrame, text: str, model: str) -> dict[str, int]:
