@@ -491,6 +491,42 @@ def test_html_spans_and_odd_markup():
         render(page)
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<head><title>T</title><a href=x>Home</a> Welcome <div>Body</div>", "Home Welcome\nBody"),
+        ("<head><title>T</title>\n <meta charset=utf-8>\n bare <b>bold</b> text", "bare bold text"),
+        ("<head><meta charset=utf-8><link rel=x><style>a{}</style><noscript><img src=x>off</noscript><template>no</template><script>s</script><span>in</span>", "in"),
+        ("<head><title>T</title></head>\n<body>x", "x"),
+        ("<head><img src=x>a<br>b", "a\nb"),
+    ],
+)
+def test_html_head_ends_at_what_is_no_part_of_it(page, text):
+    assert render(page) == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>if <math><semantics><mrow><mi>x</mi> <mo>=</mo> <mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> then", "if x=2 then"),
+        ("<p>a<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math> b<math display=block><mi>y</mi></math>c", "a 1 2 b\ny\nc"),
+        ("<p>see<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><path d='M0 0'/>stray<g><text x=1>Jan <tspan>uary</tspan></text><text>Feb</text></g></svg>end", "see Jan uary Feb end"),
+        ("<svg><text display=none>no</text><text><![CDATA[a<b]]></text></svg>", "a<b"),
+        ("<p>x<svg><foreignObject><div>one</div><p>two</p></foreignObject><text>three</text></svg>", "x\none\n\ntwo\n\nthree"),
+        ("<svg><switch><foreignObject><b>A</b></foreignObject><text>A</text></switch></svg>", "A"),
+        ("<svg/>shown <svg><g><p>after", "shown\n\nafter"),
+        ("<pre>a<svg><text>b</text></svg>\n  c</pre>", "a b\n  c"),
+    ],
+)
+def test_html_formulas_and_drawings(page, text):
+    assert render(page) == text
+
+
+def test_html_deep_drawings():
+    for page in ("<svg>" + "<g>" * 50_000 + "<text>x", "<svg><foreignObject>" * 2_000 + "x", "<math><mi>" * 5_000 + "x"):
+        assert render(page) == "x"
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "<p>x", "u"), (2, None, "u"), (3, "", "u"), (1, "<p>x", "u")], "page_id long, html string, text string")
     got = sorted((r.page_id, r.text, r.n_chars, r.n_lines) for r in html_text(df).collect())

@@ -4,7 +4,8 @@ A tree builder supplies the tags that HTML lets authors leave out (paragraphs, l
 rows and sections end by what follows them), visibility rules prune what a browser would not
 show, and a renderer writes the rest as text: blocks on lines of their own, blank lines where
 they have margins, lists with bullets or numbers and indents, table cells in aligned columns,
-preformatted text as it stands.
+preformatted text as it stands. Of drawings (SVG) the text elements are written, each a word apart,
+of formulas (MathML) all but their annotations; neither is laid out, and ``use`` is not followed.
 
 Pages are rendered where they are scanned: no shuffle, memory bounded by a block of pages and
 the tree of one page. Neither builder nor renderer recurses, so depth is no limit.
@@ -30,12 +31,23 @@ from vellumspark.llm.common import blocks
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre figure fieldset hr".split())
 BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tbody td tfoot th thead tr".split())
-HIDDEN = frozenset("head title script style template noscript meta link datalist audio video canvas iframe object svg math noframes area param source track base rp".split())
+HIDDEN = frozenset("head title script style template noscript meta link datalist audio video canvas iframe object noframes area param source track base rp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Start tags that leave an open head open.
+HEAD_ONLY = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: SVG and MathML: roots, elements whose kids are HTML again, start tags that end them, elements that are not drawn.
+FOREIGN = frozenset(("svg", "math"))
+HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAK_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+UNDRAWN = frozenset("annotation annotation-xml mphantom defs desc metadata symbol clippath mask marker pattern filter lineargradient radialgradient".split())
+#: MathML elements whose parts stand apart.
+APART = frozenset("mfrac msup msub msubsup munder mover munderover mmultiscripts mroot mtable mtr mlabeledtr".split())
 SECTIONS = frozenset(("thead", "tbody", "tfoot"))
 CELLS = frozenset(("td", "th"))
 #: Ends of the search for an open element that a start tag closes.
-SCOPES = frozenset("html table td th caption template button object marquee applet".split())
+SCOPES = frozenset("html table td th caption template button object marquee applet foreignobject".split())
 #: What a start tag closes, up to the given boundary.
 CLOSES = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
@@ -59,10 +71,15 @@ DEEPEST = 40
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "tag")
+    """An element; ``kind`` is svg or math inside those, ``inner`` the kind of its kids, ``words`` whether text in it is drawn."""
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    __slots__ = ("attrs", "inner", "kids", "kind", "tag", "words")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.kind = tag if tag in FOREIGN else parent.inner if parent else ""
+        self.inner = "" if tag in HTML_AGAIN else self.kind
+        self.words = self.kind != "svg" or tag in ("text", "foreignobject") or tag in ("tspan", "textpath", "a") and parent.kind == "svg" and parent.words
 
 
 class TreeBuilder(HTMLParser):
@@ -75,7 +92,7 @@ class TreeBuilder(HTMLParser):
         self.counts = Counter({"html": 1})
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.place())
         self.place().kids.append(node)
         self.open.append(node)
         self.counts[tag] += 1
@@ -109,14 +126,25 @@ class TreeBuilder(HTMLParser):
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self.pop_to(len(self.open) - 1)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def handle_starttag(self, tag: str, attrs: list, closed: bool = False) -> None:
         values = {k: v or "" for k, v in reversed(attrs)}
+        if self.place().inner and (tag in BREAK_OUT or tag == "font" and not values.keys().isdisjoint(("color", "face", "size"))):
+            k = len(self.open)
+            while self.open[k - 1].inner:
+                k -= 1
+            self.pop_to(k)
+        if self.place().inner:
+            self.push(tag, values)
+            if closed:
+                self.pop_to(len(self.open) - 1)
+            return
         if tag in ("html", "body"):
             self.root.attrs = {**values, **self.root.attrs}
             if tag == "body" and (k := self.find(frozenset(("head",)), frozenset())):
                 self.pop_to(k)
             return
-        if self.counts["head"] and tag in BLOCK and (k := self.find(frozenset(("head",)), frozenset())):
+        ends_head = tag in BLOCK or self.place().tag == "head" and tag not in HEAD_ONLY
+        if self.counts["head"] and ends_head and (k := self.find(frozenset(("head",)), frozenset())):
             self.pop_to(k)
         self.close_implied(tag)
         if tag in CELLS and self.counts["table"] and not self.find(frozenset(("tr",)), frozenset(("table",))):
@@ -129,9 +157,11 @@ class TreeBuilder(HTMLParser):
             self.place().kids.append(Node(tag, values))
         else:
             self.push(tag, values)
+            if closed and tag in FOREIGN:
+                self.pop_to(len(self.open) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs, closed=True)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br" or tag == "p" and not self.find(frozenset(("p",)), SCOPES):
@@ -147,7 +177,13 @@ class TreeBuilder(HTMLParser):
             del self.open[k]
         return None
 
+    def unknown_decl(self, data: str) -> None:
+        if self.place().kind and data.startswith("CDATA["):
+            self.handle_data(data[6:])
+
     def handle_data(self, data: str) -> None:
+        if self.place().tag == "head" and data.strip(" \t\n\r\f"):
+            self.pop_to(len(self.open) - 1)
         kids = self.place().kids
         if kids and isinstance(kids[-1], str):
             kids.append(kids.pop() + data) if len(kids[-1]) < 4096 else kids.append(data)
@@ -168,6 +204,10 @@ def visible(node: Node, parent: Node | None) -> bool:
         return False
     if node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
         return False
+    if node.kind and (node.tag in UNDRAWN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+        return False
+    if node.kind and parent.tag == "switch" and node is not next(k for k in parent.kids if isinstance(k, Node)):
+        return False
     return not (parent and parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary")
 
 
@@ -264,7 +304,11 @@ def render(page: str | None) -> str:
         if isinstance(node, str):
             if parent.tag == "details" and "open" not in parent.attrs:
                 continue
-            if pre:
+            if parent.kind:
+                # White space between elements is no part of a formula or drawing.
+                if parent.words and (parent.kind == "svg" or not parent.inner or node.strip()):
+                    canvas.text(node)
+            elif pre:
                 parts = node.replace("\r\n", "\n").split("\n")
                 for i, part in enumerate(parts):
                     if i:
@@ -281,6 +325,10 @@ def render(page: str | None) -> str:
             if tag == "br":
                 canvas.end_line(force=True)
                 continue
+            if node.kind and (tag in ("svg", "text") or parent.tag in APART):
+                canvas.space = True
+            if tag == "math" and node.attrs.get("display") == "block":
+                canvas.end_line()
             if tag in BLOCK:
                 canvas.end_line()
                 canvas.margin = canvas.margin or (tag in MARGIN and not (tag in ("ul", "ol", "menu") and lists))
@@ -317,6 +365,10 @@ def render(page: str | None) -> str:
             stack.append(("leave", node, parent))
             stack += [("enter", kid, node) for kid in reversed(node.kids)]
             continue
+        if node.kind and (tag in ("svg", "text") or parent.tag in APART):
+            canvas.space = True
+        if tag == "math" and node.attrs.get("display") == "block":
+            canvas.end_line()
         if tag == "pre":
             pre -= 1
         if tag == "q":
