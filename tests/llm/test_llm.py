@@ -86,6 +86,18 @@ def test_top_k(spark, big):
         assert {a: [s for _, s in v] for a, v in got.items()} == {a: [s for _, s in v] for a, v in want.items()}
 
 
+def test_top_k_takes_every_row_of_an_id(spark):
+    r = np.random.default_rng(14)
+    rows = [(i % 60, r.normal(size=8).tolist()) for i in range(180)] + [(200, [1.0, 0.0]), (200, [1.0009765625, 0.0])]
+    df = spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in exact_top_k(df, every=10, block=37).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    q = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = {a: sorted(((sum(x * y for x, y in zip(v, w)), b) for c, v in q if c == a for b, w in q if b != a), key=lambda t: (-t[0], t[1]))[:5] for a in (0, 10, 20, 30, 40, 50, 200)}
+    assert got == {a: [(b, s) for s, b in best] for a, best in want.items()}
+
+
 def test_top_k_empty(spark):
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

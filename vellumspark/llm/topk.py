@@ -13,9 +13,9 @@ are resolved. Bounds are matrix products over integers, exact in the chosen floa
 Each task returns k rows per query at most, and a window keeps the best k of them.
 
 Defined results: rows with a null id, a null vector, or a null or non-finite component take no
-part; of rows that share an id the one with the smallest vector stands for it; vectors of
-unequal length count as padded with zeros; ties go to the smaller id; an empty table gives an
-empty table.
+part; rows equal in id and vector count once, other rows that share an id each take part, as
+candidates and as queries, whose k best are taken together; vectors of unequal length count as
+padded with zeros; ties go to the smaller id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,11 +37,11 @@ DEPTHS = (0.5, 0.875, 1.0)
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
-    """(id, v): components as floor(scale * x) in double, one row per id."""
+    """(id, v): components as floor(scale * x) in double, one row per id and vector."""
     fine = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform(F.col(vector), lambda x: F.floor(scale * x.cast("double")).cast("double"))
     rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col(id_col).alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(id_col, vector).distinct().select(F.col(id_col).alias("id"), v.alias("v"))
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     n_blocks = max(1, math.ceil(rows.count() / block))
     n_query_blocks = max(1, math.ceil(asked.count() / block))
     across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     candidates = rows.select("id", "v", mine(n_blocks).alias("b")).withColumn("q", across(n_query_blocks))
     queries = asked.select("id", "v", mine(n_query_blocks).alias("q")).withColumn("b", across(n_blocks))
 
