@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,32 +9,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumspark.session import scratch_dir
+
 #: The white space that separates words: space and the control characters 9 to 13.
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``.
+def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; cuts lineage and survives lost executors."""
+    return Scratch(df.sparkSession).stored(df, partition_by)
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    takes its place, and it is set as the session's checkpoint folder.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="vellum-")
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{context.applicationId}-{uuid.uuid4().hex}"
 
+class Scratch:
+    """Tables of one job in the shared folder; ``clear`` removes those that are no longer read."""
 
-def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; cuts lineage and survives lost executors."""
-    path = scratch_dir(df.sparkSession)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        path = scratch_dir(self.spark)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, keep: int = 0) -> None:
+        """Remove all tables but the last ``keep``."""
+        going, self.paths = (self.paths[:-keep], self.paths[-keep:]) if keep else (self.paths, [])
+        context = self.spark.sparkContext
+        for path in going:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,4 +78,4 @@ def blocks(batches: Iterator[pa.RecordBatch], text_bytes: int) -> Iterator[pa.Re
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    return held[0] if len(held) == 1 else pa.concat_batches(held)

@@ -1,27 +1,35 @@
 """N-gram Jaccard self-join by vertical partitioning of the global n-gram order.
 
 Documents with equal shingle sets form a class; its smallest document stands for it. All
-shingles stand in one global order: those found often in some block of documents last, the rest
-by fingerprint. A pair above the threshold shares a shingle among the first few of both
-(prefix), so candidates come from the prefixes alone, dealt by shingle. For the candidates that
-survive the size and sketch bounds, the order is cut into fragments, overlaps are counted in
-each fragment on its own and summed per pair.
-
-Very frequent shingles would pair everything with everything. Their documents are first linked
-to a few hubs; once those links are verified and contracted, only pairs from different
-components are compared, in blocks of a fixed size, the nearest ones first. A pair inside a component changes no
-component, so nothing is lost and no cap is needed.
+shingles stand in one global order: the rest by fingerprint, then those found often in some
+block of documents, the rarer first. Fingerprint ranges and the frequent end cut this order into
+fragments. A fragment of a set is a row of its own; for each pair of candidates the overlap is
+counted in each fragment separately, by whichever task the fragment is dealt to, and the partial
+counts are summed per pair.
+
+Candidates come from prefixes: a pair above the threshold shares a shingle among the first few
+of both. Prefix shingles are dealt by shingle, sorted inside their partition (which spills) and
+read as a stream, so no group is held. A shingle shared by more than a few classes does not
+pair them: these are linked to a few hubs first; once those links are verified and contracted,
+only classes outside a shingle's main component meet the others of about their size, in blocks
+bounded in rows and bytes, the nearest ones first. A pair inside a component changes no
+component, so nothing is lost and no cap is needed. A shingle that is known to be very frequent
+is salted from the start.
 
 Fingerprints have 64 bits; two different shingles are taken for equal with probability 2**-64.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; repeated rows
-share a class; rows with a null id take part in no class and have a null component; an empty
+share a class, and of classes in one component the smallest id names it, so ties cannot arise;
+very long texts are cut at fragments and blocks of their own; rows with a null id take part in no
+class and have a null component; further columns, whatever their names, are not read; an empty
 table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import partitions_for, stored
+from vellumspark.llm.common import Scratch
 from vellumspark.llm.components import connected_components
 from vellumspark.llm.shingles import U, bits_apart, digests, folded, mixed, shingled, sketches
 
@@ -39,14 +47,19 @@ FREQUENT = 1 << 18
 IN_BLOCK, IN_ALL = 3, 30
 #: Fingerprints in a block in which frequent shingles are counted.
 COUNTED = 4 << 20
-#: Documents that share a prefix shingle and are paired directly; beyond, by hubs and blocks.
-DIRECT = 64
+#: Classes that share a prefix shingle and are paired directly; beyond, by hubs and blocks.
+DIRECT = 16
 HUBS = 2
-BLOCK = 2048
-#: Fragments in which overlaps are counted.
+#: Rows and bytes of a block of classes that meet another block.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Finds of a frequent shingle for each of its salts.
+SALTED = 1 << 14
+#: Pairs held before repeated ones are removed and the rest is passed on.
+HELD = 1 << 18
+#: Fragments in which overlaps are counted: ranges of fingerprints, and the frequent end.
 FRAGMENTS = 4
-#: Classes whose ids are broadcast to find their texts (eight bytes each); beyond, a shuffled join.
-BROADCAST_IDS = 1 << 20
+#: Classes whose ids are broadcast to find their texts (24 bytes each); beyond, a shuffled join.
+BROADCAST_IDS = 1 << 19
 
 
 class Threshold(NamedTuple):
@@ -61,6 +74,14 @@ class Threshold(NamedTuple):
     def sizes_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
 
+    def links(self, shared, total):
+        """Whether sets of ``total`` elements together are linked by ``shared`` common ones."""
+        return self.den * shared >= self.num * (total - shared)
+
+    def band(self, n, shift: float = 0.0):
+        """Sizes that fit lie in the same band or in neighbouring ones."""
+        return F.floor(F.log(n) / math.log(self.den / self.num) + shift).cast("int")
+
     def differ_fit(self, differ, total):
         """Whether sets of ``total`` elements together may differ in ``differ`` ones."""
         return (self.den + self.num) * differ <= (self.den - self.num) * total
@@ -100,122 +121,150 @@ def profiles(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
 
 
 class Order:
-    """The global order: broadcast frequent shingles last, the others by fingerprint."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.frequent = np.sort(frequent)
+    """The global order: by fingerprint, but the broadcast frequent shingles last, the rarer first."""
+
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray):
+        by_value = np.argsort(frequent)
+        self.frequent = frequent[by_value]
+        self.rank = np.empty(len(frequent), np.int64)
+        self.rank[np.lexsort((self.frequent, counts[by_value]))] = np.arange(len(frequent))
+        self.salts = 1 + counts[by_value] // SALTED
         self.maybe = np.zeros(1 << 24, bool)
         self.maybe[self.frequent >> U(40)] = True
 
-    def late(self, h: np.ndarray) -> np.ndarray:
-        out = self.maybe[h >> U(40)]
-        at = np.flatnonzero(out)
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each shingle among the frequent ones, -1 for others."""
+        out = np.full(len(h), -1)
+        at = np.flatnonzero(self.maybe[h >> U(40)])
         if len(at):
-            place = np.searchsorted(self.frequent, h[at])
-            out[at] = self.frequent[np.minimum(place, len(self.frequent) - 1)] == h[at]
+            place = np.minimum(np.searchsorted(self.frequent, h[at]), len(self.frequent) - 1)
+            out[at] = np.where(self.frequent[place] == h[at], place, -1)
         return out
 
-    def prefixes(self, h: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """A mask of the first ``wanted`` shingles of each set."""
-        late = self.late(h)
+    def prefixes(self, place: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """A mask of the first ``wanted`` shingles of each set; ``place`` as of ``places``."""
+        late = place >= 0
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         first = np.cumsum(sizes) - sizes
-
-        def rank(flags: np.ndarray) -> np.ndarray:
-            sums = np.concatenate([[0], np.cumsum(flags)])
-            return sums[:-1] - np.repeat(sums[first], sizes)
-
         early = np.concatenate([[0], np.cumsum(~late)])
         n_early = early[first + sizes] - early[first]
-        return np.where(late, rank(late) + np.repeat(n_early, sizes), rank(~late)) < np.repeat(wanted, sizes)
+        rank = early[:-1] - early[first][owner]
+        at = np.flatnonzero(late)
+        at = at[np.lexsort((self.rank[place[at]], owner[at]))]
+        n_late = np.bincount(owner[at], minlength=len(sizes))
+        rank[at] = np.arange(len(at)) - (np.cumsum(n_late) - n_late)[owner[at]] + n_early[owner[at]]
+        return rank < wanted[owner]
 
 
-def postings(df: DataFrame, text: str, width: int, least: Threshold, frequent, parts: int) -> DataFrame:
-    """Prefix shingles packed by part: (part, shingles, digests, sizes) with one entry per posting."""
+def postings(df: DataFrame, text: str, width: int, least: Threshold, frequent) -> DataFrame:
+    """(h, salt, d, n): the prefix shingles of each set with its digest and size; only those of very frequent ones have a salt."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(frequent.value)
-        held, size = [], 0
+        order = Order(*frequent.value)
         for _, h, sizes in shingled(batches, width):
             d1, _ = digests(h, sizes)
             _, first = np.unique(d1, return_index=True)
             chosen = np.zeros(len(sizes), bool)
             chosen[first] = True
-            mask = order.prefixes(h, sizes, np.where(chosen & (sizes > 0), least.prefix(sizes), 0))
-            held.append((h[mask], np.repeat(d1, sizes)[mask], np.repeat(sizes, sizes)[mask].astype(np.int32)))
-            size += int(mask.sum())
-            if size >= 1 << 20:
-                yield pack(held)
+            place = order.places(h)
+            mask = order.prefixes(place, sizes, np.where(chosen & (sizes > 0), least.prefix(sizes), 0))
+            h, place, d, n = h[mask], place[mask], np.repeat(d1, sizes)[mask], np.repeat(sizes, sizes)[mask]
+            salt = np.zeros(len(h), np.int32)
+            hot = np.flatnonzero(place >= 0)
+            salts = order.salts[place[hot]]
+            salt[hot] = np.where(salts > 1, 1 + (d[hot] % salts.astype(np.uint64)).astype(np.int64), 0)
+            columns = [pa.array(h.view(np.int64)), pa.array(salt), pa.array(d.view(np.int64)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "salt", "d", "n"])
+
+    return df.select(F.lit(0), F.col(text)).mapInArrow(scan, "h long, salt int, d long, n int")
+
+
+def distinct_pairs(held: list[np.ndarray]) -> np.ndarray:
+    """The distinct columns of two-row arrays."""
+    pairs = np.concatenate(held, axis=1) if held else np.empty((2, 0), np.int64)
+    pairs = pairs[:, np.lexsort(pairs)]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+    return pairs[:, new]
+
+
+def met(posted: DataFrame, least: Threshold, direct: int) -> DataFrame:
+    """Pairs of digests (a, b) that share a prefix shingle, and (a, token, salt, n) of the members of those too frequent to pair.
+
+    Read as a stream sorted by shingle: at most one unfinished shingle of ``direct`` classes is held.
+    """
+    names = ["a", "b", "token", "salt", "n"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int32)]
+        # The shingle, and the last class of it, that is being passed on as frequent.
+        large_h, large_d = None, None
+        held, size = [], 0
+        for last, batch in ended(batches):
+            h, salt, d, n = ([*rest] if batch is None else [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns)])
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            if large_h is not None and len(h):
+                new[0] = h[0] != large_h or d[0] != large_d
+            h, salt, d, n = (x[new] for x in (h, salt, d, n))
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+            sizes = np.diff(np.append(start, len(h)))
+            many = (sizes > direct) | (salt[start] > 0)
+            if len(h) and large_h is not None:
+                many[0] |= h[0] == large_h
+            whole = len(h)
+            if not last and len(h) and not many[-1]:
+                whole = start[-1]
+            if len(h) and many[-1]:
+                large_h, large_d = h[-1], d[-1]
+            each, gone = np.repeat(sizes, sizes)[:whole], np.repeat(many, sizes)[:whole]
+            near = np.flatnonzero((each > 1) & ~gone)
+            for k in range(1, direct):
+                near = near[near + k < whole]
+                near = near[h[near] == h[near + k]]
+                if not len(near):
+                    break
+                fit = near[least.sizes_fit(n[near].astype(np.int64), n[near + k].astype(np.int64))]
+                held.append(np.stack([d[fit], d[fit + k]]))
+                size += len(fit)
+            at = np.flatnonzero(gone)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.nulls(len(at), pa.int64()), pa.array(h[at]), pa.array(salt[at]), pa.array(n[at])], names)
+            if size >= HELD or last:
+                a, b = distinct_pairs(held)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32()))], names)
                 held, size = [], 0
-        if size:
-            yield pack(held)
-
-    def pack(held: list[tuple]) -> pa.RecordBatch:
-        h, d, n = (np.concatenate([x[k] for x in held]) for k in range(3))
-        part = (mixed(h, 7) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        h, d, n = h[order], d[order], n[order]
-        full = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
-        cut = lambda x: [binary(x[bounds[p] : bounds[p + 1]]) for p in full]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (h, d, n))], ["part", "h", "d", "n"])
-
-    return df.select(F.lit(0), F.col(text)).mapInArrow(scan, "part int, h binary, d binary, n binary")
-
-
-def met(packed: DataFrame, least: Threshold, direct: int) -> DataFrame:
-    """Pairs of digests (a, b) that share a prefix shingle, and (a, token, n) of those too frequent to pair."""
-
-    def meet(group: pa.Table) -> pa.Table:
-        h, d, n = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("h", np.uint64), ("d", np.uint64), ("n", np.int32)))
-        order = np.lexsort((d, h))
-        h, d, n = h[order], d[order], n[order].astype(np.int64)
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d, n = h[new], d[new], n[new]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff(np.append(start, len(h)))
-        each = np.repeat(sizes, sizes)
-        pairs: list[np.ndarray] = []
-
-        def add(i: np.ndarray, j: np.ndarray) -> None:
-            fit = least.sizes_fit(n[i], n[j]) & (d[i] != d[j])
-            pairs.append(np.stack([np.minimum(d[i], d[j])[fit], np.maximum(d[i], d[j])[fit]], axis=1))
-
-        near = np.flatnonzero((each > 1) & (each <= direct))
-        for k in range(1, direct):
-            near = near[near + k < len(h)]
-            near = near[h[near] == h[near + k]]
-            if not len(near):
-                break
-            add(near, near + k)
-        large = each > direct
-        at = np.flatnonzero(large)
-        # Hubs: within a run of similar sizes, the document of least salted digest.
-        step = np.log(least.den / least.num)
-        for salt in range(min(HUBS, len(at))):
-            level = np.floor(np.log(n[at]) / step + salt / HUBS).astype(np.int64)
-            by = np.lexsort((mixed(d[at], 11 + salt), level, h[at]))
-            o, lv = at[by], level[by]
-            head = np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (lv[1:] != lv[:-1])])
-            add(o, o[np.flatnonzero(head)][np.cumsum(head) - 1])
-        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.uint64)
-        a = np.concatenate([found[:, 0], d[large]]).view(np.int64)
-        gone = len(found)
-        mask = np.arange(len(a)) >= gone
-        return pa.table(
-            {
-                "a": pa.array(a),
-                "b": pa.array(np.concatenate([found[:, 1], d[large]]).view(np.int64), mask=mask),
-                "token": pa.array(np.concatenate([found[:, 0], h[large]]).view(np.int64), mask=~mask),
-            }
-        )
-
-    return packed.groupBy("part").applyInArrow(meet, "a long, b long, token long")
+            rest = [x[whole:] for x in (h, salt, d, n)]
+
+    dealt = posted.repartition("h", "salt").sortWithinPartitions("h", "d")
+    return dealt.mapInArrow(meet, "a long, b long, token long, salt int, n int")
+
+
+def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
+    """Every batch, then once (True, None)."""
+    for batch in batches:
+        yield False, batch
+    yield True, None
+
+
+def hub_pairs(large: DataFrame, least: Threshold) -> DataFrame:
+    """Pairs (a, b) of each member of a frequent shingle and the hubs of its size: the members of least salted hash."""
+    out = []
+    for seed in range(HUBS):
+        rows = large.withColumn("level", least.band("n", seed / HUBS))
+        hubs = rows.groupBy("token", "level").agg(F.min_by(F.struct("a", "n"), F.xxhash64("a", F.lit(seed))).alias("hub"))
+        # A salted shingle's members stand in several tasks, each with a copy of the hubs.
+        hubs = rows.select("token", "level", "salt").distinct().join(hubs, ["token", "level"])
+        linked_to = rows.join(hubs, ["token", "level", "salt"]).where(F.col("a") != F.col("hub.a"))
+        fit = least.den * F.least("n", "hub.n") >= least.num * F.greatest("n", "hub.n")
+        out.append(linked_to.where(fit).select("a", F.col("hub.a").alias("b")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def candidates(pairs: DataFrame, classes: DataFrame, least: Threshold) -> DataFrame:
     """Pairs of classes (a, b, na, nb) that the size and sketch bounds leave; a is the smaller id."""
     x, y = (classes.select(*(F.col(c).alias(f"{c}_{k}") for c in ("d1", "cid", "n", "sketch"))) for k in "xy")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = pairs.join(x, F.col("d1_x") == F.col("a")).join(y, F.col("d1_y") == F.col("b"))
     both = both.where((least.den * F.least("n_x", "n_y") >= least.num * F.greatest("n_x", "n_y")) & (F.col("cid_x") != F.col("cid_y")))
 
@@ -231,110 +280,117 @@ def candidates(pairs: DataFrame, classes: DataFrame, least: Threshold) -> DataFr
     return both.select(*named, "sketch_x", "sketch_y").mapInArrow(near, "a long, b long, na long, nb long").distinct()
 
 
-def linked(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text: str, width: int, least: Threshold) -> DataFrame:
-    """The pairs that reach the threshold: partial overlaps per fragment, summed per pair."""
-    ids = stored(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+def linked(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text: str, width: int, least: Threshold, frequent, scratch: Scratch) -> DataFrame:
+    """The pairs that reach the threshold: partial overlaps counted per fragment, summed per pair."""
+    ids = scratch.stored(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
     wanted = ids.join(classes.select("cid", "d1", "d2"), "cid")
     if ids.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    docs = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text)).join(wanted, "cid")
+    docs = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text).alias("text")).join(wanted, "cid")
+    fragments = scratch.stored(cut(docs.select("cid", "text", "d1", "d2"), width, frequent).dropDuplicates(["cid", "fragment"]))
+    each = pairs.withColumn("fragment", F.explode(F.array(*(F.lit(k) for k in range(FRAGMENTS)))))
+    sides = each.join(fragments.select(F.col("cid").alias("a"), "fragment", F.col("part").alias("x")), ["a", "fragment"])
+    sides = sides.join(fragments.select(F.col("cid").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
+
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [shared(x, y) for x, y in zip(batch.column(3), batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64())], ["a", "b", "total", "n"])
+
+    partial = sides.select("a", "b", F.col("na") + F.col("nb"), "x", "y").mapInArrow(overlap, "a long, b long, total long, n long")
+    summed = partial.groupBy("a", "b", "total").agg(F.sum("n").alias("n"))
+    return summed.where(least.links(F.col("n"), F.col("total"))).select("a", "b")
+
+
+def cut(docs: DataFrame, width: int, frequent) -> DataFrame:
+    """(cid, fragment, part) of the rows (cid, text, d1, d2) whose text has the digests: each set's shingles by fragment, ascending."""
+    edges = np.array([(k << 64) // (FRAGMENTS - 1) for k in range(1, FRAGMENTS - 1)], np.uint64)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = [(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(*frequent.value)
         for block, h, sizes in shingled(batches, width):
             d1, d2 = digests(h, sizes)
             own = (d1.view(np.int64) == block.column(2).to_numpy()) & (d2.view(np.int64) == block.column(3).to_numpy())
-            cids, first = block.column(0).to_pylist(), np.cumsum(sizes) - sizes
-            rows = []
-            for t in np.flatnonzero(own).tolist():
-                own_set = h[first[t] : first[t] + sizes[t]]
-                rows.append((cids[t], [binary(x) for x in np.split(own_set, np.searchsorted(own_set, np.array(edges, np.uint64)))]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.binary())))], ["cid", "fragments"])
-
-    pieces = docs.select("cid", text, "d1", "d2").mapInArrow(cut, "cid long, fragments array<binary>").dropDuplicates(["cid"])
-    pieces = stored(pieces)
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            partial = [[shared(s, t) for s, t in zip(x, y)] for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(partial, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "partial"])
+            keep = np.repeat(own, sizes)
+            h, doc = h[keep], np.repeat(np.arange(len(sizes)), sizes)[keep]
+            which = np.where(order.places(h) >= 0, FRAGMENTS - 1, np.searchsorted(edges, h, side="right"))
+            by = np.lexsort((h, which, doc))
+            h, key = h[by], (doc * FRAGMENTS + which)[by]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(h) else np.empty(0, np.int64)
+            offsets = 8 * np.append(start, len(h))
+            parts = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(h))])
+            cids = block.column(0).cast(pa.int64()).to_numpy()[key[start] // FRAGMENTS]
+            yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array((key[start] % FRAGMENTS).astype(np.int32)), parts], ["cid", "fragment", "part"])
 
-    sides = pairs.join(pieces.select(F.col("cid").alias("a"), F.col("fragments").alias("x")), "a")
-    sides = sides.join(pieces.select(F.col("cid").alias("b"), F.col("fragments").alias("y")), "b")
-    counted = sides.select("a", "b", "na", "nb", "x", "y").mapInArrow(overlap, "a long, b long, na long, nb long, partial array<long>")
-    n = F.aggregate("partial", F.lit(0).cast("long"), lambda total, k: total + k)
-    return counted.where(least.den * n >= least.num * (F.col("na") + F.col("nb") - n)).select("a", "b")
+    return docs.mapInArrow(run, "cid long, fragment int, part binary")
 
 
-def shared(x: bytes, y: bytes) -> int:
+def shared(x: pa.BinaryScalar, y: pa.BinaryScalar) -> int:
     """Elements that two ascending fragments have in common."""
-    s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if not len(s) or not len(t):
-        return 0
+    s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
     s, t = (s, t) if len(s) <= len(t) else (t, s)
     return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
 
 
-def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Threshold, block: int, nearest: bool) -> DataFrame:
-    """Pairs of digests (a, b) from different components that share a frequent prefix shingle, by blocks.
+def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Threshold, block: int, nearest: bool, scratch: Scratch) -> DataFrame:
+    """Pairs of digests (a, b) from different components that share a frequent prefix shingle and whose sketches are near.
 
-    ``nearest``: of the pairs of a class outside its block's main component, only the one of least
-    sketch distance; a first pass over these contracts most of what a pass over all would pair.
+    A shingle whose classes are one component is done. Of any other, each class outside its main
+    component meets the classes of its own and the neighbouring size bands: blocks of those
+    outside by blocks of all, so what is sent and compared grows with the number outside.
+    ``nearest``: only the nearest class of each one outside and block; a first pass over these
+    contracts most of what a pass over all would pair.
     """
-    rows = large.join(classes, large["a"] == classes["d1"]).join(labels, classes["cid"] == labels["member"], "left")
-    rows = rows.select("token", "d1", "cid", "n", "sketch", F.coalesce("component", "cid").alias("component"))
-    rows = stored(rows)
-    rows = rows.join(rows.groupBy("cid").agg(F.collect_set("token").alias("tokens")), "cid")
-    split = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    n_blocks = (F.col("m") / block).cast("int") + 1
-    rows = rows.join(split.select("token", n_blocks.alias("k")), "token").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("k", "other")
+    rows = large.select("a", "token").join(classes.select(F.col("d1").alias("a"), "cid", "n"), "a").join(labels, F.col("cid") == F.col("member"), "left")
+    rows = rows.select("token", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(main.select("token", "main"), "token").join(classes.select("cid", "d1", "sketch"), "cid")
+    rows = scratch.stored(rows.select("token", "cid", "d1", "n", "component", "sketch", (F.col("component") != F.col("main")).alias("outside"), least.band("n").alias("band")))
+    outside = rows.where("outside").withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
+
+    def blocks_of(side: DataFrame, name: str) -> DataFrame:
+        by_size = (F.count("*") / block + F.sum(F.length("sketch") + 64) / BLOCK_BYTES).cast("int") + 1
+        return side.groupBy("token", "band").agg(by_size.alias(name))
+
+    grid = scratch.stored(blocks_of(outside, "n_i").join(blocks_of(rows, "n_j"), ["token", "band"]))
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["token", "band", "d1", "n", "component", "sketch"]
+    us = outside.join(grid, ["token", "band"]).select(*kept, own("n_i").alias("i"), every("n_j").alias("j"), F.lit(True).alias("us"))
+    them = rows.join(grid, ["token", "band"]).select(*kept, own("n_j").alias("j"), every("n_i").alias("i"), F.lit(False).alias("us"))
 
     def compare(group: pa.Table) -> pa.Table:
-        c = {name: group[name].to_numpy() for name in ("d1", "n", "component", "own", "i", "j")}
+        d, n, component, us = (group[name].to_numpy() for name in ("d1", "n", "component", "us"))
         sketch = group["sketch"].to_pylist()
         length = np.array([len(x) for x in sketch])
-        left = c["own"] == c["i"][0]
-        right = c["own"] == c["j"][0]
-        values, counts = np.unique(c["component"], return_counts=True)
-        main = c["component"] == values[counts.argmax()]
         out = []
         # Sizes that fit have sketches of the same length or of twice it, and those are compared at the shorter one.
-        for short in np.unique(length):
-            own = np.flatnonzero((length == short) | (length == 2 * short))
-            bits = np.stack([folded(sketch[k], int(short)) for k in own])
-            exact = length[own] == short
-            # Pairs inside the main component need no comparison, so each one left has an end outside it.
-            for us, them in ((left & ~main, right), (left & main, right & ~main)):
-                us, them = np.flatnonzero(us[own]), np.flatnonzero(them[own])
-                for start in range(0, len(us), 128):
-                    a = us[start : start + 128, None]
-                    x, y = own[a], own[them]
-                    fit = (exact[a] | exact[them]) & (c["component"][x] != c["component"][y]) & least.sizes_fit(c["n"][x], c["n"][y])
-                    p, q = np.nonzero(fit)
-                    for k in range(0, len(p), 1 << 16):
-                        x, y = us[start + p[k : k + (1 << 16)]], them[q[k : k + (1 << 16)]]
-                        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                        x, y = own[x], own[y]
-                        near = least.differ_fit(differ, c["n"][x] + c["n"][y])
-                        out.append(np.stack([x[near], y[near], differ[near]]))
-        x, y, differ = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
-        if not nearest:
-            # A pair that shares several frequent shingles is returned for the least of them alone.
-            earlier = [frozenset(t for t in tokens if t < here) for tokens, here in zip(group["tokens"].to_pylist(), group["token"].to_pylist())]
-            once = np.array([earlier[a].isdisjoint(earlier[b]) for a, b in zip(x.tolist(), y.tolist())], bool)
-            x, y = x[once], y[once]
-        else:
-            outer = np.where(main[x], y, x)
-            by = np.lexsort((c["d1"][x + y - outer], differ, outer))
-            first = by[np.flatnonzero(np.diff(outer[by], prepend=-1))]
-            x, y = x[first], y[first]
-        d, e = c["d1"][x], c["d1"][y]
-        found = np.unique(np.stack([np.minimum(d, e), np.maximum(d, e)], axis=1), axis=0)
-        return pa.table({name: pa.array(np.ascontiguousarray(found[:, k])) for k, name in enumerate("ab")})
-
-    return rows.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        for short in np.unique(length).tolist():
+            like = np.flatnonzero((length == short) | (length == 2 * short))
+            bits = np.stack([folded(sketch[k], short) for k in like])
+            exact = length[like] == short
+            left, right = np.flatnonzero(us[like]), np.flatnonzero(~us[like])
+            step = max(1, (4 << 20) // short)
+            for i in left.tolist():
+                x = like[i]
+                fit = (exact[i] | exact[right]) & (component[x] != component[like[right]]) & least.sizes_fit(n[x], n[like[right]])
+                others = right[fit]
+                found = []
+                for k in range(0, len(others), step):
+                    some = others[k : k + step]
+                    differ = np.bitwise_count(bits[i] ^ bits[some]).sum(axis=1, dtype=np.int64)
+                    near = least.differ_fit(differ, n[x] + n[like[some]])
+                    found.append(np.stack([np.full(near.sum(), x), like[some[near]], differ[near]]))
+                found = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+                if nearest and found.shape[1]:
+                    found = found[:, np.lexsort((d[found[1]], found[2]))[:1]]
+                out.append(found)
+        x, y, _ = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
+        a, b = distinct_pairs([np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y])])])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return us.unionByName(them).groupBy("token", "band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def ngram_components(
@@ -344,26 +400,28 @@ def ngram_components(
 
     ``direct`` and ``block`` only steer how candidates are paired; every value gives the same result.
     """
-    spark, least = df.sparkSession, Threshold(num, den)
-    scanned = stored(profiles(df, id_col, text, width))
+    spark, least, scratch = df.sparkSession, Threshold(num, den), Scratch(df.sparkSession)
+    scanned = scratch.stored(profiles(df, id_col, text, width))
     docs = scanned.where("found is null")
     found = scanned.where("found is not null").groupBy("d1").agg(F.sum("found").alias("n")).where(F.col("n") >= IN_ALL)
-    late = [r.d1 for r in found.orderBy(F.desc("n"), "d1").limit(FREQUENT).collect()]
-    frequent = spark.sparkContext.broadcast(np.array(late, np.int64).view(np.uint64))
+    late = found.orderBy(F.desc("n"), "d1").limit(FREQUENT).collect()
+    frequent = spark.sparkContext.broadcast((np.array([r.d1 for r in late], np.int64).view(np.uint64), np.array([r.n for r in late], np.int64)))
     own = docs.where("n > 0 and id is not null")
-    classes = stored(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("cid"), F.first("sketch").alias("sketch")))
-    packed = postings(df, text, width, least, frequent, 4 * partitions_for(df))
-    shared = stored(met(packed, least, direct))
-    links = stored(linked(stored(candidates(shared.where("b is not null").select("a", "b").distinct(), classes, least)), df, classes, id_col, text, width, least))
-    labels = stored(connected_components(links))
-    large = shared.where("b is null").select("a", "token")
+    classes = scratch.stored(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("cid"), F.first("sketch").alias("sketch")))
+    shared = scratch.stored(met(postings(df, text, width, least, frequent), least, direct))
+    large = shared.where("b is null").select("a", "token", "salt", "n")
+    verified = lambda pairs: linked(scratch.stored(candidates(pairs, classes, least)), df, classes, id_col, text, width, least, frequent, scratch)
+    first = shared.where("b is not null").select("a", "b").unionByName(hub_pairs(large, least))
+    labels = scratch.stored(connected_components(verified(first), scratch))
     for nearest in () if large.isEmpty() else (True, False):
-        more = stored(candidates(across(large, classes, labels, least, block, nearest), classes, least))
+        more = scratch.stored(candidates(across(large, classes, labels, least, block, nearest, scratch), classes, least))
         if more.isEmpty():
             break
-        links = labels.select(F.col("member").alias("a"), F.col("component").alias("b")).unionByName(linked(more, df, classes, id_col, text, width, least))
-        labels = stored(connected_components(links))
+        links = linked(more, df, classes, id_col, text, width, least, frequent, scratch)
+        labels = scratch.stored(connected_components(labels.select(F.col("member").alias("a"), F.col("component").alias("b")).unionByName(links), scratch))
     grouped = classes.join(labels, classes["cid"] == labels["member"], "left").select("d1", "d2", "n", F.coalesce("component", "cid").alias("component"))
     rows = docs.select("id", "n", "d1", "d2").join(grouped, ["d1", "d2", "n"], "left")
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    out = scratch.stored(rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id")))
+    scratch.clear(keep=1)
+    return out
