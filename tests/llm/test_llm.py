@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -261,7 +262,7 @@ def test_training_order_of_a_last_space(spark, spaced_texts, tmp_path):
     want = library(spaced_texts)
     coder, column = tokenbinary.Coder(MODEL), pa.array(spaced_texts, pa.string())
     assert [np.frombuffer(b, np.uint16).tolist() for b in coder(column)] == want
-    assert coder.totals(column).tolist() == [len(ids) for ids in want]
+    assert [np.frombuffer(b, np.uint16).tolist() for b in coder(column.slice(100))] == want[100:]
     rows = tokenbinary.training_order(documents(spark, spaced_texts[:12]), MODEL, path=f"file://{tmp_path}/shards", length=32).collect()
     ids = [np.array([*ids, 2] + [0] * (31 - len(ids)), np.uint16) for ids in want[:12]]
     assert {r.doc_id: (r.n_tokens, r.crc) for r in rows} == {i: (len(want[i]) + 1, zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
@@ -289,9 +290,16 @@ def test_training_order(spark, odd, odd_texts, empty, tmp_path):
     assert all(r.shard == r.slot // 50 and r.offset == r.slot % 50 * (16 + 64 + 1) for r in rows)
     rest = tokenbinary.read_training_order(spark, path, 32, 50, first_slot=77)
     assert rest.agg(F.min("slot"), F.count("*")).first() == (77, len(want) - 77)
+    for first in (0, 77, len(want) - 1, len(want)):
+        read = [(r["doc_id"], r["seq"]) for block in tokenbinary.resumed(path, 32, 50, first, at_once=7) for r in block]
+        assert read == [(r.doc_id, r.seq) for r in rows[first:]]
     assert tokenbinary.training_order(empty, MODEL).count() == 0
 
 
+def test_shard_size():
+    assert [tokenbinary.shard_size(n) for n in (0, 1, 10**6, 2048 * 8192, 2048 * 8192 + 2048, 10**12)] == [8192, 8192, 8192, 8192, 16384, 1 << 18]
+
+
 # 4
 
 
@@ -503,6 +511,60 @@ def test_html_spans_and_odd_markup():
         render(page)
 
 
+def table_brute(rows, widest):
+    """Every column that a span covers is marked in a grid; columns in which no cell begins are cut out."""
+    taken, cells = set(), {}
+    for r, row in enumerate(rows):
+        c = 0
+        for text, across, down in row:
+            while (r, c) in taken:
+                c += 1
+            cells[r, c] = text, across
+            taken |= {(r + i, c + k) for i in range(down) for k in range(across)}
+    columns = sorted({c for _, c in cells})
+    width = {c: max((len(t) for (_, k), (t, across) in cells.items() if k == c and across == 1 and (widest is None or len(t) <= widest)), default=0) for c in columns}
+    lines = []
+    for r in range(len(rows)):
+        full = [c for c in columns if cells.get((r, c), ("", 1))[0]]
+        if full:
+            lines.append(" | ".join(cells.get((r, c), ("", 1))[0].ljust(width[c]) for c in columns if c <= full[-1]).rstrip())
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("widest", [None, 4])
+def test_html_tables_equal_a_filled_grid(widest):
+    r = random.Random(8)
+    for _ in range(400):
+        rows = [[("x" * r.choice([0, 1, 3, 9]), r.choice([1, 1, 2, 3]), r.choice([1, 1, 2, 4])) for _ in range(r.randrange(6))] for _ in range(r.randrange(1, 7))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for t, a, d in row) for row in rows) + "</table>"
+        assert render(page, widest=widest) == table_brute(rows, widest), page
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table><tr>" + "<td>x" * 100_000,
+        "<table>" + ("<tr>" + "<td colspan=1000>x" * 1000) * 5,
+        "<table><tr>" + "<td rowspan=65534>x" * 2_000 + "<tr><td>y" * 500,
+        "<table>" + "<tr><td rowspan=9 colspan=7>y<td>z" * 20_000,
+        "<table><tr><td>" + "x<br>" * 100_000 + "<td>y" * 10,
+        "<ul><li>" * 20_000 + "x",
+        "<p>" + "word " * 1_000_000,
+    ],
+)
+def test_html_is_linear(page):
+    start = time.process_time()
+    assert "x" in (text := render(page)) or "y" in text or "word" in text
+    assert time.process_time() - start < 10
+
+
+def test_html_layout_bounds():
+    page = f"<table><tr><td>{'w' * 90}<td>b<tr><td>a<td>b</table>"
+    assert render(page).endswith("\na | b") and render(page, widest=None).endswith("\na" + " " * 90 + "| b")
+    deep = "<blockquote>" * 50 + "x"
+    assert render(deep) == " " * 80 + "x" and render(deep, deepest=None) == " " * 100 + "x"
+
+
 @pytest.mark.parametrize(
     "page,text",
     [

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from vellumspark.session import scratch_dir
 
+#: Bytes that a row of a block counts beside its text.
+ROW = 64
 #: The white space that separates words: space and the control characters 9 to 13.
 WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -58,15 +60,15 @@ def word_array(text):
 
 def blocks(batches: Iterator[pa.RecordBatch], text_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slice or gather record batches (first column an id, second a string) into blocks of about
-    ``text_bytes`` of text, so that memory follows the block and not Arrow's row count. A single
-    longer text makes a block of its own."""
+    ``text_bytes`` of text, so that memory follows the block and not Arrow's row count. A row counts
+    ``ROW`` bytes beside its text, and a single longer text makes a block of its own."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         start = 0
         lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(lengths):
-            size += int(n)
+            size += int(n) + ROW
             if size >= text_bytes:
                 held.append(batch.slice(start, i + 1 - start))
                 yield _joined(held)

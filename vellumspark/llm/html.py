@@ -10,13 +10,20 @@ of formulas (MathML) all but their annotations; neither is laid out, and ``use``
 Pages are rendered where they are scanned: no shuffle, memory bounded by a block of pages and
 the tree of one page. Neither builder nor renderer recurses, so depth is no limit.
 
-Defined results: a null or empty page has the empty text; repeated rows are rendered one by one;
-an empty table gives an empty table.
+Two parameters shape the layout and lose no text: a cell longer than ``widest`` does not widen its
+column, and lists and quotes nested deeper than ``deepest`` stand at that level's indent. None lifts
+either; then one long cell or deep nest pads every line near it, and output may grow with the
+square of the page, which is why neither is the default.
+
+Defined results: a null or empty page has the empty text; very long pages, wide tables and great spans
+take time in proportion to the page and to what is written; repeated rows are rendered one by one;
+further columns, whatever their names, are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import insort
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -64,10 +71,8 @@ CLOSES = {
 }
 WHITE = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: A cell longer than this does not widen its column.
-WIDEST = 80
-#: Levels of lists and quotes that indent; deeper text stands at the indent of this one.
-DEEPEST = 40
+#: The longest cell that widens its column, and the levels of lists and quotes that indent, unless told otherwise.
+WIDEST, DEEPEST = 80, 40
 
 
 class Node:
@@ -214,7 +219,8 @@ def visible(node: Node, parent: Node | None) -> bool:
 class Canvas:
     """Lines of text under construction, with the prefixes of the lists and quotes around them."""
 
-    def __init__(self):
+    def __init__(self, deepest: int | None):
+        self.deepest = deepest
         self.lines: list[str] = []
         self.inline: list[str] = []
         self.space = self.margin = False
@@ -246,7 +252,7 @@ class Canvas:
         if self.margin and self.lines and self.lines[-1]:
             self.lines.append("")
         self.margin = False
-        lead = "".join(p.pop(0) if len(p) > 1 else p[0] for p in self.prefixes[-DEEPEST:])
+        lead = "".join(p.pop(0) if len(p) > 1 else p[0] for p in (self.prefixes if self.deepest is None else self.prefixes[-self.deepest :]))
         self.lines.append((lead + text).rstrip())
 
     def done(self) -> list[str]:
@@ -257,45 +263,68 @@ class Canvas:
 
 
 class Table:
+    """Cells by row and first column. What spans of earlier rows take is kept as intervals (first column, end, last row)."""
+
     def __init__(self):
         self.rows: list[dict[int, list[str]]] = []
-        self.spans: dict[int, int] = {}
+        self.spans: list[tuple[int, int, int]] = []
+        self.begun: list[tuple[int, int, int]] = []
         self.wide: set[tuple[int, int]] = set()
+        self.column = self.near = 0
 
     def row(self) -> None:
         self.rows.append({})
-        self.spans = {c: n - 1 for c, n in self.spans.items() if n > 1}
+        for span in self.begun:
+            insort(self.spans, span)
+        self.begun, self.column, self.near = [], 0, 0
+
+    def free(self) -> int:
+        """The next column of the row that no span takes; spans that have ended go on the way."""
+        here = len(self.rows) - 1
+        while self.near < len(self.spans) and self.spans[self.near][0] <= self.column:
+            _, end, last = self.spans[self.near]
+            if last < here:
+                del self.spans[self.near]
+            else:
+                self.column = max(self.column, end)
+                self.near += 1
+        return self.column
 
     def cell(self, lines: list[str], attrs: dict[str, str]) -> None:
         if not self.rows:
             self.row()
         number = lambda k, most: min(most, max(1, int(v))) if re.fullmatch("[0-9]{1,9}", v := attrs.get(k, "").strip()) else 1
-        c, across = 0, number("colspan", 1000)
-        while c in self.rows[-1] or c in self.spans:
-            c += 1
+        here, c, across, down = len(self.rows) - 1, self.free(), number("colspan", 1000), number("rowspan", 65534)
         self.rows[-1][c] = lines
+        self.column = c + across
         if across > 1:
-            self.wide.add((len(self.rows) - 1, c))
-        for k in range(c, c + across):
-            self.rows[-1].setdefault(k, [])
-            if (down := number("rowspan", 65534)) > 1:
-                self.spans[k] = down
-
-    def lines(self) -> Iterator[str]:
-        widths: dict[int, int] = {}
+            self.wide.add((here, c))
+        if down > 1:
+            self.begun.append((c, c + across, here + down - 1))
+
+    def lines(self, widest: int | None) -> Iterator[str]:
+        """The rows as text; columns in which no cell begins have no place."""
+        widths = dict.fromkeys(sorted({c for row in self.rows for c in row}), 0)
         for r, row in enumerate(self.rows):
             for c, cell in row.items():
-                own = max((len(x) for x in cell if len(x) <= WIDEST), default=0)
-                widths[c] = max(widths.get(c, 0), 0 if (r, c) in self.wide else own)
+                if (r, c) not in self.wide:
+                    widths[c] = max(widths[c], max((len(x) for x in cell if widest is None or len(x) <= widest), default=0))
+        place = {c: k for k, c in enumerate(widths)}
+        blank = [" " * n for n in widths.values()]
         for row in self.rows:
+            tall = sorted(row, key=lambda c: len(row[c]))
             for k in range(max((len(x) for x in row.values()), default=0)):
-                last = max(c for c, x in row.items() if k < len(x))
-                yield " | ".join((row[c][k] if c in row and k < len(row[c]) else "").ljust(widths.get(c, 0)) for c in range(last + 1)).rstrip()
+                while len(row[tall[0]]) <= k:
+                    tall.pop(0)
+                out = blank[: max(place[c] for c in tall) + 1]
+                for c in tall:
+                    out[place[c]] = row[c][k].ljust(widths[c])
+                yield " | ".join(out).rstrip()
 
 
-def render(page: str | None) -> str:
+def render(page: str | None, widest: int | None = WIDEST, deepest: int | None = DEEPEST) -> str:
     """The visible text of a page."""
-    canvases, tables, lists = [Canvas()], [], []
+    canvases, tables, lists = [Canvas(deepest)], [], []
     stack: list[tuple] = [("enter", tree(page or ""), None)]
     pre = 0
     while stack:
@@ -356,7 +385,7 @@ def render(page: str | None) -> str:
             elif tag == "tr" and tables:
                 tables[-1].row()
             elif tag in CELLS and tables:
-                canvases.append(Canvas())
+                canvases.append(Canvas(deepest))
                 lists.append(None)
             elif tag == "q":
                 canvas.add("“")
@@ -392,18 +421,18 @@ def render(page: str | None) -> str:
         elif tag == "table":
             table = tables.pop()
             canvas.margin = canvas.margin or bool(table.rows)
-            for line in table.lines():
+            for line in table.lines(widest):
                 canvas.line(line)
             canvas.margin = True
     return "\n".join(canvases[0].done())
 
 
-def html_text(df: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, text, n_chars, n_lines) of each page."""
+def html_text(df: DataFrame, id_col: str = "page_id", html: str = "html", widest: int | None = WIDEST, deepest: int | None = DEEPEST) -> DataFrame:
+    """(id, text, n_chars, n_lines) of each page; ``widest`` and ``deepest`` as told above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 4 << 20):
-            texts = [render(h) for h in batch.column(1).to_pylist()]
+            texts = [render(h, widest, deepest) for h in batch.column(1).to_pylist()]
             counts = [pa.array([len(t) for t in texts], pa.int64()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *counts], ["id", "text", "n_chars", "n_lines"])
 

@@ -3,18 +3,21 @@
 Documents become sequences of ``length`` token ids: a document's ids and an end mark, cut every
 ``length`` and padded. Sequences are numbered from 0 without gaps (a running sum over the tasks
 that wrote them), and a keyed Feistel permutation, walked along its cycle until it falls inside
-the range, gives each a global slot. Slots are dealt by range: shard k holds slots k * S to
-(k + 1) * S - 1 in order, as records of one stride, so the record of slot s starts at byte
-(s mod S) * stride of shard s div S. A reader goes on from any slot by seeking.
-
-A first pass counts the sequences of every task, without keeping ids; the second makes them, with
-their slots, so ids move once, from the tokenising task to their shard. Both passes must deal the
-rows to tasks alike, as scans of the same files do; a task that finds another count than the
-first time fails. Shards are written by Spark's text writer from raw bytes, so they go through
-its commit protocol to whatever store the path names; the record's last byte is the line end.
-
-Defined results: a null or empty text is one sequence with the end mark alone; repeated rows give
-repeated sequences; an empty table writes no shard and gives an empty table.
+the range, gives each a global slot. Slots are dealt by range, one shard to a task: shard k holds
+slots k * S to (k + 1) * S - 1 in order, as records of one stride, so the record of slot s starts
+at byte (s mod S) * stride of shard s div S. A reader goes on from any slot by seeking.
+
+Texts are tokenised once; their ids are written, compressed and without padding, to the shared
+folder, each document with the task that made it and the number of its first sequence there.
+What numbers a sequence is thus in that table, so tasks repeated or dealt anew after a lost
+executor find the same slots. Records cross the shuffle unpadded too and are filled up behind it.
+Shards are written by Spark's text writer from raw bytes, so they go through its commit protocol
+to whatever store the path names; the record's last byte is the line end.
+
+Defined results: a null or empty text is one sequence with the end mark alone; a null id is
+written as -1; repeated rows give repeated sequences; a very long text is many sequences, numbered
+in a row and spread over the shards like all others; further columns, whatever their names, are
+not read; an empty table writes no shard and gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,79 +35,93 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import blocks, scratch_dir
+from vellumspark.llm.common import Scratch, blocks
 from vellumspark.llm.tokencount import encodable, lone_space, processor
+from vellumspark.session import scratch_dir
 
 #: A record: document id, number of the sequence in it, ids that count, the ids, a line end.
 HEADER = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n_tokens", "<i4")])
-LENGTH, SHARD, ROUNDS = 256, 1 << 15, 6
+LENGTH, ROUNDS = 256, 6
+#: Records of a shard: at least, at most, and shards aimed at in between.
+LEAST, MOST, SHARDS = 1 << 13, 1 << 18, 2048
 
 
 def record(length: int) -> np.dtype:
     return np.dtype([*HEADER.descr, ("ids", "<u2", (length,)), ("line_end", "u1")])
 
 
+def shard_size(total: int) -> int:
+    """Records of a shard for so many sequences: a power of two, so that files are neither many nor tiny."""
+    return min(MOST, max(LEAST, 1 << max(0, total // SHARDS - 1).bit_length()))
+
+
 #: Pre-tokens whose ids a Python worker holds before it starts afresh.
-HELD = 250_000
+HELD = 400_000
 
 
 class Coder:
     """Ids of texts; the ids of pre-tokens met before are at hand, ``HELD`` of them and a block's.
 
-    Texts are split and their distinct pre-tokens found by Arrow; Python sees the distinct ones.
+    Texts are split and their distinct pre-tokens found and looked up by Arrow; Python sees the new ones.
     """
 
     def __init__(self, model: str):
-        self.model, self.known = model, {}
-
-    def coded(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each pre-token, two bytes an id."""
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        # No pre-token is empty but a lone white space less the one the library adds.
+        self.known = pa.array([""], pa.large_string())
+        self.ids = np.array(lone_space(self.model), np.uint16)
+        self.ends = np.array([0, len(self.ids)])
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece, of an array of distinct ones, among those known; new ones are made known."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(at.is_null())
+        at = at.to_numpy(zero_copy_only=False).astype(np.float64)
+        at[np.isnan(at)] = len(self.known) + np.arange(len(new))
+        if len(new):
+            coded = processor(self.model).encode(new.to_pylist(), num_threads=1)
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint16, int(sizes.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return at.astype(np.int64)
+
+    def coded(self, column: pa.Array) -> pa.Array:
+        """The ids of each text as bytes, two an id."""
         if len(self.known) > HELD:
-            self.known = {}
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            self.known.update(zip(new, (array("H", ids).tobytes() for ids in processor(self.model).encode(new, num_threads=1))))
-        return [self.known[p] for p in pieces]
-
-    def _apart(self, text: str) -> bytes:
-        """The ids of a text with white space to spare."""
-        pieces = encodable(text)
-        lone = array("H", lone_space(self.model)).tobytes()
-        return b"".join(ids if p else lone for p, ids in zip(pieces, self.coded(pieces)))
-
-    def _words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], dict[int, bytes]]:
-        """(word places, offsets of texts among the words, ids of each distinct word, ids of texts with white space to spare)."""
+            self.forget()
         column = column.cast(pa.large_string()).fill_null("")
-        spare = [pc.match_substring(column, "  "), pc.match_substring(column, "▁"), pc.starts_with(column, " "), pc.ends_with(column, " ")]
-        odd = np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in spare])
+        spare = [pc.match_substring(column, "  "), pc.match_substring(column, "▁"), pc.starts_with(column, " "), pc.ends_with(column, " "), pc.equal(column, "")]
+        odd = np.flatnonzero(np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in spare])).tolist()
         words = pc.split_pattern(column, " ")
-        coded = words.flatten().dictionary_encode()
-        apart = {int(k): self._apart(column[int(k)].as_py()) for k in np.flatnonzero(odd)}
-        offsets = words.offsets.to_numpy()
-        return coded.indices.to_numpy(), offsets - offsets[0], self.coded(coded.dictionary.to_pylist()), apart
-
-    def totals(self, column: pa.Array) -> np.ndarray:
-        """How many ids each text has."""
-        which, offsets, ids, apart = self._words(column)
-        sizes = np.array([len(i) // 2 for i in ids], np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes[which])])[offsets]
-        out = np.diff(ends)
-        for k, own in apart.items():
-            out[k] = len(own) // 2
-        return out
+        each = words.flatten().dictionary_encode()
+        place = self.places(each.dictionary)[each.indices.to_numpy()]
+        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        if odd:
+            # Texts with white space to spare are split by the pattern of pre-tokens.
+            pieces = [encodable(column[k].as_py()) for k in odd]
+            own = pa.array(list(chain.from_iterable(pieces)), pa.large_string()).dictionary_encode()
+            own_place = self.places(own.dictionary)[own.indices.to_numpy()]
+            own_ends = np.cumsum([len(p) for p in pieces])
+            counts = np.diff(bounds)
+            runs, at = [], 0
+            for k, end, p in zip(odd, own_ends.tolist(), pieces):
+                runs += [place[at : bounds[k]], own_place[end - len(p) : end]]
+                at = bounds[k + 1]
+                counts[k] = len(p)
+            place = np.concatenate([*runs, place[at:]])
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+        sizes = np.diff(self.ends)[place]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.ends[place] - ends[:-1], sizes)
+        at += np.arange(len(at))
+        return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(2 * ends[bounds]), pa.py_buffer(self.ids[at])])
 
     def __call__(self, column: pa.Array) -> list[bytes]:
-        """The ids of each text, two bytes an id."""
-        which, offsets, ids, apart = self._words(column)
-        sizes = np.array([len(i) // 2 for i in ids], np.int32)
-        flat = np.frombuffer(b"".join(ids), np.uint16)
-        n = sizes[which]
-        ends = np.cumsum(n, dtype=np.int64)
-        at = np.repeat(((np.cumsum(sizes) - sizes)[which] - (ends - n)).astype(np.int32), n)
-        at += np.arange(len(at), dtype=np.int32)
-        every = flat[at].tobytes()
-        bounds = (2 * np.concatenate([[0], ends])[offsets]).tolist()
-        return [apart[k] if k in apart else every[a:b] for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
+        return self.coded(column).to_pylist()
 
 
 @lru_cache(maxsize=2)
@@ -118,10 +135,13 @@ def sequences(counts: np.ndarray, length: int) -> np.ndarray:
     return -(-(counts + 1) // length)
 
 
-def records(doc_ids: np.ndarray, coded: list[bytes], end_mark: int, length: int) -> np.ndarray:
-    """The records of a block of documents."""
-    ids = np.frombuffer(b"".join(coded), np.uint16)
-    counts = np.array([len(c) // 2 for c in coded], np.int64)
+def records(doc_ids: np.ndarray, coded: pa.Array, end_mark: int, length: int) -> np.ndarray:
+    """The records of a block of documents; ``coded`` as of ``Coder.coded``."""
+    coded = pa.concat_arrays([coded.cast(pa.large_binary())])
+    _, offsets, data = coded.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[coded.offset : coded.offset + len(coded) + 1]
+    ids = np.frombuffer(data or b"", np.uint16)[offsets[0] // 2 : offsets[-1] // 2]
+    counts = np.diff(offsets) // 2
     total, n = counts + 1, sequences(counts, length)
     doc = np.repeat(np.arange(len(counts)), n)
     seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -136,6 +156,15 @@ def records(doc_ids: np.ndarray, coded: list[bytes], end_mark: int, length: int)
     return out
 
 
+def unpadded(raw: np.ndarray) -> pa.Array:
+    """Records as binary rows of header and ids that count."""
+    body = raw.view(np.uint8).reshape(len(raw), -1)
+    sizes = HEADER.itemsize + 2 * raw["n_tokens"].astype(np.int64)
+    flat = body[np.arange(body.shape[1]) < sizes[:, None]]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """A permutation of 0 to n - 1 chosen by ``key``, applied to ``index``."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
@@ -153,47 +182,56 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def write_training_order(df: DataFrame, model: str, path: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, shard: int = SHARD, key: int = 1) -> int:
-    """Write the shards under ``path``; returns the number of sequences. A null id is written as -1."""
-
-    rows = df.select(F.col(id_col).cast("long"), F.col(text))
+def tokenised(df: DataFrame, model: str, id_col: str, text: str, length: int) -> DataFrame:
+    """(doc_id, ids, part, first): the ids of each document, the task that made them, and the number of its first sequence in that task."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(sequences(coder(model).totals(b.column(1)), length).sum()) for b in blocks(batches, 6 << 20))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    # One number per task.
-    counts = {r.part: r.n for r in rows.mapInArrow(count, "part int, n long").collect()}
-    total = sum(counts.values())
-    parts = sorted(counts)
-    places = df.sparkSession.sparkContext.broadcast({p: (first, counts[p]) for p, first in zip(parts, np.cumsum([0] + [counts[p] for p in parts]).tolist())})
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, expected = places.value[TaskContext.get().partitionId()]
-        n, end_mark = 0, processor(model).eos_id()
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
         for batch in blocks(batches, 6 << 20):
-            doc_ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            made = records(doc_ids, coder(model)(batch.column(1)), end_mark, length)
-            slots = feistel(np.arange(first + n, first + n + len(made)), total, key)
-            n += len(made)
+            coded = coder(model).coded(batch.column(1))
+            made = sequences(pc.binary_length(coded).to_numpy() // 2, length)
+            first = n + np.cumsum(made) - made
+            n += int(made.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0).fill_null(-1), coded.cast(pa.binary()), pa.array(np.full(len(first), part, np.int32)), pa.array(first)], ["doc_id", "ids", "part", "first"])
+
+    return df.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(code, "doc_id long, ids binary, part int, first long")
+
+
+def write_training_order(
+    df: DataFrame, model: str, path: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, shard: int | None = None, key: int = 1
+) -> tuple[int, int]:
+    """Write the shards under ``path``; returns the number of sequences and the records of a shard (``shard_size`` unless given)."""
+    scratch = Scratch(df.sparkSession)
+    docs = scratch.stored(tokenised(df, model, id_col, text, length))
+    last = F.col("first") + F.ceil((F.length("ids") / 2 + 1) / length)
+    # One number per task.
+    counts = {r.part: r.n for r in docs.groupBy("part").agg(F.max(last).cast("long").alias("n")).collect()}
+    total, parts = sum(counts.values()), sorted(counts)
+    shard = shard or shard_size(total)
+    places = df.sparkSession.sparkContext.broadcast(dict(zip(parts, np.cumsum([0] + [counts[p] for p in parts]).tolist())))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end_mark = processor(model).eos_id()
+        for batch in blocks(batches, 2 << 20):
+            made = records(batch.column(0).to_numpy(), batch.column(1), end_mark, length)
+            n = sequences(pc.binary_length(batch.column(1)).to_numpy() // 2, length)
+            first = np.array([places.value[p] for p in batch.column(2).to_pylist()], np.int64) + batch.column(3).to_numpy()
+            slots = feistel(np.repeat(first, n) + made["seq"], total, key)
             for i in range(0, len(made), 4096):
-                raw, slot = made[i : i + 4096], slots[i : i + 4096]
-                # The line end is the writer's, so a row carries all bytes but the last.
-                body = np.frombuffer(raw.tobytes(), np.uint8).reshape(len(raw), -1)[:, :-1]
-                offsets = np.arange(len(raw) + 1, dtype=np.int32) * body.shape[1]
-                column = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard).astype(np.int32)), column], ["slot", "shard", "body"])
-        if n != expected:
-            raise RuntimeError(f"a task made {n} sequences after counting {expected}: its rows were dealt anew")
-
-    placed = rows.mapInArrow(cut, "slot long, shard int, body binary").select("slot", "shard", F.col("body").cast("string").alias("value"))
-    n_shards = max(1, -(-total // shard))
-    ordered = placed.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot")
-    ordered.select("value", "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
-    return total
-
-
-def read_training_order(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, first_slot: int = 0) -> DataFrame:
+                slot = slots[i : i + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard).astype(np.int32)), unpadded(made[i : i + 4096])], ["slot", "shard", "body"])
+
+    if total:
+        placed = docs.select("doc_id", "ids", "part", "first").mapInArrow(place, "slot long, shard int, body binary")
+        ordered = placed.repartitionById(-(-total // shard), F.col("shard")).sortWithinPartitions("shard", "slot")
+        # The line end is the writer's, so a row carries all bytes but the last.
+        whole = F.rpad("body", record(length).itemsize - 1, F.lit(b"\0"))
+        ordered.select(whole.cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
+    scratch.clear()
+    return total, shard
+
+
+def read_training_order(spark: SparkSession, path: str, length: int, shard: int, first_slot: int = 0) -> DataFrame:
     """(slot, shard, offset, doc_id, seq, n_tokens, crc) of the records from ``first_slot`` on; whole shards before it are not read."""
     kind = record(length)
 
@@ -208,14 +246,34 @@ def read_training_order(spark: SparkSession, path: str, length: int = LENGTH, sh
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard int").load(path)
     files = files.where(F.col("shard") >= first_slot // shard).select("shard", "content")
-    return files.mapInArrow(parse, "slot long, shard int, offset long, doc_id long, seq int, n_tokens int, crc long")
+    return files.mapInArrow(parse, READ)
 
 
-def training_order(df: DataFrame, model: str, path: str | None = None, **options) -> DataFrame:
+READ = "slot long, shard int, offset long, doc_id long, seq int, n_tokens int, crc long"
+
+
+def resumed(path: str, length: int, shard: int, first_slot: int = 0, at_once: int = 256) -> Iterator[np.ndarray]:
+    """Records from ``first_slot`` on in slot order, ``at_once`` of a shard at a time, for a trainer: it seeks and holds no shard."""
+    from pyarrow import fs
+
+    kind = record(length)
+    store, root = fs.FileSystem.from_uri(path)
+    while True:
+        number, offset = divmod(first_slot, shard)
+        files = store.get_file_info(fs.FileSelector(f"{root}/shard={number}", allow_not_found=True))
+        files = [f for f in files if f.type == fs.FileType.File and f.size]
+        if not files or offset * kind.itemsize >= files[0].size:
+            return
+        with store.open_input_file(files[0].path) as file:
+            file.seek(offset * kind.itemsize)
+            while raw := file.read(at_once * kind.itemsize):
+                yield np.frombuffer(raw, kind)
+                first_slot += len(raw) // kind.itemsize
+
+
+def training_order(df: DataFrame, model: str, path: str | None = None, length: int = LENGTH, **options) -> DataFrame:
     """Write the shards (to the shared folder unless ``path`` is given) and read them back, one row per sequence."""
     spark = df.sparkSession
     path = path or scratch_dir(spark)
-    sizes = {k: options[k] for k in ("length", "shard") if k in options}
-    if not write_training_order(df, model, path, **options):
-        return spark.createDataFrame([], "slot long, shard int, offset long, doc_id long, seq int, n_tokens int, crc long")
-    return read_training_order(spark, path, **sizes)
+    total, shard = write_training_order(df, model, path, length=length, **options)
+    return read_training_order(spark, path, length, shard) if total else spark.createDataFrame([], READ)
