@@ -10,11 +10,13 @@ counts are summed per pair.
 Candidates come from prefixes: a pair above the threshold shares a shingle among the first few
 of both. Prefix shingles are dealt by shingle, sorted inside their partition (which spills) and
 read as a stream, so no group is held. A shingle shared by more than a few classes does not
-pair them: these are linked to a few hubs first; once those links are verified and contracted,
-only classes outside a shingle's main component meet the others of about their size, in blocks
-bounded in rows and bytes, the nearest ones first. A pair inside a component changes no
+pair them: shingles with the same class of least hash, which those of one passage or group of
+near copies mostly have, make one group of classes, so that a pair meets once and not once per
+shingle. The classes of a group are linked to a few hubs; once those links are verified and
+contracted, only classes outside a group's main component meet the others of about their size, in
+blocks bounded in rows and bytes, the nearest ones first. A pair inside a component changes no
 component, so nothing is lost and no cap is needed. A shingle that is known to be very frequent
-is salted from the start.
+is salted from the start, and so are the joins of a group with its hubs.
 
 Fingerprints have 64 bits; two different shingles are taken for equal with probability 2**-64.
 
@@ -49,7 +51,9 @@ IN_BLOCK, IN_ALL = 3, 30
 COUNTED = 4 << 20
 #: Classes that share a prefix shingle and are paired directly; beyond, by hubs and blocks.
 DIRECT = 16
-HUBS = 2
+HUBS = 3
+#: Tasks among which the classes of a group are dealt to meet its hubs.
+SPREAD = 16
 #: Rows and bytes of a block of classes that meet another block.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Finds of a frequent shingle for each of its salts.
@@ -247,17 +251,24 @@ def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBa
     yield True, None
 
 
-def hub_pairs(large: DataFrame, least: Threshold) -> DataFrame:
-    """Pairs (a, b) of each member of a frequent shingle and the hubs of its size: the members of least salted hash."""
+def groups(large: DataFrame) -> DataFrame:
+    """(grouped, a, n): the members of each frequent shingle, in one group with those of other shingles of the same least member."""
+    least = large.groupBy("token").agg(F.min_by("a", F.xxhash64("a")).alias("grouped"))
+    # A salted shingle's members stand in several tasks, each with a copy of its group's name.
+    least = large.select("token", "salt").distinct().join(least, "token")
+    return large.join(least, ["token", "salt"]).select("grouped", "a", "n").distinct()
+
+
+def hub_pairs(members: DataFrame, least: Threshold) -> DataFrame:
+    """Pairs (a, b) of each class and the hubs of its group and size: those of least salted hash."""
     out = []
     for seed in range(HUBS):
-        rows = large.withColumn("level", least.band("n", seed / HUBS))
-        hubs = rows.groupBy("token", "level").agg(F.min_by(F.struct("a", "n"), F.xxhash64("a", F.lit(seed))).alias("hub"))
-        # A salted shingle's members stand in several tasks, each with a copy of the hubs.
-        hubs = rows.select("token", "level", "salt").distinct().join(hubs, ["token", "level"])
-        linked_to = rows.join(hubs, ["token", "level", "salt"]).where(F.col("a") != F.col("hub.a"))
+        rows = members.withColumn("level", least.band("n", seed / HUBS))
+        hubs = rows.groupBy("grouped", "level").agg(F.min_by(F.struct("a", "n"), F.xxhash64("a", F.lit(seed + 1))).alias("hub"))
+        hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64("a", F.lit(-1)), F.lit(SPREAD)).cast("int")).join(hubs, ["grouped", "level", "salt"])
         fit = least.den * F.least("n", "hub.n") >= least.num * F.greatest("n", "hub.n")
-        out.append(linked_to.where(fit).select("a", F.col("hub.a").alias("b")))
+        out.append(met.where((F.col("a") != F.col("hub.a")) & fit).select("a", F.col("hub.a").alias("b")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -280,26 +291,42 @@ def candidates(pairs: DataFrame, classes: DataFrame, least: Threshold) -> DataFr
     return both.select(*named, "sketch_x", "sketch_y").mapInArrow(near, "a long, b long, na long, nb long").distinct()
 
 
-def linked(pairs: DataFrame, df: DataFrame, classes: DataFrame, id_col: str, text: str, width: int, least: Threshold, frequent, scratch: Scratch) -> DataFrame:
-    """The pairs that reach the threshold: partial overlaps counted per fragment, summed per pair."""
-    ids = scratch.stored(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-    wanted = ids.join(classes.select("cid", "d1", "d2"), "cid")
-    if ids.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    docs = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text).alias("text")).join(wanted, "cid")
-    fragments = scratch.stored(cut(docs.select("cid", "text", "d1", "d2"), width, frequent).dropDuplicates(["cid", "fragment"]))
-    each = pairs.withColumn("fragment", F.explode(F.array(*(F.lit(k) for k in range(FRAGMENTS)))))
-    sides = each.join(fragments.select(F.col("cid").alias("a"), "fragment", F.col("part").alias("x")), ["a", "fragment"])
-    sides = sides.join(fragments.select(F.col("cid").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [shared(x, y) for x, y in zip(batch.column(3), batch.column(4))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64())], ["a", "b", "total", "n"])
-
-    partial = sides.select("a", "b", F.col("na") + F.col("nb"), "x", "y").mapInArrow(overlap, "a long, b long, total long, n long")
-    summed = partial.groupBy("a", "b", "total").agg(F.sum("n").alias("n"))
-    return summed.where(least.links(F.col("n"), F.col("total"))).select("a", "b")
+class Verifier:
+    """Counts overlaps of pairs of classes; fragments of a set are cut when a pair first needs them, and kept."""
+
+    def __init__(self, df: DataFrame, classes: DataFrame, id_col: str, text: str, width: int, least: Threshold, frequent, scratch: Scratch):
+        self.docs = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text).alias("text"))
+        self.classes, self.width, self.least, self.frequent, self.scratch = classes, width, least, frequent, scratch
+        self.had: DataFrame | None = None
+        self.fragments: DataFrame | None = None
+
+    def cut(self, pairs: DataFrame) -> None:
+        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        ids = self.scratch.stored(ids.join(self.had, "cid", "left_anti") if self.had else ids)
+        n = ids.count()
+        if self.had and not n:
+            return
+        wanted = ids.join(self.classes.select("cid", "d1", "d2"), "cid")
+        docs = self.docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "cid").select("cid", "text", "d1", "d2")
+        new = self.scratch.stored(cut(docs, self.width, self.frequent).dropDuplicates(["cid", "fragment"]))
+        self.had = self.had.unionByName(ids) if self.had else ids
+        self.fragments = self.fragments.unionByName(new) if self.fragments else new
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Of the stored pairs (a, b, na, nb) those that reach the threshold: partial overlaps per fragment, summed per pair."""
+        self.cut(pairs)
+        each = pairs.withColumn("fragment", F.explode(F.array(*(F.lit(k) for k in range(FRAGMENTS)))))
+        sides = each.join(self.fragments.select(F.col("cid").alias("a"), "fragment", F.col("part").alias("x")), ["a", "fragment"])
+        sides = sides.join(self.fragments.select(F.col("cid").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
+
+        def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts = [shared(x, y) for x, y in zip(batch.column(3), batch.column(4))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64())], ["a", "b", "total", "n"])
+
+        partial = sides.select("a", "b", F.col("na") + F.col("nb"), "x", "y").mapInArrow(overlap, "a long, b long, total long, n long")
+        summed = partial.groupBy("a", "b", "total").agg(F.sum("n").alias("n"))
+        return summed.where(self.least.links(F.col("n"), F.col("total"))).select("a", "b")
 
 
 def cut(docs: DataFrame, width: int, frequent) -> DataFrame:
@@ -332,33 +359,33 @@ def shared(x: pa.BinaryScalar, y: pa.BinaryScalar) -> int:
     return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
 
 
-def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Threshold, block: int, nearest: bool, scratch: Scratch) -> DataFrame:
-    """Pairs of digests (a, b) from different components that share a frequent prefix shingle and whose sketches are near.
+def across(members: DataFrame, classes: DataFrame, labels: DataFrame, least: Threshold, block: int, nearest: bool, scratch: Scratch) -> DataFrame:
+    """Pairs of digests (a, b) of a group, from different components, whose sketches are near.
 
-    A shingle whose classes are one component is done. Of any other, each class outside its main
+    A group whose classes are one component is done. Of any other, each class outside its main
     component meets the classes of its own and the neighbouring size bands: blocks of those
     outside by blocks of all, so what is sent and compared grows with the number outside.
     ``nearest``: only the nearest class of each one outside and block; a first pass over these
     contracts most of what a pass over all would pair.
     """
-    rows = large.select("a", "token").join(classes.select(F.col("d1").alias("a"), "cid", "n"), "a").join(labels, F.col("cid") == F.col("member"), "left")
-    rows = rows.select("token", "cid", "n", F.coalesce("component", "cid").alias("component"))
-    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(main.select("token", "main"), "token").join(classes.select("cid", "d1", "sketch"), "cid")
-    rows = scratch.stored(rows.select("token", "cid", "d1", "n", "component", "sketch", (F.col("component") != F.col("main")).alias("outside"), least.band("n").alias("band")))
+    rows = members.select("grouped", "a").join(classes.select(F.col("d1").alias("a"), "cid", "n"), "a").join(labels, F.col("cid") == F.col("member"), "left")
+    rows = rows.select("grouped", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    sizes = rows.groupBy("grouped", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("grouped").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(main.select("grouped", "main"), "grouped").join(classes.select("cid", "d1", "sketch"), "cid")
+    rows = scratch.stored(rows.select("grouped", "cid", "d1", "n", "component", "sketch", (F.col("component") != F.col("main")).alias("outside"), least.band("n").alias("band")))
     outside = rows.where("outside").withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
 
     def blocks_of(side: DataFrame, name: str) -> DataFrame:
         by_size = (F.count("*") / block + F.sum(F.length("sketch") + 64) / BLOCK_BYTES).cast("int") + 1
-        return side.groupBy("token", "band").agg(by_size.alias(name))
+        return side.groupBy("grouped", "band").agg(by_size.alias(name))
 
-    grid = scratch.stored(blocks_of(outside, "n_i").join(blocks_of(rows, "n_j"), ["token", "band"]))
+    grid = scratch.stored(blocks_of(outside, "n_i").join(blocks_of(rows, "n_j"), ["grouped", "band"]))
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["token", "band", "d1", "n", "component", "sketch"]
-    us = outside.join(grid, ["token", "band"]).select(*kept, own("n_i").alias("i"), every("n_j").alias("j"), F.lit(True).alias("us"))
-    them = rows.join(grid, ["token", "band"]).select(*kept, own("n_j").alias("j"), every("n_i").alias("i"), F.lit(False).alias("us"))
+    kept = ["grouped", "band", "d1", "n", "component", "sketch"]
+    us = outside.join(grid, ["grouped", "band"]).select(*kept, own("n_i").alias("i"), every("n_j").alias("j"), F.lit(True).alias("us"))
+    them = rows.join(grid, ["grouped", "band"]).select(*kept, own("n_j").alias("j"), every("n_i").alias("i"), F.lit(False).alias("us"))
 
     def compare(group: pa.Table) -> pa.Table:
         d, n, component, us = (group[name].to_numpy() for name in ("d1", "n", "component", "us"))
@@ -390,7 +417,7 @@ def across(large: DataFrame, classes: DataFrame, labels: DataFrame, least: Thres
         a, b = distinct_pairs([np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y])])])
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return us.unionByName(them).groupBy("token", "band", "i", "j").applyInArrow(compare, "a long, b long")
+    return us.unionByName(them).groupBy("grouped", "band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def ngram_components(
@@ -410,15 +437,17 @@ def ngram_components(
     classes = scratch.stored(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("cid"), F.first("sketch").alias("sketch")))
     shared = scratch.stored(met(postings(df, text, width, least, frequent), least, direct))
     large = shared.where("b is null").select("a", "token", "salt", "n")
-    verified = lambda pairs: linked(scratch.stored(candidates(pairs, classes, least)), df, classes, id_col, text, width, least, frequent, scratch)
-    first = shared.where("b is not null").select("a", "b").unionByName(hub_pairs(large, least))
-    labels = scratch.stored(connected_components(verified(first), scratch))
-    for nearest in () if large.isEmpty() else (True, False):
-        more = scratch.stored(candidates(across(large, classes, labels, least, block, nearest, scratch), classes, least))
+    members = scratch.stored(groups(large))
+    verifier = Verifier(df, classes, id_col, text, width, least, frequent, scratch)
+    first = shared.where("b is not null").select("a", "b").unionByName(hub_pairs(members, least))
+    links = verifier.linked(scratch.stored(candidates(first, classes, least)))
+    labels = scratch.stored(connected_components(links, scratch))
+    for nearest in () if members.isEmpty() else (True, False):
+        more = scratch.stored(candidates(across(members, classes, labels, least, block, nearest, scratch), classes, least))
         if more.isEmpty():
             break
-        links = linked(more, df, classes, id_col, text, width, least, frequent, scratch)
-        labels = scratch.stored(connected_components(labels.select(F.col("member").alias("a"), F.col("component").alias("b")).unionByName(links), scratch))
+        links = labels.select(F.col("member").alias("a"), F.col("component").alias("b")).unionByName(verifier.linked(more))
+        labels = scratch.stored(connected_components(links, scratch))
     grouped = classes.join(labels, classes["cid"] == labels["member"], "left").select("d1", "d2", "n", F.coalesce("component", "cid").alias("component"))
     rows = docs.select("id", "n", "d1", "d2").join(grouped, ["d1", "d2", "n"], "left")
     alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

@@ -261,7 +261,7 @@ def resumed(path: str, length: int, shard: int, first_slot: int = 0, at_once: in
     while True:
         number, offset = divmod(first_slot, shard)
         files = store.get_file_info(fs.FileSelector(f"{root}/shard={number}", allow_not_found=True))
-        files = [f for f in files if f.type == fs.FileType.File and f.size]
+        files = [f for f in files if f.base_name.startswith("part-")]
         if not files or offset * kind.itemsize >= files[0].size:
             return
         with store.open_input_file(files[0].path) as file:
