@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumspark.llm import gru, pii, queries, tokenbinary
+from vellumspark.llm import gru, pii, queries, tokenbinary, topk
 from vellumspark.llm.components import connected_components
 from vellumspark.llm.html import html_text, render
 from vellumspark.llm.mixing import mix_sources
@@ -99,6 +99,33 @@ def test_top_k_takes_every_row_of_an_id(spark):
     assert got == {a: [(b, s) for s, b in best] for a, best in want.items()}
 
 
+@pytest.mark.parametrize("skewed,most", [(True, 0.25), (False, 0.8)])
+def test_top_k_stops_reading(skewed, most):
+    r = np.random.default_rng(24)
+    x = np.floor(256 * r.normal(size=(20_000, 24)) * (r.pareto(1.5, size=(20_000, 1)) if skewed else 1))
+    q, ids = np.floor(256 * r.normal(size=(40, 24))), np.arange(20_000)
+    reader = topk.Reader(ids[:40] * 500, q, 5, np.full(40, -np.inf))
+    for start in range(0, len(ids), topk.LISTS):
+        reader.take(ids[start : start + topk.LISTS], x[start : start + topk.LISTS])
+    scores = q @ x.T
+    scores[np.arange(40), ids[:40] * 500] = -np.inf
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    query, found, score = reader.rows()
+    assert found.reshape(40, 5).tolist() == want.tolist() and score.tolist() == np.take_along_axis(scores, want, 1).ravel().tolist()
+    assert reader.read < most * reader.entries
+
+
+def test_top_k_long_and_uneven_vectors(spark):
+    r = np.random.default_rng(34)
+    vectors = {i: r.normal(size=n).tolist() for i, n in enumerate([20_000, 3, 20_000, 1, 19_999, 0])}
+    wide = {i: v + [0.0] * (20_000 - len(v)) for i, v in vectors.items()}
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors.items()], "vec_id long, embedding array<double>, query_id int, b string")
+    got = defaultdict(list)
+    for x in exact_top_k(df, every=2, k=3, block=2).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    assert got == top_brute(wide, 2, 3)
+
+
 def test_top_k_empty(spark):
     assert exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

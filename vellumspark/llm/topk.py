@@ -1,27 +1,32 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Candidates and queries are dealt into blocks by hash and every query block meets every
-candidate block in a task of its own. Inside a task each dimension is a list of the
-candidates sorted by component; a query reads it from the top where its own component is
-positive and from the bottom where it is negative. The lists of all queries of a block are
-read to the same depth. What has been read gives each candidate a lower bound (unread entries
-count as the end of their list) and an upper bound (unread entries count as the frontier).
-Candidates whose upper bound is below the k-th lower bound of every query drop out; reading
-stops when each query has no more than k left or the lists end, and the scores of those left
-are resolved. Bounds are matrix products over integers, exact in the chosen float type.
-
-Each task returns k rows per query at most, and a window keeps the best k of them.
+Candidates and queries are dealt into blocks by hash, and every query block meets every candidate
+block in a task of its own. Blocks are as large as memory allows (``BLOCK_BYTES``) once there are
+enough of them to keep the tasks busy, so that few copies of either side are sent.
+
+Inside a task the candidates are taken ``LISTS`` at a time. Each dimension is a list of them sorted by
+component; a query reads it from the top where its own component is positive and from the bottom
+where it is negative, a step at a time. What has been read gives each candidate a lower bound
+(unread entries count as the end of their list) and an upper bound (unread entries count as the
+frontier). A candidate whose upper bound is below the query's bar drops out for that query. The bar
+is the k-th best score known: of lower bounds here, or of final scores in the lists before, here or,
+by a first round over one block of candidates, in any task. A query stops reading when few
+candidates are left, and the scores of those alone are resolved. Bounds and scores are sums of
+products of integers, exact in the chosen float type.
+
+Each task returns k rows per query at most, none of them below the bar of the first round, and a
+window keeps the best k.
 
 Defined results: rows with a null id, a null vector, or a null or non-finite component take no
 part; rows equal in id and vector count once, other rows that share an id each take part, as
 candidates and as queries, whose k best are taken together; vectors of unequal length count as
-padded with zeros; ties go to the smaller id; an empty table gives an empty table.
+padded with zeros, and very long ones make blocks of fewer rows; ties go to the smaller id; further
+columns, whatever their names, are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vellumspark.llm.common import stored
+from vellumspark.llm.common import partitions_for, stored
 
 #: Shares of the lists read before each look at the bounds.
-DEPTHS = (0.5, 0.875, 1.0)
+DEPTHS = tuple(i / 16 for i in (1, 2, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15))
+#: A query stops reading when this share of the candidates of its lists, or less, is left.
+FEW = 1 / 16
+#: Candidates whose lists are read together, and queries that read them together.
+LISTS, READERS = 2048, 512
+#: Bytes of a block of candidates or queries, as doubles.
+BLOCK_BYTES = 32 << 20
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
@@ -62,81 +73,131 @@ def exact_type(x: np.ndarray, q: np.ndarray) -> type:
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
-def aggregate_lists(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, candidate ids, scores) of the k best candidates of each query."""
-    kind = exact_type(x, q)
-    by_id = np.argsort(ids)
-    ids, x = ids[by_id], x[by_id]
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    own = query_ids[:, None] == ids[None, :]
-    if kind is object:
-        whole = [[int(v) for v in row] for row in x.tolist()]
-        scores = np.array([[sum(int(a) * b for a, b in zip(row, other)) for other in whole] for row in q.tolist()], dtype=object).reshape(len(q), len(ids))
-        alive = np.arange(len(ids))
-    else:
-        x, up, down = x.astype(kind), up.astype(kind), down.astype(kind)
-        m = len(ids)
-        place = np.empty(x.shape, np.int32)
+class Reader:
+    """The k best candidates of each query of a block, over lists read one set after the other."""
+
+    def __init__(self, query_ids: np.ndarray, q: np.ndarray, k: int, bar: np.ndarray):
+        self.query_ids, self.q, self.k = query_ids, q, k
+        #: The least score that can still enter each query's result.
+        self.bar = bar.astype(np.float64)
+        self.best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
+        #: Entries read from lists or to resolve scores, and entries there are.
+        self.read = self.entries = 0
+
+    def take(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Read the lists of one set of candidates."""
+        kind = exact_type(x, self.q)
+        for start in range(0, len(self.query_ids), READERS):
+            rows = np.arange(start, min(start + READERS, len(self.query_ids)))
+            if kind is object:
+                pairs = np.nonzero(self.query_ids[rows][:, None] != ids[None, :])
+                scores = [sum(int(a) * int(b) for a, b in zip(self.q[rows[i]].tolist(), x[j].tolist())) for i, j in zip(*pairs)]
+                self.keep(rows, ids, *pairs, scores)
+            else:
+                self.keep(rows, ids, *self.survivors(rows, ids, x.astype(kind), self.q[rows].astype(kind)))
+
+    def survivors(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, score) of the candidates that no bound excludes."""
+        m, d = x.shape
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
         order = np.argsort(-x, axis=0, kind="stable")
+        place = np.empty(x.shape, np.int32)
         np.put_along_axis(place, order, np.arange(m, dtype=np.int32)[:, None], axis=0)
         least, most = x.min(axis=0), x.max(axis=0)
-        alive = np.arange(m)
-        for share in DEPTHS[:-1]:
-            depth = math.ceil(share * m)
-            if len(alive) <= k or not depth:
+        alive = self.query_ids[rows][:, None] != ids[None, :]
+        reading, self.entries = np.arange(len(rows)), self.entries + d * m * len(rows)
+        depth = 0
+        for share in DEPTHS:
+            before, depth = depth, math.ceil(share * m)
+            if m <= self.k or not len(reading):
                 break
-            top = x[order[depth - 1], np.arange(x.shape[1])]
-            bottom = x[order[m - depth], np.arange(x.shape[1])]
-            part, at = x[alive], place[alive]
-            read_top, read_bottom = at < depth, at >= m - depth
-            upper = up @ np.where(read_top, part, top).T + down @ np.where(read_bottom, part, bottom).T
-            lower = up @ np.where(read_top, part, least).T + down @ np.where(read_bottom, part, most).T
-            mine = own[:, alive]
-            upper[mine] = lower[mine] = -np.inf
-            bar = np.partition(lower, len(alive) - k, axis=1)[:, len(alive) - k]
-            alive = alive[(upper >= bar[:, None]).any(axis=0)]
-        scores = (up + down) @ x[alive].T
-    for i, query in enumerate(query_ids):
-        row = scores[i]
-        open_to = np.flatnonzero(~own[i, alive])
-        if kind is not object and len(open_to) > k:
-            values = row[open_to]
-            bar = np.partition(values, len(values) - k)[len(values) - k]
-            open_to = open_to[values >= bar]
-        best = sorted(open_to.tolist(), key=lambda j: (-row[j], ids[alive[j]]))[:k] if len(open_to) < 64 else open_to[np.lexsort((ids[alive[open_to]], -row[open_to]))][:k].tolist()
-        yield int(query), ids[alive[best]], np.array([max(-(2**63), min(2**63 - 1, int(row[j]))) for j in best], dtype=np.int64)
-
-
-def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block: int = 2048) -> DataFrame:
+            self.read += d * (depth - before) * len(reading)
+            some = np.flatnonzero(alive[reading].any(axis=0))
+            top, bottom = x[order[depth - 1], np.arange(d)], x[order[m - depth], np.arange(d)]
+            read_top, read_bottom = place[some] < depth, place[some] >= m - depth
+            upper = up[reading] @ np.where(read_top, x[some], top).T + down[reading] @ np.where(read_bottom, x[some], bottom).T
+            lower = up[reading] @ np.where(read_top, x[some], least).T + down[reading] @ np.where(read_bottom, x[some], most).T
+            lower[~alive[np.ix_(reading, some)]] = -np.inf
+            if len(some) >= self.k:
+                here = np.partition(lower, len(some) - self.k, axis=1)[:, len(some) - self.k]
+                self.bar[rows[reading]] = np.maximum(self.bar[rows[reading]], here)
+            alive[np.ix_(reading, some)] &= upper >= self.bar[rows[reading]][:, None]
+            reading = reading[alive[reading].sum(axis=1) > max(self.k, FEW * m)]
+        i, j = np.nonzero(alive)
+        self.read += d * len(i)
+        if len(i) > alive.size // 4:
+            return i, j, (q @ x.T)[i, j]
+        step = max(1, (4 << 20) // d)
+        return i, j, np.concatenate([np.einsum("pd,pd->p", q[i[a : a + step]], x[j[a : a + step]]) for a in range(0, len(i), step)] or [np.empty(0)])
+
+    def keep(self, rows: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray, scores) -> None:
+        """Add final scores to the best of each query, and raise its bar."""
+        scores = np.asarray(scores, dtype=object if len(scores) and isinstance(scores[0], int) else None)
+        bounds = np.searchsorted(i, np.arange(len(rows) + 1))
+        for r, a, b in zip(rows.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            if a == b:
+                continue
+            own, own_ids = scores[a:b], ids[j[a:b]]
+            if scores.dtype != object and b - a > self.k:
+                fine = own >= np.partition(own, b - a - self.k)[b - a - self.k]
+                own, own_ids = own[fine], own_ids[fine]
+            found = self.best[r] + [(-int(s), int(c)) for s, c in zip(own.tolist(), own_ids.tolist())]
+            self.best[r] = sorted(found)[: self.k]
+            if len(self.best[r]) == self.k:
+                self.bar[r] = max(self.bar[r], float(-self.best[r][-1][0]))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, candidate ids, scores) of the best; scores beyond a long's range saturate."""
+        flat = [(int(q), c, max(-(2**63), min(2**63 - 1, -s))) for q, best in zip(self.query_ids, self.best) for s, c in best]
+        return tuple(np.array([f[k] for f in flat], np.int64) for k in range(3))
+
+
+def n_blocks(n: int, width: int, block: int, tasks: int) -> int:
+    """Blocks of ``block`` rows up to ``tasks`` of them; beyond, larger ones up to ``BLOCK_BYTES``."""
+    most = max(1, BLOCK_BYTES // (8 * max(1, width)))
+    return max(1, math.ceil(n / most), min(math.ceil(n / block), tasks))
+
+
+def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, scale: int = 256, block: int = LISTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates for each row whose id ``every`` divides.
 
-    ``block``: vectors of a candidate or query block; the blocks' number follows the table. Scores
-    beyond the range of a long saturate at its ends.
+    ``block``: least vectors of a candidate block. Scores beyond the range of a long saturate at its ends.
     """
     rows = stored(whole_vectors(df, id_col, vector, scale))
     asked = rows.where(F.col("id") % every == 0)
-    n_blocks = max(1, math.ceil(rows.count() / block))
-    n_query_blocks = max(1, math.ceil(asked.count() / block))
-    across = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    mine = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
-    candidates = rows.select("id", "v", mine(n_blocks).alias("b")).withColumn("q", across(n_query_blocks))
-    queries = asked.select("id", "v", mine(n_query_blocks).alias("q")).withColumn("b", across(n_blocks))
+    n, width, n_asked = rows.agg(F.count("*"), F.max(F.size("v")), F.count(F.when(F.col("id") % every == 0, 1))).first()
+    tasks = 2 * partitions_for(df)
+    n_b, n_q = n_blocks(n, width or 0, block, tasks), n_blocks(n_asked, width or 0, n_asked or 1, 1)
+    mine = lambda m: F.pmod(F.xxhash64("id", "v"), F.lit(m)).cast("int")
+    candidates = rows.select("id", "v", mine(n_b).alias("b"))
+    queries = asked.select("id", "v", mine(n_q).alias("q"))
+    first = best_of(candidates.where("b = 0"), queries.withColumn("bar", F.lit(None).cast("long")), [0], n_q, k)
+    first = stored(first)
+    bars = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.sort_array(F.collect_list("score"), False)[k - 1]).alias("bar"))
+    told = queries.join(bars.select(F.col("query_id").alias("id"), "bar"), "id", "left").select("id", "v", "q", "bar")
+    rest = best_of(candidates.where("b > 0"), told, range(1, n_b), n_q, k)
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def best_of(candidates: DataFrame, queries: DataFrame, numbers, n_q: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block of candidates (id, v, b), of those ``numbers``, for each query (id, v, q, bar)."""
+    numbers = list(numbers)
+    left = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    queries = queries.select(F.col("id").alias("asker"), F.col("v").alias("asked"), "q", "bar")
+    right = queries.withColumn("b", F.explode(F.sequence(F.lit(numbers[0]), F.lit(numbers[-1])))) if numbers else queries.withColumn("b", F.lit(0)).where("false")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple] = []
+        found = [np.empty(0, np.int64)] * 3
         if left.num_rows and right.num_rows:
-            width = max(pc.max(pc.list_value_length(t["v"])).as_py() for t in (left, right))
-            args = [f(t) for t in (left, right) for f in (lambda t: t["id"].to_numpy(), lambda t: matrix(t["v"], width))]
-            found = list(aggregate_lists(*args, k))
-        sizes = [len(f[1]) for f in found]
-        return pa.table(
-            {
-                "query_id": pa.array(np.repeat([f[0] for f in found], sizes).astype(np.int64), pa.int64()),
-                "vec_id": pa.array(np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64), pa.int64()),
-                "score": pa.array(np.concatenate([f[2] for f in found]) if found else np.empty(0, np.int64), pa.int64()),
-            }
-        )
-
-    met = candidates.groupBy("b", "q").cogroup(queries.groupBy("b", "q")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            width = max(pc.max(pc.list_value_length(t)).as_py() for t in (left["v"], right["asked"]))
+            ids, x = left["id"].to_numpy(), matrix(left["v"], width)
+            bar = np.array([-np.inf if b is None else b for b in right["bar"].to_pylist()])
+            reader = Reader(right["asker"].to_numpy(), matrix(right["asked"], width), k, bar)
+            for start in range(0, len(ids), LISTS):
+                reader.take(ids[start : start + LISTS], x[start : start + LISTS])
+            found = reader.rows()
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found))))
+
+    return left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(meet, "query_id long, vec_id long, score long")
