@@ -8,17 +8,23 @@ on the table of cells (source, size, count), which grows with the number of dist
 not with the documents. Rates then become whole copies: cumulative rounding along the cells,
 a correction that moves what is left over with the smallest documents, and a ranking by hash
 inside each cell. Large cells are cut into buckets before they are ranked, so a source or a
-group of copies that holds a third of all rows never meets in one task.
+group of copies that holds a third of all rows never meets in one task. The list of sources, one
+short row each with its sums, is ordered and filled in one task; cells and documents never are.
+
+Sums over tasks are of decimals, so they do not depend on the order in which tasks end and reruns
+agree to the last copy.
 
 Defined results: null or empty texts have size 0 and take 0; null sources form one source, the
-last; repeated rows are mixed row by row; an empty table gives an empty table.
+last; repeated rows are mixed row by row, rows of equal id and size may change places; a very long
+text is one of its size; further columns, whatever their names, are not read; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -57,6 +63,11 @@ def targets(cells: DataFrame, weights: Sequence[int], budget: float, cap: float)
     return ranked.select("source", "present", "source_size", filled.alias("target"))
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles to nine decimals, the same in any order."""
+    return F.sum(x.cast("decimal(28,9)")).cast("double")
+
+
 def multipliers(cells: DataFrame, goals: DataFrame, cap: float, steps: int = STEPS) -> DataFrame:
     """Newton iterations; ``lambda`` is null where the target leaves no choice (every rate is the cap)."""
     spread = cells.groupBy("source", "present").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.greatest(F.sum(F.col("size") * F.col("n")), F.lit(1))).alias("scale"))
@@ -70,8 +81,8 @@ def multipliers(cells: DataFrame, goals: DataFrame, cap: float, steps: int = STE
             .where(F.col("lambda").isNotNull() & (F.col("size") > 0))
             .groupBy(*state.columns)
             .agg(
-                F.sum(tokens * F.least(tilt, F.lit(cap))).alias("f"),
-                F.sum(F.when(tilt < cap, tokens * tilt * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope"),
+                exact_sum(tokens * F.least(tilt, F.lit(cap))).alias("f"),
+                exact_sum(F.when(tilt < cap, tokens * tilt * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope"),
             )
         )
         step = F.when(F.col("slope") > 0, (F.log("target") - F.log("f")) * F.col("f") / F.col("slope")).otherwise(-F.col("lambda") / 2)

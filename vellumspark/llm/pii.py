@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumspark.llm.common import blocks
 
@@ -288,14 +289,11 @@ def redacted(text: str | None) -> str | None:
     """``text`` with each span, or run of overlapping spans, replaced by its first kind in brackets."""
     if not text:
         return text
-    out, at, spans = [], 0, find_personal_data(text)[1]
-    while spans:
-        start, kind, end = spans[0]
-        while len(spans) > 1 and spans[1][0] < end:
-            end = max(end, spans.pop(1)[2])
-        out += (text[at:start], f"[{KINDS[kind].upper()}]")
-        at = end
-        spans = spans[1:]
+    out, at = [], 0
+    for start, kind, end in find_personal_data(text)[1]:
+        if not out or start >= at:
+            out += (text[at:start], f"[{KINDS[kind].upper()}]")
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 
@@ -326,10 +324,15 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the personal data of its text column replaced; all other columns stay."""
+    """``df`` with the personal data of its text column replaced; all other columns stay, whatever their names and order."""
+    rest = [c for c in df.columns if c != text]
 
-    @F.pandas_udf("string")
-    def replace(texts):
-        return texts.map(redacted, na_action="ignore")
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, 4 << 20):
+            texts = pa.array([redacted(t) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["rest", "text"])
 
-    return df.withColumn(text, replace(F.col(text)))
+    packed = df.select((F.struct(*rest) if rest else F.lit(0)).alias("rest"), F.col(text).alias("text"))
+    schema = T.StructType([packed.schema["rest"], T.StructField("text", T.StringType())])
+    done = packed.mapInArrow(replace, schema)
+    return done.select(*(F.col("text").alias(text) if c == text else F.col("rest")[c].alias(c) for c in df.columns))

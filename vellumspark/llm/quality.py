@@ -4,9 +4,13 @@ Every metric is a DataFrame expression; the rows of ``RULES`` compile into one b
 column. No user function, shuffle or join takes part: a document is judged by the task that
 scans it, so nothing is skewed by a hot source or a group of copies.
 
+A word is hashed once; hashes of neighbouring words join to those of two, four and eight, so a window
+costs three joins of two numbers.
+
 Defined results: a null or empty text has no words and no lines, all its ratios are 0 and the
-least-length rule rejects it; repeated rows are judged one by one; columns that bear the name
-of a metric are replaced; an empty table gives an empty table.
+least-length rule rejects it; a very long text is judged whole, its arrays in one row; repeated rows
+are judged one by one; columns that bear the name of a metric are replaced; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -52,12 +56,9 @@ RULES = (
 HELD = ("_words", "_lines", "_windows")
 
 
-def window_hashes(words: Column, width: int) -> Column:
-    """A 64-bit hash for each window of ``width`` words; none for shorter texts."""
-    return F.when(
-        F.size(words) >= width,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width))),
-    ).otherwise(F.array().cast("array<bigint>"))
+def paired(hashes: Column, apart: int) -> Column:
+    """Hashes of windows of twice the width: each joined with the one ``apart`` places on."""
+    return F.zip_with(F.slice(hashes, 1, F.size(hashes) - apart), F.slice(hashes, apart + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
 
 def repeated_window_words(windows: Column, width: int) -> Column:
@@ -66,12 +67,12 @@ def repeated_window_words(windows: Column, width: int) -> Column:
     Only a text that has equal windows sorts them; their places then add up as a union of
     intervals.
     """
-    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_union(_repeated(ordered), width))
 
 
 def _repeated(ordered: Column) -> Column:
-    return F.array_sort(
+    return F.sort_array(
         F.transform(
             F.filter(
                 F.zip_with(
@@ -100,17 +101,22 @@ def _union(places: Column, width: int) -> Column:
 
 
 def with_metrics(df: DataFrame, text: str = "text", width: int = 8) -> DataFrame:
-    """Add every metric of the rules. Arrays that several metrics read are projections of their
-    own, so a text is split and hashed once."""
+    """Add every metric of the rules; ``width``, of the windows searched for repeats, is a power of two.
+
+    Arrays that several metrics read are projections of their own, so a text is split and hashed once."""
+    if width & (width - 1):
+        raise ValueError("width must be a power of two")
     t = F.coalesce(F.col(text), F.lit(""))
     per = lambda x, n: F.coalesce(F.try_divide(x, n), F.lit(0.0))
     df = df.withColumn("_words", word_array(F.col(text)))
     df = df.withColumns(
         {
             "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
-            "_windows": window_hashes(F.col("_words"), width),
+            "_windows": F.when(F.size("_words") >= width, F.transform("_words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")),
         }
     )
+    for k in range(width.bit_length() - 1):
+        df = df.withColumn("_windows", F.when(F.size("_words") >= width, paired(F.col("_windows"), 1 << k)).otherwise(F.col("_windows")))
     stop = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS + [w.capitalize() for w in STOP_WORDS] + [w.upper() for w in STOP_WORDS])))
     n, lines = F.size("_words"), F.size("_lines")
     df = df.withColumns(

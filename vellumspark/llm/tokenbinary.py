@@ -202,7 +202,7 @@ def write_training_order(
 ) -> tuple[int, int]:
     """Write the shards under ``path``; returns the number of sequences and the records of a shard (``shard_size`` unless given)."""
     scratch = Scratch(df.sparkSession)
-    docs = scratch.stored(tokenised(df, model, id_col, text, length))
+    docs = scratch.stored(tokenised(df, model, id_col, text, length), level=9)
     last = F.col("first") + F.ceil((F.length("ids") / 2 + 1) / length)
     # One number per task.
     counts = {r.part: r.n for r in docs.groupBy("part").agg(F.max(last).cast("long").alias("n")).collect()}

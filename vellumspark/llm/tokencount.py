@@ -9,10 +9,13 @@ rows, and partial sums go back to the documents.
 Pre-tokens of a fixed head never travel: the ``HEAD`` most frequent ones of a bounded sample of
 documents are counted beforehand and broadcast (at most ``HEAD`` strings of at most
 ``HEAD_CHARS`` code points). The sample decides only what is shuffled; every pre-token of every
-whole text is counted.
+whole text is counted. Longer pre-tokens are no part of the head, so they are salted: a rule line
+or address that very many documents share is counted once in each of ``SALTS`` partitions and
+meets in none.
 
 Defined results: a null or empty text has no bytes and no tokens; repeated rows are counted row
-by row; an empty table gives an empty table.
+by row; a very long text or pre-token is counted whole, in a block of its own; further columns,
+whatever their names, are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from vellumspark.llm.common import blocks, partitions_for
 
 #: Head pre-tokens that are broadcast, the longest of them, and the documents sampled to choose them.
 HEAD, HEAD_CHARS, SAMPLE = 65_536, 32, 4_000
+#: Partitions of a pre-token too long for the head, and counted pre-tokens a task holds before it starts afresh.
+SALTS, HELD = 64, 500_000
 
 PRE_TOKEN = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 
@@ -127,6 +132,8 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text: str =
         for batch in batches:
             codes = batch.column(3).dictionary_encode()
             distinct = codes.dictionary.to_pylist()
+            if len(counted) > HELD:
+                counted = {}
             new = [t for t in distinct if t not in counted]
             if new:
                 counted.update(zip(new, piece_counts(model, new)))
@@ -136,8 +143,9 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], n], ["row", "id", "n_bytes", "n"])
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(text), F.col(id_col).cast("long"))
+    salt = F.when(F.length("token") > HEAD_CHARS, F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0)
     spread = rows.mapInArrow(frequencies, "row long, id long, n_bytes long, token string, n long").repartition(
-        partitions_for(df), F.coalesce("token", F.col("row").cast("string"))
+        partitions_for(df), F.coalesce("token", F.col("row").cast("string")), salt
     )
     sums = spread.mapInArrow(joined, "row long, id long, n_bytes long, n long").groupBy("row")
     whole = sums.agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
