@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions import svgpath, web
 from vellumspark.operators import components, debugviz, font, limiter, match, raster, recognise, strokes, trace
-from vellumspark.plans import photo
+from vellumspark.plans import drawing, photo
 from vellumspark.sources import images
+from vellumspark.streaming import limiter as stream_limiter
 
 
 def pixels(spark, image, value="g"):
@@ -292,3 +293,94 @@ def test_sessions(spark):
     rows = [('{"fontBase64":"AA","charsFound":["a"]}',), ('{"fontBase64":"","charsFound":["a"]}',), ("{oops",), (None,), ('{"fontBase64":"AA"}',)]
     got = [r.intact for r in images.read_sessions(spark.createDataFrame(rows, "json string")).collect()]
     assert got == [True, False, False, False, False]
+
+
+def test_stream_limiter_carries_and_drops_states(spark, tmp_path):
+    r = np.random.default_rng(9)
+    day, source = 86_400_000_000, str(tmp_path / "in")
+    rows = []
+    for n in range(4):
+        # A hot client, others, and one that is seen in the first batch alone.
+        clients = [1] * 60 + r.integers(2, 6, 40).tolist() + ([99] if n == 0 else [])
+        rows.append([(int(c), n * 1000 + i, int(n * 30 * 60_000_000 + r.integers(0, 30 * 60_000_000))) for i, c in enumerate(clients)])
+        part = spark.createDataFrame(rows[-1], "client long, id long, t long").select("client", "id", F.timestamp_micros("t").alias("ts"))
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("client long, id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    got = stream_limiter.limited_stream(stream, out, str(tmp_path / "progress"), window=60_000_000, most=2, lateness=60_000_000)
+    everything = spark.createDataFrame([x for part in rows for x in part], "client long, id long, t long").select("client", "id", F.timestamp_micros("t").alias("ts"))
+    want = limiter.limited(everything, 60_000_000, 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    states = spark.read.parquet(out).where("kind = 'state'").groupBy("batch").agg(F.collect_set("client").alias("clients"), F.count("*").alias("n")).orderBy("batch").collect()
+    assert [99 in s.clients for s in states][1:] == [False] * (len(states) - 1) and all(s.n == len(s.clients) for s in states)
+    assert day == stream_limiter.LATENESS
+
+
+def test_packed_pixels_become_rows(spark):
+    rgb = bytes(range(18))
+    df = spark.createDataFrame([("a", 3, 2, bytearray(rgb)), ("b", 1, 1, bytearray(b"\xff\x00\x80"))], "origin string, width int, height int, rgb binary")
+    got = {(r.origin, r.x, r.y): (r.r, r.g, r.b) for r in images.image_pixels(df).collect()}
+    assert got == {("a", i % 3, i // 3): tuple(rgb[3 * i : 3 * i + 3]) for i in range(6)} | {("b", 0, 0): (255, 0, 128)}
+
+
+def test_uploads_are_images_by_their_bytes(spark):
+    contents = [debugviz.png(np.zeros((1, 1, 3), np.uint8)), b"\xff\xd8\xff\xe0x", b"GIF89a", b"text", b"", None]
+    df = spark.createDataFrame([(i, c and bytearray(c)) for i, c in enumerate(contents)], "id int, content binary")
+    assert sorted((r.id, r.mime) for r in images.uploads(df).collect()) == [(0, "image/png"), (1, "image/jpeg"), (2, "image/gif")]
+
+
+def test_fonts_without_glyphs_are_named(spark):
+    made = spark.createDataFrame([(1, bytearray(b"f"))], "font_id long, font binary")
+    asked = spark.createDataFrame([(1,), (2,)], "font_id long")
+    rows = {r.font_id: r.status for r in drawing.with_status(made, asked, F.lit(drawing.NO_GLYPHS)).collect()}
+    assert rows == {1: "ok", 2: "no valid glyphs"}
+    with pytest.raises(Exception, match="font 2: no valid glyphs"):
+        drawing.with_status(made, asked, F.lit(drawing.NO_GLYPHS), strict=True).collect()
+
+
+def test_blank_drawings_have_no_font(spark):
+    px = spark.createDataFrame([(i, x, y, 0 if i == 1 and 1 < x < 5 and 1 < y < 6 else 255) for i in (1, 2) for x in range(8) for y in range(8)], "image_id long, x int, y int, g int")
+    places = spark.createDataFrame([(1, 7, "A", 1), (2, 8, "b", 1)], "image_id long, font_id long, char string, entry long")
+    rows = {r.font_id: r for r in drawing.drawn_fonts(px, places).collect()}
+    assert rows[7].status == "ok" and rows[7].chars == "a" and rows[8].status == drawing.NO_GLYPHS and rows[8].font is None
+    assert set(font.read_font(bytes(rows[7].font))["codes"]) == {32, ord("a"), ord("A")}
+
+
+def test_names_and_picks(spark):
+    names = ["\tAna\n", " Mary  Ann ", "漢字", "!!!", "", None, " X﻿"]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(web.file_name(F.col("n"))).collect()]
+    assert got == ["ana", "mary-ann", "you", "you", "you", "you", "x"]
+    numbers = [r[0] for r in spark.range(2000).select(web.seeded(F.col("id"), 5, 7)).collect()]
+    assert set(numbers) == set(range(7)) and max(numbers.count(k) for k in range(7)) < 400
+
+
+def test_long_paths_take_time_in_proportion(spark):
+    import time
+
+    spent = []
+    for n in (2_000, 40_000):
+        d = "M0 0" + "l1 2" * n + "Z"
+        df = spark.createDataFrame([(d,)], "d string").select(svgpath.parse_path(F.col("d")).alias("c")).select(F.size("c").alias("n"), F.element_at("c", -2)["x"].alias("x"))
+        start = time.perf_counter()
+        assert tuple(df.first()) == (n + 2, float(n))
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 20 + 40 * spent[0]
+
+
+def test_files_are_written_once_each(spark, tmp_path):
+    from vellumspark.sinks import files
+
+    df = spark.createDataFrame([("a/x.bin", bytearray(b"1")), ("b.bin", bytearray(b"")), ("b.bin", None), (None, bytearray(b"2")), ("a/x.bin", bytearray(b"1"))], "n string, d binary")
+    out = files.write_files(df, f"file://{tmp_path}/o", F.col("n"), F.col("d"))
+    assert sorted(r.n_bytes for r in out.collect()) == [0, 1]
+    assert {r["name"]: bytes(r.content) for r in files.read_files(df, f"file://{tmp_path}/o").collect()} == {"a/x.bin": b"1"}
+    assert (tmp_path / "o" / "b.bin").read_bytes() == b"" and not list(tmp_path.rglob("*.part"))
+
+
+def test_saved_state_is_restored(spark):
+    from vellumspark.sinks import sessions
+
+    log = [(1, "draw", 1, '{"a":"x"}'), (1, "draw", 2, '{"b":"y"}'), (1, "playground", 3, '{"text":"t","fontSize":2,"noteColorId":"n"}'), (2, "session", 1, "{}"), (2, None, 2, None), (3, "draw", 1, "{}"), (3, "playground", 1, "{oops")]
+    rows = {(r.session_id, r.slot): r for r in sessions.current(spark.createDataFrame(log, sessions.LOG)).withColumns({"p": sessions.playground(F.col("json")), "d": sessions.draw_progress(F.col("json"))}).collect()}
+    assert set(rows) == {(1, "draw"), (1, "playground"), (3, "draw"), (3, "playground")}
+    assert rows[1, "draw"].d == {"b": "y"} and rows[3, "draw"].d is None and rows[1, "playground"].p == ("t", 2.0, "n") and rows[3, "playground"].p is None

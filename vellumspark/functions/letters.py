@@ -15,13 +15,16 @@ PANGRAMS = (
     "We promptly judged antique ivory buckles for the next prize",
     "A quick movement of the enemy will jeopardize six gunboats",
 )
+# Fixed values.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789@,.-’!?"
+# Fixed values.
 CATEGORIES = {"x-height": "acemnorsuvwxz", "ascender": "bdfhklit", "descender": "gjpqy", "number": "0123456789", "punctuation": "@,.-’!?"}
-#: Guide lines as shares of the canvas height from the top.
+# Fixed values. Guide lines as shares of the canvas height from the top.
 GUIDES = {"ascender": 0.05, "xHeight": 0.31, "baseline": 0.75, "descender": 0.92}
+# Fixed values.
 EM, ASCENDER, DESCENDER = 1000, 800, -200
 TARGET_HEIGHT = ASCENDER - DESCENDER
-#: Punctuation: share of the target height, and rise above the descender.
+# Fixed values. Punctuation: share of the target height, and rise above the descender.
 PUNCTUATION = {".": (0.12, 0), ",": (0.2, -80), "-": (0.1, 250), "’": (0.18, 520)}
 
 

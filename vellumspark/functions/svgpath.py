@@ -1,7 +1,8 @@
 """SVG documents and path data as column expressions.
 
-Path data is folded command by command with the built-in ``aggregate``; no Python runs. Commands
-without the numbers they need give nulls; arcs and smooth curves are skipped and leave the
+Path data is folded command by command with the built-in ``aggregate``; no Python runs. A fold that
+grows an array copies it at each step, so commands are folded ``RUN`` at a time, each run into an
+array of its own: work grows with the length of a path and not with its square. Commands without the numbers they need give nulls; arcs and smooth curves are skipped and leave the
 current point; closing a path leaves it too; numbers may not start with a point, so ".5" is 5.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Commands of a path folded into one array.
+RUN = 64
 POINT = "type string, x double, y double, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -78,8 +81,26 @@ def parse_path(d: Column) -> Column:
         )
         return F.struct(x.alias("x"), y.alias("y"), F.concat(s["out"], F.array(point)).alias("out"))
 
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.array().cast(f"array<struct<{POINT.replace(' ', ':').replace(',:', ',')}>>").alias("out"))
-    return F.aggregate(F.flatten(F.transform(coded, steps)), start, step, lambda s: s["out"])
+    none = F.array().cast(f"array<struct<{POINT.replace(' ', ':').replace(',:', ',')}>>")
+    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), none.alias("out"))
+
+    def run(s: Column, some: Column) -> Column:
+        # The run's fold stands once in the expression; a second mention would evaluate it again.
+        inner = F.aggregate(some, F.struct(s["last"]["x"].alias("x"), s["last"]["y"].alias("y"), none.alias("out")), step)
+        return F.struct(inner.alias("last"), F.concat(s["runs"], F.array(s["last"]["out"])).alias("runs"))
+
+    runs = F.aggregate(
+        runs_of(F.flatten(F.transform(coded, steps))),
+        F.struct(start.alias("last"), F.array().cast(f"array<array<struct<{POINT.replace(' ', ':').replace(',:', ',')}>>>").alias("runs")),
+        run,
+        lambda s: F.concat(s["runs"], F.array(s["last"]["out"])),
+    )
+    return F.flatten(runs)
+
+
+def runs_of(steps: Column) -> Column:
+    """``steps`` cut into arrays of ``RUN``; null for null."""
+    return F.transform(F.array(steps), lambda all_: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(all_) - 1), F.lit(RUN)), lambda i: F.slice(all_, i + 1, RUN)))[0]
 
 
 def path_box(commands: Column) -> Column:

@@ -37,10 +37,28 @@ def font_css(family: Column, url: Column, kind: Column) -> Column:
     return F.when(url.isNotNull(), F.format_string('@font-face { font-family: "%s"; src: url("%s") format("%s"); }', family, url, kind))
 
 
+#: The characters that a browser trims and takes for blanks.
+BLANKS = "[\\t\\n\\x0B\\f\\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANKS}|{BLANKS}$", "")
+
+
 def file_name(name: Column) -> Column:
-    """Lower case, blanks to hyphens, a to z, digits and hyphens alone; "you" for a blank name."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "\\s+", "-"), "[^a-z0-9-]", "")
-    return F.when(F.trim(F.coalesce(name, F.lit(""))) == "", "you").otherwise(plain)
+    """Lower case, blanks to hyphens, a to z, digits and hyphens alone; "you" where nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(trimmed(name)), BLANKS, "-"), "[^a-z0-9-]", "")
+    return F.coalesce(F.nullif(plain, F.lit("")), F.lit("you"))
+
+
+def font_name(name: Column, key: Column, seed: int = 0) -> Column:
+    """The name of an exported font, with a suffix from 100 to 999 drawn by the key and a seed."""
+    return F.format_string("hand-of-%s-%d", file_name(name), seeded(key, seed, 900) + 100)
+
+
+def seeded(key: Column, seed: int, n: int) -> Column:
+    """A number below ``n`` drawn by the key and a seed, the same on every run."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
 def date_slug(day: Column) -> Column:
@@ -81,8 +99,22 @@ def allowed_origin(origin: Column, request_url: Column, app: str | None = None,
     return F.when(local | own | (origin == origin_of(request_url)), origin)
 
 
+def cors_headers(allowed: Column) -> Column:
+    """The headers of an answer to an allowed origin; empty for a refused one."""
+    # Fixed values.
+    pairs = {"Access-Control-Allow-Methods": "POST, OPTIONS", "Access-Control-Allow-Headers": "Content-Type", "Access-Control-Max-Age": "86400"}
+    own = F.create_map(F.lit("Access-Control-Allow-Origin"), allowed, *(F.lit(x) for pair in pairs.items() for x in pair))
+    return F.when(allowed.isNotNull(), own).otherwise(F.create_map().cast("map<string,string>"))
+
+
+def with_cors(headers: Column, allowed: Column) -> Column:
+    """``headers`` with those for the origin, which come before ones of the same name."""
+    mine = cors_headers(allowed)
+    return F.map_concat(F.map_filter(headers, lambda k, _: ~F.map_contains_key(mine, k)), mine)
+
+
 def client_ip(forwarded: Column, real_ip: Column) -> Column:
-    first = F.trim(F.split(forwarded, ",")[0])
+    first = trimmed(F.split(forwarded, ",")[0])
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(real_ip, F.lit("")), F.lit("unknown"))
 
 

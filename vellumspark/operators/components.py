@@ -63,9 +63,19 @@ def valid_label_map(labels: DataFrame, least_area: int = 10) -> DataFrame:
 
 
 def remove_small(px: DataFrame, least_area: int, value: str = "ink") -> DataFrame:
-    """``px`` with components below ``least_area`` turned to background."""
-    kept = valid_label_map(label_map(px, value), least_area).where("label >= 0").select("image_id", "x", "y", F.lit(255).alias("kept"))
-    return px.join(kept, ["image_id", "x", "y"], "left").withColumn(value, F.coalesce("kept", F.lit(0))).drop("kept")
+    """``px`` (image_id, x, y, value) with components below ``least_area`` turned to background, in one pass over each image."""
+
+    def clean(group: pa.Table) -> pa.Table:
+        x, y, level = (group[c].to_numpy() for c in ("x", "y", value))
+        ink = np.zeros((int(y.max()) + 1, int(x.max()) + 1), bool)
+        ink[y, x] = level == 255
+        root = roots(ink)[y, x]
+        area = np.bincount(root[root >= 0], minlength=ink.size)
+        kept = (root >= 0) & (area[root] >= least_area)
+        return pa.table({"image_id": group["image_id"], "x": group["x"], "y": group["y"], value: pa.array(np.where(kept, 255, 0).astype(np.int32))})
+
+    rows = px.select(F.col("image_id").cast("long"), F.col("x").cast("int"), F.col("y").cast("int"), value)
+    return rows.groupBy("image_id").applyInArrow(clean, f"image_id long, x int, y int, {value} int")
 
 
 def neighbours(px: DataFrame, value: str = "ink") -> DataFrame:

@@ -48,12 +48,13 @@ def raster_png(px: DataFrame, value: str = "ink") -> DataFrame:
 
 
 def labels_png(labels: DataFrame) -> DataFrame:
-    """(image_id, png): each component in a colour of its own, dropped ones dark."""
+    """(image_id, png): each component in a colour of its own; dropped ones, and labels beyond the number of those that are left, are background."""
 
     def draw(group: pa.Table) -> np.ndarray:
-        out, label = _blank(group, 20), group["label"].to_numpy()
-        colours = label_colours(int(label.max(initial=0)) + 1)
-        keep = label >= 0
+        out, label = _blank(group, 30), group["label"].to_numpy()
+        n = len(np.unique(label[label >= 0]))
+        colours = label_colours(n)
+        keep = (label >= 0) & (label < n)
         out[group["y"].to_numpy()[keep], group["x"].to_numpy()[keep]] = colours[label[keep]]
         return out
 

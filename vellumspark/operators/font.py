@@ -75,7 +75,7 @@ def glyph_table(glyphs: DataFrame, reference: Column | None = None) -> DataFrame
     return made.withColumn("first", first).select("font_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("font_id", "r.*")
 
 
-#: The box with a cut-out that stands for missing glyphs.
+# Fixed values. The box with a cut-out that stands for missing glyphs.
 NOTDEF_PATH = "M100 0 L100 700 L500 700 L500 0 Z M150 50 L450 50 L450 650 L150 650 Z"
 
 

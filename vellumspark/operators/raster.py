@@ -40,6 +40,11 @@ def _box(px: DataFrame, value: str, radius: int) -> DataFrame:
     return rows.withColumns({"s": F.sum("s").over(along_y(radius)), "n": F.sum("n").over(along_y(radius))})
 
 
+def rgba(px: DataFrame, value: str = "ink") -> DataFrame:
+    """(image_id, x, y, r, g, b, a): ink black on opaque white."""
+    return px.select("image_id", "x", "y", *((255 - F.col(value)).cast("int").alias(c) for c in "rgb"), F.lit(255).alias("a"))
+
+
 def blur(px: DataFrame, value: str = "g", radius: int = 2) -> DataFrame:
     """Mean of the clipped square frame, rounded half up."""
     mean = F.col("s").cast("double") / F.col("n")
@@ -107,9 +112,14 @@ def ink_bounds(px: DataFrame, value: str = "ink") -> DataFrame:
 
 
 def centred_glyph(px: DataFrame, value: str = "ink", pad: int = 10) -> DataFrame:
-    """Ink pixels (image_id, x, y, size) moved to the middle of a square with ``pad`` around their box."""
-    box = ink_bounds(px, value).select("image_id", F.col("x").alias("bx"), F.col("y").alias("by"), "w", "h")
-    size = F.greatest("w", "h") + 2 * pad
-    moved = px.where(F.col(value) == 255).join(box, "image_id").withColumn("size", size)
-    shift = lambda at, low, side: (F.col(at) - F.col(low) + F.floor((F.col("size") - F.col(side)) / 2)).cast("int").alias(at)
-    return moved.select("image_id", shift("x", "bx", "w"), shift("y", "by", "h"), "size")
+    """(image_id, x, y, value, width, height): ink pixels moved to the middle of a square with ``pad`` around their
+    box, the rest of which is background; an image without ink stays as it is."""
+    ink = F.col(value) == 255
+    whole = W.partitionBy("image_id")
+    of_ink = lambda most, at: most(F.when(ink, F.col(at))).over(whole)
+    box = {f"{name}_{at}": of_ink(most, at) for at in "xy" for name, most in (("low", F.min), ("high", F.max))}
+    size = F.greatest(*(F.col(f"high_{at}") - F.col(f"low_{at}") + 1 for at in "xy")) + 2 * pad
+    # Catalyst plans both windows of an image on one shuffle.
+    rows = px.withColumns(box | {f"most_{at}": F.max(at).over(whole) + 1 for at in "xy"}).withColumn("size", size).where(ink | F.col("size").isNull())
+    shift = lambda at: F.coalesce(F.col(at) - F.col(f"low_{at}") + F.floor((F.col("size") - (F.col(f"high_{at}") - F.col(f"low_{at}") + 1)) / 2), at).cast("int").alias(at)
+    return rows.select("image_id", shift("x"), shift("y"), value, F.coalesce("size", "most_x").alias("width"), F.coalesce("size", "most_y").alias("height"))

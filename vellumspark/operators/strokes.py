@@ -18,3 +18,10 @@ def stroked(events: DataFrame, down: Column, up: Column) -> DataFrame:
     over = F.coalesce(F.max(F.when(up, 1).otherwise(0)).over(inner), F.lit(0))
     kept = marked.withColumn("over", over).where("stroke_id > 0 and over = 0").drop("over")
     return kept.withColumn("pressure", F.coalesce("pressure", F.lit(0.5)))
+
+
+def replay(strokes: DataFrame) -> DataFrame:
+    """(user, turn, stroke_id, path, fill): what a canvas draws again after it is cleared: completed strokes
+    (user, stroke_id, path, fill), those with a path, in the order they were drawn."""
+    order = W.partitionBy("user").orderBy("stroke_id")
+    return strokes.where("path <> ''").withColumn("turn", F.row_number().over(order)).select("user", "turn", "stroke_id", "path", "fill")

@@ -51,10 +51,10 @@ SYMBOLS = """ln AS (SELECT item_id, li, string_split(text, chr(10))[li + 1] AS l
 wd AS (SELECT item_id, li, wi, string_split(line, ' ')[wi + 1] AS word FROM (SELECT item_id, li, line, unnest(range(0, len(string_split(line, ' ')))) AS wi FROM ln)),
 sy AS (SELECT item_id, li, wi, ci, lower(word[ci + 1]) AS c FROM (SELECT item_id, li, wi, word, unnest(range(0, length(word))) AS ci FROM wd))"""
 
-COMPS = """comps AS (SELECT l_orderkey % 500 AS image_id, l_orderkey * 7 + l_linenumber AS label, CAST(l_partkey % 60 AS INTEGER) AS x, CAST(l_suppkey % 40 AS INTEGER) AS y,
+COMPS = """comps AS (SELECT l_partkey // 26 AS image_id, l_orderkey * 7 + l_linenumber AS label, CAST(l_orderkey % 60 AS INTEGER) AS x, CAST(l_suppkey % 40 AS INTEGER) AS y,
  1 + CAST(l_quantity AS INTEGER) % 20 AS w, CAST(1 + l_partkey % 15 AS INTEGER) AS h FROM lineitem)"""
-CHARS = """chars AS (SELECT p_partkey % 500 AS image_id, substr('abcdefghijklmnopqrstuvwxyz', CAST(p_partkey // 500 AS INTEGER) + 1, 1) AS char, CAST(p_partkey % 53 AS INTEGER) AS x, CAST(p_partkey % 37 AS INTEGER) AS y,
- CAST(3 + p_size % 12 AS INTEGER) AS w, CAST(3 + p_partkey % 9 AS INTEGER) AS h FROM part WHERE p_partkey // 500 < 26)"""
+CHARS = """chars AS (SELECT p_partkey // 26 AS image_id, substr('abcdefghijklmnopqrstuvwxyz', CAST(p_partkey % 26 AS INTEGER) + 1, 1) AS char, CAST(p_partkey % 53 AS INTEGER) AS x, CAST(p_partkey % 37 AS INTEGER) AS y,
+ CAST(3 + p_size % 12 AS INTEGER) AS w, CAST(3 + p_partkey % 9 AS INTEGER) AS h FROM part)"""
 
 
 def overlaps(a: str, b: str) -> str:
@@ -125,6 +125,16 @@ st AS (SELECT d."user", d.stroke_id, e.seq, e.x, e.y, e.pressure FROM downs AS d
  JOIN pe AS e ON e."user" = d."user" AND e.seq >= d.first AND (d.next IS NULL OR e.seq < d.next) AND (n.last IS NULL OR e.seq <= n.last))"""
 
 
+STROKE_PATHS = """p AS (SELECT "user", stroke_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY "user", stroke_id) AS n, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM st WINDOW w AS (PARTITION BY "user", stroke_id ORDER BY seq)),
+m AS (SELECT *, printf('%.2f,%.2f', x, y) AS here, printf('%.2f,%.2f', (x + nx) / 2, (y + ny) / 2) AS mid FROM p),
+sp AS (SELECT "user", stroke_id, CASE WHEN max(n) >= 4 THEN 'M' || max(CASE WHEN k = 1 THEN here END) || ' Q' || max(CASE WHEN k = 2 THEN here || ' ' || mid END) || ' T' || string_agg(CASE WHEN k > 2 AND k < n THEN mid || ' ' END, '' ORDER BY k) || 'Z' ELSE '' END AS d FROM m GROUP BY "user", stroke_id)"""
+LETTER_LIST = "[" + ", ".join(f"'{c}'" for c in LETTERS) + "]"
+
+
+def seeded(key: str, seed: int, n: int) -> str:
+    return f"CAST(('0x' || md5({key} || ':{seed}')[1:8]) AS BIGINT) % {n}"
+
+
 def hue(shift: str) -> str:
     q = 0.55 + 0.7 - 0.55 * 0.7
     p = 2 * 0.55 - q
@@ -138,8 +148,8 @@ THIRD = "CAST(1 AS DOUBLE) / 3"
 SIZE_TEXT = "CASE WHEN path_id % 3 = 0 THEN 'width=\"' || (path_id % 50 + 1) || '.5px\" height=\"' || (path_id % 40 + 1) || '\"' END"
 
 SQL = {
-    "gray_luma": f"""WITH {LEVELS}, ch AS (SELECT vec_id // 3 AS image_id, i, max(CASE WHEN vec_id % 3 = 0 THEN g END) AS r, max(CASE WHEN vec_id % 3 = 1 THEN g END) AS gr, max(CASE WHEN vec_id % 3 = 2 THEN g END) AS b FROM levels GROUP BY ALL)
-SELECT image_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, CAST(floor(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * gr + CAST(0.114 AS DOUBLE) * b + 0.5) AS INTEGER) AS g FROM ch WHERE r IS NOT NULL AND gr IS NOT NULL AND b IS NOT NULL""",
+    "gray_luma": f"""WITH {LEVELS}, ch AS (SELECT vec_id // 3 AS image_id, i, coalesce(max(CASE WHEN vec_id % 3 = 0 THEN g END), 0) AS r, coalesce(max(CASE WHEN vec_id % 3 = 1 THEN g END), 0) AS gr, coalesce(max(CASE WHEN vec_id % 3 = 2 THEN g END), 0) AS b FROM levels GROUP BY ALL)
+SELECT image_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, CAST(floor(CAST(0.299 AS DOUBLE) * r + CAST(0.587 AS DOUBLE) * gr + CAST(0.114 AS DOUBLE) * b + 0.5) AS INTEGER) AS g FROM ch""",
     "raster_invert": f"WITH {SMALL} SELECT image_id, x, y, 255 - g AS g FROM px",
     "raster_blur5x5": f"WITH {SMALL}, {box('px', 'g', 2, 'bl')} SELECT image_id, x, y, CAST(floor(CAST(s AS DOUBLE) / n + 0.5) AS INTEGER) AS g FROM bl",
     "adaptive_threshold": f"WITH {SHEETS}, {box('px', 'g', 10, 'bl')} SELECT image_id, x, y, CASE WHEN v < CAST(s AS DOUBLE) / n - 10 THEN 255 ELSE 0 END AS ink FROM bl",
@@ -154,8 +164,9 @@ SELECT image_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, CAST
     "remove_small_components": f"WITH RECURSIVE {INK}, {components('ink', 8)}, {STATS} SELECT ink.image_id, ink.x, ink.y, CASE WHEN area >= 3 THEN 255 ELSE 0 END AS ink FROM ink LEFT JOIN lab ON ink.image_id = lab.image_id AND ink.x = lab.x AND ink.y = lab.y LEFT JOIN stats ON lab.image_id = stats.image_id AND lab.label = stats.label",
     "component_neighbours": f"WITH {INK}, d AS (SELECT image_id, x, y FROM ink WHERE ink = 255) SELECT a.image_id, a.x, a.y, count(b.x) AS degree FROM d AS a LEFT JOIN d AS b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y) GROUP BY a.image_id, a.x, a.y",
     "ink_bounds": f"WITH {INK} SELECT image_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM ink WHERE ink = 255 GROUP BY image_id",
-    "single_glyph_center": f"""WITH {INK}, b AS (SELECT image_id, min(x) AS left_x, min(y) AS top_y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM ink WHERE ink = 255 GROUP BY image_id)
-SELECT ink.image_id, CAST(x - left_x + (greatest(w, h) + 20 - w) // 2 AS INTEGER) AS x, CAST(y - top_y + (greatest(w, h) + 20 - h) // 2 AS INTEGER) AS y, greatest(w, h) + 20 AS size FROM ink JOIN b ON ink.image_id = b.image_id WHERE ink = 255""",
+    "single_glyph_center": f"""WITH {INK}, b AS (SELECT image_id, min(x) AS left_x, min(y) AS top_y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM ink WHERE ink = 255 AND image_id % 9 <> 0 GROUP BY image_id)
+SELECT ink.image_id, CAST(x - left_x + (greatest(w, h) + 20 - w) // 2 AS INTEGER) AS x, CAST(y - top_y + (greatest(w, h) + 20 - h) // 2 AS INTEGER) AS y, 255 AS ink, greatest(w, h) + 20 AS width, greatest(w, h) + 20 AS height FROM ink JOIN b ON ink.image_id = b.image_id WHERE ink = 255
+UNION ALL SELECT image_id, x, y, 0, 8, 8 FROM px WHERE image_id NOT IN (SELECT image_id FROM b)""",
     "photo_preprocess": f"""WITH RECURSIVE {SHEETS}, {box('px', 'g', 2, 'b5')}, soft AS (SELECT image_id, x, y, CAST(floor(CAST(s AS DOUBLE) / n + 0.5) AS INTEGER) AS g FROM b5), {box('soft', 'g', 10, 'bl')},
 ink AS (SELECT image_id, x, y, CASE WHEN v < CAST(s AS DOUBLE) / n - 12 THEN 255 ELSE 0 END AS ink FROM bl), {components('ink', 64)}, {STATS}
 SELECT ink.image_id, ink.x, ink.y, CASE WHEN area >= 5 THEN 255 ELSE 0 END AS ink FROM ink LEFT JOIN lab ON ink.image_id = lab.image_id AND ink.x = lab.x AND ink.y = lab.y LEFT JOIN stats ON lab.image_id = stats.image_id AND lab.label = stats.label""",
@@ -205,16 +216,17 @@ SELECT page_id, origin, allowed, CASE WHEN allowed IS NULL THEN 403 ELSE 204 END
     "data_url_parse": "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'font/sfnt' ELSE 'image/png' END AS mime, text FROM benchmark",
     "font_format_sniff": """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 3 = 2 AND text LIKE 'wOF2%' THEN 'woff2' ELSE 'truetype' END AS format FROM documents)
 SELECT doc_id, format, CASE format WHEN 'woff2' THEN 'font/woff2' ELSE 'font/sfnt' END AS mime, '@font-face { font-family: "Hand"; src: url("u' || doc_id || '") format("' || format || '"); }' AS css FROM f""",
-    "name_sanitise": r"SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'you' ELSE regexp_replace(regexp_replace(lower(trim('  ' || p_name || '  #' || p_brand || '! ')), '\s+', '-', 'g'), '[^a-z0-9-]', '', 'g') END AS name FROM part",
+    "name_sanitise": r"""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '   ' WHEN p_partkey % 10 = 1 THEN '漢字!' WHEN p_partkey % 10 = 2 THEN chr(9) || p_name || chr(10) WHEN p_partkey % 10 > 3 THEN '  ' || p_name || '  #' || p_brand || '! ' END AS name FROM part)
+SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(coalesce(name, ''), chr(9) || chr(10) || ' ')), '\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), ''), 'you') AS name FROM n""",
     "date_slug": "SELECT o_orderkey, lower(strftime(o_orderdate, '%b')) || day(o_orderdate) AS slug FROM orders",
     "confidence_buckets": "SELECT doc_id, CASE WHEN doc_id % 101 > 80 THEN 'green' WHEN doc_id % 101 > 50 THEN 'yellow' ELSE 'red' END AS bucket, doc_id % 101 AS percent FROM labels",
     "label_palette": f"WITH t AS (SELECT vec_id, (vec_id * CAST(137.508 AS DOUBLE)) % 360 / 360.0 AS h FROM embeddings) SELECT vec_id, {hue(THIRD)} AS r, {hue('0')} AS g, {hue('(-' + THIRD + ')')} AS b FROM t",
     "stroke_sessions": f'WITH {STROKES} SELECT "user", stroke_id, count(*) AS n, min(seq) AS first, max(seq) AS last, CAST(floor(sum(pressure) * 100 + 0.5) AS BIGINT) AS pressure FROM st GROUP BY "user", stroke_id',
-    "stroke_svg_path": f"""WITH {STROKES}, p AS (SELECT "user", stroke_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY "user", stroke_id) AS n, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM st WINDOW w AS (PARTITION BY "user", stroke_id ORDER BY seq)),
-m AS (SELECT *, printf('%.2f,%.2f', x, y) AS here, printf('%.2f,%.2f', (x + nx) / 2, (y + ny) / 2) AS mid FROM p)
-SELECT "user", stroke_id, CASE WHEN max(n) >= 4 THEN 'M' || max(CASE WHEN k = 1 THEN here END) || ' Q' || max(CASE WHEN k = 2 THEN here || ' ' || mid END) || ' T' || string_agg(CASE WHEN k > 2 AND k < n THEN mid || ' ' END, '' ORDER BY k) || 'Z' ELSE '' END AS d FROM m GROUP BY "user", stroke_id""",
+    "stroke_svg_path": f"WITH {STROKES}, {STROKE_PATHS} SELECT * FROM sp",
     "session_json_roundtrip": """WITH s AS (SELECT event_id, event_id % 11 <> 0 AND event_id % 5 <> 0 AND event_id % 7 <> 0 AS intact, event_type FROM events)
 SELECT event_id, intact, CASE WHEN intact THEN 'Rk9OVA' || event_id END AS font, CASE WHEN intact THEN 'a,' || event_type END AS chars FROM s""",
+    "random_pick_seeded": f"""WITH {DRAWN}, l(place, letter, category) AS (VALUES {LETTER_ROWS}), u AS (SELECT s.session_id, l.letter FROM (SELECT DISTINCT session_id FROM drawn) AS s, l WHERE NOT EXISTS (SELECT 1 FROM drawn WHERE drawn.session_id = s.session_id AND drawn.place = l.place))
+SELECT session_id, letter FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY md5(session_id || ':' || letter || ':7'), letter) AS k FROM u) WHERE k = 1""",
     "trace_edges": f"""WITH {INK}, d AS (SELECT image_id, x, y FROM ink WHERE ink = 255), side(side, dx, dy) AS (VALUES ('left', -1, 0), ('right', 1, 0), ('up', 0, -1), ('down', 0, 1))
 SELECT d.image_id, d.x, d.y, side.side FROM d, side WHERE NOT EXISTS (SELECT 1 FROM d AS o WHERE o.image_id = d.image_id AND o.x = d.x + dx AND o.y = d.y + dy)""",
     "trace_outlines": f"WITH {INK} SELECT image_id, count(*) AS area FROM ink WHERE ink = 255 GROUP BY image_id",
@@ -222,4 +234,26 @@ SELECT d.image_id, d.x, d.y, side.side FROM d, side WHERE NOT EXISTS (SELECT 1 F
 f AS (SELECT font_id, height, row_number() OVER (PARTITION BY font_id ORDER BY digit DESC, CASE WHEN digit THEN letter END, event_id) AS k FROM h WHERE height > 0)
 SELECT a.font_id, f.height AS reference FROM (SELECT DISTINCT font_id FROM h) AS a LEFT JOIN f ON a.font_id = f.font_id AND k = 1""",
     "note_colour": "SELECT event_id, CASE event_type WHEN 'click' THEN '#ffe0b2' WHEN 'error' THEN '#ffcdd2' ELSE '#fff9c4' END AS colour FROM events",
+    "font_readback": f"""WITH RECURSIVE {PATHS}, {glyphs(LETTERS)}, {scaled(None)}
+SELECT font_id, unicode(lower(char)) AS code, least(advance, 32000) AS advance FROM g UNION ALL SELECT font_id, unicode(upper(char)), least(advance, 32000) FROM g WHERE lower(char) <> upper(char) UNION ALL SELECT DISTINCT font_id, 32, 250 FROM g""",
+    "drawn_font_codes": f"""WITH {SMALL}, {OTSU}, dc AS (SELECT DISTINCT image_id // 43 AS font_id, {LETTER_LIST}[CAST(image_id % 43 AS INTEGER) + 1] AS char FROM px JOIN otsu USING (image_id) WHERE g <= threshold)
+SELECT font_id, unicode(lower(char)) AS code FROM dc UNION SELECT font_id, unicode(upper(char)) FROM dc UNION SELECT font_id, 32 FROM dc""",
+    "font_status": f"""WITH RECURSIVE {PATHS}, {glyphs(LETTERS)}, n AS (SELECT font_id, count(*) + count(CASE WHEN lower(char) <> upper(char) THEN 1 END) + 2 AS n FROM gm WHERE font_id % 10 <> 0 GROUP BY font_id)
+SELECT a.font_id, CASE WHEN n.n IS NULL THEN 'no valid glyphs' ELSE 'ok' END AS status, n.n AS n_glyphs FROM (SELECT DISTINCT path_id // 43 AS font_id FROM bb) AS a LEFT JOIN n ON n.font_id = a.font_id""",
+    "font_names": rf"SELECT c_custkey, 'hand-of-' || CASE WHEN c_custkey % 4 <> 0 THEN regexp_replace(regexp_replace(lower(c_name), '\s+', '-', 'g'), '[^a-z0-9-]', '', 'g') ELSE 'you' END || '-' || ({seeded('c_custkey', 3, 900)} + 100) AS name FROM customer",
+    "pangram_shuffle": f"""WITH s AS (SELECT DISTINCT user_id, {seeded('user_id', 1, 8)} AS a, {seeded('user_id', 2, 7)} AS b FROM events)
+SELECT user_id, CAST(a AS INTEGER) AS pangram, CAST(CASE WHEN b >= a THEN b + 1 ELSE b END AS INTEGER) AS next FROM s""",
+    "raster_rgba": f"WITH {INK} SELECT image_id, x, y, 255 - ink AS r, 255 - ink AS g, 255 - ink AS b, 255 AS a FROM ink",
+    "response_headers": """WITH p AS (SELECT page_id, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*://[^/?#]+)', 1) AS own FROM pages), ok AS (SELECT * FROM p WHERE page_id % 3 <> 0 AND own <> '')
+SELECT page_id, 'Content-Type' AS header, 'application/json' AS value FROM p UNION ALL SELECT page_id, 'Access-Control-Max-Age', CASE WHEN page_id IN (SELECT page_id FROM ok) THEN '86400' ELSE '1' END FROM p
+UNION ALL SELECT page_id, 'Access-Control-Allow-Origin', own FROM ok UNION ALL SELECT page_id, 'Access-Control-Allow-Methods', 'POST, OPTIONS' FROM ok UNION ALL SELECT page_id, 'Access-Control-Allow-Headers', 'Content-Type' FROM ok""",
+    "stroke_replay": f"""WITH {STROKES}, {STROKE_PATHS} SELECT "user", CAST(row_number() OVER (PARTITION BY "user" ORDER BY stroke_id) AS INTEGER) AS turn, stroke_id, '#1a1a1a' AS fill, md5(d) AS md5 FROM sp WHERE d <> ''""",
+    "file_sink": "SELECT 'kind-' || (item_id % 3) || '/' || item_id || '.txt' AS name, strlen(text) AS n_bytes, md5(text) AS md5 FROM benchmark WHERE text <> ''",
+    "debug_files": f"""WITH {INK}, n AS (SELECT count(DISTINCT image_id) AS n, count(DISTINCT CASE WHEN ink = 255 THEN image_id END) AS inked FROM ink)
+SELECT 'ink' AS stage, 'image/png' AS mime, n FROM n UNION ALL SELECT 'boxes', 'image/png', n FROM n UNION ALL SELECT 'labels', 'image/png', inked FROM n UNION ALL SELECT 'crops', 'image/png', inked FROM n""",
+    "session_store": """WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = 'signup' OR event_id % 3 = 2 THEN 'draw' WHEN event_id % 3 = 1 THEN 'playground' ELSE 'session' END AS slot FROM events),
+k AS (SELECT user_id, slot, max(event_id) AS seq FROM e WHERE event_type NOT IN ('error', 'signup') GROUP BY user_id, slot),
+gone AS (SELECT user_id, slots.slot, max(event_id) AS seq FROM e, (VALUES ('session'), ('playground'), ('draw')) AS slots(slot) WHERE event_type = 'error' OR event_type = 'signup' AND slots.slot = 'draw' GROUP BY user_id, slots.slot)
+SELECT k.user_id AS session_id, k.slot, CASE WHEN k.slot = 'playground' AND k.seq % 2 = 0 THEN 't' || k.seq END AS text, CASE WHEN k.slot = 'playground' AND k.seq % 2 = 0 THEN CAST(k.seq % 40 AS DOUBLE) END AS size,
+ CASE WHEN k.slot = 'draw' AND k.seq % 4 <> 0 THEN 'AA' || k.seq END AS letter FROM k LEFT JOIN gone ON gone.user_id = k.user_id AND gone.slot = k.slot WHERE gone.seq IS NULL OR gone.seq < k.seq""",
 }

@@ -6,18 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.operators import components, font, match, recognise, trace
+from vellumspark.plans import drawing
 from vellumspark.plans.photo import photo_ink
 
 
-def reference_heights(glyphs: DataFrame) -> DataFrame:
-    """(font_id, reference): the first height above 0 in the order of entries, digits before the other characters.
-
-    ``glyphs`` has font_id, char, entry and height.
-    """
-    order = F.struct(F.when(F.col("char").rlike("^[0-9]$"), F.col("char")).otherwise("~").alias("digit"), F.col("entry").alias("entry"))
-    return glyphs.groupBy("font_id").agg(F.min_by("height", F.when(F.col("height") > 0, order)).alias("reference"))
-
-
 def pangram_crops(px: DataFrame, responses: DataFrame, least_area: int = 50) -> DataFrame:
     """(image_id, char, width, height, x, y): ink of each recognised letter of each photo."""
     sizes = px.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
@@ -28,11 +20,15 @@ def pangram_crops(px: DataFrame, responses: DataFrame, least_area: int = 50) ->
     return match.crops(labels, match.matched(components.component_stats(labels), boxes), sizes)
 
 
-def pangram_fonts(px: DataFrame, responses: DataFrame, family: str = "MyHandwriting", least_area: int = 50) -> DataFrame:
-    """One font per photo (font_id, font, n_glyphs, chars); photos without letters or ink have none."""
+def pangram_fonts(px: DataFrame, responses: DataFrame, family: str = "MyHandwriting", least_area: int = 50, strict: bool = False) -> DataFrame:
+    """(font_id, font, n_glyphs, chars, status) for each photo; one without recognised characters or valid glyphs has a status that says so."""
     crops = pangram_crops(px, responses, least_area)
     # A crop is a raster of its own: its number in the photo joins the photo's.
     own = F.col("image_id") * 26 + F.ascii("char") - F.ascii(F.lit("a"))
     traced = trace.traced(crops.select(own.alias("image_id"), "x", "y", F.lit(255).alias("ink")))
     glyphs = traced.select(F.floor(F.col("image_id") / 26).alias("font_id"), F.char(F.col("image_id") % 26 + F.ascii(F.lit("a"))).alias("char"), "paths")
-    return font.fonts(font.glyph_table(font.glyph_commands(glyphs).drop("paths")), family)
+    made = font.fonts(font.glyph_table(font.glyph_commands(glyphs).drop("paths")), family)
+    lettered = recognise.letters(responses).select(F.col("image_id").alias("font_id"), F.lit(True).alias("lettered")).distinct()
+    asked = px.select(F.col("image_id").cast("long").alias("font_id")).distinct().join(lettered, "font_id", "left")
+    failed = F.when(F.col("lettered"), F.lit(drawing.NO_GLYPHS)).otherwise(drawing.NO_LETTERS)
+    return drawing.with_status(made, asked, failed, strict).drop("lettered")

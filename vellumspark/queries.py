@@ -12,11 +12,12 @@ from vellumspark.functions import letters as L
 from vellumspark.functions import svgpath, web
 from vellumspark.operators import components, debugviz, font, limiter, match, raster, recognise, strokes, trace
 from vellumspark.oracle import SQL
-from vellumspark.plans import pangram, photo
+from vellumspark.plans import drawing, pangram, photo
 from vellumspark.session import scratch_dir
+from vellumspark.sinks import files, sessions
 from vellumspark.sources import images, tables
 from vellumspark.sources.tables import table
-from vellumspark.streaming.limiter import limited_stream, run_once
+from vellumspark.streaming.limiter import limited_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,7 +92,9 @@ def ink_bounds(spark, sf_dir):
 
 
 def single_glyph_center(spark, sf_dir):
-    return raster.centred_glyph(small_ink(spark, sf_dir))
+    """Every ninth raster is blank."""
+    ink = F.when(F.col("image_id") % 9 == 0, 0).otherwise(F.col("ink"))
+    return raster.centred_glyph(small_ink(spark, sf_dir).withColumn("ink", ink))
 
 
 def photo_preprocess(spark, sf_dir):
@@ -253,7 +256,7 @@ def rate_limit_stream(spark, sf_dir):
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     requests = events.select(F.col("user_id").alias("client"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     at = scratch_dir(spark)
-    return _plain(run_once(limited_stream(requests, DAY, TWO), f"{at}/decisions", f"{at}/state"))
+    return _plain(limited_stream(requests, f"{at}/decisions", f"{at}/progress", DAY, TWO))
 
 
 def request_validation(spark, sf_dir):
@@ -302,7 +305,10 @@ def font_format_sniff(spark, sf_dir):
 
 
 def name_sanitise(spark, sf_dir):
-    name = F.when(F.col("p_partkey") % 10 == 0, "   ").otherwise(F.concat(F.lit("  "), "p_name", F.lit("  #"), "p_brand", F.lit("! ")))
+    """Names that are blank, that have nothing left, with tabs and line ends around them, that are missing, and plain ones."""
+    k = F.col("p_partkey") % 10
+    plain = F.concat(F.lit("  "), "p_name", F.lit("  #"), "p_brand", F.lit("! "))
+    name = F.when(k == 0, "   ").when(k == 1, "漢字!").when(k == 2, F.concat(F.lit("\t"), "p_name", F.lit("\n"))).when(k > 3, plain)
     return table(spark, sf_dir, "part").select("p_partkey", web.file_name(name).alias("name"))
 
 
@@ -347,7 +353,7 @@ def session_json_roundtrip(spark, sf_dir):
 
 def random_pick_seeded(spark, sf_dir, seed: int = 7):
     """One undrawn letter per session, by a seeded hash."""
-    draw = W.partitionBy("session_id").orderBy(F.xxhash64("session_id", "letter", F.lit(seed)), "letter")
+    draw = W.partitionBy("session_id").orderBy(F.md5(F.concat_ws(":", F.col("session_id").cast("string"), "letter", F.lit(str(seed)))), "letter")
     return undrawn_letters(spark, sf_dir).withColumn("turn", F.row_number().over(draw)).where("turn = 1").select("session_id", "letter")
 
 
@@ -364,25 +370,135 @@ def trace_outlines(spark, sf_dir):
     return traced.groupBy("image_id").agg(F.sum(area).cast("long").alias("area"))
 
 
+def drawn_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters as drawn letters, 43 a font."""
+    k = F.col("vec_id")
+    char = F.get(F.array(*map(F.lit, L.LETTERS)), (k % 43).cast("int"))
+    places = table(spark, sf_dir, "embeddings").select(k.alias("image_id"), F.floor(k / 43).alias("font_id"), char.alias("char"), k.alias("entry"))
+    return drawing.drawn_fonts(tables.small_rasters(spark, sf_dir), places)
+
+
 def drawn_glyph_fonts(spark, sf_dir):
-    """Rasters to fonts: Otsu ink, outlines, glyphs of 43 rasters a font, uniform scale, file."""
-    traced = trace.traced(photo.glyph_ink(tables.small_rasters(spark, sf_dir)))
-    k = F.col("image_id")
-    glyphs = traced.select(F.floor(k / 43).alias("font_id"), F.get(F.array(*map(F.lit, L.LETTERS)), (k % 43).cast("int")).alias("char"), "paths")
-    made = font.fonts(font.glyph_table(font.glyph_commands(glyphs).drop("paths"), F.lit(8.0)))
-    return made.select("font_id", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
+    return drawn_fonts(spark, sf_dir).select("font_id", "status", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
+
+
+def decoded(made: DataFrame) -> DataFrame:
+    """(font_id, code, advance) of every character, read from the bytes of the fonts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            read = [(i, font.read_font(f)) for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            flat = [(i, code, f["advances"][glyph]) for i, f in read for code, glyph in f["codes"].items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], pa.int64()) for k in range(3)], ["font_id", "code", "advance"])
+
+    return made.where("font is not null").select("font_id", "font").mapInArrow(run, "font_id long, code long, advance long")
+
+
+def font_readback(spark, sf_dir):
+    """The code maps and advances of the fonts of ``font_bytes``, as their files tell them."""
+    return decoded(font.fonts(font.glyph_table(lettered(spark, sf_dir))))
+
+
+def drawn_font_codes(spark, sf_dir):
+    """The codes that the drawn fonts' files have, without advances, which follow the outlines."""
+    return decoded(drawn_fonts(spark, sf_dir)).select("font_id", "code")
+
+
+def font_status(spark, sf_dir):
+    """Every tenth font has no commands: it is named, with the reason."""
+    glyphs = lettered(spark, sf_dir)
+    some = glyphs.withColumn("commands", F.when(F.col("font_id") % 10 != 0, F.col("commands")).otherwise(F.slice("commands", 1, 0)))
+    made = drawing.with_status(font.fonts(font.glyph_table(some)), glyphs.select("font_id").distinct(), F.lit(drawing.NO_GLYPHS))
+    return made.select("font_id", "status", "n_glyphs")
+
+
+def font_names(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k, web.font_name(F.when(k % 4 != 0, F.col("c_name")), k, 3).alias("name"))
+
+
+def pangram_shuffle(spark, sf_dir):
+    """A pangram for each session, and another one drawn after it: any but the current one."""
+    n = len(L.PANGRAMS)
+    k = F.col("user_id")
+    first = web.seeded(k, 1, n)
+    after = web.seeded(k, 2, n - 1)
+    return table(spark, sf_dir, "events").select(k).distinct().select(k, first.alias("pangram"), F.when(after >= first, after + 1).otherwise(after).alias("next"))
+
+
+def raster_rgba(spark, sf_dir):
+    return raster.rgba(small_ink(spark, sf_dir))
+
+
+def response_headers(spark, sf_dir):
+    k, origin = F.col("page_id"), web.origin_of(F.col("url"))
+    allowed = web.allowed_origin(F.when(k % 3 != 0, origin), F.col("url"))
+    headers = web.with_cors(F.create_map(F.lit("Content-Type"), F.lit("application/json"), F.lit("Access-Control-Max-Age"), F.lit("1")), allowed)
+    return table(spark, sf_dir, "pages").select(k, F.explode(headers).alias("header", "value"))
+
+
+def stroke_replay(spark, sf_dir):
+    rows = strokes.stroked(pointer_events(spark, sf_dir), F.col("event_type") == "signup", F.col("event_type") == "error")
+    points = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
+    drawn_ = rows.groupBy("user", "stroke_id").agg(points.alias("points")).select("user", "stroke_id", svgpath.stroke_path(F.col("points")).alias("path"), F.lit("#1a1a1a").alias("fill"))
+    return strokes.replay(drawn_).select("user", "turn", "stroke_id", "fill", F.md5("path").alias("md5"))
+
+
+def file_sink(spark, sf_dir):
+    """Texts written as files of their own, in a folder by kind, and read back."""
+    at = scratch_dir(spark)
+    k = F.col("item_id")
+    name = F.format_string("kind-%d/%d.txt", k % 3, k)
+    written = files.write_files(table(spark, sf_dir, "benchmark"), at, name, F.encode("text", "UTF-8"))
+    written.write.format("noop").mode("overwrite").save()
+    return files.read_files(written, at).select("name", F.length("content").alias("n_bytes"), F.md5("content").alias("md5"))
+
+
+def debug_files(spark, sf_dir):
+    """The debug pictures as files, a folder per stage."""
+    at = scratch_dir(spark)
+    pictures = stage_pictures(spark, sf_dir)
+    written = files.write_files(pictures, at, F.format_string("%s/%d.png", "stage", "image_id"), F.col("png"))
+    written.write.format("noop").mode("overwrite").save()
+    return files.read_files(written, at).select(F.split("name", "/")[0].alias("stage"), images.image_type(F.col("content")).alias("mime")).groupBy("stage", "mime").agg(F.count("*").alias("n"))
+
+
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as saves and clears: errors clear all, signups clear the drawing, others save one slot."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    slot = F.when(F.col("event_type") == "error", F.lit(None)).when(F.col("event_type") == "signup", "draw").otherwise(F.element_at(F.array(*map(F.lit, sessions.SLOTS)), (k % 3 + 1).cast("int")))
+    text = (
+        F.when(F.col("event_type").isin("error", "signup"), F.lit(None))
+        .when(k % 3 == 1, F.when(k % 2 == 0, F.format_string('{"text":"t%d","fontSize":%d,"noteColorId":"yellow"}', k, k % 40)).otherwise("{broken"))
+        .when(k % 3 == 2, F.when(k % 4 == 0, "{}").otherwise(F.format_string('{"a":"data:image/png;base64,AA%d"}', k)))
+        .otherwise(F.format_string('{"fontBase64":"Rk9O%d"}', k))
+    )
+    return e.select(F.col("user_id").alias("session_id"), slot.alias("slot"), k.alias("seq"), text.alias("json"))
+
+
+def session_store(spark, sf_dir):
+    """Sessions saved over each other and cleared, written, and restored."""
+    at = scratch_dir(spark)
+    log = session_log(spark, sf_dir)
+    sessions.save(log, at)
+    rows, slot = sessions.load(log, at), F.col("slot")
+    page, drawn_ = sessions.playground(F.col("json")), sessions.draw_progress(F.col("json"))
+    letter = F.when(slot == "draw", web.data_url_parts(drawn_["a"])["payload"])
+    return rows.select("session_id", "slot", F.when(slot == "playground", page["text"]).alias("text"), F.when(slot == "playground", page["fontSize"]).alias("size"), letter.alias("letter"))
 
 
 def pangram_fonts(spark, sf_dir):
     """The sheets as photos, benchmark texts as what was recognised in them."""
     made = pangram.pangram_fonts(tables.sheets(spark, sf_dir), tables.recognition_json(spark, sf_dir), least_area=2)
-    return made.select("font_id", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
+    return made.select("font_id", "status", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
 
 
 def reference_height(spark, sf_dir):
     rows = drawn(spark, sf_dir).join(F.broadcast(L.letters(spark)), "place")
     height = F.when(F.col("event_id") % 3 != 0, F.floor("value").cast("double")).otherwise(0.0)
-    return pangram.reference_heights(rows.select(F.col("session_id").alias("font_id"), F.col("letter").alias("char"), F.col("event_id").alias("entry"), height.alias("height")))
+    return drawing.reference_heights(rows.select(F.col("session_id").alias("font_id"), F.col("letter").alias("char"), F.col("event_id").alias("entry"), height.alias("height")))
 
 
 def note_colour(spark, sf_dir):
@@ -392,18 +508,22 @@ def note_colour(spark, sf_dir):
     return rows.select("event_id", F.coalesce("found", F.lit("#fff9c4")).alias("colour"))
 
 
-def debug_pictures(spark, sf_dir):
-    """The four pictures of each small raster: ink, boxes, labels, crops."""
+def stage_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stage, image_id, png): the four pictures of each small raster: ink, boxes, labels, crops."""
     ink = small_ink(spark, sf_dir)
     labels = components.label_map(ink)
     shown = {"ink": debugviz.raster_png(ink), "boxes": debugviz.boxes_png(ink, quadrants(spark, sf_dir)), "labels": debugviz.labels_png(labels), "crops": debugviz.crops_png(crop_pixels(spark, sf_dir))}
     out = None
     for stage, picture in shown.items():
-        rows = picture.select(F.lit(stage).alias("stage"), "image_id", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
+        rows = picture.select(F.lit(stage).alias("stage"), "image_id", "png")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def debug_pictures(spark, sf_dir):
+    return stage_pictures(spark, sf_dir).select("stage", "image_id", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         gray_luma, raster_invert, raster_blur5x5, adaptive_threshold, histogram256, otsu_threshold, dilate_3x3, erode_3x3, close_3x3, close_2x2_identity,
@@ -413,6 +533,7 @@ def queries() -> dict[str, Query]:
         font_coords_letter, font_coords_punctuation, font_coords_uniform, glyph_table, font_bytes, rate_limit_batch, rate_limit_stream, request_validation, origin_policy,
         base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_svg_path,
         session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, drawn_glyph_fonts, pangram_fonts, reference_height, note_colour, debug_pictures,
+        font_readback, drawn_font_codes, font_status, font_names, pangram_shuffle, raster_rgba, response_headers, stroke_replay, file_sink, debug_files, session_store,
     )
     return {q.__name__: q for q in every}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Images are scaled down until no side is longer than this.
@@ -40,6 +40,30 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return images.mapInArrow(pack, "origin string, width int, height int, rgb binary")
 
 
+def image_pixels(images: DataFrame) -> DataFrame:
+    """(origin, x, y, r, g, b): packed pixels (origin, width, rgb) as rows, in the JVM."""
+    at = F.posexplode(F.split(F.hex("rgb"), "(?<=\\G.{6})"))
+    rows = images.select("origin", "width", at.alias("i", "hex")).where("hex <> ''")
+    level = lambda k: F.conv(F.substring("hex", 2 * k + 1, 2), 16, 10).cast("int")
+    place = [(F.col("i") % F.col("width")).cast("int").alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y")]
+    return rows.select("origin", *place, *(level(k).alias(c) for k, c in enumerate("rgb")))
+
+
+#: The first bytes of the image types that an upload may have, in hexadecimal.
+SIGNATURES = {"image/png": "89504E47", "image/jpeg": "FFD8FF", "image/gif": "47494638", "image/webp": "52494646"}
+
+
+def image_type(content: Column) -> Column:
+    """The MIME type by the first bytes; null for what is no image."""
+    head = F.hex(F.substring(content, 1, 4))
+    return F.coalesce(*(F.when(head.startswith(start), mime) for mime, start in SIGNATURES.items()))
+
+
+def uploads(files: DataFrame) -> DataFrame:
+    """Of files (content, ...) those that are images, with their ``mime``."""
+    return files.withColumn("mime", image_type(F.col("content"))).where("mime is not null")
+
+
 def stream_images(spark: SparkSession, path: str) -> DataFrame:
     """New image files of a folder as they arrive: (path, modificationTime, length, content)."""
     schema = "path string, modificationTime timestamp, length long, content binary"

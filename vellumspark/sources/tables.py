@@ -33,10 +33,10 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def colour_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R3, three consecutive vectors are the channels of an 8 by 8 raster: (image_id, x, y, r, g, b)."""
+    """R3, three consecutive vectors are the channels of an 8 by 8 raster: (image_id, x, y, r, g, b); channels that the last one lacks are 0."""
     rows = _levels(spark, sf_dir).withColumn("image_id", F.floor(F.col("vec_id") / 3))
-    channel = lambda k: F.max(F.when(F.col("vec_id") % 3 == k, F.col("g")))
-    whole = rows.groupBy("image_id", "i").agg(channel(0).alias("r"), channel(1).alias("gr"), channel(2).alias("b")).where("r is not null and gr is not null and b is not null")
+    channel = lambda k: F.coalesce(F.max(F.when(F.col("vec_id") % 3 == k, F.col("g"))), F.lit(0))
+    whole = rows.groupBy("image_id", "i").agg(channel(0).alias("r"), channel(1).alias("gr"), channel(2).alias("b"))
     return whole.select("image_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), "r", F.col("gr").alias("g"), "b")
 
 
@@ -63,12 +63,12 @@ def recognition_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1, one component box per lineitem: (image_id, label, x, y, w, h)."""
+    """B1, one component box per lineitem, in the image of its part: (image_id, label, x, y, w, h)."""
     n = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 500).alias("image_id"),
+        F.floor(F.col("l_partkey") / 26).alias("image_id"),
         n.alias("label"),
-        (F.col("l_partkey") % 60).cast("int").alias("x"),
+        (F.col("l_orderkey") % 60).cast("int").alias("x"),
         (F.col("l_suppkey") % 40).cast("int").alias("y"),
         (1 + F.col("l_quantity").cast("int") % 20).alias("w"),
         (1 + F.col("l_partkey") % 15).cast("int").alias("h"),
@@ -76,11 +76,11 @@ def component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def character_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1, one recognised box per part with a key below 13,000, as the SQL has it: (image_id, char, x, y, w, h)."""
+    """B1, one recognised box per part, 26 parts an image: (image_id, char, x, y, w, h)."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where(F.floor(k / 500) < 26).select(
-        (k % 500).alias("image_id"),
-        F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.floor(k / 500).cast("int") + 1, F.lit(1)).alias("char"),
+    return table(spark, sf_dir, "part").select(
+        F.floor(k / 26).alias("image_id"),
+        F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (k % 26).cast("int") + 1, F.lit(1)).alias("char"),
         (k % 53).cast("int").alias("x"),
         (k % 37).cast("int").alias("y"),
         (3 + F.col("p_size") % 12).cast("int").alias("w"),

@@ -1,41 +1,39 @@
-"""The rate limiter as a stateful stream: requests are decided in order of arrival."""
+"""The rate limiter on a stream: micro-batches go through the batch limiter, states between them through a table.
 
-from __future__ import annotations
+A micro-batch is dealt by client and sorted inside its partitions, so a client of any size is
+read as a stream of rows; nothing but three numbers a client is held or stored.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-from vellumspark.operators.limiter import DECISIONS, MOST, WINDOW, decide
+from vellumspark.operators.limiter import DECISIONS, MOST, WINDOW, carried
 
+ROWS = f"{DECISIONS}, count long, kind string, batch long"
+#: Microseconds behind a micro-batch's latest request after which a state whose window has ended goes.
+LATENESS = 86_400_000_000
 
-def limited_stream(requests: DataFrame, window: int = WINDOW, most: int = MOST, lateness: str = "1 day") -> DataFrame:
-    """Decisions on a stream of requests (client, id, ts); the requests of a micro-batch count by time and then id.
-
-    A client's state is its window's end and count; it goes once the watermark, ``lateness`` behind the
-    latest request, has passed the end, which changes no decision: the next request opens a window anyway.
-    """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        reset, count = state.get if state.exists else (None, 0)
-        ts = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        counts, resets, reset, count = decide(ts, window, most, reset, count)
-        state.update((reset, count))
-        state.setTimeoutTimestamp(max(reset // 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows[["client", "id", "ts"]].assign(allowed=counts <= most, remaining=np.maximum(0, most - counts).astype(np.int32), reset=resets.astype("datetime64[us]"))
+def limited_stream(requests: DataFrame, path: str, checkpoint: str, window: int = WINDOW, most: int = MOST, lateness: int = LATENESS) -> DataFrame:
+    """Decide what a stream of requests (client, id, ts) holds and return the decisions, written under ``path``.
 
-    return requests.withWatermark("ts", lateness).groupBy("client").applyInPandasWithState(step, DECISIONS, "reset long, count long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_once(decisions: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Drain what the source holds into Parquet at ``out`` and read it back."""
-    query = decisions.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").trigger(availableNow=True).start()
+    The requests of a micro-batch count by time and then id. A batch that runs again after a failure
+    starts from the states before it and replaces its own rows. States whose window ended ``lateness``
+    before the batch's latest request go; that changes no decision on requests that are not so late.
+    """
+    spark = requests.sparkSession
+    stored = lambda: spark.read.schema(ROWS).parquet(path)
+
+    def step(rows: DataFrame, number: int) -> None:
+        before = stored().where((F.col("batch") == number - 1) & (F.col("kind") == "state")).select("client", "reset", "count") if number else None
+        latest = rows.agg(F.max(F.unix_micros("ts"))).first()[0]
+        out = carried(rows, before, window, most)
+        if latest is not None:
+            out = out.where((F.col("kind") == "decision") | (F.unix_micros("reset") > latest - lateness))
+        out.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={number}")
+
+    query = requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return decisions.sparkSession.read.schema(decisions.schema).parquet(out)
+    return stored().where("kind = 'decision'").drop("count", "kind", "batch")
