@@ -18,7 +18,7 @@ from vellumspark.llm.html import html_text, render
 from vellumspark.llm.mixing import mix_sources
 from vellumspark.llm.ngramjoin import ngram_components
 from vellumspark.llm.quality import keep_good, quality_rules
-from vellumspark.llm.spm import encode
+from vellumspark.llm.spm import decode, encode
 from vellumspark.llm.tokencount import processor, token_counts
 from vellumspark.llm.topk import exact_top_k
 from vellumspark.llm.toxicity import toxicity
@@ -253,6 +253,18 @@ def test_encode_equals_library_and_decodes(spark, odd, odd_texts, empty):
     for i, ids in enumerate(library(texts)):
         assert got[i].ids == ids and got[i].n_pieces == len(ids) and got[i].round_trip, texts[i]
     assert encode(empty, MODEL).count() == 0
+    back = {r.doc_id: r.text for r in decode(encode(odd, MODEL).withColumn("text", F.lit("clash")), MODEL).collect()}
+    assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(odd_texts)}
+    some = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in decode(some, MODEL).collect()} == {1: None, 2: ""}
+
+
+def test_encode_long_pre_tokens(spark):
+    r = random.Random(25)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60_000)), "a" * 60_000]
+    start = time.process_time()
+    rows = {x.doc_id: x for x in encode(documents(spark, texts).withColumn("ids", F.lit("clash")), MODEL).collect()}
+    assert [rows[i].ids for i in range(2)] == library(texts) and time.process_time() - start < 30
 
 
 def test_encode_random_texts():

@@ -13,8 +13,10 @@ end, and the path is the merges' result. Characters outside the model become byt
 
 Texts are encoded where they are scanned; memory follows the block.
 
-Defined results: a null or empty text has no pieces; repeated rows are encoded one by one; an
-empty table gives an empty table.
+Defined results: a null or empty text has no pieces, and no ids decode to the empty text; repeated
+rows are encoded one by one; a very long text is a block of its own, and a pre-token without end is
+relaxed in one step a character; further columns, whatever their names, are not read; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -305,3 +307,22 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text: str = "text"
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n_pieces long, ids array<int>, round_trip boolean")
     return rows.withColumnRenamed("id", id_col)
+
+
+def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(id, text): the text of each row's ids; null ids give null, ids beyond the model an error."""
+    tables = df.sparkSession.sparkContext.broadcast(Model(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(tables.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                some = batch.slice(start, 500)
+                lists = some.column(1).to_pylist()
+                flat = np.fromiter(chain.from_iterable(x or () for x in lists), np.int64)
+                texts = decoder(flat, np.array([len(x or ()) for x in lists], np.int64))
+                column = pa.array([None if x is None else t for x, t in zip(lists, texts)], pa.string())
+                yield pa.RecordBatch.from_arrays([some.column(0), column], ["id", "text"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(ids)).mapInArrow(run, "id long, text string")
+    return rows.withColumnRenamed("id", id_col)

@@ -9,9 +9,10 @@ component; a query reads it from the top where its own component is positive and
 where it is negative, a step at a time. What has been read gives each candidate a lower bound
 (unread entries count as the end of their list) and an upper bound (unread entries count as the
 frontier). A candidate whose upper bound is below the query's bar drops out for that query. The bar
-is the k-th best score known: of lower bounds here, or of final scores in the lists before, here or,
-by a first round over one block of candidates, in any task. A query stops reading when few
-candidates are left, and the scores of those alone are resolved. Bounds and scores are sums of
+is the k-th best score known: of final scores in the lists before, here or, by a first round over
+one block of candidates, in any task; of lower bounds as long as there are none. Bounds are looked
+at once the frontier alone, the bound of what has not been met at all, is below the bar. A query
+stops reading when few candidates are left, and the scores of those alone are resolved. Bounds and scores are sums of
 products of integers, exact in the chosen float type.
 
 Each task returns k rows per query at most, none of them below the bar of the first round, and a
@@ -38,7 +39,7 @@ from pyspark.sql.window import Window as W
 from vellumspark.llm.common import partitions_for, stored
 
 #: Shares of the lists read before each look at the bounds.
-DEPTHS = tuple(i / 16 for i in (1, 2, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15))
+DEPTHS = tuple(i / 16 for i in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14))
 #: A query stops reading when this share of the candidates of its lists, or less, is left.
 FEW = 1 / 16
 #: Candidates whose lists are read together, and queries that read them together.
@@ -112,16 +113,22 @@ class Reader:
             if m <= self.k or not len(reading):
                 break
             self.read += d * (depth - before) * len(reading)
-            some = np.flatnonzero(alive[reading].any(axis=0))
             top, bottom = x[order[depth - 1], np.arange(d)], x[order[m - depth], np.arange(d)]
+            unmet = up[reading] @ top + down[reading] @ bottom
+            known = np.isfinite(self.bar[rows[reading]])
+            looking = reading[~known | (unmet < self.bar[rows[reading]])]
+            if not len(looking):
+                continue
+            some = np.flatnonzero(alive[looking].any(axis=0))
             read_top, read_bottom = place[some] < depth, place[some] >= m - depth
-            upper = up[reading] @ np.where(read_top, x[some], top).T + down[reading] @ np.where(read_bottom, x[some], bottom).T
-            lower = up[reading] @ np.where(read_top, x[some], least).T + down[reading] @ np.where(read_bottom, x[some], most).T
-            lower[~alive[np.ix_(reading, some)]] = -np.inf
-            if len(some) >= self.k:
-                here = np.partition(lower, len(some) - self.k, axis=1)[:, len(some) - self.k]
-                self.bar[rows[reading]] = np.maximum(self.bar[rows[reading]], here)
-            alive[np.ix_(reading, some)] &= upper >= self.bar[rows[reading]][:, None]
+            upper = up[looking] @ np.where(read_top, x[some], top).T + down[looking] @ np.where(read_bottom, x[some], bottom).T
+            fresh = looking[~np.isfinite(self.bar[rows[looking]])]
+            if len(fresh) and len(some) >= self.k:
+                lower = up[fresh] @ np.where(read_top, x[some], least).T + down[fresh] @ np.where(read_bottom, x[some], most).T
+                lower[~alive[np.ix_(fresh, some)]] = -np.inf
+                bars = np.partition(lower, len(some) - self.k, axis=1)[:, len(some) - self.k]
+                alive[np.ix_(fresh, some)] &= upper[np.isin(looking, fresh)] >= bars[:, None]
+            alive[np.ix_(looking, some)] &= upper >= self.bar[rows[looking]][:, None]
             reading = reading[alive[reading].sum(axis=1) > max(self.k, FEW * m)]
         i, j = np.nonzero(alive)
         self.read += d * len(i)
