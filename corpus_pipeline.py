@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, encoded documents out, one written table between stages.
 
 Every stage takes (spark, docs, sf_dir) and judges all that its predecessor kept; all but the
-last return the columns of documents.
+last return the columns of documents, further ones among them, whatever their names. Nulls in
+any column, empty and very long texts, ties and repeated rows are treated as each stage says;
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,34 +21,39 @@ from vellumspark.llm.spm import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts are among them. Rows are judged one by one, repeated ones alike."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id stays, once.
 
-    Documents without an id are linked with nothing and stay.
+    Documents without an id, and those whose text has no words, are linked with nothing and stay. Rows
+    that share an id and a text collapse; only ids that stand in several rows are looked at for that.
     """
     firsts = ngram_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = docs.join(firsts, "doc_id", "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_anti")
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    more = kept.join(repeated, "doc_id", "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"])
+    return once.unionByName(more.drop("_digest")).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts gives way to its kind in brackets."""
+    """Personal data in the texts gives way to its kind in brackets; null texts stay null, all rows stay."""
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand in the result as often as the mix takes them."""
+    """Documents stand in the result as often as the mix takes them; null sources are one source, and rows without words are taken no time."""
     copies = mix_sources(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies")).where("mixed_copies > 0")
     taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
     return taken.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), "mixed_copies"))).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document of the mix."""
+    """The token ids of every document of the mix; none for a null or empty text."""
     return encode(docs, tokenizer("piece_bpe_32k.model"))
 
 
