@@ -1,6 +1,7 @@
 """Training-data operators against brute force, the tokenizer library, round trips and planted cases."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -21,7 +22,7 @@ from vellumspark.llm.quality import keep_good, quality_rules
 from vellumspark.llm.spm import decode, encode
 from vellumspark.llm.tokencount import processor, token_counts
 from vellumspark.llm.topk import exact_top_k
-from vellumspark.llm.toxicity import toxicity
+from vellumspark.llm.toxicity import toxicity, training_rows
 
 MODEL = queries.tokenizer("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -316,7 +317,8 @@ def test_feistel_is_a_permutation(n):
 
 def test_training_order(spark, odd, odd_texts, empty, tmp_path):
     path = f"file://{tmp_path}/shards"
-    rows = tokenbinary.training_order(odd, MODEL, path=path, length=32, shard=50).orderBy("slot").collect()
+    clash = odd.withColumns({c: F.lit("clash") for c in ("ids", "part", "first", "slot", "shard", "body", "value")})
+    rows = tokenbinary.training_order(clash, MODEL, path=path, length=32, shard=50).orderBy("slot").collect()
     want = {}
     for i, ids in enumerate(library(odd_texts)):
         ids = [*ids, 2]
@@ -480,6 +482,53 @@ def test_gradients():
     assert dx[1, 3] == pytest.approx((gru.forward(p, up, ids).sum() - gru.forward(p, low, ids).sum()) / 2e-2, rel=0.05, abs=2e-3)
 
 
+def naive_score(p, text):
+    """The highest window probability of a text, number by number."""
+    words = re.findall(r"\w+", (text or "").lower())
+    inputs = {w: gru.Words([w]).vectors(p)[0].tolist() for w in set(words)}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    n, best = gru.HIDDEN, -math.inf
+    for start in range(0, max(1, len(words) - gru.STEP), gru.STEP):
+        own = [inputs[w] for w in words[start : start + gru.WINDOW]]
+        own += [[0.0] * gru.INPUT] * (gru.WINDOW - len(own))
+        states = [[0.0] * (2 * n) for _ in own]
+        for at, side in ((0, "f"), (n, "b")):
+            w, u, c, h = p["w" + side].tolist(), p["u" + side].tolist(), p["c" + side].tolist(), [0.0] * n
+            for t in range(len(own)) if side == "f" else reversed(range(len(own))):
+                a = [c[k] + sum(x * w[i][k] for i, x in enumerate(own[t])) for k in range(3 * n)]
+                g = [sum(x * u[i][k] for i, x in enumerate(h)) for k in range(3 * n)]
+                z, r = ([sig(a[o + k] + g[o + k]) for k in range(n)] for o in (0, n))
+                new = [math.tanh(a[2 * n + k] + r[k] * g[2 * n + k]) for k in range(n)]
+                h = [z[k] * h[k] + (1 - z[k]) * new[k] for k in range(n)]
+                states[t][at : at + n] = h
+        seen = range(min(len(own), max(0, len(words) - start))) or range(len(own))
+        e = {t: math.exp(sum(x * y for x, y in zip(states[t], p["v"].tolist()))) for t in seen}
+        pooled = [sum(e[t] * states[t][k] for t in seen) / sum(e.values()) for k in range(2 * n)]
+        best = max(best, sum(x * y for x, y in zip(pooled, p["o"].tolist())) + float(p["d"][0]))
+    return sig(best)
+
+
+def test_scores_equal_a_naive_network():
+    p = {k: v * (1 if k in ("words", "chars") else 2) for k, v in gru.initial(5).items()}
+    texts = [prose(n, n) for n in (1, 2, 31, 32, 33, 50, 90)] + ["", None, "é 漢字 x_1"]
+    assert gru.text_scores(p, texts).tolist() == pytest.approx([naive_score(p, t) for t in texts], abs=1e-5)
+
+
+def test_toxicity_takes_one_text_of_an_id_and_a_bound(toxic_documents, spark):
+    docs, labels, _ = toxic_documents
+    again = docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("other")).limit(300)).withColumns({"id": F.lit(1), "y": F.lit("x"), "score": F.lit(0.5)})
+    texts, y = training_rows(again, labels.withColumn("text", F.lit("clash")), "doc_id", "text", "toxic", 50)
+    assert len(texts) == 100 and y.sum() == 50
+    assert toxicity(again, labels, sample=50).count() == again.count()
+
+
+def test_toxicity_of_a_very_long_text(toxic_documents, spark):
+    docs, labels, _ = toxic_documents
+    long = documents(spark, [prose(60_000, 77) + " scumbag worthless scumbag " + prose(60_000, 78), prose(120_000, 79)]).withColumn("doc_id", F.col("doc_id") + 10_000)
+    rows = {r.doc_id: r.predicted for r in toxicity(docs.unionByName(long), labels).where("doc_id >= 10000").collect()}
+    assert rows == {10_000: 1, 10_001: 0}
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 16, 17, 32, 33, 48, 49, 500):
         rows, text = gru.windows(np.arange(n), np.array([n]), 999)
@@ -518,9 +567,38 @@ def test_mixing(spark, empty):
     assert mix_sources(empty).count() == 0
 
 
+def test_mixing_rates_are_the_exponential_tilt(spark):
+    r = random.Random(16)
+    sources = [r.choice(["a", "b", "c", "c"]) for _ in range(6000)]
+    sizes = [r.choice([3, 10, 40, 41, 150]) for _ in sources]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, (n, s) in enumerate(zip(sizes, sources))], "doc_id long, text string, source string").repartition(5)
+    rows = mix_sources(df).collect()
+    goal = {x.source: x.target for x in rows}
+    for source in "abc":
+        cells = Counter(n for n, s in zip(sizes, sources) if s == source)
+        copies = Counter()
+        for x in rows:
+            if x.source == source:
+                copies[x.size] += x.copies
+        rate = lambda lam: {n: min(2.0, math.exp(min(lam * n, 50))) for n in cells}  # noqa: E731, B023
+        low, high = -1.0, 1.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(k * n * rate(mid)[n] for n, k in cells.items()) < goal[source] else (low, mid)
+        want = rate(high if goal[source] < 2 * sum(n * k for n, k in cells.items()) else 50)
+        # Whole copies of a cell are its rate's, but the least size, which takes up what their rounding leaves.
+        assert all(abs(copies[n] - k * want[n]) <= (sum(cells) / (2 * n) if n == min(cells) else 2) for n, k in cells.items()), (source, copies, cells, want)
+
+
+def test_mixing_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 400_000, "a", 1)] + [(i, "w w", "a", 1) for i in range(2, 50)], "doc_id long, text string, source string, copies int")
+    rows = {r.doc_id: r for r in mix_sources(df).collect()}
+    assert len(rows) == 49 and rows[1].size == 400_000 and all(r.copies <= 2 for r in rows.values())
+
+
 def test_mixing_is_repeatable_and_native(odd):
-    once, again = (sorted((r.doc_id, r.copies) for r in mix_sources(odd).collect()) for _ in range(2))
-    assert once == again
+    once, again, dealt = (sorted((r.doc_id, r.copies) for r in mix_sources(odd.repartition(n)).collect()) for n in (3, 3, 7))
+    assert once == again == dealt
     assert not re.search("Python|Pandas|Arrow", mix_sources(odd)._jdf.queryExecution().executedPlan().toString())
 
 
@@ -684,7 +762,14 @@ def test_stages_on_odd_tables(spark, odd, empty):
                 assert "n_words" not in docs.columns or {r.n_words for r in found} <= {3}, name
 
 
-@pytest.mark.parametrize("name", ["op2_personal_data", "op3_token_counts", "op5_ngram_jaccard_join", "op7_toxicity", "op8_mix_sources", "op10_html_text"])
+def test_queries_of_other_rows_take_whole_tables(spark, sf_dir):
+    docs, n = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    assert queries.queries()["op1_exact_top_k"](spark, sf_dir).count() == 5 * n
+    order = queries.queries()["op9_training_order"](spark, sf_dir).agg(F.count("*"), F.max("slot"), F.count_distinct("slot"), F.count_distinct("doc_id")).first()
+    assert order[0] == order[1] + 1 == order[2] and order[3] == docs.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op6_sentencepiece", "op2_personal_data", "op3_token_counts", "op5_ngram_jaccard_join", "op7_toxicity", "op8_mix_sources", "op10_html_text"])
 def test_queries_return_whole_tables(spark, sf_dir, name):
     rows = queries.queries()[name](spark, sf_dir)
     assert rows.count() == spark.read.parquet(f"{sf_dir}/{'pages' if name == 'op10_html_text' else 'documents'}.parquet").count()

@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling, forward and backward, in numpy.
 
 A word enters as its hashed embedding beside the mean of the hashed embeddings of its character
-n-grams and the highest first component among them. Two recurrent passes read a window of words, attention weighs the joined states, and
+n-grams. Two recurrent passes read a window of words, attention weighs the joined states, and
 a linear unit scores the weighted mean.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 WORD = re.compile(r"\w+")
 #: Hash buckets of each embedding table, its width, and the width of a recurrent state.
 BUCKETS, EMBED, HIDDEN = 1 << 15, 8, 8
-INPUT = 2 * EMBED + 1
+INPUT = 2 * EMBED
 #: Words whose n-grams are held as vectors at a time.
 CHUNK = 1 << 15
 GRAMS = (3, 5, 7)
@@ -71,13 +71,12 @@ class Words:
         for i in range(0, len(self.word), CHUNK):
             j = min(i + CHUNK, len(self.word))
             chars, at = p["chars"][self.gram[bounds[i] : bounds[j]]], self.first[i:j] - bounds[i]
-            out[i:j, EMBED : 2 * EMBED] = np.add.reduceat(chars, at) / self.count[i:j]
-            out[i:j, -1] = np.maximum.reduceat(chars[:, 0], at) / 2
+            out[i:j, EMBED:] = np.add.reduceat(chars, at) / self.count[i:j]
         return out
 
     def spread(self, dx: np.ndarray, grad: dict[str, np.ndarray]) -> None:
         np.add.at(grad["words"], self.word, dx[:-1, :EMBED])
-        np.add.at(grad["chars"], self.gram, (dx[:-1, EMBED : 2 * EMBED] / self.count)[self.owner])
+        np.add.at(grad["chars"], self.gram, (dx[:-1, EMBED:] / self.count)[self.owner])
 
 
 def indexed(texts: Iterable[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -221,7 +220,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 12
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
     x = features.vectors(p)
-    hint = np.append(x[:-1, 0] + 2 * x[:-1, 2 * EMBED], -9)[rows].max(axis=1)
+    hint = np.append(x[:-1, 0], -9)[rows].max(axis=1)
     for epoch in range(epochs):
         score = hint if not epoch else np.concatenate([forward(p, x, rows[i : i + 4096]) for i in range(0, len(rows), 4096)])
         by = np.lexsort((-score, text))

@@ -9,8 +9,10 @@ text maps back to spans of the source. Base spans stay; new ones are added.
 All work is a projection of each document in the task that scans it: no shuffle, memory bounded
 by a block of texts. Every pattern runs in time linear in the text.
 
-Defined results: a null or empty text has no spans; repeated rows are searched one by one;
-an empty table gives an empty table.
+Defined results: a null or empty text has no spans; a very long one is searched to its end, in a
+block of its own; repeated rows are searched one by one; of overlapping spans all stand, in the
+order of start, then kind; further columns, whatever their names, are not read by the search and
+stay as they are in ``redact``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
