@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import struct
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -90,34 +93,85 @@ def _number(v: int) -> bytes:
     return b"\x1c" + struct.pack(">h", v)
 
 
-def charstring(advance: int, commands: list[dict]) -> bytes:
-    """A Type 2 charstring; quadratic curves become the equal cubic ones. Numbers stay within the format's
+class Commands(NamedTuple):
+    """The commands of glyphs, one after the other: ``sizes`` of each glyph, then one array a field; what is missing is NaN."""
+
+    sizes: np.ndarray
+    type: np.ndarray
+    points: dict[str, np.ndarray]
+
+
+#: Fields of a command in the order in which curves draw them.
+AXES = ("x1", "y1", "x2", "y2", "x", "y")
+
+
+def commands_of(column: pa.Array) -> Commands:
+    """The commands of a list column of structs."""
+    flat = column.flatten()
+    fields = dict(zip((f.name for f in flat.type), flat.flatten()))
+    points = {k: fields[k].cast(pa.float64()).to_numpy(zero_copy_only=False) for k in AXES}
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    return Commands(sizes, np.array(fields["type"].to_pylist(), "U1"), points)
+
+
+def _near(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(x), -16_000, 16_000)
+
+
+def charstrings(advances: np.ndarray, commands: Commands) -> list[bytes]:
+    """Type 2 charstrings of glyphs; quadratic curves become the equal cubic ones. Numbers stay within the format's
     16 bits: coordinates beyond 16,000 units and advances beyond 32,000 are drawn at that bound."""
-    out, x, y = [_number(min(advance, 32_000))], 0, 0
-    near = lambda v: max(-16_000, min(16_000, round(v)))
-
-    def by(*points: tuple[float, float]) -> None:
-        nonlocal x, y
-        for px, py in points:
-            out.append(_number(near(px) - x) + _number(near(py) - y))
-            x, y = near(px), near(py)
-
-    for c in commands:
-        if c["type"] == "Z" or c["x"] is None or c["y"] is None:
-            continue
-        end = (c["x"], c["y"])
-        if c["type"] == "M":
-            by(end)
-            out.append(b"\x15")
-        elif c["type"] == "L":
-            by(end)
-            out.append(b"\x05")
-        else:
-            a = (c["x1"], c["y1"])
-            first, second = (a, (c["x2"], c["y2"])) if c["type"] == "C" else tuple(((p[0] + 2 * a[0]) / 3, (p[1] + 2 * a[1]) / 3) for p in ((x, y), end))
-            by(first, second, end)
-            out.append(b"\x08")
-    return b"".join(out) + b"\x0e"
+    glyph = np.repeat(np.arange(len(commands.sizes)), commands.sizes)
+    drawn = (commands.type != "Z") & ~np.isnan(commands.points["x"]) & ~np.isnan(commands.points["y"])
+    glyph, kind, p = glyph[drawn], commands.type[drawn], {k: v[drawn] for k, v in commands.points.items()}
+    curve, square = np.isin(kind, ("C", "Q")), kind == "Q"
+    for at in "xy":
+        end = _near(p[at])
+        before = np.concatenate([[0.0], end[:-1]])
+        before[np.concatenate([[True], glyph[1:] != glyph[:-1]])[: len(before)]] = 0.0
+        control = p[at + "1"]
+        p[at + "1"] = np.where(square, (before[: len(end)] + 2 * control) / 3, control)
+        p[at + "2"] = np.where(square, (p[at] + 2 * control) / 3, p[at + "2"])
+    # Every command's points: two controls before the end where it curves.
+    n = np.where(curve, 3, 1)
+    first, owner = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    steps = np.empty((len(owner), 2))
+    for k, at in enumerate("xy"):
+        steps[first + n - 1, k] = _near(p[at])
+        for part in (1, 2):
+            steps[first[curve] + part - 1, k] = _near(p[f"{at}{part}"][curve])
+    steps = steps.astype(np.int64)
+    moved = np.diff(steps, axis=0, prepend=np.zeros((1, 2), np.int64))
+    start = np.concatenate([[True], glyph[owner][1:] != glyph[owner][:-1]])[: len(owner)]
+    moved[start] = steps[start]
+    # The tokens of a glyph: advance, of each command its numbers and operator, the end.
+    tokens = 2 * n + 1
+    glyph_tokens = 2 + np.bincount(glyph, weights=tokens, minlength=len(commands.sizes)).astype(np.int64)
+    glyph_at = np.cumsum(glyph_tokens) - glyph_tokens
+    command_at = np.cumsum(tokens) - tokens + 1 + 2 * glyph
+    value, operator = np.empty(int(glyph_tokens.sum()), np.int64), np.zeros(int(glyph_tokens.sum()), bool)
+    value[glyph_at], value[glyph_at + glyph_tokens - 1] = np.minimum(advances, 32_000), 0x0E
+    at = command_at[owner] + 2 * (np.arange(len(owner)) - first[owner])
+    value[at], value[at + 1] = moved[:, 0], moved[:, 1]
+    value[command_at + tokens - 1] = np.where(kind == "M", 0x15, np.where(curve, 0x08, 0x05))
+    operator[glyph_at + glyph_tokens - 1] = operator[command_at + tokens - 1] = True
+    data, ends = _numbers(value, operator)
+    bounds = np.concatenate([[0], ends])[np.append(glyph_at, len(value))]
+    return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def _numbers(value: np.ndarray, operator: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Operands and operators as bytes, and where each ends; the forms are those of ``_number``."""
+    size = np.abs(value)
+    length = np.where(operator | (size <= 107), 1, np.where(size <= 1131, 2, 3))
+    ends = np.cumsum(length)
+    at, out = ends - length, np.zeros(int(length.sum()), np.uint8)
+    one, two, three = length == 1, length == 2, length == 3
+    out[at[one]] = np.where(operator[one], value[one], value[one] + 139)
+    rest = size[two] - 108
+    out[at[two]], out[at[two] + 1] = (rest >> 8) + np.where(value[two] > 0, 247, 251), rest & 255
+    out[at[three]], out[at[three] + 1], out[at[three] + 2] = 28, value[three] >> 8 & 255, value[three] & 255
+    return out.tobytes(), ends
 
 
 def _index(items: list[bytes]) -> bytes:
@@ -129,15 +183,15 @@ def _index(items: list[bytes]) -> bytes:
     return struct.pack(">HB", len(items), 4) + b"".join(struct.pack(">I", o) for o in offsets) + b"".join(items)
 
 
-def _cff(name: str, glyphs: list[dict]) -> bytes:
-    strings = [g["name"].encode() for g in glyphs[1:]]
+def _cff(name: str, names_of: list[str], drawings: list[bytes]) -> bytes:
+    strings = [n.encode() for n in names_of[1:]]
     wide = lambda v: b"\x1d" + struct.pack(">i", v)
     head, names = b"\x01\0\x04\x04", _index([name.encode()])
     tail = _index(strings) + _index([])
     top_size = len(_index([b"".join((wide(0), b"\x0f", wide(0), b"\x11", wide(0), wide(0), b"\x12"))]))
     charset_at = len(head) + len(names) + top_size + len(tail)
     charset = b"\0" + b"".join(struct.pack(">H", 391 + i) for i in range(len(strings)))
-    chars = _index([charstring(g["advance"], g["commands"]) for g in glyphs])
+    chars = _index(drawings)
     private = _number(0) + b"\x14" + _number(0) + b"\x15"
     at = charset_at + len(charset)
     top = _index([b"".join((wide(charset_at), b"\x0f", wide(at), b"\x11", wide(len(private)), wide(at + len(chars)), b"\x12"))])
@@ -165,25 +219,25 @@ def _names(family: str) -> bytes:
     return struct.pack(">3H", 0, len(texts), 6 + len(rows)) + rows + data
 
 
-def encode_font(family: str, glyphs: list[dict]) -> bytes:
-    """An OpenType file of the glyphs (name, code, advance, commands), .notdef first."""
-    points = [(c[a], c[b]) for g in glyphs for c in g["commands"] for a, b in (("x", "y"), ("x1", "y1"), ("x2", "y2")) if c[a] is not None and c[b] is not None] or [(0, 0)]
-    x1, y1, x2, y2 = (int(f(p[k] for p in points)) for f, k in ((min, 0), (min, 1), (max, 0), (max, 1)))
+def encode_font(family: str, names: list[str], glyph_codes: list[int], advances: np.ndarray, commands: Commands) -> bytes:
+    """An OpenType file of glyphs, .notdef first."""
+    known = [v[~np.isnan(v)] for v in (np.concatenate([commands.points[at + k] for k in ("", "1", "2")]) for at in "xy")]
+    x1, y1, x2, y2 = (int(f(v)) if len(v) else 0 for f in (np.min, np.max) for v in known)
     clip = lambda v: max(-32768, min(32767, v))
     box = struct.pack(">4h", *map(clip, (x1, y1, x2, y2)))
-    glyphs = [{**g, "advance": min(g["advance"], 32_000)} for g in glyphs]
-    widest = max(g["advance"] for g in glyphs)
-    codes = sorted({g["code"]: i for i, g in reversed(list(enumerate(glyphs))) if g["code"]}.items())
+    advances = np.minimum(advances, 32_000)
+    widest = int(advances.max())
+    codes = sorted({c: i for i, c in reversed(list(enumerate(glyph_codes))) if c}.items())
     os2 = struct.pack(">HhHHH10hh", 3, widest // 2, 400, 5, 0, *[0] * 11) + bytes(10) + struct.pack(">4I", 1, 0, 0, 0) + b"    "
     os2 += struct.pack(">HHHhhhHH", 64, codes[0][0], codes[-1][0], ASCENDER, DESCENDER, 0, ASCENDER, -DESCENDER) + struct.pack(">IIhhHHH", 1, 0, 500, 700, 0, 32, 1)
     tables = {
-        b"CFF ": _cff(family.replace(" ", ""), glyphs),
+        b"CFF ": _cff(family.replace(" ", ""), names, charstrings(advances, commands)),
         b"OS/2": os2,
         b"cmap": _cmap(codes),
         b"head": struct.pack(">IIIIHHqq", 0x10000, 0x10000, 0, 0x5F0F3CF5, 3, EM, 0, 0) + box + struct.pack(">HHhhh", 0, 8, 2, 0, 0),
-        b"hhea": struct.pack(">IhhhHhhhhhhhhhhhH", 0x10000, ASCENDER, DESCENDER, 0, widest, 0, 0, clip(x2), 1, 0, 0, 0, 0, 0, 0, 0, len(glyphs)),
-        b"hmtx": b"".join(struct.pack(">Hh", g["advance"], 0) for g in glyphs),
-        b"maxp": struct.pack(">IH", 0x5000, len(glyphs)),
+        b"hhea": struct.pack(">IhhhHhhhhhhhhhhhH", 0x10000, ASCENDER, DESCENDER, 0, widest, 0, 0, clip(x2), 1, 0, 0, 0, 0, 0, 0, 0, len(names)),
+        b"hmtx": np.stack([advances, np.zeros_like(advances)], axis=1).astype(">u2").tobytes(),
+        b"maxp": struct.pack(">IH", 0x5000, len(names)),
         b"name": _names(family),
         b"post": struct.pack(">IIhhIIIII", 0x30000, 0, -75, 50, 0, 0, 0, 0, 0),
     }
@@ -220,9 +274,13 @@ def fonts(table: DataFrame, family: str = "MyHandwriting") -> DataFrame:
     """(font_id, font, n_glyphs, chars) from a glyph table; a font's few glyphs meet in one task."""
 
     def build(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda g: (g["order"]["char"], g["order"]["capital"]))
-        data = encode_font(family, rows)
-        chars = sorted({g["name"] for g in rows[2:] if g["order"]["capital"] == 0})
-        return pa.table({"font_id": pa.array([rows[0]["font_id"]], pa.int64()), "font": pa.array([data], pa.binary()), "n_glyphs": pa.array([len(rows)], pa.int64()), "chars": pa.array(["".join(chars)])})
+        order = group["order"].combine_chunks().flatten()
+        capital = order[1].to_numpy()
+        by = np.lexsort((capital, np.array(order[0].to_pylist(), "U8")))
+        rows = group.take(pa.array(by)).combine_chunks()
+        names, advances = rows["name"].to_pylist(), rows["advance"].to_numpy()
+        data = encode_font(family, names, rows["code"].to_pylist(), advances, commands_of(rows["commands"].chunk(0)))
+        chars = sorted({name for name, c in zip(names[2:], capital[by][2:].tolist()) if c == 0})
+        return pa.table({"font_id": rows["font_id"][:1], "font": pa.array([data], pa.binary()), "n_glyphs": pa.array([len(names)], pa.int64()), "chars": pa.array(["".join(chars)])})
 
     return table.withColumn("font_id", F.col("font_id").cast("long")).groupBy("font_id").applyInArrow(build, "font_id long, font binary, n_glyphs long, chars string")
