@@ -127,12 +127,12 @@ def profiles(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
 class Order:
     """The global order: by fingerprint, but the broadcast frequent shingles last, the rarer first."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray):
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, salts: np.ndarray):
         by_value = np.argsort(frequent)
         self.frequent = frequent[by_value]
         self.rank = np.empty(len(frequent), np.int64)
         self.rank[np.lexsort((self.frequent, counts[by_value]))] = np.arange(len(frequent))
-        self.salts = 1 + counts[by_value] // SALTED
+        self.salts = salts[by_value]
         self.maybe = np.zeros(1 << 24, bool)
         self.maybe[self.frequent >> U(40)] = True
 
@@ -421,18 +421,19 @@ def across(members: DataFrame, classes: DataFrame, labels: DataFrame, least: Thr
 
 
 def ngram_components(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, num: int = 75, den: int = 100, direct: int = DIRECT, block: int = BLOCK
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, num: int = 75, den: int = 100, direct: int = DIRECT, block: int = BLOCK, salted: int = SALTED
 ) -> DataFrame:
     """(id, n_shingles, component_id) per row: the smallest id reachable by links of ``num / den`` or more.
 
-    ``direct`` and ``block`` only steer how candidates are paired; every value gives the same result.
+    ``direct``, ``block`` and ``salted`` only steer how candidates are paired; every value gives the same result.
     """
     spark, least, scratch = df.sparkSession, Threshold(num, den), Scratch(df.sparkSession)
     scanned = scratch.stored(profiles(df, id_col, text, width))
     docs = scanned.where("found is null")
     found = scanned.where("found is not null").groupBy("d1").agg(F.sum("found").alias("n")).where(F.col("n") >= IN_ALL)
     late = found.orderBy(F.desc("n"), "d1").limit(FREQUENT).collect()
-    frequent = spark.sparkContext.broadcast((np.array([r.d1 for r in late], np.int64).view(np.uint64), np.array([r.n for r in late], np.int64)))
+    values, counts = np.array([r.d1 for r in late], np.int64).view(np.uint64), np.array([r.n for r in late], np.int64)
+    frequent = spark.sparkContext.broadcast((values, counts, 1 + counts // salted))
     own = docs.where("n > 0 and id is not null")
     classes = scratch.stored(own.groupBy("d1", "d2", "n").agg(F.min("id").alias("cid"), F.first("sketch").alias("sketch")))
     shared = scratch.stored(met(postings(df, text, width, least, frequent), least, direct))
