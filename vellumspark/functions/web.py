@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Longest accepted base64 text.
@@ -33,6 +33,14 @@ def font_mime(kind: Column) -> Column:
     return F.when(kind == "woff2", "font/woff2").otherwise("font/sfnt")
 
 
+def loaded_fonts(loads: DataFrame) -> DataFrame:
+    """(family, format, url, css) of the fonts in use: of the loads (family, seq, font) of a family the last one."""
+    last = loads.groupBy("family").agg(F.max_by("font", "seq").alias("font"))
+    kind = font_format(F.col("font"))
+    rows = last.withColumns({"format": kind, "url": data_url(font_mime(kind), F.col("font"))})
+    return rows.select("family", "format", "url", font_css(F.col("family"), F.col("url"), F.col("format")).alias("css"))
+
+
 def font_css(family: Column, url: Column, kind: Column) -> Column:
     return F.when(url.isNotNull(), F.format_string('@font-face { font-family: "%s"; src: url("%s") format("%s"); }', family, url, kind))
 

@@ -56,6 +56,11 @@ def component_stats(labels: DataFrame, least_area: int = 1) -> DataFrame:
     return found.where(F.col("area") >= least_area).select("image_id", "label", "area", "x", "y", (F.col("x2") - F.col("x") + 1).alias("w"), (F.col("y2") - F.col("y") + 1).alias("h"))
 
 
+def label_counts(labels: DataFrame, least_area: int = 1) -> DataFrame:
+    """(image_id, n_components, n_pixels): components of at least ``least_area`` pixels and the ink in them."""
+    return component_stats(labels, least_area).groupBy("image_id").agg(F.count("*").alias("n_components"), F.sum("area").alias("n_pixels"))
+
+
 def valid_label_map(labels: DataFrame, least_area: int = 10) -> DataFrame:
     """The label map with -1 for components below ``least_area``."""
     area = F.count("*").over(W.partitionBy("image_id", "label"))

@@ -17,9 +17,17 @@ def polygon_box(vertices: Column) -> Column:
     )
 
 
+def response_status(responses: DataFrame) -> DataFrame:
+    """(image_id, status) of each response: ok, or why nothing can be read from it."""
+    parsed = parse_responses(responses)
+    note = F.get("parsed.responses", F.lit(0))["fullTextAnnotation"]
+    status = F.when(F.col("parsed").isNull() | F.col("parsed.responses").isNull(), "broken").when(note.isNull(), "no annotation").when(F.coalesce(F.size(note["pages"]), F.lit(0)) < 1, "no pages").otherwise("ok")
+    return parsed.select("image_id", status.alias("status"))
+
+
 def symbols(responses: DataFrame) -> DataFrame:
     """(image_id, page_width, page_height, place, text, confidence, box) in the order of reading."""
-    top = F.col("parsed.responses")[0]["fullTextAnnotation"]
+    top = F.get("parsed.responses", F.lit(0))["fullTextAnnotation"]
     df = parse_responses(responses).select("image_id", top["pages"].alias("pages"))
     df = df.select("image_id", F.get("pages", F.lit(0))["width"].alias("page_width"), F.get("pages", F.lit(0))["height"].alias("page_height"), F.posexplode("pages").alias("p", "page"))
     keep = ["image_id", "page_width", "page_height", "p"]

@@ -110,6 +110,26 @@ def recognized_first_letters(spark, sf_dir):
     return recognise.letters(tables.recognition_json(spark, sf_dir))
 
 
+def recognition_status(spark, sf_dir):
+    """Some responses are broken, without annotation or without pages."""
+    k = F.col("image_id") % 5
+    spoiled = F.when(k == 0, "{oops").when(k == 1, '{"responses":[{}]}').when(k == 2, '{"responses":[{"fullTextAnnotation":{"text":"","pages":[]}}]}').otherwise(F.col("response"))
+    return recognise.response_status(tables.recognition_json(spark, sf_dir).withColumn("response", spoiled))
+
+
+def label_counts(spark, sf_dir):
+    return components.label_counts(components.label_map(small_ink(spark, sf_dir)), 3)
+
+
+def font_registry(spark, sf_dir):
+    """Documents as fonts loaded under a family by language and source, one over the other."""
+    k = F.col("doc_id")
+    data = F.encode(F.concat(F.when(k % 3 == 0, "wOF2").otherwise("true"), F.md5(k.cast("string"))), "UTF-8")
+    family = F.concat_ws("-", F.coalesce("lang", F.lit("none")), (k % 4).cast("string"))
+    found = web.loaded_fonts(table(spark, sf_dir, "documents").select(family.alias("family"), k.alias("seq"), data.alias("font")))
+    return found.select("family", "format", F.md5("url").alias("url_md5"), F.md5("css").alias("css_md5"))
+
+
 def unique_chars(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(web.unique_letters(F.col("text")), "").alias("chars"))
 
@@ -534,6 +554,7 @@ def queries() -> dict[str, Query]:
         base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_svg_path,
         session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, drawn_glyph_fonts, pangram_fonts, reference_height, note_colour, debug_pictures,
         font_readback, drawn_font_codes, font_status, font_names, pangram_shuffle, raster_rgba, response_headers, stroke_replay, file_sink, debug_files, session_store,
+        recognition_status, label_counts, font_registry,
     )
     return {q.__name__: q for q in every}
 
