@@ -234,8 +234,8 @@ SELECT d.image_id, d.x, d.y, side.side FROM d, side WHERE NOT EXISTS (SELECT 1 F
 f AS (SELECT font_id, height, row_number() OVER (PARTITION BY font_id ORDER BY digit DESC, CASE WHEN digit THEN letter END, event_id) AS k FROM h WHERE height > 0)
 SELECT a.font_id, f.height AS reference FROM (SELECT DISTINCT font_id FROM h) AS a LEFT JOIN f ON a.font_id = f.font_id AND k = 1""",
     "note_colour": "SELECT event_id, CASE event_type WHEN 'click' THEN '#ffe0b2' WHEN 'error' THEN '#ffcdd2' ELSE '#fff9c4' END AS colour FROM events",
-    "font_readback": f"""WITH RECURSIVE {PATHS}, {glyphs(LETTERS)}, {scaled(None)}
-SELECT font_id, unicode(lower(char)) AS code, least(advance, 32000) AS advance FROM g UNION ALL SELECT font_id, unicode(upper(char)), least(advance, 32000) FROM g WHERE lower(char) <> upper(char) UNION ALL SELECT DISTINCT font_id, 32, 250 FROM g""",
+    "font_readback": f"""WITH RECURSIVE {PATHS}, {glyphs(LETTERS)}, {scaled(None)}, r AS (SELECT font_id, char, 0 AS capital, unicode(lower(char)) AS code, advance FROM g UNION ALL SELECT font_id, char, 1, unicode(upper(char)), advance FROM g WHERE lower(char) <> upper(char))
+SELECT font_id, code, row_number() OVER (PARTITION BY font_id ORDER BY char, capital) + 1 AS glyph, least(advance, 32000) AS advance FROM r UNION ALL SELECT DISTINCT font_id, 32, 1, 250 FROM g""",
     "drawn_font_codes": f"""WITH {SMALL}, {OTSU}, dc AS (SELECT DISTINCT image_id // 43 AS font_id, {LETTER_LIST}[CAST(image_id % 43 AS INTEGER) + 1] AS char FROM px JOIN otsu USING (image_id) WHERE g <= threshold)
 SELECT font_id, unicode(lower(char)) AS code FROM dc UNION SELECT font_id, unicode(upper(char)) FROM dc UNION SELECT font_id, 32 FROM dc""",
     "recognition_status": "SELECT item_id AS image_id, CASE item_id % 5 WHEN 0 THEN 'broken' WHEN 1 THEN 'no annotation' WHEN 2 THEN 'no pages' ELSE 'ok' END AS status FROM benchmark",
@@ -243,8 +243,8 @@ SELECT font_id, unicode(lower(char)) AS code FROM dc UNION SELECT font_id, unico
     "font_registry": """WITH l AS (SELECT coalesce(lang, 'none') || '-' || (doc_id % 4) AS family, max(doc_id) AS k FROM documents GROUP BY 1),
 u AS (SELECT family, CASE WHEN k % 3 = 0 THEN 'woff2' ELSE 'truetype' END AS format, 'data:font/' || CASE WHEN k % 3 = 0 THEN 'woff2' ELSE 'sfnt' END || ';base64,' || to_base64(encode(CASE WHEN k % 3 = 0 THEN 'wOF2' ELSE 'true' END || md5(CAST(k AS VARCHAR)))) AS url FROM l)
 SELECT family, format, md5(url) AS url_md5, md5('@font-face { font-family: "' || family || '"; src: url("' || url || '") format("' || format || '"); }') AS css_md5 FROM u""",
-    "font_status": f"""WITH RECURSIVE {PATHS}, {glyphs(LETTERS)}, n AS (SELECT font_id, count(*) + count(CASE WHEN lower(char) <> upper(char) THEN 1 END) + 2 AS n FROM gm WHERE font_id % 10 <> 0 GROUP BY font_id)
-SELECT a.font_id, CASE WHEN n.n IS NULL THEN 'no valid glyphs' ELSE 'ok' END AS status, n.n AS n_glyphs FROM (SELECT DISTINCT path_id // 43 AS font_id FROM bb) AS a LEFT JOIN n ON n.font_id = a.font_id""",
+    "font_status": f"""WITH RECURSIVE {PATHS}, {glyphs(LETTERS)}, n AS (SELECT font_id, count(*) + count(CASE WHEN lower(char) <> upper(char) THEN 1 END) + 2 AS n, string_agg(lower(char), '' ORDER BY lower(char)) AS chars FROM gm WHERE font_id % 10 <> 0 GROUP BY font_id)
+SELECT a.font_id, CASE WHEN n.n IS NULL THEN 'no valid glyphs' ELSE 'ok' END AS status, n.n AS n_glyphs, n.chars FROM (SELECT DISTINCT path_id // 43 AS font_id FROM bb) AS a LEFT JOIN n ON n.font_id = a.font_id""",
     "font_names": rf"SELECT c_custkey, 'hand-of-' || CASE WHEN c_custkey % 4 <> 0 THEN regexp_replace(regexp_replace(lower(c_name), '\s+', '-', 'g'), '[^a-z0-9-]', '', 'g') ELSE 'you' END || '-' || ({seeded('c_custkey', 3, 900)} + 100) AS name FROM customer",
     "pangram_shuffle": f"""WITH s AS (SELECT DISTINCT user_id, {seeded('user_id', 1, 8)} AS a, {seeded('user_id', 2, 7)} AS b FROM events)
 SELECT user_id, CAST(a AS INTEGER) AS pangram, CAST(CASE WHEN b >= a THEN b + 1 ELSE b END AS INTEGER) AS next FROM s""",

@@ -403,21 +403,21 @@ def drawn_glyph_fonts(spark, sf_dir):
 
 
 def decoded(made: DataFrame) -> DataFrame:
-    """(font_id, code, advance) of every character, read from the bytes of the fonts."""
+    """(font_id, code, glyph, advance) of every character, read from the bytes of the fonts; ``glyph`` is its place in the file."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             read = [(i, font.read_font(f)) for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            flat = [(i, code, f["advances"][glyph]) for i, f in read for code, glyph in f["codes"].items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], pa.int64()) for k in range(3)], ["font_id", "code", "advance"])
+            flat = [(i, code, glyph, f["advances"][glyph]) for i, f in read for code, glyph in f["codes"].items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], pa.int64()) for k in range(4)], ["font_id", "code", "glyph", "advance"])
 
-    return made.where("font is not null").select("font_id", "font").mapInArrow(run, "font_id long, code long, advance long")
+    return made.where("font is not null").select("font_id", "font").mapInArrow(run, "font_id long, code long, glyph long, advance long")
 
 
 def font_readback(spark, sf_dir):
-    """The code maps and advances of the fonts of ``font_bytes``, as their files tell them."""
+    """The code maps, glyph order and advances of the fonts of ``font_bytes``, as their files tell them."""
     return decoded(font.fonts(font.glyph_table(lettered(spark, sf_dir))))
 
 
@@ -431,7 +431,7 @@ def font_status(spark, sf_dir):
     glyphs = lettered(spark, sf_dir)
     some = glyphs.withColumn("commands", F.when(F.col("font_id") % 10 != 0, F.col("commands")).otherwise(F.slice("commands", 1, 0)))
     made = drawing.with_status(font.fonts(font.glyph_table(some)), glyphs.select("font_id").distinct(), F.lit(drawing.NO_GLYPHS))
-    return made.select("font_id", "status", "n_glyphs")
+    return made.select("font_id", "status", "n_glyphs", "chars")
 
 
 def font_names(spark, sf_dir):
