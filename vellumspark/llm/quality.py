@@ -52,6 +52,9 @@ RULES = (
     Rule("ellipsis_line_ratio", None, 0.5),
 )
 
+#: Characters that begin a bulleted line.
+BULLETS = ("-", "*", "•", "‣")
+
 #: Metrics that exist while the projections build on each other, then go.
 HELD = ("_words", "_lines", "_windows")
 
@@ -111,12 +114,13 @@ def with_metrics(df: DataFrame, text: str = "text", width: int = 8) -> DataFrame
     df = df.withColumn("_words", word_array(F.col(text)))
     df = df.withColumns(
         {
-            "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
+            "_lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != ""),
             "_windows": F.when(F.size("_words") >= width, F.transform("_words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")),
         }
     )
     for k in range(width.bit_length() - 1):
         df = df.withColumn("_windows", F.when(F.size("_words") >= width, paired(F.col("_windows"), 1 << k)).otherwise(F.col("_windows")))
+    ends = lambda x: x.endswith("...") | x.endswith("…")
     stop = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS + [w.capitalize() for w in STOP_WORDS] + [w.upper() for w in STOP_WORDS])))
     n, lines = F.size("_words"), F.size("_lines")
     df = df.withColumns(
@@ -127,8 +131,8 @@ def with_metrics(df: DataFrame, text: str = "text", width: int = 8) -> DataFrame
             "n_dup_lines": (lines - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": repeated_window_words(F.col("_windows"), width).cast("long"),
             "n_stop_words": F.size(F.array_intersect("_words", stop)),
-            "bullet_line_ratio": per(F.size(F.filter("_lines", lambda x: x.rlike("^[\\x20\\x09]*[-*•‣]"))), lines),
-            "ellipsis_line_ratio": per(F.size(F.filter("_lines", lambda x: x.rlike("(\\.\\.\\.|…)[\\x20\\x09\\x0D]*$"))), lines),
+            "bullet_line_ratio": per(F.size(F.filter("_lines", lambda x: F.substring(F.ltrim(x, F.lit(" \t")), 1, 1).isin(*BULLETS))), lines),
+            "ellipsis_line_ratio": per(F.size(F.filter("_lines", lambda x: ends(F.rtrim(x, F.lit(" \t\r"))))), lines),
         }
     )
     df = df.withColumns(
