@@ -225,8 +225,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 12
         score = hint if not epoch else np.concatenate([forward(p, x, rows[i : i + 4096]) for i in range(0, len(rows), 4096)])
         by = np.lexsort((-score, text))
         chosen = by[np.searchsorted(text[by], np.arange(len(texts)))]
-        # Beside its highest window, each clean text gives one drawn at random.
-        extra = r.permutation(np.flatnonzero(labels[text] == 0))[: len(texts) // 2]
+        # Beside the highest window of each text, clean texts give windows drawn at random, two for every text.
+        extra = r.permutation(np.flatnonzero(labels[text] == 0))[: 2 * len(texts)]
         picked = r.permutation(np.concatenate([chosen, extra]))
         for i in range(0, len(picked), batch):
             own = rows[picked[i : i + batch]]
