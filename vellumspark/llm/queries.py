@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import table
+from vellumspark.llm.decontaminate import contamination
 from vellumspark.llm.html import html_text
 from vellumspark.llm.mixing import mix_sources
 from vellumspark.llm.ngramjoin import ngram_components
@@ -71,6 +72,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_top_k": op1_exact_top_k,
@@ -83,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op8_mix_sources": op8_mix_sources,
         "op9_training_order": op9_training_order,
         "op10_html_text": op10_html_text,
+        "op13_decontamination": op13_decontamination,
     }
 
 
@@ -138,9 +146,24 @@ r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.a, r.c FROM r JOIN e ON e
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id, n.n"""
 
 
+#: Windows joined as strings; a document's word is hit if one of the windows over it occurs.
+LEAK_SQL = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+iw AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(list_slice(ws, i, i + 9), ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, greatest(2, len(ws) - 8))) AS i FROM iw WHERE len(ws) > 0)),
+s AS (SELECT DISTINCT k FROM w),
+p AS (SELECT doc_id, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM dw, s WHERE len(ws) >= k)),
+h AS (SELECT p.doc_id, p.i, p.k, w.item_id FROM p JOIN w ON p.k = w.k AND p.g = w.g),
+n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM (SELECT DISTINCT doc_id, i, k FROM h)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id LEFT JOIN t ON t.doc_id = dw.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_top_k": TOP_K_SQL,
         "op4_quality_rules": _quality_sql(),
         "op5_ngram_jaccard_join": JOIN_SQL,
+        "op13_decontamination": LEAK_SQL,
     }
