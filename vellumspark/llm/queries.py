@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumspark.llm.collocations import collocations
 from vellumspark.llm.common import table
 from vellumspark.llm.decontaminate import contamination
 from vellumspark.llm.html import html_text
@@ -72,6 +73,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -90,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op8_mix_sources": op8_mix_sources,
         "op9_training_order": op9_training_order,
         "op10_html_text": op10_html_text,
+        "op11_collocations": op11_collocations,
         "op13_decontamination": op13_decontamination,
     }
 
@@ -146,6 +152,25 @@ r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.a, r.c FROM r JOIN e ON e
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id, n.n"""
 
 
+#: Phrases counted as strings, all cuts of each scored in 128-bit integers.
+PHRASE_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+q AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (SELECT lang, unnest(ps) AS piece FROM p)),
+g AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM q)),
+f1 AS (SELECT lang, x, count(*) AS a FROM g GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS a FROM g WHERE y IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, x, y, z, count(*) AS a FROM g WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f1 GROUP BY lang),
+u AS (SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, 1 AS k, f2.a, l.a AS l, r.a AS r FROM f2 JOIN f1 AS l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 AS r ON r.lang = f2.lang AND r.x = f2.y
+  WHERE f2.a >= 10 AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.x = f2.x AND f3.y = f2.y AND 100 * f3.a >= 50 * f2.a) AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.y = f2.x AND f3.z = f2.y AND 100 * f3.a >= 50 * f2.a)
+ UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, 1, f3.a, l.a, r.a FROM f3 JOIN f1 AS l ON l.lang = f3.lang AND l.x = f3.x JOIN f2 AS r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z
+ UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, 2, f3.a, l.a, r.a FROM f3 JOIN f2 AS l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f1 AS r ON r.lang = f3.lang AND r.x = f3.z),
+v AS (SELECT *, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS score FROM u),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS t FROM v) WHERE t = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT o.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000"""
+
+
 #: Windows joined as strings; a document's word is hit if one of the windows over it occurs.
 LEAK_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
@@ -165,5 +190,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_top_k": TOP_K_SQL,
         "op4_quality_rules": _quality_sql(),
         "op5_ngram_jaccard_join": JOIN_SQL,
+        "op11_collocations": PHRASE_SQL,
         "op13_decontamination": LEAK_SQL,
     }
