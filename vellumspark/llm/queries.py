@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm.collocations import collocations
 from vellumspark.llm.common import table
+from vellumspark.llm.convtrie import grafted, placed, prefix_trie
 from vellumspark.llm.decontaminate import contamination
 from vellumspark.llm.html import html_text
 from vellumspark.llm.mixing import mix_sources
@@ -77,6 +78,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(grafted(placed(table(spark, sf_dir, "conversations"))))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -96,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op9_training_order": op9_training_order,
         "op10_html_text": op10_html_text,
         "op11_collocations": op11_collocations,
+        "op12_conversation_trie": op12_conversation_trie,
         "op13_decontamination": op13_decontamination,
     }
 
@@ -171,6 +177,22 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT o.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000"""
 
 
+#: Prefixes as lists of turns; the checksum is folded bit by bit. A node is the group of the rebuilt conversations' first d turns.
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+b AS (SELECT conv_id, ts, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END) AS c FROM t),
+h AS (SELECT conv_id, ts, CAST(xor(c, CAST(4294967295 AS BIGINT)) % 9 AS INTEGER) AS h FROM b),
+r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(g.ts, 1, h.h), []), list_slice(h.ts, h.h + 1, len(h.ts))) AS ts FROM h LEFT JOIN t AS g ON g.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(ts) AS n, d, list_slice(ts, 1, d) AS pre, CASE WHEN d > 0 THEN list_slice(ts, 1, d - 1) END AS up, CASE WHEN d > 0 THEN strlen(ts[d].text) ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+n AS (SELECT pre, any_value(d) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) > any_value(d) AS inner_, (count(*) - 1) * any_value(size) AS own,
+  coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends FROM p GROUP BY pre),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+a AS (SELECT list_slice(pre, 1, e) AS pre, sum(CASE WHEN inner_ THEN 0 ELSE 1 END) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM n) GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN a ON a.pre = n.pre LEFT JOIN k ON k.up = n.pre LEFT JOIN n AS u ON u.pre = n.up"""
+
+
 #: Windows joined as strings; a document's word is hit if one of the windows over it occurs.
 LEAK_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
@@ -191,5 +213,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": _quality_sql(),
         "op5_ngram_jaccard_join": JOIN_SQL,
         "op11_collocations": PHRASE_SQL,
+        "op12_conversation_trie": TRIE_SQL,
         "op13_decontamination": LEAK_SQL,
     }
