@@ -146,11 +146,11 @@ def _joined(before: list | None, size: int, own: np.ndarray) -> np.ndarray:
 FOUND = "n_words long, n_hit long, items array<string>, hit_words array<int>, spans array<struct<start:long,end:long>>, clean string"
 
 
-def _scanned(df: DataFrame, rows: pa.Table, last: bool) -> DataFrame:
+def _scanned(df: DataFrame, rows: pa.Table, final: bool) -> DataFrame:
     """One pass: ``df`` (row, text, hit_words, items) with what the windows ``rows`` hit besides; the last one drops the text."""
     held = df.sparkSession.sparkContext.broadcast(HashSet(rows))
     row = df.schema["row"].dataType.simpleString()
-    text = "" if last else "text string, "
+    text = "" if final else "text string, "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looked = held.value
@@ -181,7 +181,7 @@ def _scanned(df: DataFrame, rows: pa.Table, last: bool) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
             found = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
             names = ["n_words", "n_hit", "items", "hit_words", "spans", "clean"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 if last else 2], *found], [*["row", "text"][: 1 if last else 2], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 if final else 2], *found], [*["row", "text"][: 1 if final else 2], *names])
 
     return df.select("row", "text", "hit_words", "items").mapInArrow(run, f"row {row}, {text}{FOUND}")
 
