@@ -11,6 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The patterns of path elements, sizes, scales, commands and numbers, which decide what is read.
+PATH_DATA = '<path[^>]*\\bd="([^"]+)"'
+VIEW_BOX = r'viewBox="\s*\S+\s+\S+\s+(\S+)\s+(\S+)\s*"'
+SCALE = r"scale\(\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*\)"
+COMMAND = "[MmLlHhVvCcSsQqTtAaZz][^MmLlHhVvCcSsQqTtAaZz]*"
+NUMBER = r"(?i)-?\d+\.?\d*(?:e[+-]?\d+)?"
+
 #: Commands of a path folded into one array.
 RUN = 64
 POINT = "type string, x double, y double, x1 double, y1 double, x2 double, y2 double"
@@ -18,7 +25,7 @@ POINT = "type string, x double, y double, x1 double, y1 double, x2 double, y2 do
 
 def svg_paths(svg: Column) -> Column:
     """The path data of all path elements, trimmed, without empty ones."""
-    return F.filter(F.transform(F.regexp_extract_all(svg, F.lit('<path[^>]*\\bd="([^"]+)"'), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(svg, F.lit(PATH_DATA), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def _number(text: Column) -> Column:
@@ -28,14 +35,14 @@ def _number(text: Column) -> Column:
 def svg_size(svg: Column) -> Column:
     """(width, height) from the first such attributes, else from the view box, else null."""
     side = lambda name: _number(F.regexp_extract(svg, name + r'="(\d+(?:\.\d+)?)(?:px)?"', 1))
-    box = lambda k: _number(F.regexp_extract(svg, r'viewBox="\s*\S+\s+\S+\s+(\S+)\s+(\S+)\s*"', k))
+    box = lambda k: _number(F.regexp_extract(svg, VIEW_BOX, k))
     direct = F.when(side("width").isNotNull() & side("height").isNotNull(), F.struct(side("width").alias("width"), side("height").alias("height")))
     return F.coalesce(direct, F.when(box(1).isNotNull() & box(2).isNotNull(), F.struct(box(1).alias("width"), box(2).alias("height"))))
 
 
 def svg_scale(svg: Column) -> Column:
     """The size of the first scale(a, b); null without both arguments."""
-    return F.abs(_number(F.regexp_extract(svg, r"scale\(\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*\)", 1)))
+    return F.abs(_number(F.regexp_extract(svg, SCALE, 1)))
 
 
 def traced_height(svg: Column) -> Column:
@@ -45,12 +52,12 @@ def traced_height(svg: Column) -> Column:
 
 def parse_path(d: Column) -> Column:
     """Path data as an array of absolute commands (type, x, y, x1, y1, x2, y2) of types M, L, C, Q and Z."""
-    tokens = F.regexp_extract_all(d, F.lit("[MmLlHhVvCcSsQqTtAaZz][^MmLlHhVvCcSsQqTtAaZz]*"), F.lit(0))
+    tokens = F.regexp_extract_all(d, F.lit(COMMAND), F.lit(0))
     coded = F.transform(
         tokens,
         lambda t: F.struct(
             F.substring(t, 1, 1).alias("c"),
-            F.transform(F.regexp_extract_all(F.substring(t, 2, 1 << 30), F.lit(r"(?i)-?\d+\.?\d*(?:e[+-]?\d+)?"), F.lit(0)), lambda n: n.cast("double")).alias("n"),
+            F.transform(F.regexp_extract_all(F.substring(t, 2, 1 << 30), F.lit(NUMBER), F.lit(0)), lambda n: n.cast("double")).alias("n"),
         ),
     )
 
@@ -111,6 +118,26 @@ def path_box(commands: Column) -> Column:
     return F.struct(F.array_min(every("x")).alias("min_x"), F.array_min(every("y")).alias("min_y"), F.array_max(every("x")).alias("max_x"), F.array_max(every("y")).alias("max_y"))
 
 
+def path_area(commands: Column) -> Column:
+    """The area that closed paths of M, L, C and Z commands enclose, counter-clockwise above 0."""
+    cross = lambda ax, ay, bx, by: ax * by - ay * bx
+    none = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, c: Column) -> Column:
+        line = cross(s["x"], s["y"], c["x"], c["y"]) / 2
+        a, b, d = (s["x"], s["y"]), (c["x1"], c["y1"]), (c["x"], c["y"])
+        e = (c["x2"], c["y2"])
+        curve = (6 * cross(*a, *b) + 3 * cross(*a, *e) + cross(*a, *d) + 3 * cross(*b, *e) + 3 * cross(*b, *d) + 6 * cross(*e, *d)) / 20
+        back = cross(s["x"], s["y"], s["mx"], s["my"]) / 2
+        kind = c["type"]
+        grown = F.when(kind == "M", 0.0).when(kind == "Z", back).when(kind == "C", curve).otherwise(line)
+        at = lambda now, begin: F.when(kind == "Z", begin).otherwise(now)
+        moved = lambda now, begin: F.when(kind == "M", now).otherwise(begin)
+        return F.struct(at(c["x"], s["mx"]).alias("x"), at(c["y"], s["my"]).alias("y"), moved(c["x"], s["mx"]).alias("mx"), moved(c["y"], s["my"]).alias("my"), (s["sum"] + grown).alias("sum"))
+
+    return F.aggregate(commands, none, step, lambda s: s["sum"])
+
+
 def stroke_path(points: Column) -> Column:
     """A smooth closed path through outline points (x, y), two decimals; empty for fewer than four."""
     text = lambda v: F.format_string("%.2f", v)

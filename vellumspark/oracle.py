@@ -230,6 +230,9 @@ SELECT session_id, letter FROM (SELECT *, row_number() OVER (PARTITION BY sessio
     "trace_edges": f"""WITH {INK}, d AS (SELECT image_id, x, y FROM ink WHERE ink = 255), side(side, dx, dy) AS (VALUES ('left', -1, 0), ('right', 1, 0), ('up', 0, -1), ('down', 0, 1))
 SELECT d.image_id, d.x, d.y, side.side FROM d, side WHERE NOT EXISTS (SELECT 1 FROM d AS o WHERE o.image_id = d.image_id AND o.x = d.x + dx AND o.y = d.y + dy)""",
     "trace_outlines": f"WITH {INK} SELECT image_id, count(*) AS area FROM ink WHERE ink = 255 GROUP BY image_id",
+    "trace_curves": f"""WITH {INK}, d AS (SELECT image_id, x, y FROM ink WHERE ink = 255), side(dx, dy) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)),
+e AS (SELECT d.image_id, count(*) AS edges FROM d, side WHERE NOT EXISTS (SELECT 1 FROM d AS o WHERE o.image_id = d.image_id AND o.x = d.x + dx AND o.y = d.y + dy) GROUP BY d.image_id)
+SELECT d.image_id, count(*) AS ink, any_value(edges) AS edges, TRUE AS close FROM d JOIN e ON d.image_id = e.image_id GROUP BY d.image_id""",
     "reference_height": f"""WITH {DRAWN}, l(place, letter, category) AS (VALUES {LETTER_ROWS}), h AS (SELECT session_id AS font_id, event_id, category = 'number' AS digit, letter, CASE WHEN event_id % 3 <> 0 THEN floor(value) ELSE 0 END AS height FROM drawn JOIN l ON drawn.place = l.place),
 f AS (SELECT font_id, height, row_number() OVER (PARTITION BY font_id ORDER BY digit DESC, CASE WHEN digit THEN letter END, event_id) AS k FROM h WHERE height > 0)
 SELECT a.font_id, f.height AS reference FROM (SELECT DISTINCT font_id FROM h) AS a LEFT JOIN f ON a.font_id = f.font_id AND k = 1""",

@@ -20,20 +20,20 @@ def reference_heights(glyphs: DataFrame) -> DataFrame:
     return glyphs.groupBy("font_id").agg(F.min_by("height", F.when(F.col("height") > 0, order)).alias("reference"))
 
 
-def drawn_glyphs(px: DataFrame, places: DataFrame) -> DataFrame:
+def drawn_glyphs(px: DataFrame, places: DataFrame, despeckle: int = 2) -> DataFrame:
     """(font_id, char, entry, paths, height) of drawn rasters ``px`` (image_id, x, y, g); those without ink have no row.
 
-    ``places`` (image_id, font_id, char, entry) tells whose letter each raster is; a raster's height is that of its canvas.
+    Outlines are curves; those that enclose at most ``despeckle`` pixels are dropped. ``places`` (image_id, font_id, char, entry) tells whose letter each raster is; a raster's height is that of its canvas.
     """
     heights = px.groupBy("image_id").agg((F.max("y") + 1).cast("double").alias("height"))
-    traced = trace.traced(glyph_ink(px)).where(F.size("paths") > 0)
+    traced = trace.traced(glyph_ink(px), curves=True, despeckle=despeckle).where(F.size("paths") > 0)
     own = places.select("image_id", "font_id", F.lower("char").alias("char"), "entry")
     return traced.select("image_id", "paths").join(own, "image_id").join(heights, "image_id").drop("image_id")
 
 
-def drawn_fonts(px: DataFrame, places: DataFrame, family: str = "MyHandwriting", strict: bool = False) -> DataFrame:
+def drawn_fonts(px: DataFrame, places: DataFrame, family: str = "MyHandwriting", strict: bool = False, despeckle: int = 2) -> DataFrame:
     """(font_id, font, n_glyphs, chars, status) for each font of ``places``; the scale follows the first height above 0."""
-    glyphs = drawn_glyphs(px, places)
+    glyphs = drawn_glyphs(px, places, despeckle)
     made = font.glyph_commands(glyphs).drop("paths").join(reference_heights(glyphs), "font_id")
     table = font.glyph_table(made.select("font_id", "char", "commands", "reference"), F.col("reference"))
     return with_status(font.fonts(table, family), places.select("font_id").distinct(), F.lit(NO_GLYPHS), strict)

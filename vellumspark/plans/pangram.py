@@ -25,7 +25,7 @@ def pangram_fonts(px: DataFrame, responses: DataFrame, family: str = "MyHandwrit
     crops = pangram_crops(px, responses, least_area)
     # A crop is a raster of its own: its number in the photo joins the photo's.
     own = F.col("image_id") * 26 + F.ascii("char") - F.ascii(F.lit("a"))
-    traced = trace.traced(crops.select(own.alias("image_id"), "x", "y", F.lit(255).alias("ink")))
+    traced = trace.traced(crops.select(own.alias("image_id"), "x", "y", F.lit(255).alias("ink")), curves=True)
     glyphs = traced.select(F.floor(F.col("image_id") / 26).alias("font_id"), F.char(F.col("image_id") % 26 + F.ascii(F.lit("a"))).alias("char"), "paths")
     made = font.fonts(font.glyph_table(font.glyph_commands(glyphs).drop("paths")), family)
     lettered = recognise.letters(responses).select(F.col("image_id").alias("font_id"), F.lit(True).alias("lettered")).distinct()

@@ -390,12 +390,22 @@ def trace_outlines(spark, sf_dir):
     return traced.groupBy("image_id").agg(F.sum(area).cast("long").alias("area"))
 
 
+def trace_curves(spark, sf_dir):
+    """Curved outlines: the ink and its edges, and whether the curves enclose as much ink, to a quarter of a pixel for every edge."""
+    ink = small_ink(spark, sf_dir)
+    traced = trace.traced(ink, curves=True, despeckle=0).select("image_id", F.explode("paths").alias("d")).select("image_id", svgpath.path_area(svgpath.parse_path(F.col("d"))).alias("area"))
+    edges = trace.boundary_edges(ink).groupBy("image_id").agg(F.count("*").alias("edges"))
+    counts = ink.where("ink = 255").groupBy("image_id").agg(F.count("*").alias("ink")).join(edges, "image_id")
+    rows = counts.join(traced.groupBy("image_id").agg(F.sum("area").alias("area")), "image_id")
+    return rows.select("image_id", "ink", "edges", (F.abs(F.col("area") - F.col("ink")) <= 0.25 * F.col("edges")).alias("close"))
+
+
 def drawn_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rasters as drawn letters, 43 a font."""
+    """Rasters as drawn letters, 43 a font; single pixels are letters here."""
     k = F.col("vec_id")
     char = F.get(F.array(*map(F.lit, L.LETTERS)), (k % 43).cast("int"))
     places = table(spark, sf_dir, "embeddings").select(k.alias("image_id"), F.floor(k / 43).alias("font_id"), char.alias("char"), k.alias("entry"))
-    return drawing.drawn_fonts(tables.small_rasters(spark, sf_dir), places)
+    return drawing.drawn_fonts(tables.small_rasters(spark, sf_dir), places, despeckle=0)
 
 
 def drawn_glyph_fonts(spark, sf_dir):
@@ -552,7 +562,7 @@ def queries() -> dict[str, Query]:
         saved_glyphs, undrawn_letters, draw_progress, svg_extract_paths, svg_viewbox, svg_scale, svg_parse_path, path_bbox,
         font_coords_letter, font_coords_punctuation, font_coords_uniform, glyph_table, font_bytes, rate_limit_batch, rate_limit_stream, request_validation, origin_policy,
         base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_svg_path,
-        session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, drawn_glyph_fonts, pangram_fonts, reference_height, note_colour, debug_pictures,
+        session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, trace_curves, drawn_glyph_fonts, pangram_fonts, reference_height, note_colour, debug_pictures,
         font_readback, drawn_font_codes, font_status, font_names, pangram_shuffle, raster_rgba, response_headers, stroke_replay, file_sink, debug_files, session_store,
         recognition_status, label_counts, font_registry,
     )
