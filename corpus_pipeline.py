@@ -1,9 +1,8 @@
 """The corpus pipeline: documents in, encoded documents out, one written table between stages.
 
 Every stage takes (spark, docs, sf_dir) and judges all that its predecessor kept; all but the
-last return the columns of documents, further ones among them, whatever their names. Nulls in
-any column, empty and very long texts, ties and repeated rows are treated as each stage says;
-an empty table stays empty.
+last return the columns of documents, further ones among them, whatever their names. Each stage states
+what it does with nulls, empty and very long texts, ties and repeated rows; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,40 +19,61 @@ from vellumspark.llm.queries import tokenizer
 from vellumspark.llm.spm import encode
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(id, row): each document packed into a struct, so that no column of it meets a stage's own columns."""
+    return docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; null and empty texts are among them. Rows are judged one by one, repeated ones alike."""
+    """Documents that the quality rules reject go; null and empty texts are among them, very long ones are judged whole.
+
+    Rows are judged one by one by their text alone: equal rows alike, whatever their id and other columns hold.
+    """
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id stays, once.
 
-    Documents without an id, and those whose text has no words, are linked with nothing and stay. Rows
-    that share an id and a text collapse; only ids that stand in several rows are looked at for that.
+    Documents without an id, and those whose text is null or has no words, are linked with nothing and stay. Rows
+    that share an id and a text collapse to one of them, whichever comes first; only ids that stand in several rows are
+    looked at for that. Very long texts are compared whole.
     """
-    firsts = ngram_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
-    more = kept.join(repeated, "doc_id", "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"])
-    return once.unionByName(more.drop("_digest")).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    firsts = ngram_components(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
+    kept = rows_of(docs).join(firsts, "id", "left_semi")
+    repeated = docs.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    digest = F.coalesce(F.sha2(F.col("row").getField("text"), 256), F.lit(""))
+    more = kept.join(repeated, "id", "left_semi").withColumn("digest", digest).dropDuplicates(["id", "digest"])
+    alone = rows_of(docs).where("id is null")
+    return kept.join(repeated, "id", "left_anti").unionByName(more.drop("digest")).unionByName(alone).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts gives way to its kind in brackets; null texts stay null, all rows stay."""
+    """Personal data in the texts gives way to its kind in brackets; all rows stay.
+
+    Null texts stay null and empty ones empty, very long ones are searched whole; of finds that overlap in a text the
+    transducers keep the first and longer; equal rows are treated alike.
+    """
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand in the result as often as the mix takes them; null sources are one source, and rows without words are taken no time."""
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies")).where("mixed_copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return taken.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), "mixed_copies"))).select(*docs.columns)
+    """Documents stand in the result as often as the mix takes them.
+
+    Each row is mixed for itself, under a number that this stage writes beside it: rows without an id and rows that
+    share one get copies of their own. Null sources are one source; rows whose text is null or has no words are taken no
+    time; equal rows may be taken unequally, as copies are dealt one by one. Rows of one size and source are equals, and a hash of
+    the row's number decides among them.
+    """
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")))
+    sizes = numbered.select("number", F.col("row").getField("text").alias("text"), F.col("row").getField("source").alias("source"))
+    copies = mix_sources(sizes, id_col="number").where("copies > 0").select("number", "copies")
+    taken = numbered.join(copies, "number")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document of the mix; none for a null or empty text."""
+    """The token ids of every document of the mix, row by row; none for a null or empty text, all of a very long one."""
     return encode(docs, tokenizer("piece_bpe_32k.model"))
 
 
