@@ -754,7 +754,7 @@ def test_pipeline_by_stage(spark):
 def test_stages_on_odd_tables(spark, odd, empty):
     import corpus_pipeline
 
-    clash = {name: F.lit(3) for name in ("n_words", "kept", "size", "copies", "id", "n", "component_id", "spans", "taken", "bucket", "rank")}
+    clash = {name: F.lit(3) for name in ("n_words", "kept", "size", "copies", "id", "n", "component_id", "spans", "taken", "bucket", "rank", "_digest", "digest", "mixed_id", "mixed_copies", "mixed_copy", "number", "row", "col", "_row", "_all")}
     nulls = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, None, None, None, None), (2, prose(50, 70), None, None, None), (2, prose(50, 70), None, None, None)], DOCS)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, None).count() == 0, name
@@ -766,6 +766,21 @@ def test_stages_on_odd_tables(spark, odd, empty):
                 assert "n_words" not in docs.columns or {r.n_words for r in found} <= {3}, name
 
 
+def test_mixing_takes_rows_without_an_id_one_by_one(spark):
+    """Rows without an id take the words that the mix itself takes of them, and so do rows that share one."""
+    import corpus_pipeline
+
+    texts = [prose(5 + 3 * k, k) for k in range(40)]
+    rows = [(None if k % 2 else 7, t, "en", "ab"[k % 3 == 0], None) for k, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    found = corpus_pipeline.mixing(spark, docs, None).collect()
+    for source in "ab":
+        target = mix_sources(docs).where(F.col("source") == source).first().target
+        assert abs(sum(len(r.text.split()) for r in found if r.source == source) - target) <= 130
+    counts = Counter(r.text for r in found)
+    assert max(counts.values()) <= 4 and sum(counts.values()) == len(found)
+
+
 def test_queries_of_other_rows_take_whole_tables(spark, sf_dir):
     docs, n = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").count()
     assert queries.queries()["op1_exact_top_k"](spark, sf_dir).count() == 5 * n
