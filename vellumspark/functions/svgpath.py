@@ -140,7 +140,7 @@ def path_area(commands: Column) -> Column:
 
 def stroke_path(points: Column) -> Column:
     """A smooth closed path through outline points (x, y), two decimals; empty for fewer than four."""
-    text = lambda v: F.format_string("%.2f", v)
+    text = lambda v: F.format_string("%.2f", F.floor(v * 100 + 0.5) / 100)
     pair = lambda x, y: F.concat(text(x), F.lit(","), text(y))
     p = lambda k: F.get(points, F.lit(k))
     middle = lambda a, b: pair((a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2)

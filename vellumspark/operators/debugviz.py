@@ -20,6 +20,54 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def read_png(data: bytes) -> np.ndarray:
+    """The (h, w, 3) pixels of a PNG as ``png`` writes them: 8 bits a channel, rows without a filter; its checksums are compared."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, parts = 8, []
+    while at < len(data):
+        size, tag = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        if struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0] != zlib.crc32(tag + body):
+            raise ValueError(f"broken {tag.decode()} chunk")
+        parts.append((tag, body))
+        at += 12 + size
+    w, h, *form = struct.unpack(">IIBBBBB", parts[0][1])
+    rows = np.frombuffer(zlib.decompress(b"".join(body for tag, body in parts if tag == b"IDAT")), np.uint8).reshape(h, 1 + 3 * w)
+    if form != [8, 2, 0, 0, 0] or rows[:, 0].any():
+        raise ValueError("another kind of PNG")
+    return rows[:, 1:].reshape(h, w, 3)
+
+
+def png_pixels(pictures: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y, r, g, b): pixels read back from the bytes of pictures (keys, png)."""
+    kinds = ", ".join(f"{k} {pictures.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                px = read_png(batch.column(len(keys))[i].as_buffer().to_pybytes())
+                h, w, _ = px.shape
+                y, x = np.divmod(np.arange(h * w), w)
+                row = pa.array(np.full(h * w, i))
+                levels = [pa.array(px[:, :, k].ravel().astype(np.int32)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(keys))), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), *levels], [*keys, "x", "y", "r", "g", "b"])
+
+    return pictures.select(*keys, "png").mapInArrow(run, f"{kinds}, x int, y int, r int, g int, b int")
+
+
+def gray_png(px: DataFrame, keys: list[str], value: str = "g") -> DataFrame:
+    """(keys, png): pictures of gray pixels (keys, x, y, value); pixels without a row are white."""
+    kinds = ", ".join(f"{k} {px.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(group: pa.Table) -> pa.Table:
+        out = _blank(group, 255)
+        out[group["y"].to_numpy(), group["x"].to_numpy()] = group[value].to_numpy().astype(np.uint8)[:, None]
+        return pa.table({**{k: group[k][:1] for k in keys}, "png": pa.array([png(out)], pa.binary())})
+
+    return px.select(*keys, "x", "y", value).groupBy(*keys).applyInArrow(run, f"{kinds}, png binary")
+
+
 def label_colours(n: int) -> np.ndarray:
     """Distinct colours, hues a golden angle apart."""
     return np.array([[int(c * 255 + 0.5) for c in colorsys.hls_to_rgb(i * 137.508 % 360 / 360, 0.55, 0.7)] for i in range(n)], np.uint8).reshape(-1, 3)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from vellumspark.functions.outline import outline, smoothed
+
 
 def stroked(events: DataFrame, down: Column, up: Column) -> DataFrame:
     """``events`` (user, seq, ...) with ``stroke_id``: a stroke runs from a pointer-down to the pointer-up at its
@@ -20,6 +22,17 @@ def stroked(events: DataFrame, down: Column, up: Column) -> DataFrame:
     return kept.withColumn("pressure", F.coalesce("pressure", F.lit(0.5)))
 
 
+def outlined(strokes: DataFrame, size: float) -> DataFrame:
+    """``strokes`` with the ``outline`` of a brush of ``size`` around their ``points`` (x, y, pressure), null for single points.
+
+    Generators keep later filters from copying both expressions into themselves, once for every use of a point.
+    """
+    others = [c for c in strokes.columns if c not in ("points", "outline")]
+    once = lambda x, name: F.inline(F.array(F.struct(x.alias(name))))
+    smooth = strokes.select(*others, "points", once(smoothed(F.col("points"), size), "_smooth"))
+    return smooth.select(*others, "points", once(outline(F.col("_smooth")), "outline"))
+
+
 def replay(strokes: DataFrame) -> DataFrame:
     """(user, turn, stroke_id, path, fill): what a canvas draws again after it is cleared: completed strokes
     (user, stroke_id, path, fill), those with a path, in the order they were drawn."""

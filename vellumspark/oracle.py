@@ -125,9 +125,41 @@ st AS (SELECT d."user", d.stroke_id, e.seq, e.x, e.y, e.pressure FROM downs AS d
  JOIN pe AS e ON e."user" = d."user" AND e.seq >= d.first AND (d.next IS NULL OR e.seq < d.next) AND (n.last IS NULL OR e.seq <= n.last))"""
 
 
-STROKE_PATHS = """p AS (SELECT "user", stroke_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY "user", stroke_id) AS n, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM st WINDOW w AS (PARTITION BY "user", stroke_id ORDER BY seq)),
-m AS (SELECT *, printf('%.2f,%.2f', x, y) AS here, printf('%.2f,%.2f', (x + nx) / 2, (y + ny) / 2) AS mid FROM p),
-sp AS (SELECT "user", stroke_id, CASE WHEN max(n) >= 4 THEN 'M' || max(CASE WHEN k = 1 THEN here END) || ' Q' || max(CASE WHEN k = 2 THEN here || ' ' || mid END) || ' T' || string_agg(CASE WHEN k > 2 AND k < n THEN mid || ' ' END, '' ORDER BY k) || 'Z' ELSE '' END AS d FROM m GROUP BY "user", stroke_id)"""
+def outlines(points: str, size: float) -> str:
+    """CTEs of the outline ``op`` ("user", stroke_id, k, x, y) around strokes ``points`` ("user", stroke_id, seq, x, y, pressure): smoothed by recursion, one union per part."""
+    share, eighth = f"CAST({1 - 0.85 * 0.6!r} AS DOUBLE)", "CAST(0.7071067811865476 AS DOUBLE)"
+    side = lambda s, name: f"""SELECT "user", stroke_id, {0 if s > 0 else 2} AS part, {"k" if s > 0 else "-k"} AS o, 0 AS j, x + r * ({-s} * ((ay + byy) / len)) AS x, y + r * ({s} * ((ax + bx) / len)) AS y FROM dirs WHERE NOT turned
+ UNION ALL SELECT "user", stroke_id, {0 if s > 0 else 2}, {"k" if s > 0 else "-k"}, j, x + r * CASE j WHEN {0 if s > 0 else 3} THEN {-s} * ay WHEN {1 if s > 0 else 2} THEN ({-s} * ay + ax) * {eighth} WHEN {2 if s > 0 else 1} THEN ax ELSE {-s} * byy END,
+  y + r * CASE j WHEN {0 if s > 0 else 3} THEN {s} * ax WHEN {1 if s > 0 else 2} THEN ({s} * ax + ay) * {eighth} WHEN {2 if s > 0 else 1} THEN ay ELSE {s} * bx END FROM dirs, (VALUES (0), (1), (2), (3)) AS js(j) WHERE turned"""
+    cap = lambda part, where, x, y: f"""SELECT "user", stroke_id, {part}, 0, j, x + r * CASE j WHEN 0 THEN ({x} - {y}) * {eighth} WHEN 1 THEN {x} ELSE ({x} + {y}) * {eighth} END, y + r * CASE j WHEN 0 THEN ({y} + {x}) * {eighth} WHEN 1 THEN {y} ELSE ({y} - {x}) * {eighth} END
+  FROM dirs, (VALUES (0), (1), (2)) AS js(j) WHERE {where}"""
+    return f"""sp AS MATERIALIZED (SELECT "user", stroke_id, row_number() OVER (PARTITION BY "user", stroke_id ORDER BY seq) AS k, x, y, greatest(CAST(0.01 AS DOUBLE), CAST({size} AS DOUBLE) * (0.5 - CAST(0.15 AS DOUBLE) * (0.5 - pressure))) AS r FROM {points}),
+sm AS (SELECT "user", stroke_id, k, x, y, CAST(0 AS DOUBLE) AS dx, CAST(0 AS DOUBLE) AS dy, r FROM sp WHERE k = 1
+ UNION ALL SELECT "user", stroke_id, k, nx, ny, CASE WHEN l > 0 THEN mx / l ELSE dx END, CASE WHEN l > 0 THEN my / l ELSE dy END, r
+ FROM (SELECT *, sqrt(mx * mx + my * my) AS l FROM (SELECT *, nx - x AS mx, ny - y AS my FROM (SELECT p."user", p.stroke_id, p.k, sm.x, sm.y, sm.dx, sm.dy, sm.x + (p.x - sm.x) * {share} AS nx, sm.y + (p.y - sm.y) * {share} AS ny, p.r FROM sm JOIN sp AS p ON p."user" = sm."user" AND p.stroke_id = sm.stroke_id AND p.k = sm.k + 1)))),
+wy AS (SELECT *, count(*) OVER (PARTITION BY "user", stroke_id) AS n, coalesce(lead(dx) OVER w, dx) AS wx, coalesce(lead(dy) OVER w, dy) AS wyy FROM sm WINDOW w AS (PARTITION BY "user", stroke_id ORDER BY k)),
+wz AS (SELECT *, CASE WHEN wx = 0 AND wyy = 0 THEN CAST(1 AS DOUBLE) ELSE wx END AS bx, wyy AS byy FROM wy WHERE n > 1),
+dd AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN bx ELSE dx END AS ax, CASE WHEN dx = 0 AND dy = 0 THEN byy ELSE dy END AS ay FROM wz),
+dirs AS MATERIALIZED (SELECT *, ax * bx + ay * byy < 0 AS turned, sqrt((ax + bx) * (ax + bx) + (ay + byy) * (ay + byy)) AS len FROM dd),
+ou AS ({side(1, "left")} UNION ALL {cap(1, "k = n", "ax", "ay")} UNION ALL {side(-1, "right")} UNION ALL {cap(3, "k = 1", "(-bx)", "(-byy)")}),
+op AS MATERIALIZED (SELECT "user", stroke_id, row_number() OVER (PARTITION BY "user", stroke_id ORDER BY part, o, j) AS k, x, y FROM ou)"""
+
+
+STROKE_PATHS = f"""{outlines("st", 8.0)}, p AS (SELECT "user", stroke_id, k, count(*) OVER (PARTITION BY "user", stroke_id) AS n, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM op WINDOW w AS (PARTITION BY "user", stroke_id ORDER BY k)),
+m AS (SELECT *, printf('%.2f,%.2f', floor(x * 100 + 0.5) / 100, floor(y * 100 + 0.5) / 100) AS here, printf('%.2f,%.2f', floor((x + nx) / 2 * 100 + 0.5) / 100, floor((y + ny) / 2 * 100 + 0.5) / 100) AS mid FROM p),
+sq AS (SELECT "user", stroke_id, 'M' || max(CASE WHEN k = 1 THEN here END) || ' Q' || max(CASE WHEN k = 2 THEN here || ' ' || mid END) || ' T' || string_agg(CASE WHEN k > 2 AND k < n THEN mid || ' ' END, '' ORDER BY k) || 'Z' AS d FROM m GROUP BY "user", stroke_id),
+svg AS (SELECT a."user", a.stroke_id, coalesce(sq.d, '') AS d FROM (SELECT DISTINCT "user", stroke_id FROM st) AS a LEFT JOIN sq ON sq."user" = a."user" AND sq.stroke_id = a.stroke_id)"""
+
+#: Pixels of the small canvas inside each stroke's outline by winding numbers: every edge against every pixel right of it.
+STROKE_PIXELS = f"""sc AS (SELECT "user", stroke_id, seq, x * CAST(0.2 AS DOUBLE) AS x, y / 50 + 1 AS y, pressure FROM st), {outlines("sc", 2.0)},
+qp AS (SELECT "user", stroke_id, k, count(*) OVER (PARTITION BY "user", stroke_id) AS n, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM op WINDOW w AS (PARTITION BY "user", stroke_id ORDER BY k)),
+qc AS (SELECT "user", stroke_id, k, CASE WHEN k = 2 THEN px ELSE (px + x) / 2 END AS ax, CASE WHEN k = 2 THEN py ELSE (py + y) / 2 END AS ay, x AS bx, y AS byy, (x + nx) / 2 AS cx, (y + ny) / 2 AS cy FROM qp WHERE k > 1 AND k < n),
+ql AS (SELECT "user", stroke_id, k * 4 + j AS k, u * ax + v * bx + w * cx AS x, u * ay + v * byy + w * cy AS y FROM qc, (SELECT j, (1 - j / CAST(4 AS DOUBLE)) * (1 - j / CAST(4 AS DOUBLE)) AS u, 2 * (j / CAST(4 AS DOUBLE)) * (1 - j / CAST(4 AS DOUBLE)) AS v, (j / CAST(4 AS DOUBLE)) * (j / CAST(4 AS DOUBLE)) AS w FROM (VALUES (1), (2), (3), (4)) AS js(j))
+ UNION ALL SELECT "user", stroke_id, 0, x, y FROM op WHERE k = 1),
+qe AS (SELECT "user", stroke_id, x AS ax, y AS ay, coalesce(lead(x) OVER w, first(x) OVER w) AS bx, coalesce(lead(y) OVER w, first(y) OVER w) AS byy FROM ql WINDOW w AS (PARTITION BY "user", stroke_id ORDER BY k)),
+pixel AS (SELECT x, y FROM (SELECT unnest(range(0, 20)) AS x), (SELECT unnest(range(0, 12)) AS y)),
+wn AS (SELECT "user", stroke_id, pixel.x, pixel.y, sum(CASE WHEN byy > ay THEN 1 ELSE -1 END) AS wind FROM qe JOIN pixel ON least(ay, byy) <= pixel.y + 0.5 AND pixel.y + 0.5 < greatest(ay, byy) AND ax + (pixel.y + 0.5 - ay) * (bx - ax) / (byy - ay) <= pixel.x + 0.5 GROUP BY ALL),
+inked AS (SELECT "user" AS session_id, substr('abcdefg', CAST(stroke_id % 7 AS INTEGER) + 1, 1) AS letter, stroke_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM wn WHERE wind <> 0)"""
 LETTER_LIST = "[" + ", ".join(f"'{c}'" for c in LETTERS) + "]"
 
 
@@ -222,7 +254,14 @@ SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(coale
     "confidence_buckets": "SELECT doc_id, CASE WHEN doc_id % 101 > 80 THEN 'green' WHEN doc_id % 101 > 50 THEN 'yellow' ELSE 'red' END AS bucket, doc_id % 101 AS percent FROM labels",
     "label_palette": f"WITH t AS (SELECT vec_id, (vec_id * CAST(137.508 AS DOUBLE)) % 360 / 360.0 AS h FROM embeddings) SELECT vec_id, {hue(THIRD)} AS r, {hue('0')} AS g, {hue('(-' + THIRD + ')')} AS b FROM t",
     "stroke_sessions": f'WITH {STROKES} SELECT "user", stroke_id, count(*) AS n, min(seq) AS first, max(seq) AS last, CAST(floor(sum(pressure) * 100 + 0.5) AS BIGINT) AS pressure FROM st GROUP BY "user", stroke_id',
-    "stroke_svg_path": f"WITH {STROKES}, {STROKE_PATHS} SELECT * FROM sp",
+    "stroke_outline": f"""WITH RECURSIVE {STROKES}, {outlines("st", 8.0)} SELECT "user", stroke_id, CAST(k - 1 AS INTEGER) AS i, CAST(floor(x * 1000 + 0.5) AS BIGINT) AS x, CAST(floor(y * 1000 + 0.5) AS BIGINT) AS y FROM op""",
+    "stroke_svg_path": f"WITH RECURSIVE {STROKES}, {STROKE_PATHS} SELECT * FROM svg",
+    "stroke_raster": f"""WITH RECURSIVE {STROKES}, {STROKE_PIXELS}, lv(times, g) AS (SELECT 1, 141 UNION ALL SELECT times + 1, CAST(floor(g + (26 - g) * 0.5 + 0.5) AS INTEGER) FROM lv WHERE times < 2000),
+c AS (SELECT session_id, letter, x, y, count(*) AS times FROM inked GROUP BY ALL) SELECT session_id, letter, x, y, lv.g FROM c JOIN lv ON lv.times = c.times""",
+    "saved_letters": f"""WITH RECURSIVE {STROKES}, {STROKE_PIXELS}, f AS (SELECT DISTINCT "user" AS session_id, stroke_id, substr('abcdefg', CAST(stroke_id % 7 AS INTEGER) + 1, 1) AS letter FROM op),
+l AS (SELECT session_id, letter, max(stroke_id) AS stroke_id FROM f GROUP BY session_id, letter),
+t AS (SELECT l.session_id, l.letter, pixel.x, pixel.y, CASE WHEN i.x IS NULL THEN 255 ELSE 26 END AS g FROM l CROSS JOIN pixel LEFT JOIN inked AS i ON i.session_id = l.session_id AND i.stroke_id = l.stroke_id AND i.x = pixel.x AND i.y = pixel.y)
+SELECT session_id, letter, count(*) AS n, CAST(sum(255 - g) AS BIGINT) AS ink, CAST(sum(g * (x + 100 * y)) AS BIGINT) AS mark FROM t GROUP BY session_id, letter""",
     "session_json_roundtrip": """WITH s AS (SELECT event_id, event_id % 11 <> 0 AND event_id % 5 <> 0 AND event_id % 7 <> 0 AS intact, event_type FROM events)
 SELECT event_id, intact, CASE WHEN intact THEN 'Rk9OVA' || event_id END AS font, CASE WHEN intact THEN 'a,' || event_type END AS chars FROM s""",
     "random_pick_seeded": f"""WITH {DRAWN}, l(place, letter, category) AS (VALUES {LETTER_ROWS}), u AS (SELECT s.session_id, l.letter FROM (SELECT DISTINCT session_id FROM drawn) AS s, l WHERE NOT EXISTS (SELECT 1 FROM drawn WHERE drawn.session_id = s.session_id AND drawn.place = l.place))
@@ -255,7 +294,7 @@ SELECT user_id, CAST(a AS INTEGER) AS pangram, CAST(CASE WHEN b >= a THEN b + 1
     "response_headers": """WITH p AS (SELECT page_id, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*://[^/?#]+)', 1) AS own FROM pages), ok AS (SELECT * FROM p WHERE page_id % 3 <> 0 AND own <> '')
 SELECT page_id, 'Content-Type' AS header, 'application/json' AS value FROM p UNION ALL SELECT page_id, 'Access-Control-Max-Age', CASE WHEN page_id IN (SELECT page_id FROM ok) THEN '86400' ELSE '1' END FROM p
 UNION ALL SELECT page_id, 'Access-Control-Allow-Origin', own FROM ok UNION ALL SELECT page_id, 'Access-Control-Allow-Methods', 'POST, OPTIONS' FROM ok UNION ALL SELECT page_id, 'Access-Control-Allow-Headers', 'Content-Type' FROM ok""",
-    "stroke_replay": f"""WITH {STROKES}, {STROKE_PATHS} SELECT "user", CAST(row_number() OVER (PARTITION BY "user" ORDER BY stroke_id) AS INTEGER) AS turn, stroke_id, '#1a1a1a' AS fill, md5(d) AS md5 FROM sp WHERE d <> ''""",
+    "stroke_replay": f"""WITH RECURSIVE {STROKES}, {STROKE_PATHS} SELECT "user", CAST(row_number() OVER (PARTITION BY "user" ORDER BY stroke_id) AS INTEGER) AS turn, stroke_id, '#1a1a1a' AS fill, md5(d) AS md5 FROM svg WHERE d <> ''""",
     "file_sink": "SELECT 'kind-' || (item_id % 3) || '/' || item_id || '.txt' AS name, strlen(text) AS n_bytes, md5(text) AS md5 FROM benchmark WHERE text <> ''",
     "debug_files": f"""WITH {INK}, n AS (SELECT count(DISTINCT image_id) AS n, count(DISTINCT CASE WHEN ink = 255 THEN image_id END) AS inked FROM ink)
 SELECT 'ink' AS stage, 'image/png' AS mime, n FROM n UNION ALL SELECT 'boxes', 'image/png', n FROM n UNION ALL SELECT 'labels', 'image/png', inked FROM n UNION ALL SELECT 'crops', 'image/png', inked FROM n""",

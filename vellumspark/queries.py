@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vellumspark.functions import letters as L
+from vellumspark.functions import outline as stroke_outlines
 from vellumspark.functions import svgpath, web
-from vellumspark.operators import components, debugviz, font, limiter, match, raster, recognise, strokes, trace
+from vellumspark.operators import components, debugviz, font, limiter, match, paint, raster, recognise, strokes, trace
 from vellumspark.oracle import SQL
 from vellumspark.plans import drawing, pangram, photo
 from vellumspark.session import scratch_dir
@@ -356,10 +357,53 @@ def stroke_sessions(spark, sf_dir):
     return rows.groupBy("user", "stroke_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.floor(F.sum("pressure") * 100 + 0.5).alias("pressure"))
 
 
-def stroke_svg_path(spark, sf_dir):
+def stroke_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user, stroke_id, points): the pointer's places and pressures of each stroke, in order."""
     rows = strokes.stroked(pointer_events(spark, sf_dir), F.col("event_type") == "signup", F.col("event_type") == "error")
-    points = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
-    return rows.groupBy("user", "stroke_id").agg(points.alias("points")).select("user", "stroke_id", svgpath.stroke_path(F.col("points")).alias("d"))
+    return rows.groupBy("user", "stroke_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "pressure"))).alias("points"))
+
+
+#: Thickness of the brush.
+BRUSH = 8.0
+
+
+def stroke_outline(spark, sf_dir):
+    """Points of each stroke's outline, in thousandths; strokes of a single point have none."""
+    rows = strokes.outlined(stroke_points(spark, sf_dir), BRUSH)
+    whole = lambda c: F.floor(F.col(f"p.{c}") * 1000 + 0.5).alias(c)
+    return rows.select("user", "stroke_id", F.posexplode("outline").alias("i", "p")).select("user", "stroke_id", "i", whole("x"), whole("y"))
+
+
+def stroke_svg_path(spark, sf_dir):
+    return strokes.outlined(stroke_points(spark, sf_dir), BRUSH).select("user", "stroke_id", svgpath.stroke_path(F.col("outline")).alias("d"))
+
+
+#: The canvas of the painted strokes: 20 by 12 pixels, brush and pointer scaled to it.
+CANVAS = (20, 12)
+
+
+def stroke_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, letter, turn, seq, points): strokes on a small canvas, seven letters a user, flattened to lines."""
+    small = F.transform("points", lambda p: F.struct((p["x"] * 0.2).alias("x"), (p["y"] / 50 + 1).alias("y"), p["pressure"].alias("pressure")))
+    rows = stroke_points(spark, sf_dir).select("user", "stroke_id", F.col("points")[0]["seq"].alias("seq"), small.alias("points"))
+    shapes = strokes.outlined(rows, 2.0).where("outline is not null")
+    letter = F.get(F.array(*map(F.lit, "abcdefg")), (F.col("stroke_id") % 7).cast("int"))
+    return shapes.select(F.col("user").alias("session_id"), letter.alias("letter"), F.col("stroke_id").alias("turn"), "seq", F.inline(F.array(F.struct(stroke_outlines.flattened(F.col("outline")).alias("points")))))
+
+
+def stroke_raster(spark, sf_dir):
+    """The canvases of all letters: strokes of half opacity over white, darker where they cross."""
+    px = paint.painted(stroke_chains(spark, sf_dir), ["session_id", "letter"], *CANVAS, opacity=0.5)
+    return px.where("g < 255")
+
+
+def saved_letters(spark, sf_dir):
+    """Each stroke is a canvas that is saved as a picture; the last picture of a letter stays. Its ink, read back from the file."""
+    chains = stroke_chains(spark, sf_dir)
+    px = paint.painted(chains, ["session_id", "letter", "seq"], *CANVAS)
+    last = paint.kept(debugviz.gray_png(px, ["session_id", "letter", "seq"]))
+    ink = debugviz.png_pixels(last, ["session_id", "letter"])
+    return ink.groupBy("session_id", "letter").agg(F.count("*").alias("n"), F.sum((255 - F.col("r")).cast("long")).alias("ink"), F.sum((F.col("g") * (F.col("x") + 100 * F.col("y"))).cast("long")).alias("mark"))
 
 
 def session_json_roundtrip(spark, sf_dir):
@@ -470,9 +514,7 @@ def response_headers(spark, sf_dir):
 
 
 def stroke_replay(spark, sf_dir):
-    rows = strokes.stroked(pointer_events(spark, sf_dir), F.col("event_type") == "signup", F.col("event_type") == "error")
-    points = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
-    drawn_ = rows.groupBy("user", "stroke_id").agg(points.alias("points")).select("user", "stroke_id", svgpath.stroke_path(F.col("points")).alias("path"), F.lit("#1a1a1a").alias("fill"))
+    drawn_ = stroke_svg_path(spark, sf_dir).select("user", "stroke_id", F.col("d").alias("path"), F.lit("#1a1a1a").alias("fill"))
     return strokes.replay(drawn_).select("user", "turn", "stroke_id", "fill", F.md5("path").alias("md5"))
 
 
@@ -561,7 +603,7 @@ def queries() -> dict[str, Query]:
         recognized_first_letters, unique_chars, pangram_coverage, letter_categories, bbox_rescale, bbox_overlap_join, bbox_match_fallback, char_crop,
         saved_glyphs, undrawn_letters, draw_progress, svg_extract_paths, svg_viewbox, svg_scale, svg_parse_path, path_bbox,
         font_coords_letter, font_coords_punctuation, font_coords_uniform, glyph_table, font_bytes, rate_limit_batch, rate_limit_stream, request_validation, origin_policy,
-        base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_svg_path,
+        base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_outline, stroke_svg_path, stroke_raster, saved_letters,
         session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, trace_curves, drawn_glyph_fonts, pangram_fonts, reference_height, note_colour, debug_pictures,
         font_readback, drawn_font_codes, font_status, font_names, pangram_shuffle, raster_rgba, response_headers, stroke_replay, file_sink, debug_files, session_store,
         recognition_status, label_counts, font_registry,
