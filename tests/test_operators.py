@@ -367,16 +367,6 @@ def test_long_paths_take_time_in_proportion(spark):
     assert spent[1] < 20 + 40 * spent[0]
 
 
-def test_files_are_written_once_each(spark, tmp_path):
-    from vellumspark.sinks import files
-
-    df = spark.createDataFrame([("a/x.bin", bytearray(b"1")), ("b.bin", bytearray(b"")), ("b.bin", None), (None, bytearray(b"2")), ("a/x.bin", bytearray(b"1"))], "n string, d binary")
-    out = files.write_files(df, f"file://{tmp_path}/o", F.col("n"), F.col("d"))
-    assert sorted(r.n_bytes for r in out.collect()) == [0, 1]
-    assert {r["name"]: bytes(r.content) for r in files.read_files(df, f"file://{tmp_path}/o").collect()} == {"a/x.bin": b"1"}
-    assert (tmp_path / "o" / "b.bin").read_bytes() == b"" and not list(tmp_path.rglob("*.part"))
-
-
 def test_saved_state_is_restored(spark):
     from vellumspark.sinks import sessions
 

@@ -296,11 +296,25 @@ SELECT page_id, 'Content-Type' AS header, 'application/json' AS value FROM p UNI
 UNION ALL SELECT page_id, 'Access-Control-Allow-Origin', own FROM ok UNION ALL SELECT page_id, 'Access-Control-Allow-Methods', 'POST, OPTIONS' FROM ok UNION ALL SELECT page_id, 'Access-Control-Allow-Headers', 'Content-Type' FROM ok""",
     "stroke_replay": f"""WITH RECURSIVE {STROKES}, {STROKE_PATHS} SELECT "user", CAST(row_number() OVER (PARTITION BY "user" ORDER BY stroke_id) AS INTEGER) AS turn, stroke_id, '#1a1a1a' AS fill, md5(d) AS md5 FROM svg WHERE d <> ''""",
     "file_sink": "SELECT 'kind-' || (item_id % 3) || '/' || item_id || '.txt' AS name, strlen(text) AS n_bytes, md5(text) AS md5 FROM benchmark WHERE text <> ''",
-    "debug_files": f"""WITH {INK}, n AS (SELECT count(DISTINCT image_id) AS n, count(DISTINCT CASE WHEN ink = 255 THEN image_id END) AS inked FROM ink)
-SELECT 'ink' AS stage, 'image/png' AS mime, n FROM n UNION ALL SELECT 'boxes', 'image/png', n FROM n UNION ALL SELECT 'labels', 'image/png', inked FROM n UNION ALL SELECT 'crops', 'image/png', inked FROM n""",
     "session_store": """WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = 'signup' OR event_id % 3 = 2 THEN 'draw' WHEN event_id % 3 = 1 THEN 'playground' ELSE 'session' END AS slot FROM events),
 k AS (SELECT user_id, slot, max(event_id) AS seq FROM e WHERE event_type NOT IN ('error', 'signup') GROUP BY user_id, slot),
 gone AS (SELECT user_id, slots.slot, max(event_id) AS seq FROM e, (VALUES ('session'), ('playground'), ('draw')) AS slots(slot) WHERE event_type = 'error' OR event_type = 'signup' AND slots.slot = 'draw' GROUP BY user_id, slots.slot)
 SELECT k.user_id AS session_id, k.slot, CASE WHEN k.slot = 'playground' AND k.seq % 2 = 0 THEN 't' || k.seq END AS text, CASE WHEN k.slot = 'playground' AND k.seq % 2 = 0 THEN CAST(k.seq % 40 AS DOUBLE) END AS size,
- CASE WHEN k.slot = 'draw' AND k.seq % 4 <> 0 THEN 'AA' || k.seq END AS letter FROM k LEFT JOIN gone ON gone.user_id = k.user_id AND gone.slot = k.slot WHERE gone.seq IS NULL OR gone.seq < k.seq""",
+ CASE WHEN k.slot = 'draw' AND k.seq % 4 <> 0 THEN 'AA' || k.seq END AS letter FROM k LEFT JOIN gone ON gone.user_id = k.user_id AND gone.slot = k.slot WHERE (gone.seq IS NULL OR gone.seq < k.seq) AND NOT (k.slot = 'playground' AND k.seq % 2 = 1)""",
+    "letter_navigation": """WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE WHEN event_type = 'click' THEN 'go' WHEN event_type = 'error' THEN 'skip' WHEN event_type = 'signup' AND event_id % 31 = 0 THEN 'finish' ELSE 'next' END AS action,
+ CAST(event_id * 7 % 43 AS INTEGER) AS go, event_id % 7 <> 0 AS inked FROM events),
+s AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, 0 AS letter, CAST(0 AS BIGINT) AS drawn, FALSE AS over FROM events
+ UNION ALL SELECT user_id, event_id, k, CASE WHEN over OR action = 'finish' THEN letter WHEN action = 'next' THEN CASE WHEN inked AND len(spare) > 0 THEN spare[CAST(('0x' || md5(user_id || ':' || event_id)[1:8]) AS BIGINT) % len(spare) + 1] ELSE letter END WHEN action = 'go' THEN go ELSE least(letter + 1, 42) END,
+  CASE WHEN over OR action = 'skip' OR action = 'go' AND go = letter THEN drawn ELSE saved END, over OR action = 'finish' OR action = 'skip' AND letter = 42 OR action = 'next' AND inked AND len(spare) = 0
+ FROM (SELECT *, list_filter(range(0, 43), lambda i: (saved // CAST(pow(2, i) AS BIGINT)) % 2 = 0) AS spare FROM (SELECT e.*, s.letter, s.drawn, s.over, CASE WHEN inked AND (s.drawn // CAST(pow(2, s.letter) AS BIGINT)) % 2 = 0 THEN s.drawn + CAST(pow(2, s.letter) AS BIGINT) ELSE s.drawn END AS saved
+  FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)))
+SELECT user_id AS session_id, event_id AS seq, CAST(letter AS INTEGER) AS letter, drawn, over FROM s WHERE k > 0""",
 }
+
+#: The pictures' dark pixels: ink, ink inside the boxes' green frames, labels below their number, crops side by side.
+SQL["debug_files"] = f"""WITH RECURSIVE {INK}, {components('ink', 8)}, c AS (SELECT image_id, count(DISTINCT label) AS n FROM lab GROUP BY image_id),
+cr AS ({SQL["char_crop"]}), cw AS (SELECT image_id, max(width) + 8 AS cell FROM cr GROUP BY image_id),
+cs AS (SELECT cr.image_id, (dense_rank() OVER (PARTITION BY cr.image_id ORDER BY char) - 1) * cell + 4 + x AS x, 4 + y AS y FROM cr JOIN cw ON cw.image_id = cr.image_id),
+d AS (SELECT 'ink' AS stage, image_id, x, y, ink = 255 AS dark FROM ink UNION ALL SELECT 'boxes', image_id, x, y, ink = 255 AND x % 4 IN (1, 2) AND y % 4 IN (1, 2) FROM ink
+ UNION ALL SELECT 'labels', lab.image_id, x, y, label < n FROM lab JOIN c ON c.image_id = lab.image_id UNION ALL SELECT 'crops', image_id, x, y, TRUE FROM cs)
+SELECT stage, image_id, count(CASE WHEN dark THEN 1 END) AS inked, CAST(coalesce(sum(CASE WHEN dark THEN y * 8 + x END), 0) AS BIGINT) AS places FROM d GROUP BY stage, image_id"""

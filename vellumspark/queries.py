@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from vellumspark.functions import letters as L
 from vellumspark.functions import outline as stroke_outlines
 from vellumspark.functions import svgpath, web
-from vellumspark.operators import components, debugviz, font, limiter, match, paint, raster, recognise, strokes, trace
+from vellumspark.operators import components, debugviz, font, limiter, match, navigation, paint, raster, recognise, strokes, trace
 from vellumspark.oracle import SQL
 from vellumspark.plans import drawing, pangram, photo
 from vellumspark.session import scratch_dir
@@ -523,18 +523,20 @@ def file_sink(spark, sf_dir):
     at = scratch_dir(spark)
     k = F.col("item_id")
     name = F.format_string("kind-%d/%d.txt", k % 3, k)
-    written = files.write_files(table(spark, sf_dir, "benchmark"), at, name, F.encode("text", "UTF-8"))
-    written.write.format("noop").mode("overwrite").save()
-    return files.read_files(written, at).select("name", F.length("content").alias("n_bytes"), F.md5("content").alias("md5"))
+    files.write_files(table(spark, sf_dir, "benchmark"), at, name, F.encode("text", "UTF-8"))
+    return files.read_files(spark, at).select("name", F.length("content").alias("n_bytes"), F.md5("content").alias("md5"))
 
 
 def debug_files(spark, sf_dir):
-    """The debug pictures as files, a folder per stage."""
+    """The debug pictures as files, a folder per stage, and what their pixels add up to, read back from the files."""
     at = scratch_dir(spark)
-    pictures = stage_pictures(spark, sf_dir)
-    written = files.write_files(pictures, at, F.format_string("%s/%d.png", "stage", "image_id"), F.col("png"))
-    written.write.format("noop").mode("overwrite").save()
-    return files.read_files(written, at).select(F.split("name", "/")[0].alias("stage"), images.image_type(F.col("content")).alias("mime")).groupBy("stage", "mime").agg(F.count("*").alias("n"))
+    files.write_files(stage_pictures(spark, sf_dir), at, F.format_string("%s/%d.png", "stage", "image_id"), F.col("png"))
+    read = files.read_files(spark, at).where(images.image_type(F.col("content")) == "image/png")
+    named = read.select(F.split("name", "/")[0].alias("stage"), F.regexp_extract("name", r"/(\d+)\.png$", 1).cast("long").alias("image_id"), F.col("content").alias("png"))
+    px = debugviz.png_pixels(named, ["stage", "image_id"])
+    dark = F.when(F.col("stage") != "labels", (F.col("r") == 0) & (F.col("g") == 0)).otherwise((F.col("r") != 30) | (F.col("g") != 30) | (F.col("b") != 30))
+    place = F.col("y") * 8 + F.col("x")
+    return px.groupBy("stage", "image_id").agg(F.count(F.when(dark, 1)).alias("inked"), F.coalesce(F.sum(F.when(dark, place)), F.lit(0)).cast("long").alias("places"))
 
 
 def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,16 +553,27 @@ def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_store(spark, sf_dir):
-    """Sessions saved over each other and cleared, written, and restored."""
+    """Sessions saved over each other and cleared by two logs, one after the other; broken entries dropped; and restored."""
     at = scratch_dir(spark)
     log = session_log(spark, sf_dir)
-    sessions.save(log, at)
-    rows, slot = sessions.load(log, at), F.col("slot")
+    half = F.col("seq") % 2 == 0
+    sessions.save(log.where(half), at)
+    sessions.save(log.where(~half), at)
+    sessions.drop_corrupt(spark, at)
+    rows, slot = sessions.load(spark, at), F.col("slot")
     page, drawn_ = sessions.playground(F.col("json")), sessions.draw_progress(F.col("json"))
     letter = F.when(slot == "draw", web.data_url_parts(drawn_["a"])["payload"])
     return rows.select("session_id", "slot", F.when(slot == "playground", page["text"]).alias("text"), F.when(slot == "playground", page["fontSize"]).alias("size"), letter.alias("letter"))
 
 
+def letter_navigation(spark, sf_dir):
+    """Events as steps through the letters; one in seven finds a blank canvas."""
+    k = F.col("event_id")
+    action = F.when(F.col("event_type") == "click", "go").when(F.col("event_type") == "error", "skip").when((F.col("event_type") == "signup") & (k % 31 == 0), "finish").otherwise("next")
+    steps = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), k.alias("seq"), action.alias("action"), (k * 7 % 43).cast("int").alias("to"), (k % 7 != 0).alias("inked"))
+    return navigation.navigated(steps)
+
+
 def pangram_fonts(spark, sf_dir):
     """The sheets as photos, benchmark texts as what was recognised in them."""
     made = pangram.pangram_fonts(tables.sheets(spark, sf_dir), tables.recognition_json(spark, sf_dir), least_area=2)
@@ -606,7 +619,7 @@ def queries() -> dict[str, Query]:
         base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_outline, stroke_svg_path, stroke_raster, saved_letters,
         session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, trace_curves, drawn_glyph_fonts, pangram_fonts, reference_height, note_colour, debug_pictures,
         font_readback, drawn_font_codes, font_status, font_names, pangram_shuffle, raster_rgba, response_headers, stroke_replay, file_sink, debug_files, session_store,
-        recognition_status, label_counts, font_registry,
+        recognition_status, label_counts, font_registry, letter_navigation,
     )
     return {q.__name__: q for q in every}
 

@@ -1,47 +1,119 @@
-"""Binary rows written as files of their own: fonts, pictures."""
+"""Binary rows written as files of their own: fonts, pictures; under a commit protocol.
+
+A task writes to a staging folder of its own attempt, under the names its files will have. Only once every task has
+ended do the files of the attempts that Spark counts move to their places; an attempt that failed, or that a faster copy of
+its task overtook, leaves nothing, and if the job fails nothing appears at all.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WRITTEN = "path string, n_bytes long"
+#: Where attempts write below the folder, and how many files move at a time.
+STAGING, MOVES = "_staging", 16
 
 
-def write_files(df: DataFrame, folder: str, name: Column, data: Column) -> DataFrame:
-    """Write ``data`` of each row to ``folder``/``name`` and return (path, n_bytes) of every file.
+def checked_name(name: str) -> str:
+    """``name`` if it stays inside its folder: parts joined by "/", none of them empty, "." or "..", none beginning with the staging folder's name."""
+    if any(part in ("", ".", "..") for part in name.split("/")) or "\\" in name or "\0" in name or name.startswith(STAGING):
+        raise ValueError(f"not a name for a file below the folder: {name!r}")
+    return name
 
-    ``folder`` is a URI that all executors reach; names may hold folders. Rows with a null name or
-    null data write nothing, and of rows with one name the one with the least digest is written, so
-    a task that runs again after a lost executor writes the same file. A file is complete under its
-    own name or absent: it is written aside first and then moved.
-    """
-    rows = df.select(name.alias("name"), data.alias("data")).where("name is not null and data is not null")
-    once = rows.groupBy("name").agg(F.min_by("data", F.sha2("data", 256)).alias("data"))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+def file_source() -> type:
+    """The data source "named_files" of rows (name, data). The classes are made here so that they travel whole to where they run."""
+    from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+    staging, moves, check = STAGING, MOVES, checked_name
+
+    class Done(WriterCommitMessage):
+        def __init__(self, attempt: str, n: int):
+            self.attempt, self.n = attempt, n
+
+    class Files(DataSourceWriter):
+        def __init__(self, folder: str):
+            self.folder, self.job = folder, uuid.uuid4().hex
+
+        def store(self):
+            from pyarrow import fs
+
+            store, root = fs.FileSystem.from_uri(self.folder)
+            return store, root, f"{root}/{staging}-{self.job}"
+
+        def write(self, iterator: Iterator) -> Done:
+            store, _, top = self.store()
+            attempt, n, made = f"{top}/{uuid.uuid4().hex}", 0, set()
+            for row in iterator:
+                path = f"{attempt}/{check(row[0])}"
+                if (place := path.rpartition("/")[0]) not in made:
+                    store.create_dir(place, recursive=True)
+                    made.add(place)
+                with store.open_output_stream(path) as out:
+                    out.write(bytes(row[1]))
+                n += 1
+            return Done(attempt, n)
+
+        def commit(self, messages: list) -> None:
+            from concurrent.futures import ThreadPoolExecutor
+
+            from pyarrow import fs
+
+            store, root, top = self.store()
 
-        store, root = fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            paths, sizes = [], []
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                path = f"{root}/{name}"
-                store.create_dir(path.rpartition("/")[0], recursive=True)
-                with store.open_output_stream(path + ".part") as out:
-                    out.write(data.as_buffer())
-                store.move(path + ".part", path)
-                paths.append(path)
-                sizes.append(data.as_buffer().size)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "n_bytes"])
+            def move(source: str, attempt: str) -> None:
+                to = root + source.removeprefix(attempt)
+                store.create_dir(to.rpartition("/")[0], recursive=True)
+                store.move(source, to)
 
-    return once.mapInArrow(write, WRITTEN)
+            with ThreadPoolExecutor(moves) as pool:
+                for message in messages:
+                    if message and message.n:
+                        found = store.get_file_info(fs.FileSelector(message.attempt, recursive=True))
+                        list(pool.map(lambda f: move(f.path, message.attempt), [f for f in found if f.is_file]))  # noqa: B023
+            self.clean(store, top)
+
+        def abort(self, messages: list) -> None:
+            store, _, top = self.store()
+            self.clean(store, top)
+
+        def clean(self, store, top: str) -> None:
+            from pyarrow import fs
+
+            if store.get_file_info(top).type == fs.FileType.Directory:
+                store.delete_dir(top)
+
+    class NamedFiles(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "named_files"
+
+        def schema(self) -> str:
+            return "name string, data binary"
+
+        def writer(self, schema, overwrite: bool) -> Files:
+            return Files(self.options["path"])
+
+    return NamedFiles
+
+
+def write_files(df: DataFrame, folder: str, name: Column, data: Column) -> None:
+    """Write ``data`` of each row to ``folder``/``name``.
+
+    ``folder`` is a URI that all executors reach; names may hold folders but never leave it. Rows with a null name or
+    null data write nothing, and of rows with one name the one with the least digest is written. A
+    file is complete under its own name or absent; one that stood there before is replaced.
+    """
+    rows = df.select(name.alias("name"), data.alias("data")).where("name is not null and data is not null")
+    once = rows.groupBy("name").agg(F.min_by("data", F.sha2("data", 256)).alias("data"))
+    df.sparkSession.dataSource.register(file_source())
+    once.write.format("named_files").option("path", folder).mode("append").save()
 
 
-def read_files(df: DataFrame, folder: str) -> DataFrame:
-    """(name, content) of the files under ``folder``, read by the session of ``df``; names are relative to it, and Spark lists no empty file."""
-    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, content) of the files under ``folder``; names are relative to it, and Spark lists no empty file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select(F.regexp_replace("path", f"^.*{folder.rstrip('/').rpartition('/')[2]}/", "").alias("name"), "content")
