@@ -166,7 +166,7 @@ def test_outlines_of_odd_strokes(spark):
     straight = outline_of(spark, [(0.0, 0.0, 0.5), (10.0, 0.0, 0.5)])[1]
     assert straight.max(0).tolist() == [8.9, 4.0] and straight.min(0).tolist() == [-4.0, -4.0]
     back = outline_of(spark, [(0.0, 0.0, 0.5), (50.0, 0.0, 0.5), (0.0, 0.0, 0.5)])[1]
-    assert len(back) == 3 + 3 + 4 + 4 + 2 and abs(back[:, 0].max() - 28.5) < 1e-9
+    assert len(back) == 6 + 6 + 3 + 3 and abs(back[:, 0].max() - 28.5) < 1e-9
 
 
 def winding_number(x, y, chain):
