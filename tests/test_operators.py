@@ -12,7 +12,6 @@ from vellumspark.functions import svgpath, web
 from vellumspark.operators import components, debugviz, font, limiter, match, raster, recognise, strokes, trace
 from vellumspark.plans import drawing, photo
 from vellumspark.sources import images
-from vellumspark.streaming import limiter as stream_limiter
 
 
 def pixels(spark, image, value="g"):
@@ -295,27 +294,6 @@ def test_sessions(spark):
     assert got == [True, False, False, False, False]
 
 
-def test_stream_limiter_carries_and_drops_states(spark, tmp_path):
-    r = np.random.default_rng(9)
-    day, source = 86_400_000_000, str(tmp_path / "in")
-    rows = []
-    for n in range(4):
-        # A hot client, others, and one that is seen in the first batch alone.
-        clients = [1] * 60 + r.integers(2, 6, 40).tolist() + ([99] if n == 0 else [])
-        rows.append([(int(c), n * 1000 + i, int(n * 30 * 60_000_000 + r.integers(0, 30 * 60_000_000))) for i, c in enumerate(clients)])
-        part = spark.createDataFrame(rows[-1], "client long, id long, t long").select("client", "id", F.timestamp_micros("t").alias("ts"))
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("client long, id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
-    got = stream_limiter.limited_stream(stream, out, str(tmp_path / "progress"), window=60_000_000, most=2, lateness=60_000_000)
-    everything = spark.createDataFrame([x for part in rows for x in part], "client long, id long, t long").select("client", "id", F.timestamp_micros("t").alias("ts"))
-    want = limiter.limited(everything, 60_000_000, 2)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    states = spark.read.parquet(out).where("kind = 'state'").groupBy("batch").agg(F.collect_set("client").alias("clients"), F.count("*").alias("n")).orderBy("batch").collect()
-    assert [99 in s.clients for s in states][1:] == [False] * (len(states) - 1) and all(s.n == len(s.clients) for s in states)
-    assert day == stream_limiter.LATENESS
-
-
 def test_packed_pixels_become_rows(spark):
     rgb = bytes(range(18))
     df = spark.createDataFrame([("a", 3, 2, bytearray(rgb)), ("b", 1, 1, bytearray(b"\xff\x00\x80"))], "origin string, width int, height int, rgb binary")

@@ -254,6 +254,8 @@ SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(coale
     "confidence_buckets": "SELECT doc_id, CASE WHEN doc_id % 101 > 80 THEN 'green' WHEN doc_id % 101 > 50 THEN 'yellow' ELSE 'red' END AS bucket, doc_id % 101 AS percent FROM labels",
     "label_palette": f"WITH t AS (SELECT vec_id, (vec_id * CAST(137.508 AS DOUBLE)) % 360 / 360.0 AS h FROM embeddings) SELECT vec_id, {hue(THIRD)} AS r, {hue('0')} AS g, {hue('(-' + THIRD + ')')} AS b FROM t",
     "stroke_sessions": f'WITH {STROKES} SELECT "user", stroke_id, count(*) AS n, min(seq) AS first, max(seq) AS last, CAST(floor(sum(pressure) * 100 + 0.5) AS BIGINT) AS pressure FROM st GROUP BY "user", stroke_id',
+    "stroke_stream_batches": f"""WITH {STROKES} SELECT st."user", st.stroke_id, count(*) AS n, min(seq) AS first, max(seq) AS last, CAST(floor(sum(pressure) * 100 + 0.5) AS BIGINT) AS pressure FROM st JOIN downs AS d ON d."user" = st."user" AND d.stroke_id = st.stroke_id
+ LEFT JOIN ends AS n ON n."user" = st."user" AND n.stroke_id = st.stroke_id WHERE d.next IS NOT NULL OR n.last IS NOT NULL GROUP BY st."user", st.stroke_id""",
     "stroke_outline": f"""WITH RECURSIVE {STROKES}, {outlines("st", 8.0)} SELECT "user", stroke_id, CAST(k - 1 AS INTEGER) AS i, CAST(floor(x * 1000 + 0.5) AS BIGINT) AS x, CAST(floor(y * 1000 + 0.5) AS BIGINT) AS y FROM op""",
     "stroke_svg_path": f"WITH RECURSIVE {STROKES}, {STROKE_PATHS} SELECT * FROM svg",
     "stroke_raster": f"""WITH RECURSIVE {STROKES}, {STROKE_PIXELS}, lv(times, g) AS (SELECT 1, 141 UNION ALL SELECT times + 1, CAST(floor(g + (26 - g) * 0.5 + 0.5) AS INTEGER) FROM lv WHERE times < 2000),

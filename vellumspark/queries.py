@@ -18,7 +18,7 @@ from vellumspark.session import scratch_dir
 from vellumspark.sinks import files, sessions
 from vellumspark.sources import images, tables
 from vellumspark.sources.tables import table
-from vellumspark.streaming.limiter import limited_stream
+from vellumspark.streaming.stateful import limited_stream, stroke_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -357,6 +357,18 @@ def stroke_sessions(spark, sf_dir):
     return rows.groupBy("user", "stroke_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.floor(F.sum("pressure") * 100 + 0.5).alias("pressure"))
 
 
+def stroke_stream_batches(spark, sf_dir):
+    """The pointer's strokes as a stream, read back: those that ended by an event."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    k = F.get_json_object("props", "$.k").cast("double")
+    events = e.select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), "ts", "event_type", k.alias("x"), F.floor("value").cast("double").alias("y"), F.when(F.col("event_id") % 4 != 0, k / 100).alias("pressure"))
+    at = scratch_dir(spark)
+    found = stroke_stream(events, F.col("event_type") == "signup", F.col("event_type") == "error", f"{at}/strokes", f"{at}/progress", rest=10**15)
+    points = F.col("points")
+    whole = lambda c: F.floor(F.aggregate(F.transform(points, lambda p: p[c]), F.lit(0.0), lambda s, v: s + v) * 100 + 0.5).alias(c)
+    return found.select("user", "stroke_id", F.size(points).cast("long").alias("n"), points[0]["seq"].alias("first"), F.element_at(points, -1)["seq"].alias("last"), whole("pressure"))
+
+
 def stroke_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user, stroke_id, points): the pointer's places and pressures of each stroke, in order."""
     rows = strokes.stroked(pointer_events(spark, sf_dir), F.col("event_type") == "signup", F.col("event_type") == "error")
@@ -616,7 +628,7 @@ def queries() -> dict[str, Query]:
         recognized_first_letters, unique_chars, pangram_coverage, letter_categories, bbox_rescale, bbox_overlap_join, bbox_match_fallback, char_crop,
         saved_glyphs, undrawn_letters, draw_progress, svg_extract_paths, svg_viewbox, svg_scale, svg_parse_path, path_bbox,
         font_coords_letter, font_coords_punctuation, font_coords_uniform, glyph_table, font_bytes, rate_limit_batch, rate_limit_stream, request_validation, origin_policy,
-        base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_outline, stroke_svg_path, stroke_raster, saved_letters,
+        base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_stream_batches, stroke_outline, stroke_svg_path, stroke_raster, saved_letters,
         session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, trace_curves, drawn_glyph_fonts, pangram_fonts, reference_height, note_colour, debug_pictures,
         font_readback, drawn_font_codes, font_status, font_names, pangram_shuffle, raster_rgba, response_headers, stroke_replay, file_sink, debug_files, session_store,
         recognition_status, label_counts, font_registry, letter_navigation,
