@@ -18,7 +18,7 @@ from vellumspark.llm.components import connected_components
 from vellumspark.llm.html import html_text, render
 from vellumspark.llm.mixing import mix_sources
 from vellumspark.llm.ngramjoin import ngram_components
-from vellumspark.llm.quality import keep_good, quality_rules
+from vellumspark.llm.quality import STOP_WORDS, keep_good, quality_rules
 from vellumspark.llm.spm import decode, encode
 from vellumspark.llm.tokencount import processor, token_counts
 from vellumspark.llm.topk import exact_top_k
@@ -358,14 +358,17 @@ def quality_brute(text):
 
 
 def test_quality(spark, odd_texts, empty):
-    texts = odd_texts + ["a b c d e f g h " * 5, "line one\nline one\n\nline two", prose(40, 4) + " " + prose(40, 4), "### $$$ " * 30, prose(60, 5)]
+    texts = odd_texts + ["a b c d e f g h " * 5, "line one\nline one\n\nline two", prose(40, 4) + " " + prose(40, 4), "The of " + " ".join(f"word{k}" for k in range(300)), "### $$$ " * 30, prose(60, 5)]
     df = documents(spark, texts).withColumn("n_words", F.lit("clash"))
     rows = {r.doc_id: r for r in quality_rules(df).collect()}
     for i, t in enumerate(texts):
         r = rows[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == quality_brute(t), t
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
+        stops = [w for w in re.split("[ \t-\r]+", t or "") if w in STOP_WORDS or w.lower() in STOP_WORDS and w in (w.capitalize(), w.upper())]
+        assert r.n_stop_words == len(set(stops)) and r.stop_words_per_word == (len(stops) / r.n_words if r.n_words else 0)
     assert rows[len(texts) - 1].kept and not rows[len(texts) - 2].kept
+    assert not rows[len(texts) - 3].kept and not rows[len(texts) - 3].base_failed and rows[len(texts) - 3].n_stop_words == 2
     assert {r.doc_id for r in keep_good(documents(spark, texts)).collect()} == {i for i, r in rows.items() if r.kept}
     assert quality_rules(empty).count() == 0
 
@@ -594,6 +597,18 @@ def test_mixing_rates_are_the_exponential_tilt(spark):
         assert all(abs(copies[n] - k * want[n]) <= (sum(cells) / (2 * n) if n == min(cells) else 2) for n, k in cells.items()), (source, copies, cells, want)
 
 
+def test_mixing_ends_when_targets_are_met(spark):
+    """The tables of the steps are removed, few steps suffice, and a step too few is an error."""
+    from vellumspark.llm import mixing
+
+    df = spark.createDataFrame([(i, "w " * (i % 37 + 1), "ab"[i % 3 == 0]) for i in range(2000)], "doc_id long, text string, source string")
+    cells = mixing.sized(df, "doc_id", "text", "source").groupBy("source", "present", "size").agg(F.count("*").alias("n"))
+    goals = mixing.targets(cells, (3, 1, 2), 1.5, 2.0)
+    assert all(r.miss is None or r.miss <= mixing.MISS for r in mixing.multipliers(cells, goals, 2.0).collect())
+    with pytest.raises(ArithmeticError, match="misses"):
+        mixing.multipliers(cells, goals, 2.0, steps=1)
+
+
 def test_mixing_a_very_long_text(spark):
     df = spark.createDataFrame([(1, "w " * 400_000, "a", 1)] + [(i, "w w", "a", 1) for i in range(2, 50)], "doc_id long, text string, source string, copies int")
     rows = {r.doc_id: r for r in mix_sources(df).collect()}

@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vellumspark.llm.common import partitions_for, stored, word_array
+from vellumspark.llm.common import Scratch, partitions_for, word_array
 
-#: Newton steps. The error left after them is far below one document and the rounding absorbs it.
-STEPS = 10
+#: Newton steps at most, and the words by which every source may miss its target when they end: less than one document has.
+STEPS, MISS = 40, 0.5
 #: Documents ranked together when a cell's copies are dealt out.
 BUCKET = 1000
 
@@ -68,13 +68,19 @@ def exact_sum(x: Column) -> Column:
     return F.sum(x.cast("decimal(28,9)")).cast("double")
 
 
-def multipliers(cells: DataFrame, goals: DataFrame, cap: float, steps: int = STEPS) -> DataFrame:
-    """Newton iterations; ``lambda`` is null where the target leaves no choice (every rate is the cap)."""
+def multipliers(cells: DataFrame, goals: DataFrame, cap: float, steps: int = STEPS, within: Scratch | None = None) -> DataFrame:
+    """Newton iterations until every source is within ``MISS`` words of its target, or the rates meet it as nearly as numbers do.
+
+    ``lambda`` is null where the target leaves no choice (every rate is the cap); ``miss`` is the words by which the rates before the last step
+    missed. One number per step reaches the driver. A source that is not there after ``steps`` is an error.
+    """
+    scratch = within or Scratch(cells.sparkSession)
     spread = cells.groupBy("source", "present").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.greatest(F.sum(F.col("size") * F.col("n")), F.lit(1))).alias("scale"))
     free = F.col("target") < cap * F.col("source_size") * (1 - 1e-12)
-    state = stored(goals.join(spread, ["source", "present"]).withColumn("lambda", F.when(free, F.lit(0.0))))
+    state = scratch.stored(goals.join(spread, ["source", "present"]).withColumns({"lambda": F.when(free, F.lit(0.0)), "miss": F.lit(None).cast("double")}))
     tilt = F.exp(F.least(F.col("lambda") * F.col("size") / F.col("scale"), F.lit(50.0)))
     tokens = F.col("size") * F.col("n")
+    worst = 0.0
     for _ in range(steps):
         reached = (
             cells.join(state, ["source", "present"])
@@ -86,8 +92,14 @@ def multipliers(cells: DataFrame, goals: DataFrame, cap: float, steps: int = STE
             )
         )
         step = F.when(F.col("slope") > 0, (F.log("target") - F.log("f")) * F.col("f") / F.col("slope")).otherwise(-F.col("lambda") / 2)
-        moved = reached.withColumn("lambda", F.col("lambda") + F.greatest(F.least(step, F.lit(4.0)), F.lit(-4.0))).drop("f", "slope")
-        state = stored(moved.unionByName(state.where("lambda is null")))
+        moved = reached.withColumn("lambda", F.col("lambda") + F.greatest(F.least(step, F.lit(4.0)), F.lit(-4.0))).withColumn("miss", F.abs(F.col("f") - F.col("target")))
+        state = scratch.stored(moved.drop("f", "slope").unionByName(state.where("lambda is null")))
+        # Beyond some 10^12 words doubles hold a target to less than half a word; there a share of it is as near as they come.
+        worst = state.agg(F.max(F.col("miss") / F.greatest(F.lit(MISS), F.col("target") * 1e-12))).first()[0]
+        if worst is None or worst <= 1:
+            return state
+    if steps:
+        raise ArithmeticError(f"after {steps} steps a source misses its target by {worst * MISS:.3g} words")
     return state
 
 
@@ -128,10 +140,12 @@ def mix_sources(
     last. ``copies`` (0 to ``cap``) is how often the mix takes the document and ``taken`` the words
     that makes. The same table, weights and seed give the same copies.
     """
-    docs = stored(sized(df, id_col, text, source))
-    cells = stored(docs.groupBy("source", "present", "size").agg(F.count("*").alias("n")))
-    state = multipliers(cells, targets(cells, weights, budget, float(cap)), float(cap))
-    dealt = stored(rounded(cells, state, cap))
+    kept, scratch = Scratch(df.sparkSession), Scratch(df.sparkSession)
+    docs = kept.stored(sized(df, id_col, text, source))
+    cells = scratch.stored(docs.groupBy("source", "present", "size").agg(F.count("*").alias("n")))
+    state = multipliers(cells, targets(cells, weights, budget, float(cap)), float(cap), within=scratch)
+    dealt = kept.stored(rounded(cells, state, cap))
+    scratch.clear()
     bucket = F.pmod(F.xxhash64("id", F.lit(seed)), F.floor(F.col("n") / BUCKET) + 1)
     keys = ["source", "present", "size"]
     rows = docs.join(dealt, keys).withColumn("bucket", bucket).repartition(partitions_for(df), *keys, "bucket")

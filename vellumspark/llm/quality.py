@@ -47,6 +47,7 @@ RULES = (
     Rule("mean_word_chars", 2.0, 20.0),
     Rule("symbols_per_word", None, 0.1),
     Rule("n_stop_words", 2, None),
+    Rule("stop_words_per_word", 0.02, None),
     Rule("dup_line_ratio", None, 0.4),
     Rule("bullet_line_ratio", None, 0.9),
     Rule("ellipsis_line_ratio", None, 0.5),
@@ -56,7 +57,7 @@ RULES = (
 BULLETS = ("-", "*", "•", "‣")
 
 #: Metrics that exist while the projections build on each other, then go.
-HELD = ("_words", "_lines", "_windows")
+HELD = ("_words", "_lines", "_windows", "_stops")
 
 
 def paired(hashes: Column, apart: int) -> Column:
@@ -112,16 +113,18 @@ def with_metrics(df: DataFrame, text: str = "text", width: int = 8) -> DataFrame
     t = F.coalesce(F.col(text), F.lit(""))
     per = lambda x, n: F.coalesce(F.try_divide(x, n), F.lit(0.0))
     df = df.withColumn("_words", word_array(F.col(text)))
+    forms = list(dict.fromkeys(STOP_WORDS + [w.capitalize() for w in STOP_WORDS] + [w.upper() for w in STOP_WORDS]))
+    stopped = lambda x: F.filter(x, lambda w: w.isin(*forms))
     df = df.withColumns(
         {
             "_lines": F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != ""),
+            "_stops": stopped(F.col("_words")),
             "_windows": F.when(F.size("_words") >= width, F.transform("_words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")),
         }
     )
     for k in range(width.bit_length() - 1):
         df = df.withColumn("_windows", F.when(F.size("_words") >= width, paired(F.col("_windows"), 1 << k)).otherwise(F.col("_windows")))
     ends = lambda x: x.endswith("...") | x.endswith("…")
-    stop = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS + [w.capitalize() for w in STOP_WORDS] + [w.upper() for w in STOP_WORDS])))
     n, lines = F.size("_words"), F.size("_lines")
     df = df.withColumns(
         {
@@ -130,7 +133,8 @@ def with_metrics(df: DataFrame, text: str = "text", width: int = 8) -> DataFrame
             "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
             "n_dup_lines": (lines - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": repeated_window_words(F.col("_windows"), width).cast("long"),
-            "n_stop_words": F.size(F.array_intersect("_words", stop)),
+            "n_stop_words": F.size(F.array_distinct("_stops")),
+            "stop_words_per_word": per(F.size("_stops"), n),
             "bullet_line_ratio": per(F.size(F.filter("_lines", lambda x: F.substring(F.ltrim(x, F.lit(" \t")), 1, 1).isin(*BULLETS))), lines),
             "ellipsis_line_ratio": per(F.size(F.filter("_lines", lambda x: ends(F.rtrim(x, F.lit(" \t\r"))))), lines),
         }

@@ -127,6 +127,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_re
              len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*$'))) AS n_ellipses
       FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 q AS (SELECT *, CASE WHEN n_words = 0 THEN 0.0 ELSE CAST(word_chars AS DOUBLE) / n_words END AS mean_word_chars,
+             CASE WHEN n_words = 0 THEN 0.0 ELSE CAST(n_stops AS DOUBLE) / n_words END AS stop_words_per_word,
              CASE WHEN n_words = 0 THEN 0.0 ELSE CAST(n_symbols AS DOUBLE) / n_words END AS symbols_per_word,
              CASE WHEN n_lines = 0 THEN 0.0 ELSE CAST(n_dup_lines AS DOUBLE) / n_lines END AS dup_line_ratio,
              CASE WHEN n_lines = 0 THEN 0.0 ELSE CAST(n_bullets AS DOUBLE) / n_lines END AS bullet_line_ratio,
