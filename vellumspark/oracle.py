@@ -206,10 +206,12 @@ SELECT ink.image_id, ink.x, ink.y, CASE WHEN area >= 5 THEN 255 ELSE 0 END AS in
     "recognized_first_letters": f"""WITH {SYMBOLS}, ok AS (SELECT *, row_number() OVER (PARTITION BY item_id, c ORDER BY li, wi, ci) AS k FROM sy WHERE regexp_matches(c, '^[a-z]$') AND 2 + (li + wi + ci) % 4 >= 3)
 SELECT item_id AS image_id, c AS char, CAST(wi * 12 + ci * 5 AS DOUBLE) AS x, CAST(li * 20 AS DOUBLE) AS y, CAST(2 + (li + wi + ci) % 4 AS DOUBLE) AS w, CAST(9 AS DOUBLE) AS h, CAST((li * 31 + wi * 17 + ci * 7) % 100 AS DOUBLE) / 100.0 AS confidence FROM ok WHERE k = 1""",
     "unique_chars": "WITH o AS (SELECT doc_id, c, instr(t, c) AS pos FROM (SELECT doc_id, lower(text) AS t, unnest(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')) AS c FROM documents)) SELECT documents.doc_id, coalesce(string_agg(c, '' ORDER BY pos), '') AS chars FROM documents LEFT JOIN o ON documents.doc_id = o.doc_id AND pos > 0 GROUP BY documents.doc_id",
-    "pangram_coverage": "WITH p(pangram_id, text) AS (VALUES "
+    "pangram_coverage": f"WITH {DRAWN}, l(place, letter, category) AS (VALUES {LETTER_ROWS}), p(pangram_id, text) AS (VALUES "
     + ", ".join(f"({i}, '{t}')" for i, t in enumerate(PANGRAMS))
-    + "), o AS (SELECT pangram_id, c, instr(lower(text), c) AS pos FROM (SELECT *, unnest(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')) AS c FROM p)) SELECT pangram_id, string_agg(c, '' ORDER BY pos) AS chars, CAST(count(*) AS INTEGER) AS n FROM o WHERE pos > 0 GROUP BY pangram_id",
-    "letter_categories": f"WITH l(place, letter, category) AS (VALUES {LETTER_ROWS}) SELECT *, CAST(CASE category WHEN 'ascender' THEN 0.05 WHEN 'descender' THEN 0.92 ELSE 0.31 END AS DOUBLE) AS guide FROM l",
+    + f"""), o AS (SELECT pangram_id, c, instr(lower(text), c) AS pos FROM (SELECT *, unnest(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')) AS c FROM p)),
+s AS (SELECT DISTINCT session_id, CAST({seeded('session_id', 1, 8)} AS INTEGER) AS pangram_id FROM drawn), h AS (SELECT DISTINCT session_id, letter FROM drawn JOIN l ON l.place = drawn.place)
+SELECT s.session_id, s.pangram_id, string_agg(c, '' ORDER BY pos) AS chars, CAST(count(*) AS INTEGER) AS n, CAST(count(h.letter) AS INTEGER) AS drawn FROM s JOIN o ON o.pangram_id = s.pangram_id AND pos > 0 LEFT JOIN h ON h.session_id = s.session_id AND h.letter = o.c GROUP BY s.session_id, s.pangram_id""",
+    "letter_categories": f"WITH l(place, letter, category) AS (VALUES {LETTER_ROWS}), c AS (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(lower(p_name), '')) AS c FROM part) GROUP BY c) SELECT place, letter, category, CAST(CASE category WHEN 'ascender' THEN 0.05 WHEN 'descender' THEN 0.92 ELSE 0.31 END AS DOUBLE) AS guide, n FROM l JOIN c ON c.c = l.letter",
     "bbox_rescale": f"""WITH {COMPS}, s AS (SELECT *, CASE WHEN image_id % 10 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(128 AS DOUBLE) / 300 END AS sx, CAST(64 AS DOUBLE) / 200 AS sy FROM comps)
 SELECT image_id, label, CAST(floor(x * sx + 0.5) AS INTEGER) AS x, CAST(floor(y * sy + 0.5) AS INTEGER) AS y, greatest(1, CAST(floor(w * sx + 0.5) AS INTEGER)) AS w, greatest(1, CAST(floor(h * sy + 0.5) AS INTEGER)) AS h FROM s""",
     "bbox_overlap_join": f"WITH {COMPS}, {CHARS}, {overlaps('comps', 'chars')} SELECT image_id, char, label, overlap FROM ov WHERE inside >= 0.3",

@@ -136,12 +136,19 @@ def unique_chars(spark, sf_dir):
 
 
 def pangram_coverage(spark, sf_dir):
-    return L.pangrams(spark).select("pangram_id", F.array_join(web.unique_letters(F.col("text")), "").alias("chars"), F.size(web.unique_letters(F.col("text"))).alias("n"))
+    """The letters that each session's pangram asks for, and how many of them it has drawn."""
+    k = F.col("session_id")
+    done = drawn(spark, sf_dir).join(F.broadcast(L.letters(spark)), "place").groupBy(k).agg(F.collect_set("letter").alias("have"))
+    asked = done.withColumn("pangram_id", web.seeded(k, 1, len(L.PANGRAMS))).join(F.broadcast(L.pangrams(spark)), "pangram_id")
+    chars = asked.select(k, "pangram_id", "have", web.unique_letters(F.col("text")).alias("chars"))
+    return chars.select(k, "pangram_id", F.array_join("chars", "").alias("chars"), F.size("chars").alias("n"), F.size(F.array_intersect("chars", "have")).alias("drawn"))
 
 
 def letter_categories(spark, sf_dir):
+    """How often the letters to draw occur in the parts' names, with the guide line of each."""
     guide = F.when(F.col("category") == "ascender", L.GUIDES["ascender"]).when(F.col("category") == "descender", L.GUIDES["descender"]).otherwise(L.GUIDES["xHeight"])
-    return L.letters(spark).select("place", "letter", "category", guide.alias("guide"))
+    seen = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), "")).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+    return seen.join(F.broadcast(L.letters(spark)), "letter").select("place", "letter", "category", guide.alias("guide"), "n")
 
 
 def bbox_rescale(spark, sf_dir):
