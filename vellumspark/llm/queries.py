@@ -122,7 +122,7 @@ c AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM r, (SELECT unn
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-             len(list_filter(list_distinct(ws), lambda x: list_contains([{stop}], x))) AS n_stop_words, len(ls) AS n_lines,
+             len(list_filter(list_distinct(ws), lambda x: list_contains([{stop}], x))) AS n_stop_words, len(list_filter(ws, lambda x: list_contains([{stop}], x))) AS n_stops, len(ls) AS n_lines,
              len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•‣]'))) AS n_bullets,
              len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*$'))) AS n_ellipses
       FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
