@@ -270,6 +270,50 @@ def read_font(data: bytes) -> dict:
     return {"em": struct.unpack(">H", tables["head"][18:20])[0], "ascender": ascender, "descender": descender, "codes": codes, "advances": advances, "tables": tables}
 
 
+def _items(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The entries of an index that begins at ``at``, and where it ends."""
+    n = struct.unpack(">H", data[at : at + 2])[0]
+    if not n:
+        return [], at + 2
+    size = data[at + 2]
+    offsets = [int.from_bytes(data[at + 3 + size * k : at + 3 + size * (k + 1)], "big") for k in range(n + 1)]
+    base = at + 2 + size * (n + 1)
+    return [data[base + a : base + b] for a, b in zip(offsets[:-1], offsets[1:])], base + offsets[-1]
+
+
+def _operands(data: bytes, wide: int | None = None):
+    """(operator, operands before it) of a charstring, or of a dictionary if ``wide`` tells its byte for 32-bit numbers."""
+    held, at = [], 0
+    while at < len(data):
+        b = data[at]
+        if b >= 32 or b == 28 or b == wide:
+            form = 1 if 32 <= b <= 246 else 2 if 247 <= b <= 254 else 3 if b == 28 else 5
+            part = data[at : at + form]
+            held.append(b - 139 if form == 1 else (b - 247) * 256 + part[1] + 108 if b <= 250 and form == 2 else -(b - 251) * 256 - part[1] - 108 if form == 2 else int.from_bytes(part[1:], "big", signed=True))
+            at += form
+        else:
+            yield b, held
+            held, at = [], at + 1
+
+
+def read_outlines(data: bytes) -> list[list[tuple[str, int, int]]]:
+    """The commands M, L and C of every glyph of a file, with the points they end in, from its charstrings."""
+    cff = read_font(data)["tables"]["CFF "]
+    _, at = _items(cff, cff[2])
+    (top,), _ = _items(cff, at)
+    (drawings_at,) = next(operands for operator, operands in _operands(top, 29) if operator == 17)
+    kinds, glyphs = {21: "M", 5: "L", 8: "C"}, []
+    for drawing in _items(cff, drawings_at)[0]:
+        x, y, path = 0, 0, []
+        for operator, operands in _operands(drawing):
+            if operator in kinds:
+                moves = operands[-6:] if operator == 8 else operands[-2:]
+                x, y = x + sum(moves[::2]), y + sum(moves[1::2])
+                path.append((kinds[operator], x, y))
+        glyphs.append(path)
+    return glyphs
+
+
 def fonts(table: DataFrame, family: str = "MyHandwriting") -> DataFrame:
     """(font_id, font, n_glyphs, chars) from a glyph table; a font's few glyphs meet in one task."""
 

@@ -282,6 +282,9 @@ SELECT a.font_id, f.height AS reference FROM (SELECT DISTINCT font_id FROM h) AS
     "note_colour": "SELECT event_id, CASE event_type WHEN 'click' THEN '#ffe0b2' WHEN 'error' THEN '#ffcdd2' ELSE '#fff9c4' END AS colour FROM events",
     "font_readback": f"""WITH RECURSIVE {PATHS}, {glyphs(LETTERS)}, {scaled(None)}, r AS (SELECT font_id, char, 0 AS capital, unicode(lower(char)) AS code, advance FROM g UNION ALL SELECT font_id, char, 1, unicode(upper(char)), advance FROM g WHERE lower(char) <> upper(char))
 SELECT font_id, code, row_number() OVER (PARTITION BY font_id ORDER BY char, capital) + 1 AS glyph, least(advance, 32000) AS advance FROM r UNION ALL SELECT DISTINCT font_id, 32, 1, 250 FROM g""",
+    "font_outlines": f"""WITH RECURSIVE {PATHS}, {glyphs(LETTERS)}, {scaled(None)}, pt AS (SELECT g.font_id, g.char, CAST(c.n - 1 AS INTEGER) AS i, CASE WHEN c.type = 'Q' THEN 'C' ELSE c.type END AS type,
+ CAST(greatest(-16000, least(16000, floor((c.x - g.min_x) * g.k + g.bearing + 0.5))) AS BIGINT) AS x, CAST(greatest(-16000, least(16000, floor((c.y - g.y0) * g.k + g.rise + 0.5))) AS BIGINT) AS y FROM g JOIN cmds AS c ON g.path_id = c.path_id WHERE c.type <> 'Z')
+SELECT font_id, unicode(lower(char)) AS code, i, type, x, y FROM pt UNION ALL SELECT font_id, unicode(upper(char)), i, type, x, y FROM pt WHERE lower(char) <> upper(char)""",
     "drawn_font_codes": f"""WITH {SMALL}, {OTSU}, dc AS (SELECT DISTINCT image_id // 43 AS font_id, {LETTER_LIST}[CAST(image_id % 43 AS INTEGER) + 1] AS char FROM px JOIN otsu USING (image_id) WHERE g <= threshold)
 SELECT font_id, unicode(lower(char)) AS code FROM dc UNION SELECT font_id, unicode(upper(char)) FROM dc UNION SELECT font_id, 32 FROM dc""",
     "recognition_status": "SELECT item_id AS image_id, CASE item_id % 5 WHEN 0 THEN 'broken' WHEN 1 THEN 'no annotation' WHEN 2 THEN 'no pages' ELSE 'ok' END AS status FROM benchmark",

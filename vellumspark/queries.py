@@ -494,6 +494,24 @@ def font_readback(spark, sf_dir):
     return decoded(font.fonts(font.glyph_table(lettered(spark, sf_dir))))
 
 
+def font_outlines(spark, sf_dir):
+    """The points that the glyphs' charstrings end their commands in, as the files of ``font_bytes`` tell them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            flat = []
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                glyphs = font.read_outlines(data)
+                flat += [(i, code, k, *step) for code, glyph in font.read_font(data)["codes"].items() for k, step in enumerate(glyphs[glyph])]
+            kinds = {"font_id": pa.int64(), "code": pa.int64(), "i": pa.int32(), "type": pa.string(), "x": pa.int64(), "y": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+    made = font.fonts(font.glyph_table(lettered(spark, sf_dir)))
+    return made.select("font_id", "font").mapInArrow(run, "font_id long, code long, i int, type string, x long, y long")
+
+
 def drawn_font_codes(spark, sf_dir):
     """The codes that the drawn fonts' files have, without advances, which follow the outlines."""
     return decoded(drawn_fonts(spark, sf_dir)).select("font_id", "code")
@@ -637,7 +655,7 @@ def queries() -> dict[str, Query]:
         font_coords_letter, font_coords_punctuation, font_coords_uniform, glyph_table, font_bytes, rate_limit_batch, rate_limit_stream, request_validation, origin_policy,
         base64_roundtrip, data_url_parse, font_format_sniff, name_sanitise, date_slug, confidence_buckets, label_palette, stroke_sessions, stroke_stream_batches, stroke_outline, stroke_svg_path, stroke_raster, saved_letters,
         session_json_roundtrip, random_pick_seeded, trace_edges, trace_outlines, trace_curves, drawn_glyph_fonts, pangram_fonts, reference_height, note_colour, debug_pictures,
-        font_readback, drawn_font_codes, font_status, font_names, pangram_shuffle, raster_rgba, response_headers, stroke_replay, file_sink, debug_files, session_store,
+        font_readback, font_outlines, drawn_font_codes, font_status, font_names, pangram_shuffle, raster_rgba, response_headers, stroke_replay, file_sink, debug_files, session_store,
         recognition_status, label_counts, font_registry, letter_navigation,
     )
     return {q.__name__: q for q in every}
