@@ -17,7 +17,8 @@ square of the page, which is why neither is the default.
 
 Defined results: a null or empty page has the empty text; very long pages, wide tables and great spans
 take time in proportion to the page and to what is written; repeated rows are rendered one by one;
-further columns, whatever their names, are not read; an empty table gives an empty table.
+further columns, whatever their names, are not read; an empty table gives an empty table. Nothing is ranked, so there are
+no ties: text follows the order of the page.
 """
 
 from __future__ import annotations

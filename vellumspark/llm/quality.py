@@ -9,7 +9,7 @@ costs three joins of two numbers.
 
 Defined results: a null or empty text has no words and no lines, all its ratios are 0 and the
 least-length rule rejects it; a very long text is judged whole, its arrays in one row; repeated rows
-are judged one by one; columns that bear the name of a metric are replaced; an empty table gives
+are judged one by one; a metric equal to a threshold is within it; columns that bear the name of a metric are replaced; an empty table gives
 an empty table.
 """
 

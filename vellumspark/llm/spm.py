@@ -16,7 +16,7 @@ Texts are encoded where they are scanned; memory follows the block.
 Defined results: a null or empty text has no pieces, and no ids decode to the empty text; repeated
 rows are encoded one by one; a very long text is a block of its own, and a pre-token without end is
 relaxed in one step a character; further columns, whatever their names, are not read; an empty
-table gives an empty table.
+table gives an empty table; of merges of one rank the leftmost goes first, as in the library.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ to whatever store the path names; the record's last byte is the line end.
 Defined results: a null or empty text is one sequence with the end mark alone; a null id is
 written as -1; repeated rows give repeated sequences; a very long text is many sequences, numbered
 in a row and spread over the shards like all others; further columns, whatever their names, are
-not read; an empty table writes no shard and gives an empty table.
+not read; an empty table writes no shard and gives an empty table. Slots have no ties: the permutation
+gives every sequence number a slot of its own, and equal rows have numbers of their own.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ meets in none.
 
 Defined results: a null or empty text has no bytes and no tokens; repeated rows are counted row
 by row; a very long text or pre-token is counted whole, in a block of its own; further columns,
-whatever their names, are not read; an empty table gives an empty table.
+whatever their names, are not read; an empty table gives an empty table. Ties between merges are
+the library's to break, as every distinct pre-token is handed to it.
 """
 
 from __future__ import annotations
