@@ -51,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gives way to its kind in brackets; all rows stay.
 
-    Null texts stay null and empty ones empty, very long ones are searched whole; of finds that overlap in a text the
-    transducers keep the first and longer; equal rows are treated alike.
+    Null texts stay null and empty ones empty, very long ones are searched whole; finds that overlap in a text give
+    way together, to the kind of the first; equal rows are treated alike.
     """
     return redact(docs)
 
