@@ -39,19 +39,28 @@ def read_png(data: bytes) -> np.ndarray:
     return rows[:, 1:].reshape(h, w, 3)
 
 
+#: Pixels that leave together.
+AT_ONCE = 1 << 15
+
+
 def png_pixels(pictures: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, x, y, r, g, b): pixels read back from the bytes of pictures (keys, png)."""
     kinds = ", ".join(f"{k} {pictures.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
         for batch in batches:
+            start, held, size = 0, [], 0
             for i in range(batch.num_rows):
-                px = read_png(batch.column(len(keys))[i].as_buffer().to_pybytes())
-                h, w, _ = px.shape
-                y, x = np.divmod(np.arange(h * w), w)
-                row = pa.array(np.full(h * w, i))
-                levels = [pa.array(px[:, :, k].ravel().astype(np.int32)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(keys))), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), *levels], [*keys, "x", "y", "r", "g", "b"])
+                held.append(read_png(batch.column(len(keys))[i].as_buffer().to_pybytes()))
+                size += held[-1].shape[0] * held[-1].shape[1]
+                # Pixels of small pictures leave together.
+                if size >= AT_ONCE or i == batch.num_rows - 1:
+                    sizes = [px.shape[0] * px.shape[1] for px in held]
+                    y, x = (np.concatenate(v) for v in zip(*(np.divmod(np.arange(n), px.shape[1]) for n, px in zip(sizes, held))))
+                    levels = np.concatenate([px.reshape(-1, 3) for px in held]).astype(np.int32)
+                    row = pa.array(np.repeat(np.arange(start, i + 1), sizes))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(keys))), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), *(pa.array(np.ascontiguousarray(levels[:, k])) for k in range(3))], [*keys, "x", "y", "r", "g", "b"])
+                    start, held, size = i + 1, [], 0
 
     return pictures.select(*keys, "png").mapInArrow(run, f"{kinds}, x int, y int, r int, g int, b int")
 

@@ -418,9 +418,7 @@ def stroke_raster(spark, sf_dir):
 
 def saved_letters(spark, sf_dir):
     """Each stroke is a canvas that is saved as a picture; the last picture of a letter stays. Its ink, read back from the file."""
-    chains = stroke_chains(spark, sf_dir)
-    px = paint.painted(chains, ["session_id", "letter", "seq"], *CANVAS)
-    last = paint.kept(debugviz.gray_png(px, ["session_id", "letter", "seq"]))
+    last = paint.kept(paint.pictures(stroke_chains(spark, sf_dir), ["session_id", "letter", "seq"], *CANVAS))
     ink = debugviz.png_pixels(last, ["session_id", "letter"])
     return ink.groupBy("session_id", "letter").agg(F.count("*").alias("n"), F.sum((255 - F.col("r")).cast("long")).alias("ink"), F.sum((F.col("g") * (F.col("x") + 100 * F.col("y"))).cast("long")).alias("mark"))
 
