@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from vellumspark.functions import letters as L
 from vellumspark.functions import outline as stroke_outlines
 from vellumspark.functions import svgpath, web
-from vellumspark.operators import components, debugviz, font, limiter, match, navigation, paint, raster, recognise, strokes, trace
+from vellumspark.operators import components, debugviz, font, limiter, match, navigation, paint, paths, raster, recognise, strokes, trace
 from vellumspark.oracle import SQL
 from vellumspark.plans import drawing, pangram, photo
 from vellumspark.session import scratch_dir
@@ -228,7 +228,7 @@ def svg_scale(spark, sf_dir):
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.order_paths(spark, sf_dir).select("path_id", svgpath.parse_path(F.col("d")).alias("commands"))
+    return paths.parsed_paths(tables.order_paths(spark, sf_dir).select("path_id", "d"))
 
 
 def svg_parse_path(spark, sf_dir):
