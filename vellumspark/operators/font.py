@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -111,7 +113,9 @@ def commands_of(column: pa.Array) -> Commands:
     fields = dict(zip((f.name for f in flat.type), flat.flatten()))
     points = {k: fields[k].cast(pa.float64()).to_numpy(zero_copy_only=False) for k in AXES}
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
-    return Commands(sizes, np.array(fields["type"].to_pylist(), "U1"), points)
+    kinds = fields["type"].dictionary_encode()
+    names = np.array([k or "N" for k in kinds.dictionary.to_pylist()] or ["N"], "U1")
+    return Commands(sizes, names[kinds.indices.fill_null(0).to_numpy()], points)
 
 
 def _near(x: np.ndarray) -> np.ndarray:
@@ -177,10 +181,8 @@ def _numbers(value: np.ndarray, operator: np.ndarray) -> tuple[bytes, np.ndarray
 def _index(items: list[bytes]) -> bytes:
     if not items:
         return b"\0\0"
-    offsets = [1]
-    for item in items:
-        offsets.append(offsets[-1] + len(item))
-    return struct.pack(">HB", len(items), 4) + b"".join(struct.pack(">I", o) for o in offsets) + b"".join(items)
+    offsets = 1 + np.cumsum([0, *map(len, items)])
+    return struct.pack(">HB", len(items), 4) + offsets.astype(">u4").tobytes() + b"".join(items)
 
 
 def _cff(name: str, names_of: list[str], drawings: list[bytes]) -> bytes:
@@ -190,7 +192,7 @@ def _cff(name: str, names_of: list[str], drawings: list[bytes]) -> bytes:
     tail = _index(strings) + _index([])
     top_size = len(_index([b"".join((wide(0), b"\x0f", wide(0), b"\x11", wide(0), wide(0), b"\x12"))]))
     charset_at = len(head) + len(names) + top_size + len(tail)
-    charset = b"\0" + b"".join(struct.pack(">H", 391 + i) for i in range(len(strings)))
+    charset = b"\0" + (391 + np.arange(len(strings))).astype(">u2").tobytes()
     chars = _index(drawings)
     private = _number(0) + b"\x14" + _number(0) + b"\x15"
     at = charset_at + len(charset)
@@ -200,15 +202,16 @@ def _cff(name: str, names_of: list[str], drawings: list[bytes]) -> bytes:
 
 def _cmap(codes: list[tuple[int, int]]) -> bytes:
     """A format 4 table, one segment per code."""
-    segments = [(c, c, g - c & 0xFFFF) for c, g in codes] + [(0xFFFF, 0xFFFF, 1)]
-    n = len(segments)
+    code, glyph = np.array([*codes, (0xFFFF, 0x10000)]).T
+    n = len(code)
     power = 1 << n.bit_length() - 1
+    wide = lambda v: v.astype(">u2").tobytes()
     body = struct.pack(">4H", 2 * n, 2 * power, power.bit_length() - 1, 2 * (n - power))
-    body += b"".join(struct.pack(">H", s[1]) for s in segments) + b"\0\0" + b"".join(struct.pack(">H", s[0]) for s in segments)
-    body += b"".join(struct.pack(">H", s[2]) for s in segments) + b"\0\0" * n
+    body += wide(code) + b"\0\0" + wide(code) + wide(glyph - code & 0xFFFF) + b"\0\0" * n
     return struct.pack(">HHHHI", 0, 1, 3, 1, 12) + struct.pack(">HHH", 4, len(body) + 6, 0) + body
 
 
+@lru_cache(maxsize=16)
 def _names(family: str) -> bytes:
     texts = {1: family, 2: "Regular", 3: f"{family} Regular", 4: f"{family} Regular", 6: f"{family}-Regular".replace(" ", "")}
     data, rows = b"", b""
@@ -219,10 +222,9 @@ def _names(family: str) -> bytes:
     return struct.pack(">3H", 0, len(texts), 6 + len(rows)) + rows + data
 
 
-def encode_font(family: str, names: list[str], glyph_codes: list[int], advances: np.ndarray, commands: Commands) -> bytes:
-    """An OpenType file of glyphs, .notdef first."""
-    known = [v[~np.isnan(v)] for v in (np.concatenate([commands.points[at + k] for k in ("", "1", "2")]) for at in "xy")]
-    x1, y1, x2, y2 = (int(f(v)) if len(v) else 0 for f in (np.min, np.max) for v in known)
+def encode_font(family: str, names: list[str], glyph_codes: list[int], advances: np.ndarray, drawings: list[bytes], bounds: tuple[int, int, int, int]) -> bytes:
+    """An OpenType file of glyphs, .notdef first, from their charstrings; ``bounds`` (least x and y, greatest x and y) holds all their points."""
+    x1, y1, x2, y2 = bounds
     clip = lambda v: max(-32768, min(32767, v))
     box = struct.pack(">4h", *map(clip, (x1, y1, x2, y2)))
     advances = np.minimum(advances, 32_000)
@@ -231,7 +233,7 @@ def encode_font(family: str, names: list[str], glyph_codes: list[int], advances:
     os2 = struct.pack(">HhHHH10hh", 3, widest // 2, 400, 5, 0, *[0] * 11) + bytes(10) + struct.pack(">4I", 1, 0, 0, 0) + b"    "
     os2 += struct.pack(">HHHhhhHH", 64, codes[0][0], codes[-1][0], ASCENDER, DESCENDER, 0, ASCENDER, -DESCENDER) + struct.pack(">IIhhHHH", 1, 0, 500, 700, 0, 32, 1)
     tables = {
-        b"CFF ": _cff(family.replace(" ", ""), names, charstrings(advances, commands)),
+        b"CFF ": _cff(family.replace(" ", ""), names, drawings),
         b"OS/2": os2,
         b"cmap": _cmap(codes),
         b"head": struct.pack(">IIIIHHqq", 0x10000, 0x10000, 0, 0x5F0F3CF5, 3, EM, 0, 0) + box + struct.pack(">HHhhh", 0, 8, 2, 0, 0),
@@ -247,7 +249,7 @@ def encode_font(family: str, names: list[str], glyph_codes: list[int], advances:
     head, data = b"OTTO" + struct.pack(">4H", n, 16 * power, power.bit_length() - 1, 16 * (n - power)), b""
     for tag, table in tables.items():
         padded = table + bytes(-len(table) % 4)
-        total = sum(struct.unpack(f">{len(padded) // 4}I", padded)) & 0xFFFFFFFF
+        total = int(np.frombuffer(padded, ">u4").sum(dtype=np.uint64)) & 0xFFFFFFFF
         head += tag + struct.pack(">3I", total, at + len(data), len(table))
         data += padded
     return head + data
@@ -296,22 +298,167 @@ def _operands(data: bytes, wide: int | None = None):
             held, at = [], at + 1
 
 
+#: Bytes of the token that a byte of a charstring begins; operators are one byte.
+FORMS = np.array([1] * 28 + [3] + [1] * 218 + [2] * 8 + [5])
+
+
+class Outlines(NamedTuple):
+    """Commands of glyphs, one after the other: ``sizes`` of each glyph, then the operator of each command and the point it ends in."""
+
+    sizes: np.ndarray
+    operator: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+
+
+def drawings_of(cff: bytes) -> tuple[int, np.ndarray]:
+    """Where the charstrings of a CFF table begin, and their offsets from there, the last one's end included."""
+    _, at = _items(cff, cff[2])
+    (top,), _ = _items(cff, at)
+    (at,) = next(operands for operator, operands in _operands(top, 29) if operator == 17)
+    n, size = struct.unpack(">HB", cff[at : at + 3])
+    raw = np.frombuffer(cff, np.uint8, size * (n + 1), at + 3).reshape(-1, size).astype(np.int64)
+    return at + 2 + size * (n + 1), raw @ 256 ** np.arange(size - 1, -1, -1)
+
+
+def outlines(drawings: bytes, starts: np.ndarray) -> Outlines:
+    """The commands of charstrings that follow each other in ``drawings``; ``starts`` has where each begins, none of them empty.
+
+    A byte is where a token begins if it is a glyph's first or follows a token; following twice as many at each round finds them all.
+    """
+    raw = np.frombuffer(drawings, np.uint8).astype(np.int64)
+    n = len(raw)
+    follows = np.append(np.minimum(np.arange(n) + FORMS[raw], n), n)
+    begins = np.zeros(n + 1, bool)
+    begins[starts] = True
+    for _ in range(int(np.diff(starts, append=n).max(initial=1)).bit_length()):
+        begins[follows[begins]] = True
+        follows = follows[follows]
+    at = np.flatnonzero(begins[:n])
+    first = raw[at]
+    form, second = FORMS[first], np.append(raw, [0] * 4)[at + 1]
+    value = np.where(form == 1, first - 139, np.where(first <= 250, (first - 247) * 256 + second + 108, -(first - 251) * 256 - second - 108))
+    for length in (3, 5):
+        some = at[form == length]
+        number = sum(raw[some + k] << 8 * (length - 1 - k) for k in range(1, length))
+        value[form == length] = number - (number >> 8 * (length - 1) - 1 << 8 * (length - 1))
+    operator = (first < 32) & (first != 28)
+    value[operator] = 0
+    draws = np.flatnonzero(operator & np.isin(first, (21, 5, 8)))
+    kind = first[draws]
+    value = np.append(value, [0] * 6)  # so that what lies before the first token is 0
+    moves = [np.where(kind == 8, value[draws - k], 0) if k > 2 else value[draws - k] for k in range(1, 7)]
+    glyph = np.searchsorted(starts, at[draws], "right") - 1
+    sizes = np.bincount(glyph, minlength=len(starts))
+    base = np.cumsum(sizes) - sizes
+
+    def summed(steps: np.ndarray) -> np.ndarray:
+        up_to = np.append(0, np.cumsum(steps))
+        return up_to[1:] - np.repeat(up_to[base], sizes)
+
+    return Outlines(sizes, kind, summed(moves[1] + moves[3] + moves[5]), summed(moves[0] + moves[2] + moves[4]))
+
+
+#: The letters of the operators that draw.
+DRAWS = {21: "M", 5: "L", 8: "C"}
+
+
 def read_outlines(data: bytes) -> list[list[tuple[str, int, int]]]:
     """The commands M, L and C of every glyph of a file, with the points they end in, from its charstrings."""
     cff = read_font(data)["tables"]["CFF "]
-    _, at = _items(cff, cff[2])
-    (top,), _ = _items(cff, at)
-    (drawings_at,) = next(operands for operator, operands in _operands(top, 29) if operator == 17)
-    kinds, glyphs = {21: "M", 5: "L", 8: "C"}, []
-    for drawing in _items(cff, drawings_at)[0]:
-        x, y, path = 0, 0, []
-        for operator, operands in _operands(drawing):
-            if operator in kinds:
-                moves = operands[-6:] if operator == 8 else operands[-2:]
-                x, y = x + sum(moves[::2]), y + sum(moves[1::2])
-                path.append((kinds[operator], x, y))
-        glyphs.append(path)
-    return glyphs
+    base, offsets = drawings_of(cff)
+    found = outlines(cff[base + offsets[0] : base + offsets[-1]], offsets[:-1] - offsets[0])
+    steps = list(zip((DRAWS[k] for k in found.operator.tolist()), found.x.tolist(), found.y.tolist()))
+    ends = np.cumsum(found.sizes).tolist()
+    return [steps[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+#: A drawn glyph on its way into a font: the character, its names and codes, and what its commands become.
+GLYPH = "char string, name string, code int, capital_name string, capital_code int, advance long, drawing binary, x1 double, y1 double, x2 double, y2 double"
+
+
+def drawn(glyphs: DataFrame) -> DataFrame:
+    """(font_id, GLYPH) of glyphs (font_id, char, ..., advance, commands): charstrings and the bounds of their points, many glyphs at a time."""
+    low, up = F.lower("char"), F.upper("char")
+    own = ["font_id", "char", "name", "code", "capital_name", "capital_code", "advance"]
+    capital = low != up
+    rows = glyphs.select(F.col("font_id").cast("long"), "char", low.alias("name"), F.ascii(low).alias("code"), F.when(capital, up).alias("capital_name"), F.when(capital, F.ascii(up)).alias("capital_code"), F.col("advance").cast("long"), "commands")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                commands = commands_of(batch.column("commands"))
+                made = charstrings(batch.column("advance").to_numpy(), commands)
+                columns = [*(batch.column(c) for c in own), pa.array(made, pa.binary()), *(pa.array(v, from_pandas=True) for v in bounds_of(commands))]
+                yield pa.RecordBatch.from_arrays(columns, [*own, "drawing", "x1", "y1", "x2", "y2"])
+
+    return rows.mapInArrow(run, f"font_id long, {GLYPH}")
+
+
+def bounds_of(commands: Commands) -> list[np.ndarray]:
+    """Of each glyph the least x and y and the greatest x and y of its points; NaN without any."""
+    glyph, out = np.repeat(np.arange(len(commands.sizes)), commands.sizes), []
+    for most in (np.fmin, np.fmax):
+        for at in "xy":
+            found = np.full(len(commands.sizes), np.nan)
+            most.at(found, glyph, most(most(commands.points[at], commands.points[at + "1"]), commands.points[at + "2"]))
+            out.append(found)
+    return out
+
+
+@lru_cache(maxsize=1)
+def fixed_glyphs() -> tuple[list[tuple[str, int, int, bytes]], tuple[int, int, int, int]]:
+    """(name, code, advance, charstring) of .notdef and space, and the bounds of the former's points."""
+    points = [tuple(map(int, step.split())) for step in NOTDEF_PATH.replace("Z", "").replace("M", "|").replace("L", "|").split("|")[1:]]
+    kinds = np.array(["M", "L", "L", "L"] * 2, "U1")
+    x, y = np.array(points, float).T
+    none = np.full(len(x), np.nan)
+    box, blank = charstrings(np.array([600, EM // 4]), Commands(np.array([len(x), 0]), kinds, {"x": x, "y": y} | {k: none for k in AXES[:4]}))
+    return [(".notdef", 0, 600, box), ("space", 32, EM // 4, blank)], (int(x.min()), int(y.min()), int(x.max()), int(y.max()))
+
+
+def made_fonts(glyphs: DataFrame, reference: Column | None = None, family: str = "MyHandwriting") -> DataFrame:
+    """(font_id, font, n_glyphs, chars) from glyphs (font_id, char, commands): the fonts that ``fonts`` makes of their glyph table.
+
+    Glyphs are encoded where they are, so what is dealt by font and sorted are charstrings and not commands; a task streams
+    its sorted rows and holds a block of them and one font.
+    """
+    rows = drawn(font_coordinates(glyphs, reference)).repartition("font_id").sortWithinPartitions("font_id", "char", "advance", "drawing")
+    return rows.mapInArrow(lambda batches: assembled(batches, family), "font_id long, font binary, n_glyphs long, chars string")
+
+
+def assembled(batches: Iterator[pa.RecordBatch], family: str) -> Iterator[pa.RecordBatch]:
+    """The fonts of rows (font_id, GLYPH) that are sorted by font and character."""
+    kinds = {"font_id": pa.int64(), "font": pa.binary(), "n_glyphs": pa.int64(), "chars": pa.string()}
+    held: list[dict] = []
+
+    def made(rows: list[dict]) -> tuple:
+        fixed, (x1, y1, x2, y2) = fixed_glyphs()
+        table = list(fixed)
+        for r in rows:
+            table.append((r["name"], r["code"], r["advance"], r["drawing"]))
+            if r["capital_name"] is not None:
+                table.append((r["capital_name"], r["capital_code"], r["advance"], r["drawing"]))
+        least = [int(min([v, *(r[k] for r in rows if r[k] is not None)])) for k, v in (("x1", x1), ("y1", y1))]
+        most = [int(max([v, *(r[k] for r in rows if r[k] is not None)])) for k, v in (("x2", x2), ("y2", y2))]
+        names, codes, advances, drawings = map(list, zip(*table))
+        data = encode_font(family, names, codes, np.array(advances), drawings, (*least, *most))
+        return rows[0]["font_id"], data, len(names), "".join(sorted({r["name"] for r in rows}))
+
+    def batch_of(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*done), kinds.values())], list(kinds))
+
+    for batch in batches:
+        done = []
+        for row in batch.to_pylist():
+            if held and held[0]["font_id"] != row["font_id"]:
+                done.append(made(held))
+                held = []
+            held.append(row)
+        if done:
+            yield batch_of(done)
+    if held:
+        yield batch_of([made(held)])
 
 
 def fonts(table: DataFrame, family: str = "MyHandwriting") -> DataFrame:
@@ -323,7 +470,9 @@ def fonts(table: DataFrame, family: str = "MyHandwriting") -> DataFrame:
         by = np.lexsort((capital, np.array(order[0].to_pylist(), "U8")))
         rows = group.take(pa.array(by)).combine_chunks()
         names, advances = rows["name"].to_pylist(), rows["advance"].to_numpy()
-        data = encode_font(family, names, rows["code"].to_pylist(), advances, commands_of(rows["commands"].chunk(0)))
+        commands = commands_of(rows["commands"].chunk(0))
+        bounds = [int(v) if v == v else 0 for v in (f(b) for f, b in zip((np.fmin.reduce, np.fmin.reduce, np.fmax.reduce, np.fmax.reduce), bounds_of(commands)))]
+        data = encode_font(family, names, rows["code"].to_pylist(), advances, charstrings(advances, commands), bounds)
         chars = sorted({name for name, c in zip(names[2:], capital[by][2:].tolist()) if c == 0})
         return pa.table({"font_id": rows["font_id"][:1], "font": pa.array([data], pa.binary()), "n_glyphs": pa.array([len(names)], pa.int64()), "chars": pa.array(["".join(chars)])})
 

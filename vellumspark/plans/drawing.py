@@ -35,8 +35,8 @@ def drawn_fonts(px: DataFrame, places: DataFrame, family: str = "MyHandwriting",
     """(font_id, font, n_glyphs, chars, status) for each font of ``places``; the scale follows the first height above 0."""
     glyphs = drawn_glyphs(px, places, despeckle)
     made = font.glyph_commands(glyphs).drop("paths").join(reference_heights(glyphs), "font_id")
-    table = font.glyph_table(made.select("font_id", "char", "commands", "reference"), F.col("reference"))
-    return with_status(font.fonts(table, family), places.select("font_id").distinct(), F.lit(NO_GLYPHS), strict)
+    fonts = font.made_fonts(made.select("font_id", "char", "commands", "reference"), F.col("reference"), family)
+    return with_status(fonts, places.select("font_id").distinct(), F.lit(NO_GLYPHS), strict)
 
 
 def with_status(made: DataFrame, asked: DataFrame, failed: Column, strict: bool = False) -> DataFrame:

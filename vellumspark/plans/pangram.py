@@ -27,7 +27,7 @@ def pangram_fonts(px: DataFrame, responses: DataFrame, family: str = "MyHandwrit
     own = F.col("image_id") * 26 + F.ascii("char") - F.ascii(F.lit("a"))
     traced = trace.traced(crops.select(own.alias("image_id"), "x", "y", F.lit(255).alias("ink")), curves=True)
     glyphs = traced.select(F.floor(F.col("image_id") / 26).alias("font_id"), F.char(F.col("image_id") % 26 + F.ascii(F.lit("a"))).alias("char"), "paths")
-    made = font.fonts(font.glyph_table(font.glyph_commands(glyphs).drop("paths")), family)
+    made = font.made_fonts(font.glyph_commands(glyphs).drop("paths"), family=family)
     lettered = recognise.letters(responses).select(F.col("image_id").alias("font_id"), F.lit(True).alias("lettered")).distinct()
     asked = px.select(F.col("image_id").cast("long").alias("font_id")).distinct().join(lettered, "font_id", "left")
     failed = F.when(F.col("lettered"), F.lit(drawing.NO_GLYPHS)).otherwise(drawing.NO_LETTERS)

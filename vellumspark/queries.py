@@ -267,7 +267,7 @@ def glyph_table(spark, sf_dir):
 
 
 def font_bytes(spark, sf_dir):
-    made = font.fonts(font.glyph_table(lettered(spark, sf_dir)))
+    made = font.made_fonts(lettered(spark, sf_dir))
     return made.select("font_id", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
 
 
@@ -473,6 +473,10 @@ def drawn_glyph_fonts(spark, sf_dir):
     return drawn_fonts(spark, sf_dir).select("font_id", "status", "n_glyphs", "chars", F.length("font").alias("n_bytes"), F.sha2("font", 256).alias("sha256"))
 
 
+#: Fonts whose files are read at a time, so that a task's memory follows them and not Arrow's rows.
+AT_ONCE = 64
+
+
 def decoded(made: DataFrame) -> DataFrame:
     """(font_id, code, glyph, advance) of every character, read from the bytes of the fonts; ``glyph`` is its place in the file."""
 
@@ -480,34 +484,62 @@ def decoded(made: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            read = [(i, font.read_font(f)) for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            flat = [(i, code, glyph, f["advances"][glyph]) for i, f in read for code, glyph in f["codes"].items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], pa.int64()) for k in range(4)], ["font_id", "code", "glyph", "advance"])
+            for start in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(start, AT_ONCE)
+                flat = []
+                for i, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    f = font.read_font(data)
+                    flat += [(i, code, glyph, f["advances"][glyph]) for code, glyph in f["codes"].items()]
+                columns = zip(*flat) if flat else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["font_id", "code", "glyph", "advance"])
 
     return made.where("font is not null").select("font_id", "font").mapInArrow(run, "font_id long, code long, glyph long, advance long")
 
 
 def font_readback(spark, sf_dir):
     """The code maps, glyph order and advances of the fonts of ``font_bytes``, as their files tell them."""
-    return decoded(font.fonts(font.glyph_table(lettered(spark, sf_dir))))
+    return decoded(font.made_fonts(lettered(spark, sf_dir)))
 
 
-def font_outlines(spark, sf_dir):
-    """The points that the glyphs' charstrings end their commands in, as the files of ``font_bytes`` tell them."""
+def outline_points(made: DataFrame) -> DataFrame:
+    """(font_id, code, i, type, x, y): the commands of every character's charstring, read from the bytes of the fonts."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
+        kinds = {"font_id": pa.int64(), "code": pa.int64(), "i": pa.int32(), "type": pa.string(), "x": pa.int64(), "y": pa.int64()}
+        names = pa.array(list(font.DRAWS.values()))
         for batch in batches:
-            flat = []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                glyphs = font.read_outlines(data)
-                flat += [(i, code, k, *step) for code, glyph in font.read_font(data)["codes"].items() for k, step in enumerate(glyphs[glyph])]
-            kinds = {"font_id": pa.int64(), "code": pa.int64(), "i": pa.int32(), "type": pa.string(), "x": pa.int64(), "y": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+            for start in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(start, AT_ONCE)
+                drawings, starts, ids, codes, glyphs, size, n = [], [], [], [], [], 0, 0
+                for i, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    read = font.read_font(data)
+                    cff = read["tables"]["CFF "]
+                    base, offsets = font.drawings_of(cff)
+                    drawings.append(cff[base + int(offsets[0]) : base + int(offsets[-1])])
+                    starts.append(offsets[:-1] - offsets[0] + size)
+                    ids += [i] * len(read["codes"])
+                    codes += read["codes"]
+                    glyphs += [n + g for g in read["codes"].values()]
+                    size += len(drawings[-1])
+                    n += len(offsets) - 1
+                found = font.outlines(b"".join(drawings), np.concatenate(starts))
+                glyph = np.array(glyphs, np.int64)
+                sizes = found.sizes[glyph]
+                k = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                at = k + np.repeat((np.cumsum(found.sizes) - found.sizes)[glyph], sizes)
+                operator = np.select([found.operator[at] == o for o in font.DRAWS], range(len(font.DRAWS)))
+                columns = [np.repeat(ids, sizes), np.repeat(codes, sizes), k.astype(np.int32), names.take(pa.array(operator)), found.x[at], found.y[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values())], list(kinds))
+
+    return made.where("font is not null").select("font_id", "font").mapInArrow(run, "font_id long, code long, i int, type string, x long, y long")
 
-    made = font.fonts(font.glyph_table(lettered(spark, sf_dir)))
-    return made.select("font_id", "font").mapInArrow(run, "font_id long, code long, i int, type string, x long, y long")
+
+def font_outlines(spark, sf_dir):
+    """The points that the glyphs' charstrings end their commands in, as the files of ``font_bytes`` tell them."""
+    return outline_points(font.made_fonts(lettered(spark, sf_dir)))
 
 
 def drawn_font_codes(spark, sf_dir):
@@ -518,8 +550,10 @@ def drawn_font_codes(spark, sf_dir):
 def font_status(spark, sf_dir):
     """Every tenth font has no commands: it is named, with the reason."""
     glyphs = lettered(spark, sf_dir)
+    # From the orders' numbers, so that no path is parsed for it.
+    asked = tables.order_paths(spark, sf_dir).select(F.floor(F.col("path_id") / len(L.LETTERS)).alias("font_id")).distinct()
     some = glyphs.withColumn("commands", F.when(F.col("font_id") % 10 != 0, F.col("commands")).otherwise(F.slice("commands", 1, 0)))
-    made = drawing.with_status(font.fonts(font.glyph_table(some)), glyphs.select("font_id").distinct(), F.lit(drawing.NO_GLYPHS))
+    made = drawing.with_status(font.made_fonts(some), asked, F.lit(drawing.NO_GLYPHS))
     return made.select("font_id", "status", "n_glyphs", "chars")
 
 
