@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumspark import queries
 from vellumspark.functions.svgpath import parse_path
-from vellumspark.operators import font, paths
+from vellumspark.operators import curves, debugviz, font, paths, trace
 
 ODD = [
     None, "", "   ", "Z", "12 13", "M1 2", "m1,2-3-4l5", "M0 0h5v-5H1V1z", "M1 1 2 2 3", "q1 2 3 4C1 2 3 4 5 6 7", "c1 2 3 4 5 6l1", "S1 2 3 4T1 2A1 2 3M7 7L8 8", "M1e2 1E-1L.5-.5", "M1e999 2L3 4l1 1", "M1\n2\tL3 4\x005Z",
@@ -61,3 +61,20 @@ def test_readers_hold_few_fonts_at_a_time(spark, sf_dir, monkeypatch):
     n = {r.font_id: r.n_glyphs for r in made.collect()}
     codes = queries.decoded(made)
     assert {r.font_id: r.n for r in codes.groupBy("font_id").agg((F.count("*") + 1).alias("n")).collect()} == n
+
+
+def test_straight_parts_of_many_points_are_those_of_each():
+    y, x = np.mgrid[:60, :60]
+    for ink in ((x - 30) ** 2 + (y - 28) ** 2 < 600, abs(x - y) < 9, np.random.default_rng(4).random((12, 12)) < 0.6):
+        for path in trace.outline(ink, minority=True):
+            lattice = curves.Lattice(path)
+            ends, j, cost = curves.straight(lattice, np.arange(len(lattice.p) - 1))
+            for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
+                _, own, own_cost = curves.straight(lattice, np.array([i]))
+                assert (j[a:b] == own).all() and (cost[a:b] == own_cost).all() and own[0] == i + 1
+
+
+def test_pictures_are_drawn_a_batch_at_a_time(spark, sf_dir):
+    made = debugviz.boxes_png(queries.small_ink(spark, sf_dir), queries.quadrants(spark, sf_dir))
+    assert "FlatMapGroupsInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.where("png is null").count() == 0

@@ -82,11 +82,23 @@ def label_colours(n: int) -> np.ndarray:
     return np.array([[int(c * 255 + 0.5) for c in colorsys.hls_to_rgb(i * 137.508 % 360 / 360, 0.55, 0.7)] for i in range(n)], np.uint8).reshape(-1, 3)
 
 
-def _pictures(df: DataFrame, draw) -> DataFrame:
-    def run(group: pa.Table) -> pa.Table:
-        return pa.table({"image_id": group["image_id"][:1], "png": pa.array([png(draw(group))], pa.binary())})
+def _pictures(df: DataFrame, draw, beside: DataFrame | None = None) -> DataFrame:
+    """Pictures of each image's rows. An image's pixels travel as one row and a task draws a batch of images, as most are small;
+    ``beside`` (image_id, and one column that ``draw`` is given after the pixels) joins images and not their pixels."""
+    rows = df.withColumn("image_id", F.col("image_id").cast("long"))
+    images = rows.groupBy("image_id").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "image_id"))).alias("pixels"))
+    if beside is not None:
+        images = images.join(beside.withColumn("image_id", F.col("image_id").cast("long")), "image_id", "left")
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for i in range(batch.num_rows):
+                pixels = pa.Table.from_batches([pa.RecordBatch.from_struct_array(batch.column(1)[i].values)])
+                made.append(png(draw(pixels, *(c[i].as_py() for c in batch.columns[2:]))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["image_id", "png"])
 
-    return df.withColumn("image_id", F.col("image_id").cast("long")).groupBy("image_id").applyInArrow(run, "image_id long, png binary")
+    return images.mapInArrow(run, "image_id long, png binary")
 
 
 def _blank(group: pa.Table, level: int) -> np.ndarray:
@@ -121,17 +133,16 @@ def labels_png(labels: DataFrame) -> DataFrame:
 def boxes_png(px: DataFrame, boxes: DataFrame, value: str = "ink") -> DataFrame:
     """(image_id, png): the raster with its boxes' outlines in green."""
     inside = F.collect_list(F.struct("x", "y", "w", "h"))
-    rows = px.select("image_id", "x", "y", value).join(boxes.groupBy("image_id").agg(inside.alias("boxes")), "image_id", "left")
 
-    def draw(group: pa.Table) -> np.ndarray:
+    def draw(group: pa.Table, found: list[dict] | None) -> np.ndarray:
         out = _blank(group, 255)
         out[group["y"].to_numpy(), group["x"].to_numpy()] = (255 - group[value].to_numpy()).astype(np.uint8)[:, None]
-        for b in group["boxes"][0].as_py() or ():
+        for b in found or ():
             x, y, x2, y2 = (int(v) for v in (b["x"], b["y"], b["x"] + b["w"] - 1, b["y"] + b["h"] - 1))
             out[y : y2 + 1, [x, min(x2, out.shape[1] - 1)]] = out[[y, min(y2, out.shape[0] - 1)], x : x2 + 1] = (0, 200, 0)
         return out
 
-    return _pictures(rows, draw)
+    return _pictures(px.select("image_id", "x", "y", value), draw, boxes.groupBy("image_id").agg(inside.alias("boxes")))
 
 
 def grid(n: int, widths: list[int], heights: list[int], most: int = 80, row: int = 800) -> tuple[int, int, int, int]:
