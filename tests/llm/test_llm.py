@@ -341,6 +341,41 @@ def test_training_order(spark, odd, odd_texts, empty, tmp_path):
     assert tokenbinary.training_order(empty, MODEL).count() == 0
 
 
+def test_training_order_in_waves(spark, odd, tmp_path, monkeypatch):
+    """No write of shards begins while the shuffle of one before is on the disk; only the last says that all shards stand."""
+    from pathlib import Path
+
+    from pyspark.sql import DataFrameWriter
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    path, text, was, begun, freed = tmp_path / "shards", DataFrameWriter.text, spark.conf.get(setting), [], []
+
+    def shuffles():
+        return {f.name for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+
+    def written(writer, *args, **options):
+        begun.append(((path / "_SUCCESS").exists(), len(list(path.glob("shard=*")))))
+        before = shuffles()
+        text(writer, *args, **options)
+        for _ in range(100):
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        freed.append(shuffles() <= before)
+
+    monkeypatch.setattr(DataFrameWriter, "text", written)
+    total, shard = tokenbinary.write_training_order(odd, MODEL, f"file://{path}", length=32, shard=50)
+    shards = -(-total // shard)
+    assert freed == [True, True] and begun == [(False, 0), (False, -(-7 * shards // 10))]
+    assert sorted(int(p.name.removeprefix("shard=")) for p in path.glob("shard=*")) == list(range(shards)) and (path / "_SUCCESS").exists()
+    assert spark.conf.get(setting) == was
+
+
+def test_waves():
+    assert [tokenbinary.waves(n) for n in (0, 1, 3, 10, 177)] == [[], [(0, 1)], [(0, 3)], [(0, 7), (7, 10)], [(0, 124), (124, 177)]]
+
+
 def test_shard_size():
     assert [tokenbinary.shard_size(n) for n in (0, 1, 10**6, 2048 * 8192, 2048 * 8192 + 2048, 10**12)] == [8192, 8192, 8192, 8192, 16384, 1 << 18]
 

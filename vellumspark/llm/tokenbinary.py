@@ -12,7 +12,10 @@ folder, each document with the task that made it and the number of its first seq
 What numbers a sequence is thus in that table, so tasks repeated or dealt anew after a lost
 executor find the same slots. Records cross the shuffle unpadded too and are filled up behind it.
 Shards are written by Spark's text writer from raw bytes, so they go through its commit protocol
-to whatever store the path names; the record's last byte is the line end.
+to whatever store the path names; the record's last byte is the line end. They are written in two
+waves, each of a range of shards that reads the ids again, and a wave's shuffle is removed before
+the next one's begins, so the disk never holds the whole shuffle beside all shards. The ids stay
+until the last shard is committed, and only the last wave writes ``_SUCCESS``.
 
 Defined results: a null or empty text is one sequence with the end mark alone; a null id is
 written as -1; repeated rows give repeated sequences; a very long text is many sequences, numbered
@@ -25,7 +28,8 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -136,34 +140,23 @@ def sequences(counts: np.ndarray, length: int) -> np.ndarray:
     return -(-(counts + 1) // length)
 
 
-def records(doc_ids: np.ndarray, coded: pa.Array, end_mark: int, length: int) -> np.ndarray:
-    """The records of a block of documents; ``coded`` as of ``Coder.coded``."""
-    coded = pa.concat_arrays([coded.cast(pa.large_binary())])
-    _, offsets, data = coded.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[coded.offset : coded.offset + len(coded) + 1]
-    ids = np.frombuffer(data or b"", np.uint16)[offsets[0] // 2 : offsets[-1] // 2]
-    counts = np.diff(offsets) // 2
-    total, n = counts + 1, sequences(counts, length)
-    doc = np.repeat(np.arange(len(counts)), n)
-    seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out = np.zeros(len(doc), record(length))
-    out["doc_id"], out["seq"], out["line_end"] = doc_ids[doc], seq, 10
-    out["n_tokens"] = np.minimum(length, total[doc] - seq * length)
-    base = (np.cumsum(n) - n) * length
-    flat = np.zeros(len(doc) * length, np.uint16)
-    flat[np.repeat(base - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())] = ids
-    flat[base + counts] = end_mark
-    out["ids"] = flat.reshape(-1, length)
-    return out
-
-
-def unpadded(raw: np.ndarray) -> pa.Array:
-    """Records as binary rows of header and ids that count."""
-    body = raw.view(np.uint8).reshape(len(raw), -1)
-    sizes = HEADER.itemsize + 2 * raw["n_tokens"].astype(np.int64)
-    flat = body[np.arange(body.shape[1]) < sizes[:, None]]
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+def bodies(doc_ids: np.ndarray, offsets: np.ndarray, ids: np.ndarray, doc: np.ndarray, seq: np.ndarray, end_mark: int, length: int) -> pa.Array:
+    """Sequence ``seq`` of document ``doc``, for each of them, as a binary row of header and ids that count; document k has the ids from ``offsets[k]`` on."""
+    start = offsets[doc] + seq * length
+    left = offsets[doc + 1] - start
+    n, ended = np.minimum(left, length), left < length
+    head = HEADER.itemsize // 2
+    ends = np.cumsum(head + n + ended)
+    begin = ends - (head + n + ended)
+    header = np.empty(len(doc), HEADER)
+    header["doc_id"], header["seq"], header["n_tokens"] = doc_ids[doc], seq, n + ended
+    flat = np.empty(ends[-1], np.uint16)
+    flat[begin[:, None] + np.arange(head)] = header.view(np.uint16).reshape(-1, head)
+    before, each = np.cumsum(n) - n, np.arange(n.sum())
+    flat[np.repeat(begin + head - before, n) + each] = ids[np.repeat(start - before, n) + each]
+    flat[(begin + head + n)[ended]] = end_mark
+    bounds = np.concatenate([[0], 2 * ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), pa.py_buffer(flat)])
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -183,6 +176,24 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def waves(shards: int) -> list[tuple[int, int]]:
+    """The ranges of shards that are written one after the other. The first has seven tenths: its shuffle and shards then take about as much disk as all shards and the shuffle of the rest."""
+    cut = -(-7 * shards // 10)
+    return [(low, high) for low, high in ((0, cut), (cut, shards)) if low < high]
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark removes the shuffle files of a query that has ended, and not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tokenised(df: DataFrame, model: str, id_col: str, text: str, length: int) -> DataFrame:
     """(doc_id, ids, part, first): the ids of each document, the task that made them, and the number of its first sequence in that task."""
 
@@ -203,7 +214,7 @@ def write_training_order(
 ) -> tuple[int, int]:
     """Write the shards under ``path``; returns the number of sequences and the records of a shard (``shard_size`` unless given)."""
     scratch = Scratch(df.sparkSession)
-    docs = scratch.stored(tokenised(df, model, id_col, text, length), level=9)
+    docs = scratch.stored(tokenised(df, model, id_col, text, length))
     last = F.col("first") + F.ceil((F.length("ids") / 2 + 1) / length)
     # One number per task.
     counts = {r.part: r.n for r in docs.groupBy("part").agg(F.max(last).cast("long").alias("n")).collect()}
@@ -211,23 +222,35 @@ def write_training_order(
     shard = shard or shard_size(total)
     places = df.sparkSession.sparkContext.broadcast(dict(zip(parts, np.cumsum([0] + [counts[p] for p in parts]).tolist())))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end_mark = processor(model).eos_id()
-        for batch in blocks(batches, 2 << 20):
-            made = records(batch.column(0).to_numpy(), batch.column(1), end_mark, length)
-            n = sequences(pc.binary_length(batch.column(1)).to_numpy() // 2, length)
-            first = np.array([places.value[p] for p in batch.column(2).to_pylist()], np.int64) + batch.column(3).to_numpy()
-            slots = feistel(np.repeat(first, n) + made["seq"], total, key)
-            for i in range(0, len(made), 4096):
-                slot = slots[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard).astype(np.int32)), unpadded(made[i : i + 4096])], ["slot", "shard", "body"])
-
-    if total:
-        placed = docs.select("doc_id", "ids", "part", "first").mapInArrow(place, "slot long, shard int, body binary")
-        ordered = placed.repartitionById(-(-total // shard), F.col("shard")).sortWithinPartitions("shard", "slot")
-        # The line end is the writer's, so a row carries all bytes but the last.
-        whole = F.rpad("body", record(length).itemsize - 1, F.lit(b"\0"))
-        ordered.select(whole.cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(path)
+    shards = -(-total // shard)
+
+    def placed(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            end_mark = processor(model).eos_id()
+            for batch in blocks(batches, 2 << 20):
+                coded = batch.column(1).cast(pa.large_binary())
+                _, offsets, ids = coded.buffers()
+                offsets, ids = np.frombuffer(offsets, np.int64)[coded.offset : coded.offset + len(coded) + 1] // 2, np.frombuffer(ids or b"", np.uint16)
+                n = sequences(np.diff(offsets), length)
+                doc = np.repeat(np.arange(len(n)), n)
+                seq = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                first = np.array([places.value[p] for p in batch.column(2).to_pylist()], np.int64) + batch.column(3).to_numpy()
+                slots = feistel(first[doc] + seq, total, key)
+                here = np.flatnonzero((slots >= low * shard) & (slots < high * shard))
+                for at in np.split(here, range(4096, len(here), 4096)) if len(here) else []:
+                    body = bodies(batch.column(0).to_numpy(), offsets, ids, doc[at], seq[at], end_mark, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(slots[at]), pa.array((slots[at] // shard).astype(np.int32)), body], ["slot", "shard", "body"])
+
+        return place
+
+    # The line end is the writer's, so a row carries all bytes but the last.
+    whole = F.rpad("body", record(length).itemsize - 1, F.lit(b"\0")).cast("string").alias("value")
+    with shuffles_removed(df.sparkSession):
+        for low, high in waves(shards):
+            made = docs.select("doc_id", "ids", "part", "first").mapInArrow(placed(low, high), "slot long, shard int, body binary")
+            ordered = made.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("shard", "slot")
+            writer = ordered.select(whole, "shard").write.partitionBy("shard").mode("append" if low else "error")
+            writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", high == shards).option("lineSep", "\n").text(path)
     scratch.clear()
     return total, shard
 
