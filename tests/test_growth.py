@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from vellumspark import queries
 from vellumspark.functions.svgpath import parse_path
 from vellumspark.operators import curves, debugviz, font, paths, trace
+from vellumspark.sinks import files
 
 ODD = [
     None, "", "   ", "Z", "12 13", "M1 2", "m1,2-3-4l5", "M0 0h5v-5H1V1z", "M1 1 2 2 3", "q1 2 3 4C1 2 3 4 5 6 7", "c1 2 3 4 5 6l1", "S1 2 3 4T1 2A1 2 3M7 7L8 8", "M1e2 1E-1L.5-.5", "M1e999 2L3 4l1 1", "M1\n2\tL3 4\x005Z",
@@ -78,3 +81,36 @@ def test_pictures_are_drawn_a_batch_at_a_time(spark, sf_dir):
     made = debugviz.boxes_png(queries.small_ink(spark, sf_dir), queries.quadrants(spark, sf_dir))
     assert "FlatMapGroupsInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert made.where("png is null").count() == 0
+
+
+def test_files_are_moved_and_read_by_tasks_and_listed_nowhere(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "HELD", 3)
+    monkeypatch.setattr(files, "DEALT", 5)
+    at, want = f"file://{tmp_path}/o", {f"{k % 2}/_{k}.bin": b"x" * k for k in range(50)}
+    df = spark.createDataFrame([(n, bytearray(b)) for n, b in want.items()], "n string, d binary")
+    written = files.write_files(df, at, F.col("n"), F.col("d"))
+    assert sorted(r["name"] for r in written.collect()) == sorted(want) == sorted(str(p.relative_to(tmp_path / "o")) for p in (tmp_path / "o").rglob("*") if p.is_file())
+    monkeypatch.setattr(files, "AT_ONCE", 40)
+    read = files.read_files(spark, at, written)
+    assert {r["name"]: bytes(r.content) for r in read.collect()} == {n: b for n, b in want.items() if b}
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and read.rdd.getNumPartitions() == 10
+    assert not [p for p in (tmp_path / "o").iterdir() if p.name not in "01"]
+    none = files.write_files(df.where("n = 'z'"), f"file://{tmp_path}/none", F.col("n"), F.col("d"))
+    assert files.read_files(spark, f"file://{tmp_path}/none", none).collect() == []
+
+
+def test_moves_that_are_repeated_change_nothing(tmp_path):
+    at = f"file://{tmp_path}/o"
+    writer = files.file_source()({"path": at, "job": "j"}).writer(None, False)
+    done = writer.write(iter([("a.bin", b"1"), ("d/b.bin", b"2")]))
+    lost = writer.write(iter([("a.bin", b"old")]))
+    writer.commit([done])
+    assert [p.name for p in (tmp_path / "o" / "_staging-j" / "counted").iterdir()] == [f"{done.attempt}.parquet"] and not (tmp_path / "o" / "a.bin").exists()
+    rows = lambda *names: iter([pa.RecordBatch.from_arrays([pa.array(names), pa.array([done.attempt] * len(names))], ["name", "attempt"])])
+    for names in (("a.bin",), ("a.bin", "d/b.bin"), ("a.bin", "d/b.bin")):
+        assert [b.column(0).to_pylist() for b in files.moved(at, "j", rows(*names))] == [list(names)]
+    with pytest.raises(OSError):
+        list(files.moved(at, "j", rows("c.bin")))
+    files.clean(at, "j")
+    assert lost.n == 1 and {str(p.relative_to(tmp_path / "o")): p.read_bytes() for p in (tmp_path / "o").rglob("*") if p.is_file()} == {"a.bin": b"1", "d/b.bin": b"2"}

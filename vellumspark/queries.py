@@ -592,15 +592,15 @@ def file_sink(spark, sf_dir):
     at = scratch_dir(spark)
     k = F.col("item_id")
     name = F.format_string("kind-%d/%d.txt", k % 3, k)
-    files.write_files(table(spark, sf_dir, "benchmark"), at, name, F.encode("text", "UTF-8"))
-    return files.read_files(spark, at).select("name", F.length("content").alias("n_bytes"), F.md5("content").alias("md5"))
+    written = files.write_files(table(spark, sf_dir, "benchmark"), at, name, F.encode("text", "UTF-8"))
+    return files.read_files(spark, at, written).select("name", F.length("content").alias("n_bytes"), F.md5("content").alias("md5"))
 
 
 def debug_files(spark, sf_dir):
     """The debug pictures as files, a folder per stage, and what their pixels add up to, read back from the files."""
     at = scratch_dir(spark)
-    files.write_files(stage_pictures(spark, sf_dir), at, F.format_string("%s/%d.png", "stage", "image_id"), F.col("png"))
-    read = files.read_files(spark, at).where(images.image_type(F.col("content")) == "image/png")
+    written = files.write_files(stage_pictures(spark, sf_dir), at, F.format_string("%s/%d.png", "stage", "image_id"), F.col("png"))
+    read = files.read_files(spark, at, written).where(images.image_type(F.col("content")) == "image/png")
     named = read.select(F.split("name", "/")[0].alias("stage"), F.regexp_extract("name", r"/(\d+)\.png$", 1).cast("long").alias("image_id"), F.col("content").alias("png"))
     px = debugviz.png_pixels(named, ["stage", "image_id"])
     dark = F.when(F.col("stage") != "labels", (F.col("r") == 0) & (F.col("g") == 0)).otherwise((F.col("r") != 30) | (F.col("g") != 30) | (F.col("b") != 30))
