@@ -114,3 +114,9 @@ def test_moves_that_are_repeated_change_nothing(tmp_path):
         list(files.moved(at, "j", rows("c.bin")))
     files.clean(at, "j")
     assert lost.n == 1 and {str(p.relative_to(tmp_path / "o")): p.read_bytes() for p in (tmp_path / "o").rglob("*") if p.is_file()} == {"a.bin": b"1", "d/b.bin": b"2"}
+
+
+@pytest.mark.parametrize("name", ["debug_files", "file_sink"])
+def test_queries_read_their_files_by_name(spark, sf_dir, name):
+    plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and "RepartitionByExpression [name#" in plan

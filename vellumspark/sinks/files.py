@@ -2,8 +2,9 @@
 
 A task writes to a staging folder of its own attempt, under the names its files will have, and lists those names beside it.
 Only once every task has ended do the files of the attempts that Spark counts move to their places; an attempt that failed,
-or that a faster copy of its task overtook, leaves nothing, and if the job fails nothing appears at all. Names stay in
-tables, files are moved and read by tasks: the driver holds what attempts there are, and no list of files.
+or that a faster copy of its task overtook, leaves nothing, and if a task cannot end nothing appears at all. Names stay in
+tables, files are moved and read by tasks: the driver holds what attempts there are, and no list of files. If a move
+cannot be done, the files that have moved stay and the others go.
 """
 
 from __future__ import annotations
